@@ -11,6 +11,8 @@ from .common import cut, row_key
 
 CLASSES = 64
 UNKNOWN = "und"
+#: Nats a trigram by which a language has to explain a text better than characters without context do.
+MARGIN = 0.3
 
 
 def _classes() -> np.ndarray:
@@ -52,7 +54,7 @@ def log_models(counts: np.ndarray) -> np.ndarray:
     p2 = (n2 + 10 * p1[:, None, :]) / (n2.sum(axis=2, keepdims=True) + 10)
     p3 = (n3 + 10 * p2[:, None]) / (n3.sum(axis=3, keepdims=True) + 10)
     pooled = n1.sum(axis=0) + 0.5
-    none = np.broadcast_to(np.log(pooled / pooled.sum()), (CLASSES, CLASSES, CLASSES))
+    none = np.broadcast_to(np.log(pooled / pooled.sum()) + MARGIN, (CLASSES, CLASSES, CLASSES))
     return np.concatenate([np.log(p3).reshape(len(n3), -1), none.reshape(1, -1)]).T.astype(np.float32).copy()
 
 
