@@ -62,7 +62,7 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 n AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT] AS w, source_size * 2.0::DOUBLE AS cap FROM s),
 f AS (SELECT *, cap / w AS r, coalesce(sum(cap) OVER o, 0) AS full_before, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS w_left, 1.5::DOUBLE * sum(source_size) OVER () AS budget FROM n WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min((budget - full_before) / w_left) AS level FROM f WHERE (budget - full_before) / w_left <= r),
+l AS (SELECT (budget - full_before) / w_left AS level FROM f WHERE (budget - full_before) / w_left <= r ORDER BY r, source NULLS LAST LIMIT 1),
 t AS (SELECT source, source_size, least(cap, w * coalesce(level, 0)) AS target FROM n CROSS JOIN l),
 q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY key, size, doc_id ROWS UNBOUNDED PRECEDING) AS sent FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT doc_id, source, key, size, (sent + copy * source_size)::DOUBLE / target AS v FROM q, (VALUES (0), (1)) AS x(copy) WHERE size > 0 AND target > 0),
