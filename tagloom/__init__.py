@@ -1,0 +1 @@
+"""Tag-lens analytics over points of interest, on Spark DataFrames."""
