@@ -107,7 +107,7 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     cell = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + 5) / 10 * BINS)))
     held = scored.where("fold = 3 and by_rule is not null").groupBy(cell.alias("cell")).agg(*[F.count(F.when(F.col("by_rule") == v, 1)).alias(v) for v in ("allow", "block")])
     up, all_ = Window.orderBy(F.desc("cell")), Window.partitionBy()
-    held = held.select("cell", *[(F.sum(v).over(up) / F.sum(v).over(all_)).alias(v) for v in ("allow", "block")])
+    held = held.select("cell", *[F.try_divide(F.sum(v).over(up), F.sum(v).over(all_)).alias(v) for v in ("allow", "block")])
     best = held.where("allow is not null and block is not null").agg(F.max(F.struct((F.col("allow") - F.col("block")).alias("gain"), F.col("cell").alias("cell"))).alias("best"))
     best = best.select(((F.col("best.cell") / BINS * 10) - 5).alias("threshold"))
     scored = scored.select("k1", "k2", "score")
