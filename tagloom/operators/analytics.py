@@ -18,7 +18,7 @@ def pearson(x: str, y: str) -> Column:
     """Correlation over rows with both; null with fewer than three or without variance."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    return F.when((F.count(a) >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.corr(a, b))
+    return F.when((F.count(a) >= 3) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def histogram(values: DataFrame, lo: float, hi: float, bins: int = 10) -> DataFrame:

@@ -41,8 +41,9 @@ def failure_tally(events: DataFrame) -> DataFrame:
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
     """An extension beyond the lens pipelines: event counts and values in tumbling windows, late events dropped by watermark."""
     w = F.window("ts", size)
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     n = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return n.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return n.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
 def windowed_batch(spark: SparkSession, sf_dir: str, size: str = "1 hour") -> DataFrame:
