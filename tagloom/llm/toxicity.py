@@ -107,7 +107,7 @@ class Scorer:
         return best
 
     def features(self, text: str) -> list[float]:
-        """Log sums of the weights of the clauses' outputs, by output, and the log of the number of matched clauses."""
+        """Log sums of the weights of the clauses' outputs, by output, and the logs of the numbers of matched clauses and of characters."""
         low = text.lower()
         sums, matched, done = dict.fromkeys(OUTPUTS, 0.0), 0, -1
         for end, n in self.find.iter(low):
@@ -127,13 +127,14 @@ class Scorer:
                 if out in sums:
                     sums[out] += v * math.exp(w)
             matched += sum(sums.values()) > before
-        return [*(math.log1p(v) for v in sums.values()), math.log1p(matched)]
+        return [*(math.log1p(v) for v in sums.values()), math.log1p(matched), math.log1p(len(text))]
 
 
 def learn_lexicon(train: DataFrame, size: int = 500, least: int = 4) -> dict[str, float]:
     """Insults and their weights from ``text, toxic``: words and stems (4 to 8 letters) that toxic documents hold and others hardly do.
 
-    Weights are smoothed log odds over 4. The ``size`` entries that explain most documents stay.
+    Weights are smoothed log odds over 4. The ``size`` entries stay that explain most documents by the
+    lower bound of their log odds, which has to be 1 at least.
     """
 
     def count(batches):
@@ -155,13 +156,14 @@ def learn_lexicon(train: DataFrame, size: int = 500, least: int = 4) -> dict[str
     if not na or not nb:
         return {w: 1.0 for w in INSULTS}
     odds = F.log(((F.col("a") + 0.5) / (na + 1)) / ((F.col("b") + 0.5) / (nb + 1)))
-    found = found.where((F.col("a") >= least) & (F.col("word") != "")).withColumn("odds", odds).where("odds >= 2.5")
-    top = found.orderBy(F.desc(F.round(F.col("a") * F.col("odds"), 6)), F.length("word"), "word").limit(8 * size).collect()
+    surely = F.col("odds") - 1.64 * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    found = found.where((F.col("a") >= least) & (F.col("word") != "")).withColumn("odds", odds).withColumn("surely", F.round(surely, 9)).where("surely >= 1")
+    top = found.orderBy(F.desc(F.round(F.col("a") * F.col("surely"), 6)), F.length("word"), "word").limit(8 * size).collect()
     out: dict[str, float] = {}
-    for r in top:  # a stem that is taken covers longer stems and words
-        w = r["word"].rstrip("*")
-        if len(out) < size and not any(w[:k] + "*" in out for k in range(4, len(w) + 1)):
-            out[r["word"]] = round(r["odds"] / 4, 6)
+    for r in top:  # a stem that is taken covers longer stems and words unless they say clearly more
+        w, v = r["word"].rstrip("*"), round(r["odds"] / 4, 6)
+        if len(out) < size and all(out.get(w[:k] + "*", -1.0) < v - 0.15 for k in range(4, len(w) + 1)):
+            out[r["word"]] = v
     return {w: 1.0 for w in INSULTS} | out
 
 
@@ -187,7 +189,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     model of the summed clause weights gives the score, which is all that documents are scored by.
     Labels are used only of ids whose crc32 (as text) modulo 4 is not 2; ``held_out`` marks the
     others. ``max_labelled`` bounds the labelled rows that are used (as expected number, by a hash
-    of the id); the driver gets their six features each and the lexicon.
+    of the id); the driver gets their seven features each and the lexicon.
 
     Null text is empty; texts without a match score as the model's constant. Null labels and
     labels of unknown ids are not used. With labels of one class only the score is that class's
@@ -218,7 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
         w = fit(np.array([r["x"] for r in rows]), y)
     else:
         rate = (y.sum() + 0.5) / (len(y) + 1)
-        w = np.append(np.zeros(len(OUTPUTS) + 1), math.log(rate / (1 - rate)))
+        w = np.append(np.zeros(len(OUTPUTS) + 2), math.log(rate / (1 - rate)))
     model = sc.broadcast(w)
 
     def run(batches):
