@@ -17,7 +17,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge_urls(_read(spark, sf_dir, "pages", "page_id", "url"))
+    return urls.judge_urls(_read(spark, sf_dir, "pages", "page_id", "url")).withColumn("score", F.round("score", 6))
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    return search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0))
+    return search.top_k(docs, docs.where(F.col("doc_id") % 50 == 0)).withColumn("score", F.round("score", 6))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,57 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 """
 
 
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w GROUP BY 1, 2),
+dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1),
+g AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl),
+df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY 1),
+q AS (SELECT doc_id AS query_id, t, ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM tf JOIN df USING (t), g WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, tf.doc_id, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN tf USING (t) JOIN dl ON dl.doc_id = tf.doc_id, g GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, doc_id, rank::INTEGER AS rank, score FROM r WHERE rank <= 10
+"""
+
+
+def _op2_sql() -> str:
+    """Rules, models of all orders, threshold and verdicts, as in ``urls``."""
+    rule, verdict = "NULL", "NULL"
+    for h, p, v in sorted(urls.RULES, key=lambda r: len(r[0] + r[1])):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
+    code = " + ".join(f"{32 ** (urls.ORDER - k)} * strpos('{urls.SYMBOLS}', substr(x, i + {k}, 1))" for k in range(urls.ORDER + 1))
+    ctes, p = [], {"allow": "(1.0::DOUBLE / 32)", "block": "(1.0::DOUBLE / 32)"}
+    joins = ""
+    for k in range(urls.ORDER + 1):
+        w = 32 ** (k + 1)
+        ctes.append(f"o{k} AS (SELECT gram % {w} AS g, (gram % {w}) // 32 AS c, sum(allow)::DOUBLE AS allow, sum(block)::DOUBLE AS block FROM n GROUP BY 1, 2)")
+        ctes.append(f"c{k} AS (SELECT c, sum(allow) AS na, (count(*) FILTER (allow > 0))::DOUBLE AS ta, sum(block) AS nb, (count(*) FILTER (block > 0))::DOUBLE AS tb FROM o{k} GROUP BY 1)")
+        joins += f" JOIN o{k} ON n.gram % {w} = o{k}.g JOIN c{k} ON o{k}.c = c{k}.c"
+        for v, a in (("allow", "a"), ("block", "b")):
+            p[v] = f"(CASE WHEN c{k}.n{a} > 0 THEN (o{k}.{v} + c{k}.t{a} * {p[v]}) / (c{k}.n{a} + c{k}.t{a}) ELSE {p[v]} END)"
+    return f"""
+WITH u AS (SELECT page_id, url, coalesce(url, '') AS s FROM pages),
+h AS (SELECT *, {_LOW.format("regexp_extract(s, '://([^/?#]*)', 1)")} AS host, regexp_extract(s, '://[^/?#]*([^?#]*)', 1) AS path FROM u),
+t AS (SELECT *, {rule} AS rule, {verdict} AS by_rule, substr(md5(s), 1, 1) >= 'c' AS held FROM h),
+d AS (SELECT DISTINCT s, by_rule, held FROM t),
+x AS (SELECT s, '~~~' || translate(lower(list_last(string_split(s, '://'))), '123456789', '000000000') || '~' AS x FROM d),
+i AS (SELECT s, x, unnest(range(1, length(x) - {urls.ORDER} + 1)) AS i FROM x),
+g AS (SELECT s, ({code})::INTEGER AS gram FROM i),
+n AS (SELECT gram, count(*) FILTER (by_rule = 'allow' AND NOT held) AS allow, count(*) FILTER (by_rule = 'block' AND NOT held) AS block FROM g JOIN (SELECT s, by_rule, held FROM t) USING (s) GROUP BY gram),
+{", ".join(ctes)},
+m AS (SELECT n.gram, ln({p["allow"]}) - ln({p["block"]}) AS delta FROM n{joins}),
+z AS (SELECT s, round(avg(delta), 9) AS score FROM g JOIN m USING (gram) GROUP BY s),
+b AS (SELECT least({urls.BINS - 1}, greatest(0, floor((score + 5) / 10 * {urls.BINS}))) AS cell, count(*) FILTER (by_rule = 'allow') AS allow, count(*) FILTER (by_rule = 'block') AS block FROM d JOIN z USING (s) WHERE held AND by_rule IS NOT NULL GROUP BY 1),
+e AS (SELECT cell, sum(allow) OVER (ORDER BY cell DESC) / nullif(sum(allow) OVER (), 0)::DOUBLE - sum(block) OVER (ORDER BY cell DESC) / nullif(sum(block) OVER (), 0)::DOUBLE AS gain FROM b),
+k AS (SELECT (SELECT cell FROM e WHERE gain IS NOT NULL ORDER BY gain DESC, cell DESC LIMIT 1) / {urls.BINS}::DOUBLE * 10 - 5 AS threshold)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN threshold IS NULL OR score >= threshold THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score FROM t JOIN z USING (s), k
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_fingerprints, op4_toxicity, op5_mixing, op6_bm25_top_k, op7_simhash, op8_line_dedup, op9_token_counts, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": OP5_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_url_filter": _op2_sql(), "op5_mixing": OP5_SQL, "op6_bm25_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL}

@@ -96,16 +96,16 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     t = t.withColumn("host", host).withColumn("path", path)
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     t = t.withColumn("rule", rule).withColumn("by_rule", verdict)
-    fold = F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(4))
-    seen = grams(t.select("url", F.when(fold != 3, F.col("by_rule")).alias("verdict")))
+    held_out = F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 1) >= "c"  # a quarter of the first hex digits
+    seen = grams(t.select("url", F.when(~held_out, F.col("by_rule")).alias("verdict")))
     model = F.broadcast(char_models(seen.select("gram", "verdict")))
     # one score for each different URL; a URL's grams are all in one task, so they are summed before the shuffle
-    scored = grams(t.select("url", "by_rule", fold.alias("fold"))).join(model, "gram", "left")
+    scored = grams(t.select("url", "by_rule", held_out.alias("held_out"))).join(model, "gram", "left")
     key = [F.xxhash64("url").alias("k1"), F.xxhash64(F.lit("k2"), "url").alias("k2")]
-    scored = scored.groupBy(*key).agg(F.round(F.avg(F.coalesce("delta", F.lit(0.0))), 9).alias("score"), F.first("by_rule").alias("by_rule"), F.first("fold").alias("fold"))
+    scored = scored.groupBy(*key).agg(F.round(F.avg(F.coalesce("delta", F.lit(0.0))), 9).alias("score"), F.first("by_rule").alias("by_rule"), F.first("held_out").alias("held_out"))
     # calibration on the held-out quarter: at most BINS rows
     cell = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("score") + 5) / 10 * BINS)))
-    held = scored.where("fold = 3 and by_rule is not null").groupBy(cell.alias("cell")).agg(*[F.count(F.when(F.col("by_rule") == v, 1)).alias(v) for v in ("allow", "block")])
+    held = scored.where("held_out and by_rule is not null").groupBy(cell.alias("cell")).agg(*[F.count(F.when(F.col("by_rule") == v, 1)).alias(v) for v in ("allow", "block")])
     up, all_ = Window.orderBy(F.desc("cell")), Window.partitionBy()
     held = held.select("cell", *[F.try_divide(F.sum(v).over(up), F.sum(v).over(all_)).alias(v) for v in ("allow", "block")])
     best = held.where("allow is not null and block is not null").agg(F.max(F.struct((F.col("allow") - F.col("block")).alias("gain"), F.col("cell").alias("cell"))).alias("best"))
