@@ -73,3 +73,20 @@ def utf16_units(text: str) -> int:
 def summary(c: Column, most: int = 300) -> Column:
     """The first ``most`` characters of a body, with an ellipsis if there are more."""
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
+
+
+def parse_tags(c: Column) -> Column:
+    """A tag map back from its JSON text; text that isn't an object of strings gives an empty map."""
+    return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def answer_value(answer: Column, primitive: Column) -> tuple[Column, Column]:
+    """``(number, choice)`` of an answer in JSON: a confidence's ``probability`` (or ``confidence``), a score's ``score``, a choice's ``choice``."""
+    a = F.from_json(answer, "probability double, confidence double, score double, choice string")
+    number = F.when(primitive == "confidence", F.coalesce(a["probability"], a["confidence"])).when(primitive == "score", a["score"])
+    return F.when(~F.isnan(number), number), F.when(primitive == "choice", a["choice"])
+
+
+def variant_label(primitive: Column, variant: Column) -> Column:
+    """``choice-v3`` for a named variant, else the primitive alone."""
+    return F.when(F.coalesce(variant, F.lit("")) != "", F.concat(primitive, F.lit("-"), variant)).otherwise(primitive)

@@ -89,3 +89,23 @@ def allowlist_coverage(pois: DataFrame, allowlist: DataFrame, roles=ROLES) -> Da
     j = policy.join(total, "key", "left").join(got, "key", "left")
     share = F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / F.col("total"))
     return j.select("key", "role", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"), F.coalesce("total", F.lit(0)).cast("long").alias("occurrences_total"), F.round(F.when(F.col("total") > 0, share).otherwise(0.0), 6).alias("coverage"))
+
+
+def described(tags: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """``tag_id, description``: the Japanese text, else the English, else the id."""
+    j = tags.select("tag_id").join(descriptions.select("tag_id", "ja", "en"), "tag_id", "left")
+    return j.select("tag_id", F.coalesce("ja", "en", "tag_id").alias("description"))
+
+
+def display_order(counts: DataFrame) -> DataFrame:
+    """Most frequent first, ties by the Unicode collation of the id."""
+    return counts.orderBy(F.desc("count"), F.collate("tag_id", "UNICODE"), "tag_id")
+
+
+def viewport_document(summary: DataFrame, counts: DataFrame, names: DataFrame, dropped_top: DataFrame, bbox, max_level: int) -> DataFrame:
+    """One JSON document of a viewport's tags; a viewport's different tags are bounded by the allow-list."""
+    t = counts.join(names, "tag_id", "left").select("tag_id", F.substring_index("tag_id", "=", 1).alias("key"), F.expr("substring(tag_id, instr(tag_id, '=') + 1)").alias("value"), "count", role_of(F.col("tag_id")).alias("role"), F.coalesce("names", F.array().cast("array<string>")).alias("sample_names"))
+    t = t.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), *t.columns))).alias("tags"))
+    d = dropped_top.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), "tag_id", "n"))).alias("dropped_top"))
+    doc = F.struct(F.array(*map(F.lit, bbox)).alias("bbox"), F.lit(max_level).alias("max_level"), *summary.columns, F.transform("tags", lambda x: x.dropFields("o")).alias("tags"), F.transform("dropped_top", lambda x: x.dropFields("o")).alias("dropped_top"))
+    return summary.join(t).join(d).select(F.to_json(doc).alias("document"))

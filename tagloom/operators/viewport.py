@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import intersects
@@ -55,3 +55,17 @@ def cut_views(pois: DataFrame, views: DataFrame) -> DataFrame:
     p = pois.where("bbox is not null").select("id", "lod_level", "lon", "lat", cell(F.col("lon")).alias("cx"), cell(F.col("lat")).alias("cy"))
     j = p.join(v, ["cx", "cy"]).where("lon between x0 and x1 and lat between y0 and y1 and lod_level <= max_level")
     return j.select("view_id", "id")
+
+
+def step_totals(pois: DataFrame, steps: DataFrame) -> DataFrame:
+    """``view_id, rows, new_rows``: rows in each step of a session and those that no step before it had."""
+    seen = cut_views(pois, steps)
+    first = seen.groupBy("id").agg(F.min("view_id").alias("view_id")).groupBy("view_id").agg(F.count("*").alias("new_rows"))
+    every = seen.groupBy("view_id").agg(F.count("*").alias("rows")).join(first, "view_id", "left")
+    return steps.select("view_id").join(every, "view_id", "left").select("view_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("new_rows", F.lit(0)).alias("new_rows"))
+
+
+def level_bounds(pois: DataFrame) -> DataFrame:
+    """``lod_level, rows, row_end``: running sums over the few levels."""
+    n = pois.groupBy("lod_level").agg(F.count("*").alias("rows"))
+    return n.select("lod_level", "rows", F.sum("rows").over(Window.orderBy("lod_level").rowsBetween(Window.unboundedPreceding, 0)).alias("row_end"))

@@ -321,3 +321,40 @@ query("healthy_rounds", f"WITH {ATTEMPTS}, h AS (SELECT * FROM attempts SEMI JOI
 query("token_reduction", f"WITH {ATTEMPTS} SELECT round(avg(tokens) FILTER (condition = 'large'), 6) AS base_tokens, round(avg(tokens) FILTER (condition = 'small'), 6) AS new_tokens, round(1 - avg(tokens) FILTER (condition = 'small') / avg(tokens) FILTER (condition = 'large'), 6) AS reduction FROM attempts WHERE status = 200")(lambda s, d: analytics.token_reduction(attempts(s, d), "large", "small"))
 query("random_pairs")(lambda s, d: analytics.random_pairs(answers_wide(s, d).where("lens = 'kids' and variant = 'full'")))
 query("windowed_events", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(streams.windowed_batch)
+query("level_bounds", with_sql(then="SELECT lod_level, count(*)::BIGINT AS rows, (sum(count(*)) OVER (ORDER BY lod_level))::BIGINT AS row_end FROM poi GROUP BY lod_level"))(lambda s, d: viewport.level_bounds(pois(s, d)))
+STEPS = [(i, -20.0 + 5 * i, 30.0, 10.0 + 5 * i, 60.0, 16) for i in range(8)]
+
+
+@query("pan_totals", with_sql(f"v(view_id, x0, y0, x1, y1, m) AS (VALUES {', '.join(str(v) for v in STEPS)})", "seen AS (SELECT view_id, id FROM poi JOIN v ON lon BETWEEN x0::DOUBLE AND x1::DOUBLE AND lat BETWEEN y0::DOUBLE AND y1::DOUBLE AND lod_level <= m)", then="SELECT v.view_id::INTEGER AS view_id, count(seen.id)::BIGINT AS rows, (count(*) FILTER (seen.view_id = (SELECT min(x.view_id) FROM seen x WHERE x.id = seen.id)))::BIGINT AS new_rows FROM v LEFT JOIN seen USING (view_id) GROUP BY v.view_id"))
+def pan_totals(s, d):
+    return viewport.step_totals(pois(s, d), s.createDataFrame(STEPS, "view_id int, x0 double, y0 double, x1 double, y1 double, max_level int"))
+
+
+DESCRIPTIONS = [("amenity=cafe", "喫茶店", "coffee shop"), ("amenity=bar", None, "bar"), ("shop=bakery", None, None)]
+query("described_tags", with_sql(PAIRS, OCC, "de(tag_id, ja, en) AS (VALUES ('amenity=cafe', '喫茶店', 'coffee shop'), ('amenity=bar', NULL, 'bar'), ('shop=bakery', NULL, NULL))", then="SELECT tag_id, coalesce(ja, en, tag_id) AS description FROM (SELECT DISTINCT tag_id FROM tagocc) LEFT JOIN de USING (tag_id)"))(
+    lambda s, d: tags.described(occ(s, d).select("tag_id").distinct(), s.createDataFrame(DESCRIPTIONS, "tag_id string, ja string, en string"))
+)
+
+
+@query("answer_values", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, CASE WHEN choice IS NOT NULL THEN 'main' END AS choice, CASE WHEN score > 2 THEN 'score-high' ELSE 'score' END AS label FROM evals"))
+def answer_values(s, d):
+    """Values read back from JSON answers."""
+    e = evals(s, d)
+    js = lambda name, c: F.to_json(F.struct(c.alias(name)))
+    read = lambda p, name, c, i: text.answer_value(js(name, c), F.lit(p))[i]
+    pick = F.when(F.col("choice").isNotNull(), "main")
+    label = text.variant_label(F.lit("score"), F.when(F.col("score") > 2, "high"))
+    return e.select("tag_id", read("confidence", "probability", F.col("confidence"), 0).alias("confidence"), read("score", "score", F.col("score"), 0).alias("score"), read("choice", "choice", pick, 1).alias("choice"), label.alias("label"))
+
+
+query("parsed_tags", with_sql(then="SELECT id, cardinality(tags)::INTEGER AS n, tags['amenity'] AS amenity FROM poi"))(lambda s, d: pois(s, d).select("id", text.parse_tags(F.to_json("tags")).alias("t")).select("id", F.size("t").alias("n"), F.col("t")["amenity"].alias("amenity")))
+query("summary_document")(lambda s, d: sinks.as_document(profile.row_stats(pois(s, d))))
+query("display_order")(lambda s, d: tags.display_order(tags.tag_counts(occ(s, d))))
+
+
+@query("viewport_document")
+def viewport_document(s, d):
+    p, a = view_pois(s, d), allow(s, d)
+    o = tags.occurrences(p)
+    top = tags.dropped(o, a).orderBy(F.desc("n"), "tag_id").limit(40)
+    return tags.viewport_document(tags.viewport_summary(p, o, a), tags.tag_counts(tags.allowed(o, a)), tags.sample_names(p, o), top, VIEW.bbox, VIEW.max_level)
