@@ -25,27 +25,37 @@ def oklab(colour: str) -> tuple[float, ...]:
     return tuple(sum(m * x for m, x in zip(row, lms, strict=True)) for row in TO_LAB)
 
 
+def let(values: list[Column], body) -> Column:
+    """``body`` of the values, each of which is computed once however often it is used."""
+    bound = F.struct(*[v.alias(f"v{i}") for i, v in enumerate(values)])
+    return F.element_at(F.transform(F.array(bound), lambda s: body([s[f"v{i}"] for i in range(len(values))])), 1)
+
+
+def product(matrix, vector: list[Column]) -> list[Column]:
+    return [sum((F.lit(m) * c for m, c in zip(row[1:], vector[1:], strict=True)), F.lit(row[0]) * vector[0]) for row in matrix]
+
+
 def hex_of(lab: list[Column]) -> Column:
     """``#rrggbb`` of an OKLab colour, channels clamped and rounded half up."""
 
-    def dot(row, cols):
-        return sum((F.lit(m) * c for m, c in zip(row[1:], cols[1:], strict=True)), F.lit(row[0]) * cols[0])
-
-    light = [dot(row, [F.pow(dot(r, lab), F.lit(3.0)) for r in FROM_LAB]) for row in TO_RGB]
-    out = [F.lit("#")]
-    for c in light:
+    def digits(c: Column) -> Column:
         c = F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(F.greatest(c, F.lit(0.0)), F.lit(1 / 2.4)) - 0.055)
-        v = F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5)
-        out.append(F.lpad(F.lower(F.hex(v)), 2, "0"))
-    return F.concat(*out)
+        return F.lpad(F.lower(F.hex(F.floor(F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0)) * 255 + 0.5))), 2, "0")
+
+    cubes = lambda v: [F.pow(x, F.lit(3.0)) for x in product(FROM_LAB, v)]
+    return let(lab, lambda v: let(cubes(v), lambda q: let(product(TO_RGB, q), lambda c: F.concat(F.lit("#"), *map(digits, c)))))
 
 
 def mix_colour(shares: list[Column]) -> Column:
     """The palette mixed by ``shares``; shares that are null or not positive don't count, and with none left it is unevaluated."""
-    w = [F.when(s > 0, s).otherwise(0.0) for s in shares]
-    total = sum(w[1:], w[0])
-    lab = [sum((x * v for x, v in zip(w[1:], values[1:], strict=True)), w[0] * values[0]) / total for values in zip(*map(oklab, PALETTE), strict=True)]
-    return F.when(total > 0, hex_of(lab)).otherwise(UNEVALUATED)
+    columns = list(zip(*map(oklab, PALETTE), strict=True))
+    weights = [F.when(s > 0, s).otherwise(0.0) for s in shares]
+
+    def mixed(w: list[Column]) -> Column:
+        total = sum(w[1:], w[0])
+        return F.when(total > 0, hex_of([x / total for x in product(columns, w)])).otherwise(UNEVALUATED)
+
+    return let(weights, mixed)
 
 
 def radius_for(score: Column) -> Column:
