@@ -283,12 +283,17 @@ def test_block_max_bounds_hold():
         blocks = s.block_max[s.block_starts[t] : s.block_starts[t + 1]]
         assert s.impact[post].max() == s.max[t] == blocks.max()
         assert all(s.impact[s.starts[t] + j * 64 : min(s.starts[t] + j * 64 + 64, s.starts[t + 1])].max() == x for j, x in enumerate(blocks))
-    # pruning: with a floor, what is left scores the same as without
-    q = s.terms[::5]
-    full = dict(zip(*(x.tolist() for x in s.search(q, np.linspace(3, 0.1, len(q)), 5, 0.0))))
-    floor = sorted(full.values())[-5]
-    cut = dict(zip(*(x.tolist() for x in s.search(q, np.linspace(3, 0.1, len(q)), 5, floor))))
-    assert cut == {d: v for d, v in full.items() if v >= floor}
+    # whatever the floor, what reaches it scores as in a plain sum
+    q, w = s.terms[::3], np.linspace(3, 0.1, len(s.terms[::3]))
+    plain = np.zeros(300)
+    for t, v in zip(range(0, len(s.terms), 3), w):
+        plain[s.docs[s.starts[t] : s.starts[t + 1]]] += v * s.impact[s.starts[t] : s.starts[t + 1]]
+    assert (s.row_of >= 0).any() and (s.row_of < 0).any()
+    for k in (1, 5, 40, 400):
+        for floor in (0.0, np.sort(plain)[-min(k, 300)], np.sort(plain)[-3]):
+            (_, docs, score), = s.search_all([(q, w)], k, [floor])
+            assert score == pytest.approx(plain[docs])
+            assert {i for i in range(300) if plain[i] > max(floor, np.sort(plain)[-min(k, 300)]) + 1e-9} <= set(docs.tolist())
 
 
 def plain_simhash(t):
