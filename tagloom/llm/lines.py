@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, ascii_lower, row_key
 
+#: Common keys are a tenth of all lines at most, so their copies are fewer than the lines.
+SALTS = 8
+
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` (as the struct ``row``) with ``kept_text, n_lines, n_dropped``.
@@ -26,7 +29,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_
     lines = lines.select("_k1", "_k2", "pos", F.btrim("line", F.lit(SPACES)).alias("key")).where(F.length("key") >= min_key_chars)
     lines = lines.select("_k1", "_k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("h2"), "key").alias("h2"))
     common = lines.groupBy("h1", "h2", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    gone = lines.join(common, ["h1", "h2"]).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    # a line that a third of all documents hold is dealt to SALTS tasks by document
+    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
+    lines = lines.withColumn("salt", F.pmod("_k1", F.lit(SALTS)).cast("int"))
+    gone = lines.join(common, ["h1", "h2", "salt"]).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     out = base.join(gone, ["_k1", "_k2"], "left").withColumn("lines", F.split("t", "\n", -1))
     ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))
     # the runs of lines between one dropped line and the next
