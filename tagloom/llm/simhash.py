@@ -170,11 +170,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document with ``doc_id, fingerprint, component_id`` and the keys ``_k1, _k2`` of its row.
+    """Each document with ``doc_id, fingerprint, component_id, root`` and the keys ``_k1, _k2`` of its row.
 
     ``fingerprint`` is the SimHash of the whole text in 16 hex digits. Fingerprints that differ in
-    ``distance`` bits or fewer link; ``component_id`` is the smallest id that links reach. Copies
-    share a fingerprint, so only different fingerprints are compared.
+    ``distance`` bits or fewer link; ``component_id`` is the smallest id that links reach. ``root``
+    is the component itself (its smallest fingerprint): components may share an id or have none.
+    Copies share a fingerprint, so only different fingerprints are compared.
 
     Null and empty texts have the fingerprint zero and link like any other. Repeated rows give
     repeated results. Null ids are no candidates for the smallest id; a component of null ids only
@@ -185,5 +186,5 @@ def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle
     roots = components(links(distinct.select("fp"), distance, blocks))
     owned = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = owned.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "_k1", "_k2")
+    named = owned.join(ids, "root").select("fp", "component_id", "root")
+    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "_k1", "_k2")
