@@ -13,6 +13,9 @@ CLASSES = 64
 UNKNOWN = "und"
 #: Nats a trigram by which a language has to explain a text better than characters without context do.
 MARGIN = 0.3
+#: A language whose text is less likely than the best by so many tempered nats stays behind it with any other evidence
+#: (up to some 85 nats at 1e9 documents), and its share is under the rounding of the confidence.
+NATS = 120.0
 
 
 def _classes() -> np.ndarray:
@@ -41,21 +44,50 @@ def trigrams(text: str) -> np.ndarray:
     return g[g > 0]
 
 
-def log_models(counts: np.ndarray) -> np.ndarray:
-    """(languages, 64**3) counts to (64**3, languages + 1) log-probabilities of a trigram's last character.
+class Models:
+    """Variable-order models of any number of languages; only the trigrams and pairs that a language has are stored.
 
-    Each order leans on the next shorter one. The last column is the unknown language: characters
-    of the pooled text without any context.
+    Each order leans on the next shorter one, so a log-probability is that of the last character plus corrections
+    for the contexts and n-grams that occur. The last column of ``score`` is the unknown language: characters of
+    the pooled text without any context. ``lang, gram, n``: counts, each pair of language and trigram once.
     """
-    n3 = counts.reshape(-1, CLASSES, CLASSES, CLASSES).astype(np.float64)
-    n2 = n3.sum(axis=1)
-    n1 = n2.sum(axis=1)
-    p1 = (n1 + 0.5) / (n1.sum(axis=1, keepdims=True) + 0.5 * CLASSES)
-    p2 = (n2 + 10 * p1[:, None, :]) / (n2.sum(axis=2, keepdims=True) + 10)
-    p3 = (n3 + 10 * p2[:, None]) / (n3.sum(axis=3, keepdims=True) + 10)
-    pooled = n1.sum(axis=0) + 0.5
-    none = np.broadcast_to(np.log(pooled / pooled.sum()) + MARGIN, (CLASSES, CLASSES, CLASSES))
-    return np.concatenate([np.log(p3).reshape(len(n3), -1), none.reshape(1, -1)]).T.astype(np.float32).copy()
+
+    def __init__(self, size: int, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        c, n, self.size = CLASSES, n.astype(np.float64), size
+        n1 = np.bincount(lang * c + gram % c, weights=n, minlength=size * c).reshape(size, c)
+        p1 = (n1 + 0.5) / (n1.sum(axis=1, keepdims=True) + 0.5 * c)
+        pooled = n1.sum(axis=0) + 0.5
+        self.none, self.last = np.log(pooled / pooled.sum()) + MARGIN, np.log(p1)
+
+        k2, at2 = np.unique(lang * c**2 + gram % c**2, return_inverse=True)  # the last two characters
+        n2 = np.bincount(at2, weights=n, minlength=len(k2))
+        lang2, pair = k2 // c**2, k2 % c**2
+        all2 = np.bincount(lang2 * c + pair // c, weights=n2, minlength=size * c).reshape(size, c)
+        self.before = np.log(10 / (all2 + 10))
+        own = p1[lang2, pair % c]
+        self.pairs = self._rows(pair, lang2, np.log((n2 + 10 * own) / (10 * own)), c**2)
+        p2 = (n2 + 10 * own) / (all2[lang2, pair // c] + 10)
+
+        k3, at3 = np.unique(lang * c**2 + gram // c, return_inverse=True)  # the two characters before the last
+        n3 = np.bincount(at3, weights=n, minlength=len(k3))
+        self.contexts = self._rows(k3 % c**2, k3 // c**2, np.log(10 / (n3 + 10)), c**2)
+        self.grams = self._rows(gram, lang, np.log((n + 10 * p2[at2]) / (10 * p2[at2])), c**3)
+
+    @staticmethod
+    def _rows(key: np.ndarray, lang: np.ndarray, value: np.ndarray, keys: int):
+        order = np.argsort(key, kind="stable")
+        return np.concatenate(([0], np.cumsum(np.bincount(key, minlength=keys)))), lang[order].astype(np.int32), value[order].astype(np.float32)
+
+    def score(self, g: np.ndarray) -> np.ndarray:
+        """Log-likelihoods of a text's trigrams in each language and in none."""
+        c = CLASSES
+        last, before = np.bincount(g % c, minlength=c), np.bincount(g // c % c, minlength=c)
+        out = self.last @ last + self.before @ before
+        for (ends, lang, value), key in ((self.pairs, g % c**2), (self.contexts, g // c), (self.grams, g)):
+            start, n = ends[key], ends[key + 1] - ends[key]
+            at = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+            out = out + np.bincount(lang[at], weights=value[at], minlength=self.size)
+        return np.append(out, self.none @ last)
 
 
 def normal_tag(c: Column) -> Column:
@@ -82,32 +114,39 @@ def evidence(docs: DataFrame, id_col="doc_id", text_col: str | None = "text", de
     return docs.select(col(id_col).alias("id"), *row_key(col(id_col), key), text.alias("text"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
 
 
-def train(ev: DataFrame, max_docs: int = 20_000, max_languages: int = 32) -> tuple[list[str], np.ndarray]:
-    """Languages and models from the declared languages, over about ``max_docs`` documents chosen by hash (a documented bound)."""
+def train(ev: DataFrame, max_docs: int = 20_000, least_docs: int = 100) -> tuple[list[str], Models]:
+    """Every declared language and their models.
+
+    They are counted on about ``max_docs`` documents chosen by hash (a documented bound), dealt evenly to
+    the languages, of which each gets ``least_docs`` at least, or all it has.
+    """
     known = ev.where("declared is not null")
-    found = known.groupBy("declared").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "declared").limit(max_languages).collect()
-    total = sum(r["n"] for r in found)
-    languages = sorted(r["declared"] for r in found if r["n"] >= max(1, total // 1000))
+    found = {r["declared"]: r["n"] for r in known.groupBy("declared").agg(F.count("*").alias("n")).collect()}  # tags of two or three letters
+    languages = sorted(found)
     if not languages:
-        return [], np.zeros((CLASSES**3, 1), np.float32)
-    share = int(min(1.0, max_docs / total) * (1 << 20))
-    sample = known.where(F.pmod(F.xxhash64(F.lit("lid"), "_k1"), F.lit(1 << 20)) < share).select("declared", "text")
+        return [], Models(0, *[np.zeros(0, np.int64)] * 3)
+    quota, left = {}, max_docs  # what small languages don't need goes to the others
+    for i, x in enumerate(sorted(languages, key=lambda x: found[x])):
+        quota[x] = min(found[x], max(least_docs, left // (len(languages) - i)))
+        left = max(0, left - quota[x])
     at = {x: i for i, x in enumerate(languages)}
+    share = {x: int(min(1.0, quota[x] / found[x]) * (1 << 20)) + 1 for x in languages}
+    sent = ev.sparkSession.sparkContext.broadcast((at, share))
 
     def count(batches):
-        sums = np.zeros((len(at), CLASSES**3), np.int64)
+        at, share = sent.value
         for b in batches:
-            for lang, text in zip(b.column("declared").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if lang in at:
-                    sums[at[lang]] += np.bincount(trigrams(text), minlength=CLASSES**3)
-        k = np.flatnonzero(sums.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(sums.ravel()[k])], names=["k", "n"])
+            rows = zip(b.column("declared").to_pylist(), b.column("at").to_pylist(), b.column("text").to_pylist(), strict=True)
+            codes = [trigrams(text) + at[lang] * CLASSES**3 for lang, key, text in rows if key < share[lang]]
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
 
-    # at most max_languages * 64**3 sums, and only of trigrams that occur
-    table = sample.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(len(languages) * CLASSES**3)
-    counts[table.column("k").to_numpy()] = table.column("n").to_numpy()
-    return languages, log_models(counts.reshape(len(languages), -1))
+    place = F.pmod(F.xxhash64(F.lit("lid"), "_k1"), F.lit(1 << 20)).alias("at")
+    # only trigrams that occur in the sample
+    table = known.select("declared", place, "text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = table.column("k").to_numpy(), table.column("n").to_numpy()
+    order = np.argsort(k)
+    return languages, Models(len(languages), k[order] // CLASSES**3, k[order] % CLASSES**3, n[order])
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, html_col: str | None = None, allowed: tuple[str, ...] | None = None, least: float = 0.5, text_weight: float = 300.0, prior_weight: float = 10.0) -> DataFrame:
@@ -135,45 +174,70 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str | None = "te
     def likelihoods(batches):
         table = sent.value
         for b in batches:
-            out, count = [], []
+            near, lls, says, count = [], [], [], []
             for text in b.column("text").to_pylist():
                 g = trigrams(text)
-                out.append(table[g].sum(axis=0, dtype=np.float64))
+                ll = table.score(g)
+                keep = np.flatnonzero((ll.max() - ll) * text_weight / (len(g) + text_weight) <= NATS)
+                near.append(keep.astype(np.int32))
+                lls.append(ll[keep])
+                says.append(int(ll.argmax()) if len(g) else size - 1)  # ties go to the first; texts without letters are unknown
                 count.append(len(g))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "_k1", "_k2", "declared", "host", "suffix")), pa.array(out, pa.list_(pa.float64())), pa.array(count, pa.int64())], names=["id", "_k1", "_k2", "declared", "host", "suffix", "ll", "n"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "_k1", "_k2", "declared", "host", "suffix")), pa.array(near, pa.list_(pa.int32())), pa.array(lls, pa.list_(pa.float64())), pa.array(says, pa.int32()), pa.array(count, pa.int64())], names=["id", "_k1", "_k2", "declared", "host", "suffix", "near", "ll", "says", "n"])
 
     kind = dict(ev.dtypes)["id"]
-    seen = cut(ev.mapInArrow(likelihoods, f"id {kind}, _k1 long, _k2 long, declared string, host string, suffix string, ll array<double>, n long"))
-    # ties go to the first; texts without letters are unknown
-    says = F.when(F.col("n") == 0, F.lit(size)).otherwise(F.array_position("ll", F.array_max("ll"))).cast("int")
-    seen = seen.withColumn("says", says)
-    each = [F.sum(F.when(F.col("says") == i + 1, 1.0).otherwise(0.0)) for i in range(size)]
-    counts = F.array(*each).alias("counts")
-    said = F.coalesce(F.array_position(F.lit(names), F.col("declared")).cast("int"), F.lit(0))
-    matrix = {r["d"]: r["counts"] for r in seen.where("declared is not null").groupBy(F.when(said > 0, said).otherwise(size).alias("d")).agg(counts).collect()}
-    table = np.array([matrix.get(d + 1, [0.0] * size) for d in range(size)]) + 0.5  # declared, by what the text says
-    table = np.log(table / table.sum(axis=0, keepdims=True))
-    total = np.array((seen.agg(counts).first() or [None])[0] or [0.0] * size, dtype=float) + 0.5
-    whole = F.lit((total / total.sum()).tolist())
-
-    def lean(own: Column, parent: Column) -> Column:
-        """Counts over a parent's shares."""
-        n = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-        return F.zip_with(own, parent, lambda x, p: (x + p * prior_weight) / (n + prior_weight))
-
-    by_suffix = seen.where("suffix is not null").groupBy("suffix").agg(counts).select("suffix", lean(F.col("counts"), whole).alias("shares"))
-    hosts = seen.where("host is not null").groupBy("host", "suffix").agg(counts)
-    hosts = hosts.join(by_suffix, "suffix", "left").select("host", lean(F.col("counts"), F.coalesce("shares", whole)).alias("prior"))
-    known = seen.join(hosts, "host", "left") if host_col or url_col else seen.withColumn("prior", F.lit(None).cast("array<double>"))
-    prior = F.coalesce("prior", whole)
-    declared = F.when(said > 0, said).otherwise(size)
-    by_declared = F.when(F.col("declared").isNull(), F.lit([0.0] * size)).otherwise(F.element_at(F.array(*[F.lit(r) for r in table.tolist()]), declared))
-    tempered = F.transform("ll", lambda x: x * text_weight / (F.col("n") + text_weight))
-    post = F.zip_with(F.zip_with(tempered, by_declared, lambda a, b: a + b), F.transform(prior, lambda p: F.log(p)), lambda a, b: a + b)
-    known = known.withColumn("post", post).withColumn("top", F.array_max("post"))
-    known = known.withColumn("lang", F.when(F.col("n") == 0, F.lit(UNKNOWN)).otherwise(F.element_at(F.lit(names), F.array_position("post", F.col("top")).cast("int"))))
-    known = known.withColumn("confidence", F.round(1 / F.aggregate("post", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))), 9))
+    seen = cut(ev.mapInArrow(likelihoods, f"id {kind}, _k1 long, _k2 long, declared string, host string, suffix string, near array<int>, ll array<double>, says int, n long"))
+    at = {x: i for i, x in enumerate(languages)}
+    total = np.full(size, 0.5)
+    for r in seen.groupBy("says").count().collect():
+        total[r["says"]] += r["count"]
+    whole = total / total.sum()
+    # declared, by what the text says: only pairs that occur
+    said: dict[int, dict[int, int]] = {i: {} for i in range(size)}
+    column = np.full(size, 0.5 * size)
+    for r in seen.where("declared is not null").groupBy("declared", "says").count().collect():
+        said[at[r["declared"]]][r["says"]] = r["count"]
+        column[r["says"]] += r["count"]
+    told = docs.sparkSession.sparkContext.broadcast((at, whole, said, np.log(column)))
+
+    def counted(df: DataFrame, *by: str) -> DataFrame:
+        """A map of how often texts say each language; only languages that occur."""
+        each = df.groupBy(*by, "says").agg(F.count("*").cast("double").alias("c"))
+        return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("says", "c"))).alias("of"))
+
+    known = seen.withColumn("of_host", F.lit(None).cast("map<int,double>")).withColumn("of_suffix", F.col("of_host"))
+    if host_col or url_col:
+        hosts = counted(seen.where("host is not null"), "host", "suffix").withColumnRenamed("of", "of_host")
+        hosts = hosts.join(counted(seen.where("suffix is not null"), "suffix").withColumnRenamed("of", "of_suffix"), "suffix", "left")
+        known = seen.join(hosts.drop("suffix"), "host", "left")
+
+    def shares(of, keep: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """Counts over a parent's shares, for the languages in ``keep``."""
+        own = dict(of)
+        return (np.array([own.get(i, 0.0) for i in keep.tolist()]) + parent * prior_weight) / (sum(own.values()) + prior_weight)
+
+    def judge(batches):
+        at, whole, said, column = told.value
+        for b in batches:
+            lang, confidence = [], []
+            for near, ll, n, declared, of_host, of_suffix in zip(*(b.column(c).to_pylist() for c in ("near", "ll", "n", "declared", "of_host", "of_suffix")), strict=True):
+                keep = np.array(near)
+                prior = whole[keep]
+                for of in (of_suffix, of_host):
+                    if of is not None:
+                        prior = shares(of, keep, prior)
+                post = np.array(ll) * text_weight / (n + text_weight) + np.log(prior)
+                if declared is not None:
+                    own = said[at[declared]]
+                    post = post + np.log([own.get(i, 0) + 0.5 for i in keep.tolist()]) - column[keep]
+                lang.append(names[keep[post.argmax()]] if n else UNKNOWN)
+                confidence.append(1 / float(np.exp(post - post.max()).sum()))
+            cols = [*(b.column(c) for c in ("id", "_k1", "_k2", "declared", "says")), pa.array(lang, pa.string()), pa.array(confidence, pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "_k1", "_k2", "declared", "says", "lang", "confidence"])
+
+    known = known.select("id", "_k1", "_k2", "declared", "says", "near", "ll", "n", "of_host", "of_suffix")
+    known = known.mapInArrow(judge, f"id {kind}, _k1 long, _k2 long, declared string, says int, lang string, confidence double").withColumn("confidence", F.round("confidence", 9))
     fits = (F.col("lang") != UNKNOWN) & (F.col("confidence") >= least)
     if allowed is not None:
         fits = fits & F.col("lang").isin(*allowed)
-    return known.select(F.col("id").alias("doc_id"), "lang", "confidence", F.element_at(F.lit(names), F.col("says")).alias("text_lang"), "declared", fits.alias("accepted"), "_k1", "_k2")
+    return known.select(F.col("id").alias("doc_id"), "lang", "confidence", F.element_at(F.lit(names), F.col("says") + 1).alias("text_lang"), "declared", fits.alias("accepted"), "_k1", "_k2")

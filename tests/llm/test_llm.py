@@ -432,3 +432,16 @@ def test_language_text_and_evidence(spark, docs):
     pages += [(500, "<html><p>in</p>", "http://de1.example.de/"), (501, "<html><p>in</p>", "http://en0.example.en/"), (502, "<html><p>in</p>", "http://new.de/"), (503, "<html><p>in</p>", "http://new.en/"), (504, '<HTML dir=x LANG="de"><p>in</p>', None)]
     got = {r.doc_id: r.lang for r in language.identify(spark.createDataFrame(pages, "page_id long, html string, url string"), "page_id", None, None, None, "url", "html").collect()}
     assert [got[i] for i in (500, 501, 502, 503, 504)] == ["de", "en", "de", "en", "de"]
+
+
+def test_language_has_no_cut_of_classes(spark, docs):
+    """A rare language beside 40 others, and one with under 0.1 % of the rows."""
+    rng = random.Random(5)
+    tags = [a + b for a in "abcde" for b in "klmnopqr"]
+    vocabulary = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 8))) for _ in range(15)] for x in [*tags, "zz"]}
+    rows = [(i, " ".join(rng.choice(vocabulary[x]) for _ in range(30)), x) for i in range(4400) for x in [tags[i % 40]]]
+    rows += [(9000 + i, " ".join(rng.choice(vocabulary["zz"]) for _ in range(30)), "zz") for i in range(3)]
+    rows += [(9100, " ".join(vocabulary["zz"]), None), (9101, " ".join(vocabulary["er"]), None)]
+    out = {r.doc_id: r for r in language.identify(docs(rows)).collect()}
+    assert all(out[i].lang == x and out[i].accepted for i, _, x in rows if x)
+    assert (out[9100].lang, out[9101].lang) == ("zz", "er")
