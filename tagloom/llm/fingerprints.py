@@ -20,7 +20,7 @@ class Fingerprint:
     """The sum of the vectors of a text's paragraphs (its lines).
 
     A paragraph's vector has 4 lanes modulo 2**64 cut from its BLAKE2b digest, which decide
-    equality, and 128 lanes modulo 2**16 that add up signed hashes of its word triples, whose
+    equality, and 128 lanes modulo 2**32 that add up signed hashes of its word triples, whose
     cosine is the likeness. Sums don't depend on the order of paragraphs; ``+`` inserts the
     paragraphs of another fingerprint and ``-`` deletes them.
     """
@@ -43,7 +43,7 @@ class Fingerprint:
         x = (x ^ (x >> np.uint64(29)))[h[2:] > 0] * _MUL[3]
         sign = ((x >> np.uint64(56)) & np.uint64(1)).astype(np.float64) * 2 - 1
         lanes = np.bincount((x >> np.uint64(57)).astype(np.int64), weights=sign, minlength=LANES).astype(np.int64)
-        return cls(strong, lanes.astype(np.int16))
+        return cls(strong, lanes.astype(np.int32))
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.strong + other.strong, self.lanes + other.lanes)
@@ -57,7 +57,7 @@ class Fingerprint:
     __hash__ = None
 
     def __str__(self) -> str:
-        return self.strong.astype(">u8").tobytes().hex() + self.lanes.astype(">i2").tobytes().hex()
+        return self.strong.astype(">u8").tobytes().hex() + self.lanes.astype(">i4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """0 to 1: 1 for equal fingerprints, else the cosine of the word-triple lanes, 0 at least."""

@@ -445,3 +445,9 @@ def test_language_has_no_cut_of_classes(spark, docs):
     out = {r.doc_id: r for r in language.identify(docs(rows)).collect()}
     assert all(out[i].lang == x and out[i].accepted for i, _, x in rows if x)
     assert (out[9100].lang, out[9101].lang) == ("zz", "er")
+
+
+def test_likeness_of_a_triple_repeated_often():
+    text = "word " * 70_000
+    own, half = fingerprints.Fingerprint.of(text), fingerprints.Fingerprint.of(text[: len(text) // 2])
+    assert own.likeness(half) > 0.99
