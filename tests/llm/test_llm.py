@@ -258,7 +258,7 @@ def test_search_is_exact(docs, monkeypatch):
     monkeypatch.setattr(search, "build_index", lambda d, **k: whole(d.repartition(6), shard_docs=40, shard_postings=300, **k))
     df = docs(rows).withColumn("rank", F.lit(1)).withColumn("score", F.lit(2))
     out = defaultdict(list)
-    for r in search.top_k(df, df.where(F.col("doc_id") % 50 == 0).unionByName(df.where("doc_id = 17")), k=5, block_terms=200).orderBy("query_id", "rank").collect():
+    for r in search.top_k(df, df.where(F.col("doc_id") % 50 == 0).unionByName(df.where("doc_id = 17")), k=5, slice_queries=2).orderBy("query_id", "rank").collect():
         out[r.query_id].append((-round(r.score, 6), r.doc_id))
     want = bm25(rows, queries, 5)
     for q, _ in queries:
@@ -270,30 +270,75 @@ def test_search_is_exact(docs, monkeypatch):
     assert [r.doc_id for r in twice] == [1, 1, None]
 
 
-def test_block_max_bounds_hold():
-    rng = random.Random(4)
-    b = search.ShardBuilder()
-    for i in range(300):
-        b.add(i, words(rng, rng.randrange(1, 80), 200))
+def test_block_max_wand_skips_and_is_exact():
     import pyarrow as pa
 
-    s = search.Shard(b.row(pa.int64()).to_pylist()[0], 40.0)
-    for t in range(0, len(s.terms), 7):
+    rng = random.Random(4)
+    b = search.ShardBuilder()
+    texts = []
+    for i in range(3000):  # themes, so that the lists' blocks differ
+        theme = i // 150
+        texts.append(" ".join([*(f"t{theme}x{rng.randrange(40)}" for _ in range(rng.randrange(1, 30))), *(f"w{int(rng.random() ** 3 * 400)}" for _ in range(rng.randrange(1, 40)))]))
+        b.add(i, texts[-1])
+    s = search.Shard(b.row(pa.int64()).to_pylist()[0], 35.0)
+    for t in range(0, len(s.terms), 17):
         post = slice(s.starts[t], s.starts[t + 1])
-        blocks = s.block_max[s.block_starts[t] : s.block_starts[t + 1]]
-        assert s.impact[post].max() == s.max[t] == blocks.max()
-        assert all(s.impact[s.starts[t] + j * 64 : min(s.starts[t] + j * 64 + 64, s.starts[t + 1])].max() == x for j, x in enumerate(blocks))
-    # whatever the floor, what reaches it scores as in a plain sum
-    q, w = s.terms[::3], np.linspace(3, 0.1, len(s.terms[::3]))
-    plain = np.zeros(300)
-    for t, v in zip(range(0, len(s.terms), 3), w):
-        plain[s.docs[s.starts[t] : s.starts[t + 1]]] += v * s.impact[s.starts[t] : s.starts[t + 1]]
-    assert (s.row_of >= 0).any() and (s.row_of < 0).any()
-    for k in (1, 5, 40, 400):
-        for floor in (0.0, np.sort(plain)[-min(k, 300)], np.sort(plain)[-3]):
-            (_, docs, score), = s.search_all([(q, w)], k, [floor])
-            assert score == pytest.approx(plain[docs])
-            assert {i for i in range(300) if plain[i] > max(floor, np.sort(plain)[-min(k, 300)]) + 1e-9} <= set(docs.tolist())
+        entries = slice(s.entry_starts[t], s.entry_starts[t + 1])
+        assert s.impact[post].max() == s.max[t] == s.entry_max[entries].max()
+        for e in range(entries.start, entries.stop):
+            of = slice(s.entry_first[e], s.entry_first[e + 1])
+            assert s.impact[of].max() == s.entry_max[e] and set(s.docs[of] >> search.SHIFT) == {s.entry_block[e]}
+    df = np.diff(s.starts)
+    plain = np.zeros(3000)
+    for q in (5, 777, 2999):
+        terms = np.array([xxhash.xxh64_intdigest(t) for t in search.terms_of(texts[q])], np.uint64)
+        at = np.searchsorted(s.terms, terms)
+        w = np.log1p((3000 - df[at] + 0.5) / (df[at] + 0.5))
+        plain = np.zeros(3000)
+        for t, v in zip(at, w):
+            for p in range(s.starts[t], s.starts[t + 1]):
+                tf = next(n for x, n in search.terms_of(texts[s.docs[p]]).items() if xxhash.xxh64_intdigest(x) == s.terms[t])
+                plain[s.docs[p]] += v * tf * 2.2 / (tf + s.norm[s.docs[p]])
+        plain = np.round(plain, 6)
+        for k in (1, 10, 2999, 4000):
+            for floor in (0.0, np.sort(plain)[-min(k, 3000)], np.sort(plain)[-3]):
+                s.opened = s.asked = 0
+                docs, score = s.search(terms, w, k, floor)
+                assert score == pytest.approx(plain[docs], abs=1e-6)
+                assert {i for i in range(3000) if plain[i] > max(floor, np.sort(plain)[-min(k, 3000)]) + 2e-6} <= set(docs.tolist())
+                if k == 10:  # postings of lists that can't reach the threshold are not read
+                    assert s.opened < 0.7 * s.asked, (s.opened, s.asked)
+    docs, score = s.search(np.array([1, 2, 3], np.uint64), np.ones(3), 10)
+    assert not len(docs) and not len(score)
+
+
+def test_search_passes_on_few_rows(docs, monkeypatch):
+    """What shards pass on grows with the queries and the logarithm of the shards, not with queries times shards."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, 30, 400)) for i in range(2000)]
+    whole, made = search.build_index, []
+    monkeypatch.setattr(search, "build_index", lambda d, **k: whole(d.repartition(40), shard_docs=50, **k))
+    real = search._searcher
+
+    def counted(n, average, k):
+        run = real(n, average, k)
+        acc = docs([]).sparkSession.sparkContext.accumulator(0)
+        made.append(acc)
+
+        def with_count(batches):
+            for b in run(batches):
+                acc.add(b.num_rows)
+                yield b
+
+        return with_count
+
+    monkeypatch.setattr(search, "_searcher", counted)
+    out = search.top_k(docs(rows), docs(rows[::50]), k=5).collect()
+    assert len(out) == 40 * 5
+    assert 40 * 5 <= sum(a.value for a in made) < 40 * 5 * (1 + 3.5 * 3) < 40 * 5 * 40
+    want = bm25(rows, rows[::50], 5)
+    for q, _ in rows[::50]:
+        assert sorted(-r.score for r in out if r.query_id == q) == pytest.approx([x for x, _ in want[q]], abs=2e-6)
 
 
 def plain_simhash(t):
