@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, row_key, sized
+from .common import cut, pick, row_key
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EVEN = 0x5555555555555555
@@ -186,8 +186,10 @@ def components(edges: DataFrame) -> DataFrame:
 _WIDE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 #: Each of the ``GRIDS`` cells of a wide SimHash keeps ``KEPT`` of its 256 bits.
 GRIDS, KEPT = 64, 16
-#: Of the first 128 bits a similarity of 0.8 flips 19 on average with a deviation of 4; random texts differ in 64 (deviation 5.7).
-FLIPS = 36
+#: Of 256 bits a similarity of 0.8 flips 39 on average with a deviation of 5.7; random texts differ in 128 (deviation 8).
+FLIPS = 62
+#: Documents of a block of a large component, which is compared block by block.
+BLOCK = 400
 
 
 def wide_simhash(s: np.ndarray) -> np.ndarray:
@@ -205,53 +207,125 @@ def wide_simhash(s: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(s)).view(np.uint64)
 
 
-def wide_links(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, small: int = 512, links: int = 16):
-    """Candidates among the nodes of each run of equal ``cell``, by the first 128 bits (``fp``: two unsigned words a row).
+def forest(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, small: int = 256):
+    """Links (x, y) between nodes of each run of equal ``cell`` whose ``fp`` (four words a row) differ in ``FLIPS`` bits or fewer.
 
-    All pairs of a cell, unless it has over ``small`` nodes or over ``links`` pairs a node. Those get spanning
-    forests at rising distances, so that a far link, which may fail, doesn't stand for a nearer one.
+    At most one link a node, enough to join all that such nodes join. Cells of up to ``small`` nodes are
+    compared all at once; larger ones one node after the other, so that memory stays in proportion to the nodes.
     """
     first = np.concatenate(([0], np.flatnonzero(cell[1:] != cell[:-1]) + 1)) if len(cell) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate((first, [len(cell)])))
-    end, of = np.repeat(first + size, size), np.repeat(np.arange(len(size)), size)
-    live = np.flatnonzero(size[of] <= small)
-    found, many = [], np.zeros(len(size), np.int64)
+    end = np.repeat(first + size, size)
+    live = np.flatnonzero(np.repeat(size, size) <= small)
+    label, found = np.arange(len(cell)), []
     for shift in range(1, small):
-        live = live[(live + shift < end[live]) & (many[of[live]] <= links * size[of[live]])]
+        live = live[live + shift < end[live]]
         if not len(live):
             break
-        at = live[np.bitwise_count(fp[live] ^ fp[live + shift]).sum(axis=1) <= FLIPS]
+        at = live[np.bitwise_count(fp[live] ^ fp[live + shift]).sum(axis=1, dtype=np.int64) <= FLIPS]
         found.append((at, at + shift))
-        many += np.bincount(of[at], minlength=len(size))
-    for x, y in found:
-        ok = many[of[x]] <= links * size[of[x]]
-        yield node[x[ok]], node[y[ok]]
-    large = (size > small) | (many > links * size)
-    for start, n in zip(first[large], size[large], strict=True):
-        for flips in (FLIPS // 3, 2 * FLIPS // 3, FLIPS):
-            rest = np.arange(start, start + n)
-            while len(rest):
-                front, rest = [rest[:1]], rest[1:]
-                while front and len(rest):
-                    for x in front.pop():
-                        ok = np.bitwise_count(fp[rest] ^ fp[x]).sum(axis=1) <= flips
-                        if ok.any():
-                            found = rest[ok]
-                            yield np.full(len(found), node[x]), node[found]
-                            front.append(found)
-                            rest = rest[~ok]
-                        if not len(rest):
-                            break
+    x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+    while len(x):  # the least place that links reach
+        low = np.minimum(label[x], label[y])
+        before = label.copy()
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        label = label[label]
+        if (label == before).all():
+            break
+    joined = np.flatnonzero(label != np.arange(len(label)))
+    yield node[label[joined]], node[joined]
+    for start, n in zip(first[size > small], size[size > small], strict=True):
+        rest = np.arange(start, start + n)
+        while len(rest):
+            front, rest = [rest[:1]], rest[1:]
+            while front and len(rest):
+                for i in front.pop():
+                    ok = np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1, dtype=np.int64) <= FLIPS
+                    if ok.any():
+                        yield np.full(np.count_nonzero(ok), node[i]), node[rest[ok]]
+                        front.append(rest[ok])
+                        rest = rest[~ok]
+                    if not len(rest):
+                        break
+
+
+def similar(sets: list[np.ndarray], others: list[np.ndarray], similarity: float, columns: int = 4096) -> np.ndarray:
+    """Which of ``sets`` have a Jaccard similarity of ``similarity`` or more with which of ``others``, as a matrix. Sets hold different hashes each."""
+    every = [*sets, *others]
+    sizes = np.array([len(s) for s in every])
+    of, h = np.repeat(np.arange(len(every)), sizes), np.concatenate(every)
+    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    _, column = np.unique(column[shared], return_inverse=True)
+    of = of[shared]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    same, n = np.zeros((len(sets), len(others)), np.float32), len(sets)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        part = slice(*np.searchsorted(column, (c, c + columns)))
+        m = np.zeros((len(every), columns), np.float32)
+        m[of[part], column[part] - c] = 1
+        same += m[:n] @ m[n:].T
+    return same >= similarity * (sizes[:n, None] + sizes[None, n:] - same)
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to join all that the symmetric matrix joins."""
+    out, rest = [], np.arange(len(linked))
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            i = front.pop()
+            ok = linked[i, rest]
+            out += ((i, j) for j in rest[ok])
+            front += rest[ok].tolist()
+            rest = rest[~ok]
+    return out
+
+
+def verify_blocks(batches, similarity: float):
+    """Links among the documents of each run of equal ``comp, first, second``, which are one block or two (``block``); at most one a document."""
+
+    def links(rows: list[dict]):
+        sets = [np.frombuffer(r["hashes"], np.uint64) for r in rows]
+        linked = np.zeros((len(rows), len(rows)), bool)
+        if rows[0]["first"] == rows[0]["second"]:
+            linked = similar(sets, sets, similarity)
+        else:
+            mine = np.array([r["block"] == r["first"] for r in rows])
+            a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
+            if len(a) and len(b):
+                linked[np.ix_(a, b)] = similar([sets[i] for i in a], [sets[i] for i in b], similarity)
+                linked |= linked.T
+        return [(rows[i]["node"], rows[j]["node"]) for i, j in spanning(linked)]
+
+    held: list[dict] = []
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            if held and any(held[0][c] != r[c] for c in ("comp", "first", "second")):
+                out += links(held)
+                held = []
+            held.append(r)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+    if held and (out := links(held)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with ``doc_id, component_id, root`` and the keys ``_k1, _k2`` of its row.
 
     Texts link if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, computed
-    from the texts. Candidates are those that agree in one of ``GRIDS`` cells of a SimHash of 256 bits over
-    different shingles; at a similarity of 0.8 a pair agrees in one with a probability of about 0.96 (0.99 from
-    0.82, measured on pairs of 300 words). Cells keep whole bits, not the two-bit counts of ``near_duplicates``, which are less selective
-    at this distance. Texts of equal shingles are one node. ``component_id`` and ``root`` as in ``near_duplicates``.
+    from the texts. Candidates are joined by a SimHash of 256 bits over different shingles: those that agree
+    in one of ``GRIDS`` cells and differ in ``FLIPS`` bits at most. At a similarity of 0.8 a pair agrees in a
+    cell with a probability of about 0.96 (0.99 from 0.82, measured on pairs of 300 words). Cells keep
+    whole bits, not the two-bit counts of ``near_duplicates``, which are less selective at this distance.
+    Cells pass on spanning forests only. All texts that candidates join are then compared with one another
+    where they are together: at once, or block by block of ``BLOCK`` if they are more, which again gives
+    spanning forests, now of links that hold. So no list of pairs is ever made, and none is lost or capped.
+    Texts of equal shingles are one node. ``component_id`` and ``root`` as in ``near_duplicates``.
 
     Texts without words link with each other. Repeated rows give repeated results, an empty table gives
     no rows, other columns are not read.
@@ -270,8 +344,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
 
     kind = dict(t.dtypes)["id"]
     fps = cut(t.mapInArrow(sketch, f"id {kind}, _k1 long, _k2 long, node long, " + ", ".join(f"{w} long" for w in words)))
-    nodes = fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(w).alias(w) for w in words])
-    nodes = cut(nodes)
+    nodes = cut(fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(w).alias(w) for w in words]))
     rng = np.random.default_rng(7)
     kept = np.array([rng.permutation(256)[:KEPT] for _ in range(GRIDS)])
 
@@ -283,21 +356,21 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
                 w = np.stack([c.column(x).to_numpy() for x in words], axis=1)
                 bits = np.unpackbits(w.view(np.uint8).reshape(-1, 32), axis=1)[:, at].reshape(-1, GRIDS, KEPT)
                 cell = (bits @ weight + (np.arange(GRIDS, dtype=np.int32) << KEPT)).astype(np.int32)
-                rep = [np.repeat(x, GRIDS) for x in (c.column("node").to_numpy(), w[:, 0], w[:, 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *map(pa.array, rep)], names=["cell", "node", "w0", "w1"])
+                rep = [np.repeat(x, GRIDS) for x in (c.column("node").to_numpy(), *w.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *map(pa.array, rep)], names=["cell", "node", *words])
 
-    dealt = nodes.select("node", *words).mapInArrow(keys, "cell int, node long, w0 long, w1 long")
+    dealt = nodes.select("node", *words).mapInArrow(keys, "cell int, node long, " + ", ".join(f"{w} long" for w in words))
     dealt = dealt.repartition("cell").sortWithinPartitions("cell", "node")
 
     def pairs(cell, node, fp):
-        for a, b in wide_links(cell, node, fp):
+        for a, b in forest(cell, node, fp):
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def compare(batches):
-        cell, node, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+        cell, node, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
         for b in batches:
-            new = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1).view(np.uint64)  # signed ones count the bits of their absolute value
+            new = np.stack([b.column(i).to_numpy() for i in range(2, 6)], axis=1).view(np.uint64)  # signed ones count the bits of their absolute value
             cell, node, fp = np.concatenate((cell, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy())), np.concatenate((fp, new))
             if not len(cell):
                 continue
@@ -306,34 +379,28 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             cell, node, fp = cell[keep:], node[keep:], fp[keep:]
         yield from pairs(cell, node, fp)
 
-    asked = cut(dealt.mapInArrow(compare, "a long, b long").distinct())
-    # the texts of candidates, one for each node
-    wanted = asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct()
-    owners = cut(nodes.join(wanted, "node", "left_semi").select("k._k1", "k._k2", "node"))
-    texts = t.select("_k1", "_k2", "text").join(sized(owners, owners.count()), ["_k1", "_k2"]).groupBy("node").agg(F.first("text").alias("text"))
-    texts = cut(texts)
-    both = asked.join(texts.select(F.col("node").alias("a"), F.col("text").alias("of_a")).hint("merge"), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("of_b")).hint("merge"), "b")
+    groups = cut(components(dealt.mapInArrow(compare, "a long, b long").distinct()).select("node", F.col("root").alias("comp")))
+    members = groups.unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct())  # roots are members too
+    sizes = cut(members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    members = members.join(sizes.hint("merge"), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    owners = cut(nodes.join(members.hint("merge"), "node").select("k._k1", "k._k2", "node", "comp", "blocks", "block"))
 
-    def verify(batches):
+    def hashed(batches):
         for b in batches:
-            known: dict[str, np.ndarray] = {}
-            ok = []
-            for pair in zip(b.column("of_a").to_pylist(), b.column("of_b").to_pylist(), strict=True):
-                for x in pair:
-                    if x not in known:
-                        known[x] = _shingles(x, shingle)
-                x, y = (known[x] for x in pair)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(same >= similarity * (len(x) + len(y) - same))
-            ok = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
-
-    roots = components(both.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long"))
-    owned = nodes.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    ids = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = owned.join(ids, "root").select("node", "component_id", "root")
-    return fps.join(named, "node").select(F.col("id").alias("doc_id"), "component_id", "root", "_k1", "_k2")
+            sets = pa.array([_shingles(x, shingle).tobytes() for x in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "comp", "blocks", "block")), sets], names=["node", "comp", "blocks", "block", "hashes"])
+
+    # one text for each node, and its shingles to each pair of blocks that its own is in
+    texts = t.select("_k1", "_k2", "text").join(owners.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["node"])
+    sets = texts.select("node", "comp", "blocks", "block", "text").mapInArrow(hashed, "node long, comp long, blocks int, block int, hashes binary")
+    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sets = sets.select("comp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "hashes")
+    sets = sets.repartition("comp", "first", "second").sortWithinPartitions("comp", "first", "second")
+    roots = components(sets.mapInArrow(lambda batches: verify_blocks(batches, similarity), "a long, b long"))
+    owned = cut(nodes.join(roots.withColumnRenamed("node", "n").hint("merge"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    ids = cut(owned.groupBy("root").agg(F.min("least").alias("component_id")))  # a row from each task for a root, and only then the join
+    named = owned.join(ids.hint("merge"), "root").select("node", "component_id", "root")
+    return fps.join(named.hint("merge"), "node").select(F.col("id").alias("doc_id"), "component_id", "root", "_k1", "_k2")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,7 +418,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle
     fps = cut(fingerprints(docs, shingle, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
     roots = components(links(distinct.select("fp"), distance, blocks))
-    owned = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = owned.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = owned.join(ids, "root").select("fp", "component_id", "root")
-    return fps.join(named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "_k1", "_k2")
+    owned = cut(distinct.join(roots.hint("merge"), distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    ids = cut(owned.groupBy("root").agg(F.min("least").alias("component_id")))  # a row from each task for a root, and only then the join
+    named = owned.join(ids.hint("merge"), "root").select("fp", "component_id", "root")
+    return fps.join(named.hint("merge"), "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "_k1", "_k2")
