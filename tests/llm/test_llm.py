@@ -191,7 +191,7 @@ def test_toxicity_on_held_out_labels(spark, docs):
 def test_grammar_scores_clauses():
     s = toxicity.Scorer({"idiot": 1.0, "blarg*": 1.0})
     found = lambda t: {o for o, x in zip(toxicity.OUTPUTS, s.features(t)) if x > 0}
-    prior = np.array([*toxicity.OUTPUTS.values(), 0, 0])
+    prior = np.array([*toxicity.OUTPUTS.values(), 0])
     score = lambda t: float(np.array(s.features(t)) @ prior)
     assert score("you are an idiot") > score("what an idiot") > score("he said idiot") > 0
     assert score("what an idiot") > score("he is not an idiot") > 0
@@ -207,13 +207,13 @@ def test_grammar_scores_clauses():
 
 def plain_toxic_features(lexicon, text):
     """The clauses' outputs by their definition, without transducers."""
-    low, sums, matched = (text or "").lower(), dict.fromkeys(toxicity.OUTPUTS, 0.0), 0
+    low, sums = (text or "").lower(), dict.fromkeys(toxicity.OUTPUTS, 0.0)
     weight = lambda w: max([lexicon.get(w, 0.0), *(lexicon.get(w[:n] + "*", 0.0) for n in range(1, len(w) + 1))])
     for clause in re.split(r"[.!?;:\n]", low):
         ws = re.findall(r"\w+(?:'\w+)?", clause)
         of = {w: weight(w) for w in set(ws)}
         said = lambda words, part: any(not of[x] and x in words for x in part)
-        aimed, seen, hit = said(toxicity.TARGETS, set(ws)), 0, False
+        aimed, seen = said(toxicity.TARGETS, set(ws)), 0
         reports = [i for i, x in enumerate(ws) if not of[x] and x in toxicity.REPORTS]
         for i, w in enumerate(ws):
             if not of[w] and (w not in toxicity.THREATS or not aimed):
@@ -227,9 +227,7 @@ def plain_toxic_features(lexicon, text):
             else:
                 out = "Hr" if told else "Hn" if negated else "Ht"
             sums[out] += of[w] or 1.0
-            hit = True
-        matched += hit
-    return [*(math.log1p(x) for x in sums.values()), math.log1p(matched), math.log1p(len(text or ""))]
+    return [*(math.log1p(x) for x in sums.values()), math.log1p(len(text or ""))]
 
 
 def test_toxicity_scores_by_hand(spark, docs):
@@ -258,7 +256,7 @@ def test_toxicity_on_the_labels_table(spark):
     ones, zeros = (np.array([r.score for r in out if r.toxic == k]) for k in (1, 0))
     assert len(ones) > 50
     assert np.mean(ones[:, None] > zeros[None, :]) + 0.5 * np.mean(ones[:, None] == zeros[None, :]) > 0.96
-    aimed = toxicity.score_toxicity(spark.createDataFrame([(1, "i will kill you"), (2, "i will kill time")], "doc_id long, text string").unionByName(read("documents").select("doc_id", "text").where("doc_id > 2")), read("labels")).where("doc_id < 3").orderBy("doc_id").collect()
+    aimed = toxicity.score_toxicity(spark.createDataFrame([(-2, "i will kill you"), (-1, "i will kill time")], "doc_id long, text string").unionByName(read("documents").select("doc_id", "text")), read("labels")).where("doc_id < 0").orderBy("doc_id").collect()
     assert aimed[0].score > aimed[1].score
 
 
