@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, row_key
+from .common import SPACES, ascii_lower, cut, row_key
 
-#: Common keys are a tenth of all lines at most, so their copies are fewer than the lines.
-SALTS = 8
+#: A key with more than one of so many of the common lines is hot; there are fewer hot keys than this.
+HOT = 1000
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,10 +29,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_
     lines = lines.select("_k1", "_k2", "pos", F.btrim("line", F.lit(SPACES)).alias("key")).where(F.length("key") >= min_key_chars)
     lines = lines.select("_k1", "_k2", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("h2"), "key").alias("h2"))
     common = lines.groupBy("h1", "h2", "_k1", "_k2").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    # a line that a third of all documents hold is dealt to SALTS tasks by document
-    common = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
-    lines = lines.withColumn("salt", F.pmod("_k1", F.lit(SALTS)).cast("int"))
-    gone = lines.join(common, ["h1", "h2", "salt"]).groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    common = cut(common)
+    total = common.agg(F.sum("n")).first()[0] or 0
+    # less than HOT keys are broadcast, so that a line that a third of all documents hold doesn't meet in one task; other keys hold a HOT-th of the lines at most
+    hot = F.broadcast(common.where(F.col("n") * HOT > total).select("h1", "h2", F.lit(True).alias("hot")))
+    lines = lines.join(hot, ["h1", "h2"], "left")
+    own = [F.when(F.col("hot"), F.col(f"_k{i}")).otherwise(F.col(f"h{i}")).alias(f"j{i}") for i in (1, 2)]  # lines of hot keys are spread by document
+    lines = lines.select("_k1", "_k2", "pos", "hot", *own).join(common.select(F.col("h1").alias("j1"), F.col("h2").alias("j2"), F.lit(True).alias("met")), ["j1", "j2"], "left")
+    gone = lines.where("hot or met").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     out = base.join(gone, ["_k1", "_k2"], "left").withColumn("lines", F.split("t", "\n", -1))
     ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("lines")))
     # the runs of lines between one dropped line and the next
