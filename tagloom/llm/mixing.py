@@ -49,14 +49,14 @@ def queue(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     t = pick(docs, id=id_col, text=text_col, source=source_col)
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("null"))))
-    base = cut(t.select("id", "source", n_words(F.col("text")).alias("size"), key.alias("key")))
+    base = cut(t.select("id", "source", n_words(F.col("text")).alias("size"), key.alias("key"), F.xxhash64("text").alias("hash")))
     per = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most))
     part = F.substring("key", 1, 3)
     sums = base.groupBy("source", part.alias("part")).agg(F.sum("size").alias("sum"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).drop("sum")
     sums = sums.join(per, sums.source.eqNullSafe(per.source)).select(sums.source.alias("s"), "part", "before", "source_size", "target")
-    own = Window.partitionBy("source", "part").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("source", "part").orderBy("key", "size", "id", "hash").rowsBetween(Window.unboundedPreceding, 0)
     run = base.withColumn("part", part).withColumn("run", F.sum("size").over(own))
     run = run.join(sums, run.source.eqNullSafe(sums.s) & (run.part == sums.part))
     run = cut(run.select("id", "source", "size", "source_size", "target", "key", (F.col("run") + F.col("before")).alias("sent")))
