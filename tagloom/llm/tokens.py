@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,7 +89,7 @@ class TrieCounter:
         return sum(map(self.known.__getitem__, words))
 
 
-_COUNTERS: dict[int, TrieCounter] = {}
+_COUNTERS: dict[str, TrieCounter] = {}
 
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id"
     """
     t = pick(docs, id=id_col, text=text_col)
     sent = docs.sparkSession.sparkContext.broadcast(load_pieces(path))
-    tag = hash((path, id(sent)))
+    tag = uuid.uuid4().hex
 
     def run(batches):
         if tag not in _COUNTERS:
