@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,10 +15,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Checkpoints go where ``spark.checkpoint.dir`` says; only where it is unset (tests), to a temporary folder."""
+    """Checkpoints go where ``spark.checkpoint.dir`` says. Where it is unset, a single machine (tests) gets a temporary folder; a cluster is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tagloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,15 +46,6 @@ def row_key(id_col: Column, text: Column) -> list[Column]:
     return [F.xxhash64(i, t).alias("_k1"), F.xxhash64(F.lit("k2"), t, i).alias("_k2")]
 
 
-#: Rows of two longs that may be broadcast: 2 MB. Larger sets go by a shuffled join.
-BROADCAST_ROWS = 131_072
-
-
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` marked for broadcasting if its counted ``rows`` are within the bound; otherwise as it is."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def pick(df: DataFrame, **cols: str | None) -> DataFrame:
     """Only the named columns under fixed names, so that no other column of the input can clash; None gives null."""
     lower = {c.lower(): c for c in df.columns}
