@@ -29,7 +29,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.queue(_read(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    return mixing.queue(_read(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 
 def op6_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(_read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")).drop("_k1", "_k2")
+    """Documents (declared language, source as host) and pages (lang attribute, host, suffix) in one fusion."""
+    documents = language.evidence(_read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), "doc_id", "text", "lang", "source", origin="documents")
+    pages = language.evidence(_read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", None, None, None, "url", "html", origin="pages")
+    of = lambda name: F.when(F.col("origin") == name, F.col("id"))
+    out = language.fuse(documents.unionByName(pages))
+    return out.select(of("documents").alias("doc_id"), of("pages").alias("page_id"), "lang", "confidence", "text_lang", "declared", "accepted")
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -72,11 +77,11 @@ SELECT q.doc_id, q.source, q.size, q.source_size, round(q.target, 6) AS target,
 """
 
 OP8_SQL = f"""
-WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, i AS pos, lines[i] AS line, {_LOW.format(f"trim(lines[i], {_WS})")} AS key FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
-c AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+WITH d AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id, coalesce(text, '')) AS doc, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc, doc_id, i AS pos, lines[i] AS line, {_LOW.format(f"trim(lines[i], {_WS})")} AS key FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+c AS (SELECT key FROM l WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc) >= 10),
 m AS (SELECT l.*, c.key IS NOT NULL AS gone FROM l LEFT JOIN c ON l.key = c.key)
-SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id
 """
 
 
@@ -114,7 +119,7 @@ WITH u AS (SELECT page_id, url, coalesce(url, '') AS s FROM pages),
 h AS (SELECT *, {_LOW.format("regexp_extract(s, '://([^/?#]*)', 1)")} AS host, regexp_extract(s, '://[^/?#]*([^?#]*)', 1) AS path FROM u),
 t AS (SELECT *, {rule} AS rule, {verdict} AS by_rule, substr(md5(s), 1, 1) >= 'c' AS held FROM h),
 d AS (SELECT DISTINCT s, by_rule, held FROM t),
-x AS (SELECT s, '~~~' || translate(lower(list_last(string_split(s, '://'))), '123456789', '000000000') || '~' AS x FROM d),
+x AS (SELECT s, '~~~' || translate(lower(CASE WHEN instr(s, '://') > 0 THEN substr(s, instr(s, '://') + 3) ELSE s END), '123456789', '000000000') || '~' AS x FROM d),
 i AS (SELECT s, x, unnest(range(1, length(x) - {urls.ORDER} + 1)) AS i FROM x),
 g AS (SELECT s, ({code})::INTEGER AS gram FROM i),
 n AS (SELECT gram, count(*) FILTER (by_rule = 'allow' AND NOT held) AS allow, count(*) FILTER (by_rule = 'block' AND NOT held) AS block FROM g JOIN (SELECT s, by_rule, held FROM t) USING (s) GROUP BY gram),

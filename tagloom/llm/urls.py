@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Host, path, verdict.
 RULES = (
     ("org", "/", "allow"),
@@ -40,7 +42,9 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def grams(df: DataFrame) -> DataFrame:
     """``df`` with a row for each character of ``url``: ``gram``, the codes of it and the three before it, five bits each."""
-    low = F.lower(F.substring_index(F.coalesce("url", F.lit("")), "://", -1))
+    url = F.coalesce("url", F.lit(""))
+    at = F.instr(url, "://")
+    low = F.lower(F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(url))  # all after the first ``://``: a URL may hold another
     # digits are one symbol, 0; symbol 0 is any other character and also stands before the start and after the end
     text = F.concat(F.lit("~" * ORDER), F.translate(low, "123456789", "000000000"), F.lit("~"))
     df = df.withColumn("_s", text)
@@ -59,7 +63,7 @@ def char_models(labelled: DataFrame) -> DataFrame:
     context's by the number of different characters seen after it, down to the uniform one.
     ``labelled``: ``gram, verdict``. Contexts that a class has never seen get the shorter one's value.
     """
-    n = labelled.groupBy("gram").agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")])
+    n = cut(labelled.groupBy("gram").agg(*[F.count(F.when(F.col("verdict") == v, 1)).alias(v) for v in ("allow", "block")]))  # at most 32**4 rows, read for each order
     table = n
     p = {v: F.lit(1 / 32) for v in ("allow", "block")}
     for order in range(ORDER + 1):
