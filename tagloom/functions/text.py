@@ -81,9 +81,9 @@ def parse_tags(c: Column) -> Column:
 
 
 def answer_value(answer: Column, primitive: Column) -> tuple[Column, Column]:
-    """``(number, choice)`` of an answer in JSON: a confidence's ``probability`` (or ``confidence``), a score's ``score``, a choice's ``choice``."""
-    a = F.from_json(answer, "probability double, confidence double, score double, choice string")
-    number = F.when(primitive == "confidence", F.coalesce(a["probability"], a["confidence"])).when(primitive == "score", a["score"])
+    """``(number, choice)`` of an answer in JSON: a noul's ``probability`` (or ``noul``), a score's ``score``, a choice's ``choice``."""
+    a = F.from_json(answer, "probability double, noul double, score double, choice string")
+    number = F.when(primitive == "noul", F.coalesce(a["probability"], a["noul"])).when(primitive == "score", a["score"])
     return F.when(~F.isnan(number), number), F.when(primitive == "choice", a["choice"])
 
 

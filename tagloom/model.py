@@ -21,8 +21,10 @@ OPACITY_BASE, OPACITY_MIN, OPACITY_RAISED = 0.75, 0.3, 0.9
 NEUTRAL = 2.0
 
 # Enumerations, in order.
-PRIMITIVES = ("confidence", "score", "choice")
-CHOICES = ("main", "support", "background", "hindrance", "unrelated")
+PRIMITIVES = ("noul", "score", "choice")
+CHOICES = ("主役", "脇役", "背景", "妨げ", "無関係")
+FAILURES = ("rate_limit", "overloaded", "server", "timeout", "network", "invalid", "auth")
+RETRYABLE = ("rate_limit", "overloaded", "server", "timeout", "network")
 PALETTE = ("#D55E00", "#E69F00", "#009E73", "#0072B2", "#999999")
 UNEVALUATED = "#333333"
 

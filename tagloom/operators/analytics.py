@@ -35,7 +35,7 @@ def choice_counts(values: DataFrame) -> DataFrame:
 
 def wide(values: DataFrame) -> DataFrame:
     one = lambda p, c: F.max(F.when(F.col("primitive") == p, F.col(c)))
-    return values.groupBy("lens", "variant", "tag").agg(one("confidence", "num").alias("confidence"), one("score", "num").alias("score"), one("choice", "dist").alias("choice"))
+    return values.groupBy("lens", "variant", "tag").agg(one("noul", "num").alias("confidence"), one("score", "num").alias("score"), one("choice", "dist").alias("choice"))
 
 
 def confidence_score(values: DataFrame) -> DataFrame:
@@ -93,11 +93,13 @@ def choice_distance(values: DataFrame, base: str, new: str) -> DataFrame:
 
 
 def index_quantiles(df: DataFrame, by: str, value: str, quantiles=(0.5, 0.9)) -> DataFrame:
-    """``sorted[floor(q n)]``, not interpolated: the row of that rank, so no list of all values is built."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = df.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w) - 1).alias("rk"), F.count("*").over(Window.partitionBy(by)).alias("n"))
+    """``sorted[floor(q n)]``, not interpolated. Values are counted first, so the ordered window sees each different value once and no list of values is built."""
+    g = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
     at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    return r.groupBy(by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rk") == at(q), F.col(value))).alias(f"q{int(q * 100)}") for q in quantiles])
+    here = lambda q: (at(q) < F.col("upto")) & (at(q) >= F.col("upto") - F.col("c"))
+    return g.groupBy(by).agg(F.max("n").alias("n"), *[F.max(F.when(here(q), F.col(value))).alias(f"q{int(q * 100)}") for q in quantiles])
 
 
 def usage(attempts: DataFrame) -> DataFrame:

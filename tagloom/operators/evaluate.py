@@ -14,11 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_lens, utf16_units
-from ..model import BACKOFF_MS, BUDGET_CHARS, CHOICES, MAX_ATTEMPTS, MAX_BATCHES, MAX_QUESTIONS, PRIMITIVES
+from ..model import BACKOFF_MS, BUDGET_CHARS, CHOICES, MAX_ATTEMPTS, MAX_BATCHES, MAX_QUESTIONS, PRIMITIVES, RETRYABLE
 
 # The text of requests is configuration.
 QUESTIONS = {
-    "confidence": "Does the tag {tag} alone settle how a place looks through the lens?",
+    "noul": "Does the tag {tag} alone settle how a place looks through the lens?",
     "score": "From 0 (sink) over 2 (no change) to 4 (raise): how should {tag} be treated through the lens?",
     "choice": "Through the lens, is {tag} main, support, background, hindrance or unrelated?",
 }
@@ -72,41 +72,57 @@ def hydrate(memory: DataFrame, stored: DataFrame) -> DataFrame:
 def plan_batches(tags: DataFrame, lens: str, primitives=PRIMITIVES, budget: int = BUDGET_CHARS, most: int = MAX_QUESTIONS) -> DataFrame:
     """``batch, request, primitive, first, tags``: tags (``ord, tag_id``) cut into requests by size.
 
-    A request starts at the size of its frame and closes when the next question would pass the
-    budget or the number of questions; a question larger than the budget goes alone. Batches run
-    in the order of their first tag, so that frequent tags are complete first, and ``MAX_BATCHES``
-    of them share a request group. The cut depends on all tags before it, so a primitive's tags are
-    one group: their number is bounded by the allow-list, not by the points.
+    With a column ``primitive`` only those pairs are asked; without it every tag is asked for all
+    ``primitives``. A request starts at the size of its frame and closes when the next question
+    would pass the budget or the number of questions; a question larger than the budget goes alone.
+    Primitives that ask for the same tags run together, in the order of their batches' first tags,
+    so that frequent tags are complete first; ``MAX_BATCHES`` batches share a request group. The cut
+    depends on all tags before it, so a primitive's tags are one group: their number is bounded by
+    the allow-list, not by the points.
     """
     frame = request_chars({"model": "", "state": state(lens), "questions": {}})
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         primitive = pdf["primitive"].iloc[0]
+        asked = pdf.sort_values("ord")["tag_id"].tolist()
+        same = "\n".join(asked)
         out, size, first = [], frame, 0
         held: list[str] = []
-        for i, tag in enumerate(pdf.sort_values("ord")["tag_id"]):
+        for i, tag in enumerate(asked):
             chars = request_chars({tag: question(tag, primitive)})
             if held and (size + chars > budget or len(held) >= most):
-                out.append((primitive, first, held))
+                out.append((primitive, first, held, same))
                 held, size, first = [], frame, i
             held.append(tag)
             size += chars
-        out.append((primitive, first, held))
-        return pd.DataFrame(out, columns=["primitive", "first", "tags"])
+        out.append((primitive, first, held, same))
+        return pd.DataFrame(out, columns=["primitive", "first", "tags", "same"])
 
-    each = tags.select("ord", "tag_id", F.explode(F.array(*map(F.lit, primitives))).alias("primitive"))
-    parts = each.groupBy("primitive").applyInPandas(cut, "primitive string, first long, tags array<string>")
+    each = tags.select("ord", "tag_id", "primitive" if "primitive" in tags.columns else F.explode(F.array(*map(F.lit, primitives))).alias("primitive"))
+    parts = each.groupBy("primitive").applyInPandas(cut, "primitive string, first long, tags array<string>, same string")
     place = F.array_position(F.array(*map(F.lit, primitives)), F.col("primitive"))
-    parts = parts.withColumn("batch", F.row_number().over(Window.orderBy("first", place)) - 1)
+    parts = parts.withColumn("group", F.min(place).over(Window.partitionBy("same")))
+    parts = parts.withColumn("batch", F.row_number().over(Window.orderBy("group", "first", place)) - 1)
     return parts.select("batch", F.floor(F.col("batch") / MAX_BATCHES).cast("int").alias("request"), "primitive", "first", "tags")
 
 
-def failure_kind(status: Column) -> Column:
-    return F.when(status == 429, "rate_limited").when(status.isin(401, 403), "unauthorised").when(status == 408, "timeout").when(status >= 500, "upstream").when(status >= 400, "rejected").when(status == 0, "network").otherwise("ok")
+#: Statuses of calls without an answer from the other side.
+NETWORK, TIMEOUT = 0, -1
 
 
-def retryable(status: int) -> bool:
-    return status in (0, 408, 425, 429) or status >= 500
+def failure_kind(status: Column, answered: Column | None = None) -> Column:
+    """The kind of a status; ``ok`` for 200, unless it came without answers."""
+    answered = F.lit(True) if answered is None else answered
+    kind = F.when(status == NETWORK, "network").when(status == TIMEOUT, "timeout").when(status.between(200, 299), F.when(answered, "ok").otherwise("invalid"))
+    return kind.when(status == 429, "rate_limit").when(status == 529, "overloaded").when(status.isin(401, 403), "auth").when(status >= 500, "server").otherwise("invalid")
+
+
+def kind_of(status: int, answered: bool = True) -> str:
+    """``failure_kind`` of one call."""
+    known = {NETWORK: "network", TIMEOUT: "timeout", 429: "rate_limit", 529: "overloaded", 401: "auth", 403: "auth"}
+    if 200 <= status < 300:
+        return "ok" if answered else "invalid"
+    return known.get(status) or ("server" if status >= 500 else "invalid")
 
 
 def retry_after_ms(header: str | None, now: datetime | None = None) -> int | None:
@@ -125,7 +141,7 @@ def retry_after_ms(header: str | None, now: datetime | None = None) -> int | Non
 
 
 Client = Callable[[dict], tuple[int, dict, dict]]
-"""Takes a request; gives status, headers, and answers by tag. It must pickle, as it runs on executors."""
+"""Takes a request; gives status, headers, and the reply: ``answers`` by tag, ``model``, ``usage.inputTokens``. It must pickle, as it runs on executors."""
 
 
 def stub_client(request: dict) -> tuple[int, dict, dict]:
@@ -135,17 +151,17 @@ def stub_client(request: dict) -> tuple[int, dict, dict]:
         n = len(tag)
         if n % 11 == 0:
             continue
-        if q["type"] == "confidence" and n % 3:
+        if q["type"] == "noul" and n % 3:
             out[tag] = {"probability": n * 13 % 10 / 10}
         if q["type"] == "score" and n % 5:
             out[tag] = {"score": n * 7 % 41 / 10}
         if q["type"] == "choice" and n % 4:
             out[tag] = {"probabilities": {c: (n * (i + 3) % 7 + 1) / 10 for i, c in enumerate(CHOICES)}}
-    return 200, {}, out
+    return 200, {}, {"answers": out, "model": "stub", "usage": {"inputTokens": request_chars(request) // 4}}
 
 
 def http_client(url: str, key: str, timeout: float = 30) -> Client:
-    """A client for a JSON endpoint."""
+    """A client for a JSON endpoint. A time-out and a broken connection have statuses of their own."""
 
     def call(request: dict):
         import urllib.error
@@ -154,11 +170,15 @@ def http_client(url: str, key: str, timeout: float = 30) -> Client:
         r = urllib.request.Request(url, json.dumps(request).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
         try:
             with urllib.request.urlopen(r, timeout=timeout) as reply:
-                return reply.status, dict(reply.headers), json.load(reply).get("answers", {})
+                try:
+                    return reply.status, dict(reply.headers), json.load(reply)
+                except ValueError:
+                    return reply.status, dict(reply.headers), {}
         except urllib.error.HTTPError as e:
-            return e.code, dict(e.headers), {}
-        except (OSError, ValueError):
-            return 0, {}, {}
+            return e.code, dict(e.headers), {"body": e.read().decode("utf-8", "replace")}
+        except OSError as e:
+            late = isinstance(e, TimeoutError) or isinstance(getattr(e, "reason", None), TimeoutError)
+            return TIMEOUT if late else NETWORK, {}, {"body": str(e)}
 
     return call
 
@@ -171,83 +191,171 @@ def parse_answer(primitive: str, answer) -> tuple[float | None, list[float] | No
     if primitive == "choice":
         p = answer.get("probabilities")
         return (None, [float(p[c]) if number(p.get(c)) else 0.0 for c in CHOICES]) if isinstance(p, dict) else None
-    x = answer.get("probability" if primitive == "confidence" else "score")
+    x = answer.get("probability" if primitive == "noul" else "score")
     return (float(x), None) if number(x) else None
 
 
-def call_with_retry(client: Client, request: dict, sleep=time.sleep, jitter=random.random) -> tuple[int, dict, list[tuple[int, int]]]:
-    """Status, answers and the attempts (number, status); waits as told by Retry-After, or by the growing backoff with jitter."""
-    attempts = []
+def call_with_retry(client: Client, request: dict, sleep=time.sleep, jitter=random.random) -> tuple[str, dict, list[dict]]:
+    """Kind, reply and a log entry for each attempt; waits as told by Retry-After or by the growing backoff, both with jitter."""
+    log: list[dict] = []
+    chars, questions = request_chars(request), len(request.get("questions", {}))
     for i in range(MAX_ATTEMPTS):
-        status, headers, answers = client(request)
-        attempts.append((i + 1, status))
-        if status == 200 or not retryable(status) or i + 1 == MAX_ATTEMPTS:
+        began = time.perf_counter()
+        status, headers, reply = client(request)
+        reply = reply if isinstance(reply, dict) else {}
+        kind = kind_of(status, isinstance(reply.get("answers"), dict))
+        body = None if kind == "ok" else short(str(reply.get("body", "")))
+        log.append({"attempt": i + 1, "status": status, "kind": kind, "questions": questions, "request_chars": chars, "elapsed_ms": round((time.perf_counter() - began) * 1000), "body": body})
+        if kind not in RETRYABLE or i + 1 == MAX_ATTEMPTS:
             break
         told = retry_after_ms(next((v for k, v in headers.items() if k.lower() == "retry-after"), None))
-        sleep((told if told is not None else BACKOFF_MS[i] * (0.7 + 0.6 * jitter())) / 1000)
-    return status, answers if status == 200 else {}, attempts
+        sleep((told if told is not None else BACKOFF_MS[i]) * (0.7 + 0.6 * jitter()) / 1000)
+    return kind, reply if kind == "ok" else {}, log
+
 
+def short(text: str, most: int = 300) -> str:
+    return text[:most] + "…" if len(text) > most else text
 
-EVENTS = "batch long, primitive string, tag_id string, status int, attempts int, request_chars long, num double, dist array<double>"
+
+LOG = "array<struct<attempt:int,status:int,kind:string,questions:int,request_chars:long,elapsed_ms:long,body:string>>"
+EVENTS = f"batch long, request int, primitive string, tag_id string, kind string, attempts int, num double, dist array<double>, model string, input_tokens long, log {LOG}"
 
 
 def evaluate(batches: DataFrame, lens: str, client: Client = stub_client, concurrency: int = 2, sleep=time.sleep) -> DataFrame:
-    """A row for each asked tag: its answer, or nulls. ``concurrency`` tasks call the evaluator at a time."""
+    """A row for each asked tag: its answer, or nulls. ``concurrency`` tasks call the evaluator at a time.
+
+    The first row of a batch also has its input tokens and its log.
+    """
     lens = validate(lens, PRIMITIVES)
+    columns = [f.name for f in _parse(EVENTS)]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
             for b in f.itertuples():
                 request = {"model": "", "state": state(lens), "questions": {t: question(t, b.primitive) for t in b.tags}}
-                status, answers, tries = call_with_retry(client, request, sleep)
-                for t in dict.fromkeys(b.tags):
+                kind, reply, log = call_with_retry(client, request, sleep)
+                answers, usage = reply.get("answers", {}), reply.get("usage") or {}
+                for i, t in enumerate(dict.fromkeys(b.tags)):
                     value = parse_answer(b.primitive, answers.get(t)) or (None, None)
-                    out.append((b.batch, b.primitive, t, status, len(tries), request_chars(request), *value))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+                    out.append((b.batch, b.request, b.primitive, t, kind, len(log), *value, reply.get("model"), None if i else usage.get("inputTokens"), None if i else log))
+            yield pd.DataFrame(out, columns=columns).astype({"input_tokens": "Int64", "num": "float64"})
 
     return batches.repartition(concurrency).mapInPandas(run, EVENTS)
 
 
+def _parse(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
+
+
+def attempt_log(evaluated: DataFrame) -> DataFrame:
+    """``batch, primitive`` and each attempt of each batch."""
+    return evaluated.where("log is not null").select("batch", "primitive", F.explode("log").alias("l")).select("batch", "primitive", "l.*")
+
+
 def wide(answers: DataFrame) -> DataFrame:
     """``tag_id, confidence, score, choice`` from long answers; null where there is none."""
     one = lambda p, c: F.max(F.when(F.col("primitive") == p, F.col(c)))
-    return answers.groupBy("tag_id").agg(one("confidence", "num").alias("confidence"), one("score", "num").alias("score"), one("choice", "dist").alias("choice"))
+    return answers.groupBy("tag_id").agg(one("noul", "num").alias("confidence"), one("score", "num").alias("score"), one("choice", "dist").alias("choice"))
 
 
-def evaluate_tags(tags: DataFrame, lens: str, client: Client = stub_client, cache: DataFrame | None = None, primitives=PRIMITIVES) -> DataFrame:
-    """Answers for tags (``tag_id, count``) that the cache lacks, the most frequent first."""
+def planned(tags: DataFrame, lens: str, cache: DataFrame | None = None, failed: DataFrame | None = None, primitives=PRIMITIVES) -> DataFrame:
+    """The batches of what is missing of ``tags`` (``tag_id, count``), the most frequent first: no pair that the cache has or that has failed is asked."""
+    empty = tags.sparkSession.createDataFrame([], "tag_id string, primitive string")
+    todo = missing(tags, empty if cache is None else cache, failed, primitives)
+    order = tags.groupBy("tag_id").agg(F.sum("count").alias("count")).select("tag_id", F.row_number().over(Window.orderBy(F.desc("count"), "tag_id")).alias("ord"))
+    return plan_batches(todo.join(order, "tag_id").select("ord", "tag_id", "primitive"), lens, primitives)
+
+
+def evaluate_tags(tags: DataFrame, lens: str, client: Client = stub_client, cache: DataFrame | None = None, primitives=PRIMITIVES, failed: DataFrame | None = None) -> DataFrame:
+    """Answers for what the cache lacks of tags (``tag_id, count``)."""
     lens = validate(lens, primitives)
-    todo = missing(tags, cache, primitives=primitives) if cache is not None else tags.select("tag_id").distinct().select("tag_id", F.explode(F.array(*map(F.lit, primitives))).alias("primitive"))
-    order = tags.join(todo.select("tag_id").distinct(), "tag_id", "left_semi").select(F.row_number().over(Window.orderBy(F.desc("count"), "tag_id")).alias("ord"), "tag_id")
-    asked = evaluate(plan_batches(order, lens, primitives), lens, client)
-    return asked.join(todo, ["tag_id", "primitive"], "left_semi")
+    return evaluate(planned(tags, lens, cache, failed, primitives), lens, client)
 
 
 class LensSession:
-    """One lens at a time: cached answers first, then what is missing, failures apart until they are retried."""
+    """One lens at a time: cached answers first, then what is missing, failures apart until they are retried.
+
+    Request groups run one after another; a new lens or ``abort`` stops before the next one, and
+    what comes back for an older lens is not stored.
+    """
 
     def __init__(self, cache, client: Client = stub_client):
         self.cache, self.client, self.lens, self.token = cache, client, "", 0
+        self.failures: dict[str, set[tuple[str, str]]] = {}  # by lens; bounded by the tags asked, as those are by the allow-list
+        self.progress = self._idle()
+
+    def _idle(self) -> dict:
+        return {"lens": self.lens, "running": False, "batches": 0, "ok": 0, "failed": 0, "tally": {}, "retryable": 0, "stored": True}
 
     def set_lens(self, lens: str) -> int:
-        """A new lens makes all earlier requests stale."""
-        self.lens, self.token = normalise_lens(lens), self.token + 1
+        """A new lens makes all earlier requests stale; the same one changes nothing."""
+        lens = normalise_lens(lens)
+        if lens != self.lens:
+            self.abort()
+            self.lens = lens
+            self.progress = self._idle()
         return self.token
 
+    def abort(self) -> None:
+        self.token += 1
+
+    def clear(self) -> None:
+        """Forgets all answers and failures."""
+        self.abort()
+        self.cache.clear()
+        self.failures.clear()
+        self.progress = self._idle()
+
+    def _failed(self) -> DataFrame:
+        return self.cache.spark.createDataFrame(sorted(self.failures.get(self.lens, ())), "tag_id string, primitive string")
+
     def ensure(self, tags: DataFrame) -> int:
-        """Evaluates and stores what is missing; the number of new answers. Nothing is stored if the lens changed meanwhile."""
-        token, stored = self.token, self.cache.load(self.lens)
-        new = evaluate_tags(tags, self.lens, self.client, stored).where("num is not null or dist is not null")
-        if token != self.token:
+        """Evaluates and stores what is missing and hasn't failed; the number of new answers."""
+        if not self.lens:
             return 0
-        rows = new.select(F.lit(self.lens).alias("lens"), "tag_id", "primitive", "num", "dist", F.lit("").alias("model"), F.current_timestamp().alias("at")).persist()
-        n = rows.count()
-        if n:
-            self.cache.put(rows)
-        rows.unpersist()
+        lens, token, new = self.lens, self.token, 0
+        plan = planned(tags, lens, self.cache.load(lens), self._failed()).persist()
+        requests = [r[0] for r in plan.select("request").distinct().orderBy("request").collect()]
+        self.progress = self._idle() | {"running": True, "batches": plan.count()}
+        for request in requests:
+            if token != self.token:
+                break
+            new += self._request(evaluate(plan.where(F.col("request") == request), lens, self.client), lens, token)
+        plan.unpersist()
+        if token == self.token:
+            self.progress |= {"running": False, "retryable": self.count_retryable(tags)}
+        return new
+
+    def _request(self, asked: DataFrame, lens: str, token: int) -> int:
+        asked = asked.persist()
+        answered = F.col("num").isNotNull() | F.col("dist").isNotNull()
+        kinds = {r["kind"]: r["n"] for r in asked.where("log is not null").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+        lost = [(r["tag_id"], r["primitive"]) for r in asked.where(~answered).select("tag_id", "primitive").collect()]
+        n = 0
+        if token == self.token:
+            rows = asked.where(answered).select(F.lit(lens).alias("lens"), "tag_id", "primitive", "num", "dist", F.coalesce("model", F.lit("")).alias("model"), F.current_timestamp().alias("at"))
+            n = rows.count()
+            stored = not n or self.cache.put(rows)
+            self.failures.setdefault(lens, set()).update(lost)
+            self.progress["ok"] += kinds.pop("ok", 0)
+            self.progress["failed"] += sum(kinds.values())
+            self.progress["tally"] = {k: self.progress["tally"].get(k, 0) + kinds.get(k, 0) for k in {*self.progress["tally"], *kinds}}
+            self.progress["stored"] = self.progress["stored"] and stored
+        asked.unpersist()
         return n
 
+    def retry(self, tags: DataFrame) -> int:
+        """Asks again for what has failed."""
+        self.failures.pop(self.lens, None)
+        return self.ensure(tags)
+
+    def count_retryable(self, tags: DataFrame) -> int:
+        """Failed pairs among these tags."""
+        return self._failed().join(tags.select("tag_id").distinct(), "tag_id", "left_semi").count()
+
     def evals(self) -> DataFrame:
         return wide(self.cache.load(self.lens))
 

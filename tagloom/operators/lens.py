@@ -9,17 +9,23 @@ from ..functions.style import mix_colour, opacity_for, radius_for, top_choice
 from ..model import CHOICES, LENS_MIN_ZOOM, OPACITY_BASE, RADIUS_BASE, UNEVALUATED
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with 128 bits, ``_k1, _k2``, of its ``tag_ids``."""
+    return df.withColumn("_k1", F.xxhash64("tag_ids")).withColumn("_k2", F.xxhash64(F.lit("k2"), "tag_ids"))
+
+
 def fold(tag_lists: DataFrame, evals: DataFrame) -> DataFrame:
-    """``tag_ids, total, evaluated, score, choice`` of each different tag list.
+    """``_k1, _k2, total, evaluated, score, choice`` of each different tag list.
 
     ``evals`` has ``tag_id, confidence, score, choice``, all but the id nullable. A tag weighs as its
     confidence; where that is missing, as the mean confidence of the list's other tags. If no
     confidence is above 0, tags weigh alike. Scores and choices are averaged apart, each over the
     tags that have one. A weighted mean doesn't change with the unit of its weights, so weights
-    need no normalising by the list's maximum, and all of it is one aggregate of plain sums.
+    need no normalising by the list's maximum, and all of it is one aggregate of plain sums. Lists
+    are told apart by 128 bits, ``_k1, _k2``, which are what is shuffled and joined by.
     """
-    lists = tag_lists.select("tag_ids").distinct().withColumn("k", F.xxhash64("tag_ids"))
-    item = lists.select("tag_ids", F.explode_outer("tag_ids").alias("tag_id"))
+    lists = keyed(tag_lists.select("tag_ids")).dropDuplicates(["_k1", "_k2"])
+    item = lists.select("_k1", "_k2", F.explode_outer("tag_ids").alias("tag_id"))
     j = item.join(evals.select("tag_id", "confidence", "score", "choice", F.lit(1).alias("known")), "tag_id", "left")
     c, s = F.col("confidence"), F.col("score")
     n = len(CHOICES)
@@ -34,7 +40,7 @@ def fold(tag_lists: DataFrame, evals: DataFrame) -> DataFrame:
         agg += [F.sum(F.when(has, c * value)).alias(f"{name}_w"), F.sum(F.when(has & c.isNull(), value)).alias(f"{name}_0"), F.sum(F.when(has, value)).alias(f"{name}_1")]
     for name, has in (("v", s.isNotNull()), ("c", F.col("choice").isNotNull())):
         agg += [F.sum(F.when(has, c)).alias(f"{name}_cw"), F.count_if(has & c.isNull()).alias(f"{name}_c0"), F.count_if(has).alias(f"{name}_c1")]
-    a = j.groupBy("tag_ids").agg(*agg)
+    a = j.groupBy("_k1", "_k2").agg(*agg)
     zero = lambda name: F.coalesce(F.col(name), F.lit(0.0))
     weighted = F.coalesce(F.col("top"), F.lit(0.0)) > 0
 
@@ -44,7 +50,7 @@ def fold(tag_lists: DataFrame, evals: DataFrame) -> DataFrame:
         return F.when(by > 0, value / by)
 
     choice = [mean(f"c{i}", "c") for i in range(n)]
-    return a.select("tag_ids", "total", "evaluated", mean("v", "v").alias("score"), F.when(choice[0].isNotNull(), F.array(*choice)).alias("choice"))
+    return a.select("_k1", "_k2", "total", "evaluated", mean("v", "v").alias("score"), F.when(choice[0].isNotNull(), F.array(*choice)).alias("choice"))
 
 
 def style(folded: DataFrame) -> DataFrame:
@@ -52,7 +58,7 @@ def style(folded: DataFrame) -> DataFrame:
     none = F.col("evaluated") == 0
     state = F.when(none, "none").when(F.col("evaluated") == F.col("total"), "full").otherwise("partial")
     return folded.select(
-        "tag_ids", "total", "evaluated", state.alias("state"), F.when(~none, F.col("score")).alias("score"), F.when(~none, F.col("choice")).alias("choice"),
+        "_k1", "_k2", "total", "evaluated", state.alias("state"), F.when(~none, F.col("score")).alias("score"), F.when(~none, F.col("choice")).alias("choice"),
         F.when(none, RADIUS_BASE).otherwise(radius_for(F.col("score"))).alias("radius"),
         F.when(none, OPACITY_BASE).otherwise(opacity_for(F.col("score"))).alias("opacity"),
         F.when(none | F.col("choice").isNull(), UNEVALUATED).otherwise(mix_colour([F.element_at("choice", i + 1) for i in range(len(CHOICES))])).alias("color"),
@@ -66,7 +72,7 @@ def style_pois(pois: DataFrame, evals: DataFrame, lens: str = "any", zoom: float
     """
     if not lens.strip() or zoom < LENS_MIN_ZOOM:
         evals = evals.limit(0)
-    return pois.select("id", "tag_ids").join(style(fold(pois, evals)), "tag_ids")
+    return keyed(pois.select("id", "tag_ids")).join(style(fold(pois, evals)), ["_k1", "_k2"]).drop("_k1", "_k2")
 
 
 def tallies(styled: DataFrame) -> DataFrame:

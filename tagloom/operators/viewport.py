@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import intersects
+from ..functions.geo import intersects, resolve_level
 from ..model import COUNT_CAP, VIEWPORT_CAP
 
 
@@ -29,6 +30,23 @@ def read_viewport(pois: DataFrame, view: Viewport, cap: int = VIEWPORT_CAP, orde
     return inside(pois, view).orderBy(*order).limit(cap)
 
 
+def view_for(bbox: tuple[float, float, float, float], resolutions: Sequence[float], degrees_a_pixel: float, offset: int = 0) -> Viewport:
+    """The viewport of a screen: its box, and the level for its resolution and the user's offset."""
+    return Viewport(bbox, resolve_level(resolutions, degrees_a_pixel, offset))
+
+
+def view_result(pois: DataFrame, view: Viewport, occ_of: Callable[[DataFrame], DataFrame], allowlist: DataFrame, cap: int = VIEWPORT_CAP) -> DataFrame:
+    """What a read says beside its rows: ``level, count, truncated, dropped_tag_kinds``.
+
+    ``count`` is of the rows that have a geometry; ``truncated`` if the cap is reached, exactly or not.
+    ``dropped_tag_kinds`` is the number of different tags that the allow-list lacks.
+    """
+    rows = read_viewport(pois, view, cap)
+    gone = occ_of(rows.where("lon is not null")).join(allowlist.select("tag_id"), "tag_id", "left_anti").agg(F.countDistinct("tag_id").alias("dropped_tag_kinds"))
+    n = rows.agg(F.count("lon").alias("count"), (F.count("*") >= cap).alias("truncated"))
+    return n.join(gone).select(F.lit(view.max_level).alias("level"), "count", "truncated", "dropped_tag_kinds")
+
+
 def count_viewport(pois: DataFrame, view: Viewport, cap: int = COUNT_CAP) -> DataFrame:
     """``total, capped`` from the box and the level alone; ``capped`` also when exactly at the cap."""
     n = inside(pois.select("bbox", "lod_level"), view).limit(cap).agg(F.count("*").alias("total"))

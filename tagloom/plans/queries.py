@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, style, text
-from ..model import ALLOW_MIN, ALLOW_MIN_REGION, BRAND_KEYS, CHOICES, PRIMARY_KEYS, REGION, ROLES, VIEWPORT_CAP
+from ..model import ALLOW_MIN, ALLOW_MIN_REGION, BRAND_KEYS, CHOICES, PRIMARY_KEYS, PRIMITIVES, REGION, ROLES, VIEWPORT_CAP
 from ..operators import analytics, evaluate, lens, profile, tags, viewport
-from ..sources import poi, sinks
+from ..sources import poi, sinks, tables
 from ..streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,7 +78,13 @@ def occ(spark, d):
 
 
 def allow(spark, d):
-    return tags.build_allowlist(pois(spark, d))
+    """The allow-list of the whole corpus, built once for an input."""
+    return tables.built_once(spark, d, "allowlist", lambda: tags.build_allowlist(pois(spark, d)))
+
+
+def tag_set(spark, d):
+    """The different tags of the corpus, built once for an input."""
+    return tables.built_once(spark, d, "tag_set", lambda: occ(spark, d).select("tag_id").distinct())
 
 
 def share(n, by: int):
@@ -87,7 +93,7 @@ def share(n, by: int):
 
 def evals(spark, d):
     n = F.length("tag_id")
-    t = occ(spark, d).select("tag_id").distinct().where(n % 11 != 0)
+    t = tag_set(spark, d).where(n % 11 != 0)
     ch = F.array(*[(n * (i + 3) % 7 + 1) / F.lit(10.0) for i in range(len(CHOICES))])
     return t.select("tag_id", F.when(n % 3 != 0, n * 13 % 10 / F.lit(10.0)).alias("confidence"), F.when(n % 5 != 0, n * 7 % 41 / F.lit(10.0)).alias("score"), F.when(n % 4 != 0, ch).alias("choice"))
 
@@ -103,8 +109,8 @@ def answers_wide(spark, d):
 
 def answers(spark, d):
     """The long form of the answers: one row for each primitive."""
-    none = F.lit(None)
-    each = F.array(*[F.struct(F.lit(p).alias("primitive"), (F.col(p) if p != "choice" else none.cast("double")).alias("num"), (F.col(p) if p == "choice" else none.cast("array<double>")).alias("dist")) for p in ("confidence", "score", "choice")])
+    none, of = F.lit(None), dict(zip(PRIMITIVES, ("confidence", "score", "choice"), strict=True))
+    each = F.array(*[F.struct(F.lit(p).alias("primitive"), (F.col(of[p]) if p != "choice" else none.cast("double")).alias("num"), (F.col(p) if p == "choice" else none.cast("array<double>")).alias("dist")) for p in PRIMITIVES])
     return answers_wide(spark, d).withColumn("p", F.explode(each)).select("lens", "variant", "tag", "p.primitive", "p.num", "p.dist").where("num is not null or dist is not null")
 
 
@@ -123,7 +129,15 @@ query("viewport_count", with_sql(then=f"SELECT count(*)::BIGINT AS total, count(
 query("viewport_features", with_sql(then=f"SELECT id, CASE WHEN abs(id) > 9007199254740991 THEN id::VARCHAR END AS id_text, lon, lat FROM poi WHERE lon IS NOT NULL AND {BOX}"))(
     lambda s, d: viewport.inside(pois(s, d), VIEW).where("lon is not null").select("id", F.when(F.abs("id") > 9007199254740991, text.json_safe_id(F.col("id"))).alias("id_text"), "lon", "lat")
 )
-query("geojson_features")(lambda s, d: sinks.features(tags.with_tag_ids(viewport.inside(pois(s, d), VIEW))))
+FEATURE = (
+    "'{\"type\":\"Feature\",\"id\":' || i || ',\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || lon || ',' || lat || ']},\"properties\":{\"id\":' || i || "
+    "',\"name\":' || to_json(coalesce(tags['name'], '')) || ',\"tags\":' || to_json(to_json(tags)::VARCHAR) || ',\"tagIds\":' || to_json(to_json(coalesce(ids, []))::VARCHAR) || '}}'"
+)
+IDS = "o2 AS (SELECT id, list(tag_id ORDER BY k, p) AS ids FROM ({}) GROUP BY id)".format(
+    "SELECT id, tag_id, k, p FROM (SELECT id, k, e.key AS key, unnest(CASE WHEN e.key IN ({0}) THEN [trim(e.value)] ELSE list_transform(string_split(lower(e.value), ';'), lambda x: trim(x)) END) AS v, "
+    "generate_subscripts(CASE WHEN e.key IN ({0}) THEN [e.value] ELSE string_split(e.value, ';') END, 1) AS p, e.key || '=' || v AS tag_id FROM (SELECT id, unnest(map_entries(tags)) AS e, generate_subscripts(map_entries(tags), 1) AS k FROM poi)) WHERE v <> '' AND key IN ({1})".format(quoted(BRAND_KEYS), quoted(ROLES))
+)
+query("geojson_features", with_sql(IDS, f"g AS (SELECT poi.*, ids, CASE WHEN abs(id) > 9007199254740991 THEN to_json(id::VARCHAR) ELSE id::VARCHAR END AS i FROM poi LEFT JOIN o2 USING (id) WHERE lon IS NOT NULL AND {BOX})", then=f"SELECT id, {FEATURE} AS feature FROM g"))(lambda s, d: sinks.features(tags.with_tag_ids(viewport.inside(pois(s, d), VIEW))))
 LEVELS = [(i, geo.level_resolution(i)) for i in range(17)]
 TARGETS = [geo.degrees_per_pixel(z) * 0.999 for z in (0, 1, 5.5, 9, 14, 17.2, 25)]
 
@@ -206,8 +220,12 @@ query("split_distinct", with_sql(PAIRS, PARTS, then="SELECT key, count(*)::BIGIN
 
 # --- tags and the allow-list ---------------------------------------------------------------------
 query("poi_tags", with_sql(PAIRS, OCC, then="SELECT id, tag_id FROM tagocc"))(lambda s, d: occ(s, d).select("id", "tag_id"))
-query("allowlist", with_sql(PAIRS, OCC, ALLOW, then="SELECT tag_id, key, value, count::BIGINT AS count, count_jp::BIGINT AS count_jp FROM allow"))(allow)
-query("allowlist_slim")(lambda s, d: sinks.slim_allowlist(s.createDataFrame(list(ROLES.items()), "key string, role string"), allow(s, d)))
+query("allowlist", with_sql(PAIRS, OCC, ALLOW, then="SELECT tag_id, key, value, count::BIGINT AS count, count_jp::BIGINT AS count_jp FROM allow"))(lambda s, d: tags.build_allowlist(pois(s, d)))
+SLIM_ROLES = "{" + ", ".join(f"'{k}': '{r}'" for k, r in ROLES.items()) + "}"
+query(
+    "allowlist_slim",
+    with_sql(PAIRS, OCC, ALLOW, then=f"SELECT '{{\"roles\":' || to_json({SLIM_ROLES}) || ',\"entries\":' || to_json((SELECT list(tag_id ORDER BY tag_id) FROM allow)) || '}}' AS document"),
+)(lambda s, d: sinks.slim_allowlist(s.createDataFrame(list(ROLES.items()), "key string, role string"), allow(s, d)))
 query("allowlist_coverage", with_sql(PAIRS, OCC, ALLOW, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT key, role, coalesce(p, 0)::BIGINT AS pairs, coalesce(t, 0)::BIGINT AS occurrences_total, round(CASE WHEN t > 0 THEN least(1.0::DOUBLE, coalesce(c, 0) / t::DOUBLE) ELSE 0 END, 6) AS coverage FROM pol LEFT JOIN (SELECT key, count(*) AS t FROM raw GROUP BY key) USING (key) LEFT JOIN (SELECT key, count(*) AS p, sum(count) AS c FROM allow GROUP BY key) USING (key)"))(lambda s, d: tags.allowlist_coverage(pois(s, d), allow(s, d)))
 
 
@@ -223,11 +241,11 @@ query("tag_sample_names", with_sql(PAIRS, OCC, "named AS (SELECT id, lod_level,
 query("tag_roles", with_sql(PAIRS, OCC, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT role, count(DISTINCT tag_id)::BIGINT AS tags FROM tagocc JOIN pol USING (key) GROUP BY role"))(lambda s, d: occ(s, d).select("tag_id").distinct().groupBy(tags.role_of(F.col("tag_id")).alias("role")).agg(F.count("*").alias("tags")))
 
 # --- evaluation ----------------------------------------------------------------------------------
-LONG = "long AS (SELECT tag_id, 'confidence' AS primitive FROM evals WHERE confidence IS NOT NULL UNION ALL SELECT tag_id, 'score' FROM evals WHERE score IS NOT NULL UNION ALL SELECT tag_id, 'choice' FROM evals WHERE choice IS NOT NULL), wanted AS (SELECT tag_id, primitive FROM tagset, (VALUES ('confidence'), ('score'), ('choice')) AS p(primitive))"
+LONG = "long AS (SELECT tag_id, 'noul' AS primitive FROM evals WHERE confidence IS NOT NULL UNION ALL SELECT tag_id, 'score' FROM evals WHERE score IS NOT NULL UNION ALL SELECT tag_id, 'choice' FROM evals WHERE choice IS NOT NULL), wanted AS (SELECT tag_id, primitive FROM tagset, (VALUES ('noul'), ('score'), ('choice')) AS p(primitive))"
 
 
 def long_evals(s, d):
-    has = F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), p) for p in ("confidence", "score", "choice")]))
+    has = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), p) for c, p in zip(("confidence", "score", "choice"), PRIMITIVES, strict=True)]))
     return evals(s, d).select("tag_id", F.explode(has).alias("primitive"))
 
 
@@ -250,10 +268,66 @@ query("batch_plan")(lambda s, d: evaluate.plan_batches(ranked_tags(s, d), "place
 query("evaluated_tags", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, array_to_string(choice, ',') AS choice FROM evals WHERE confidence IS NOT NULL OR score IS NOT NULL OR choice IS NOT NULL"))(
     lambda s, d: evaluate.wide(evaluate.evaluate_tags(occ(s, d).groupBy("tag_id").agg(F.count("*").alias("count")), "places to sit").where("num is not null or dist is not null")).select("tag_id", "confidence", "score", F.array_join(F.transform("choice", lambda x: x.cast("string")), ",").alias("choice"))
 )
-FAIL = "CASE WHEN status = 429 THEN 'rate_limited' WHEN status >= 500 THEN 'upstream' ELSE 'ok' END"
+FAIL = "CASE WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'ok' END"
 query("failure_tally", f"WITH {ATTEMPTS} SELECT {FAIL} AS kind, count(*)::BIGINT AS n FROM attempts GROUP BY 1")(lambda s, d: attempts(s, d).groupBy(evaluate.failure_kind(F.col("status")).alias("kind")).agg(F.count("*").alias("n")))
 query("resume_jobs", f"WITH {ATTEMPTS} SELECT DISTINCT round, condition FROM attempts a WHERE NOT EXISTS (SELECT 1 FROM attempts b WHERE b.round = a.round AND b.condition = a.condition AND b.status = 200 AND b.ms < 200)")(lambda s, d: poi.remaining(attempts(s, d).select("round", "condition").distinct(), attempts(s, d).where("ms < 200"), ["round", "condition"]))
 
+
+
+def _fails(request: dict):
+    """A client for ``attempt_log``: what it replies depends on the tag's length."""
+    n = len(next(iter(request["questions"])))
+    return ({0: 400, 1: 503, 2: 529, 3: evaluate.TIMEOUT}.get(n % 7, 200), {}, {"answers": {}} if n % 7 > 4 else {})
+
+
+def _no_wait(_: float) -> None:
+    pass
+
+
+STATUS = "(CASE length(tag_id) % 7 WHEN 0 THEN 400 WHEN 1 THEN 503 WHEN 2 THEN 529 WHEN 3 THEN -1 ELSE 200 END)"
+KIND = "(CASE length(tag_id) % 7 WHEN 0 THEN 'invalid' WHEN 1 THEN 'server' WHEN 2 THEN 'overloaded' WHEN 3 THEN 'timeout' WHEN 4 THEN 'invalid' ELSE 'ok' END)"
+
+
+@query("attempt_log", with_sql(PAIRS, OCC, f"k AS (SELECT DISTINCT tag_id, {STATUS} AS status, {KIND} AS kind FROM tagocc)", then="SELECT tag_id, primitive, attempt::INTEGER AS attempt, status::INTEGER AS status, kind, 1::INTEGER AS questions FROM k, (VALUES ('noul'), ('score')) AS p(primitive), range(1, 7) AS r(attempt) WHERE attempt = 1 OR kind IN ('server', 'overloaded', 'timeout')"))
+def attempt_log(s, d):
+    """Each attempt of each request, one tag a request."""
+    plan = evaluate.plan_batches(ranked_tags(s, d), "places to sit", ("noul", "score"), most=1)
+    done = evaluate.evaluate(plan, "places to sit", _fails, sleep=_no_wait, concurrency=s.sparkContext.defaultParallelism)
+    return done.where("log is not null").select("tag_id", "primitive", F.explode("log").alias("l")).select("tag_id", "primitive", "l.attempt", "l.status", "l.kind", "l.questions")
+
+
+def tag_totals(s, d):
+    return occ(s, d).groupBy("tag_id").agg(F.count("*").alias("count"))
+
+
+query("planned_missing", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI JOIN long USING (tag_id, primitive)"))(
+    lambda s, d: evaluate.planned(tag_totals(s, d), "places to sit", long_evals(s, d)).select(F.explode("tags").alias("tag_id"), "primitive")
+)
+
+
+@query("retry_plan", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive, CASE WHEN primitive = 'score' THEN 'retry' ELSE 'now' END AS asked FROM wanted ANTI JOIN long USING (tag_id, primitive)"))
+def retry_plan(s, d):
+    """What is asked now, and what only a retry asks, when all missing scores have failed."""
+    failed = evaluate.missing(tag_set(s, d), long_evals(s, d)).where("primitive = 'score'")
+    pairs = lambda plan: plan.select(F.explode("tags").alias("tag_id"), "primitive")
+    now = pairs(evaluate.planned(tag_totals(s, d), "places to sit", long_evals(s, d), failed)).withColumn("asked", F.lit("now"))
+    again = pairs(evaluate.planned(tag_totals(s, d), "places to sit", long_evals(s, d))).join(now, ["tag_id", "primitive"], "left_anti")
+    return now.unionByName(again.withColumn("asked", F.lit("retry")))
+
+
+SCREEN = (VIEW.bbox, [r for _, r in LEVELS], 0.1, 1)
+
+
+@query("viewport_result", with_sql(PAIRS, OCC, ALLOW, f"vp AS (SELECT * FROM poi WHERE {BOX.rsplit(' AND ', 1)[0]} AND lod_level <= {viewport.view_for(*SCREEN).max_level} ORDER BY lod_level, id LIMIT 2000)", then=f"SELECT {viewport.view_for(*SCREEN).max_level}::INTEGER AS level, (SELECT count(lon) FROM vp)::BIGINT AS count, (SELECT count(*) >= 2000 FROM vp) AS truncated, (SELECT count(DISTINCT tag_id) FROM tagocc SEMI JOIN vp USING (id) ANTI JOIN allow USING (tag_id))::BIGINT AS dropped_tag_kinds"))
+def viewport_result(s, d):
+    return viewport.view_result(pois(s, d), viewport.view_for(*SCREEN), tags.occurrences, allow(s, d), 2000)
+
+
+query("allowlist_document", with_sql(PAIRS, OCC, ALLOW, then="SELECT count(*)::BIGINT AS pairs, sum(count)::BIGINT AS total FROM allow"))(
+    lambda s, d: sinks.full_allowlist(s.createDataFrame(list(ROLES.items()), "key string, role string"), allow(s, d), ALLOW_MIN, ALLOW_MIN_REGION)
+    .select(F.from_json("document", "pairs long, entries array<struct<count:long>>").alias("d")).select("d.pairs", F.aggregate("d.entries", F.lit(0).cast("long"), lambda a, e: a + e["count"]).alias("total"))
+)
+
 # --- lens ----------------------------------------------------------------------------------------
 LENS = (
     "j AS (SELECT o.id, o.tag_id, e.tag_id IS NOT NULL AS known, confidence, score, choice FROM tagocc o LEFT JOIN evals e ON o.tag_id = e.tag_id), "
@@ -298,7 +372,7 @@ query("top_bottom", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, score, 'top
 
 # --- analytics -----------------------------------------------------------------------------------
 ANS = (PAIRS, OCC, EVALS, ANSWERS)
-NUMS = "nums AS (SELECT lens, variant, 'confidence' AS primitive, confidence AS num, 0.0::DOUBLE AS lo, 4.0::DOUBLE AS hi FROM answers UNION ALL SELECT lens, variant, 'score', score, 0, 4 FROM answers)"
+NUMS = "nums AS (SELECT lens, variant, 'noul' AS primitive, confidence AS num, 0.0::DOUBLE AS lo, 4.0::DOUBLE AS hi FROM answers UNION ALL SELECT lens, variant, 'score', score, 0, 4 FROM answers)"
 BIN = "least(9, greatest(0, floor((num - 0) / 4.0::DOUBLE * 10)))"
 TOP = "list_position({0}, list_max({0}))"
 PAIR = "pr AS (SELECT a.lens, a.tag, a.score AS a, b.score AS b, a.choice AS da, b.choice AS db, a.confidence AS ca, b.confidence AS cb FROM answers a JOIN answers b ON a.lens = b.lens AND a.tag = b.tag AND a.variant = 'full' AND b.variant = 'slim')"
@@ -336,20 +410,20 @@ query("described_tags", with_sql(PAIRS, OCC, "de(tag_id, ja, en) AS (VALUES ('am
 )
 
 
-@query("answer_values", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, CASE WHEN choice IS NOT NULL THEN 'main' END AS choice, CASE WHEN score > 2 THEN 'score-high' ELSE 'score' END AS label FROM evals"))
+@query("answer_values", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, CASE WHEN choice IS NOT NULL THEN '主役' END AS choice, CASE WHEN score > 2 THEN 'score-high' ELSE 'score' END AS label FROM evals"))
 def answer_values(s, d):
     """Values read back from JSON answers."""
     e = evals(s, d)
     js = lambda name, c: F.to_json(F.struct(c.alias(name)))
     read = lambda p, name, c, i: text.answer_value(js(name, c), F.lit(p))[i]
-    pick = F.when(F.col("choice").isNotNull(), "main")
+    pick = F.when(F.col("choice").isNotNull(), CHOICES[0])
     label = text.variant_label(F.lit("score"), F.when(F.col("score") > 2, "high"))
-    return e.select("tag_id", read("confidence", "probability", F.col("confidence"), 0).alias("confidence"), read("score", "score", F.col("score"), 0).alias("score"), read("choice", "choice", pick, 1).alias("choice"), label.alias("label"))
+    return e.select("tag_id", read("noul", "probability", F.col("confidence"), 0).alias("confidence"), read("score", "score", F.col("score"), 0).alias("score"), read("choice", "choice", pick, 1).alias("choice"), label.alias("label"))
 
 
 query("parsed_tags", with_sql(then="SELECT id, cardinality(tags)::INTEGER AS n, tags['amenity'] AS amenity FROM poi"))(lambda s, d: pois(s, d).select("id", text.parse_tags(F.to_json("tags")).alias("t")).select("id", F.size("t").alias("n"), F.col("t")["amenity"].alias("amenity")))
 query("summary_document")(lambda s, d: sinks.as_document(profile.row_stats(pois(s, d))))
-query("display_order")(lambda s, d: tags.display_order(tags.tag_counts(occ(s, d))))
+query("display_order", with_sql(PAIRS, OCC, then="SELECT tag_id, count(*)::BIGINT AS count, count(DISTINCT id)::BIGINT AS pois FROM tagocc GROUP BY tag_id"))(lambda s, d: tags.display_order(tags.tag_counts(occ(s, d))))
 
 
 @query("viewport_document")

@@ -17,6 +17,8 @@ EDGE_ROWS = (
     (-4, {"unknown": "x", "addr:city": "Y", "addr:street": "Z"}, -60.0, 10.0, 3),
     (-5, {"amenity": "cafe", "shop": "bakery", "tourism": "museum", "name:ja": "名", "name": "two"}, 140.0, 36.0, 16),
     (-6, {"amenity": "cafe", "website": "https://example.org/a", "phone": "+81 3-1234", "wikidata": "Q42"}, None, None, 16),
+    (-7, {"cuisine": "Ramen"}, 139.0, 35.0, 9),
+    (-8, {"cuisine": " ramen"}, 138.0, 35.0, 9),
     (9007199254740993, {"amenity": "bar", "ele": "12,5", "description": "x" * 41}, 10.0, 50.0, 5),
 )
 
@@ -31,7 +33,8 @@ def events_as_pois(spark: SparkSession, sf_dir: str, edges: bool = True) -> Data
     lat = (F.col("event_id") * 6151) % 18000 / F.lit(100.0) - 90.0
     out = j.select(F.col("event_id").alias("id"), tags.alias("tags"), lon.alias("lon"), lat.alias("lat"), (F.col("event_id") % 17).cast("int").alias("lod_level"))
     if edges:
-        out = out.unionByName(spark.createDataFrame(list(EDGE_ROWS), "id long, tags map<string,string>, lon double, lat double, lod_level int"))
+        rows = spark.createDataFrame(list(EDGE_ROWS), "id long, tags map<string,string>, lon double, lat double, lod_level int")
+        out = out.unionByName(rows.withColumn("tags", F.map_from_entries(F.array_sort(F.map_entries("tags")))))  # a Python dict's keys come in any order
     box = F.when(F.col("lon").isNotNull(), F.struct(F.col("lon").alias("xmin"), F.col("lat").alias("ymin"), F.col("lon").alias("xmax"), F.col("lat").alias("ymax")))
     return out.select("id", "tags", "lod_level", "lon", "lat", box.alias("bbox"))
 
@@ -41,7 +44,7 @@ def edge_sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
 
     def tags(m):
-        return "MAP{" + ", ".join(f"{q(k)}: {q(v)}" for k, v in m.items()) + "}" if m else "map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])"
+        return "MAP{" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(m.items())) + "}" if m else "map_from_entries([]::STRUCT(k VARCHAR, v VARCHAR)[])"
 
     num = lambda v: "NULL::DOUBLE" if v is None else f"{v}::DOUBLE"
     return " UNION ALL ".join(f"SELECT {i}::BIGINT, {tags(m)}, {num(x)}, {num(y)}, {z}::INTEGER" for i, m, x, y, z in EDGE_ROWS)

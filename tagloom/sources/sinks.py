@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +26,18 @@ def as_document(df: DataFrame, column: str = "document") -> DataFrame:
 
 
 def features(pois: DataFrame) -> DataFrame:
-    """GeoJSON point features; rows without geometry are left out. Tags and tag ids are JSON text in the properties."""
+    """GeoJSON point features; rows without geometry are left out. ``name`` is empty where there is none; tags and tag ids are JSON text in the properties."""
     big = F.abs("id") > MAX_SAFE_INTEGER
-    props = F.struct(F.to_json("tags").alias("tags"), F.to_json("tag_ids").alias("tagIds"))
+    props = lambda i: F.struct(i.alias("id"), F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), F.to_json("tags").alias("tags"), F.to_json("tag_ids").alias("tagIds"))
     geometry = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
-    as_text = F.to_json(F.struct(F.lit("Feature").alias("type"), json_safe_id(F.col("id")).alias("id"), geometry.alias("geometry"), props.alias("properties")))
-    as_number = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id"), geometry.alias("geometry"), props.alias("properties")))
-    return pois.where("lon is not null").select("id", F.when(big, as_text).otherwise(as_number).alias("feature"))
+    one = lambda i: F.to_json(F.struct(F.lit("Feature").alias("type"), i.alias("id"), geometry.alias("geometry"), props(i).alias("properties")))
+    return pois.where("lon is not null").select("id", F.when(big, one(json_safe_id(F.col("id")))).otherwise(one(F.col("id"))).alias("feature"))
+
+
+def feature_collection(pois: DataFrame) -> DataFrame:
+    """One collection of the features, in the order of their ids. For viewports, which are capped; larger sets are written as lines of ``features``."""
+    f = features(pois).agg(F.sort_array(F.collect_list(F.struct("id", "feature"))).alias("f"))
+    return f.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("document"))
 
 
 def slim_allowlist(roles: DataFrame, allowlist: DataFrame) -> DataFrame:
@@ -40,29 +47,55 @@ def slim_allowlist(roles: DataFrame, allowlist: DataFrame) -> DataFrame:
     return as_document(r.join(e))
 
 
+def full_allowlist(roles: DataFrame, allowlist: DataFrame, least: int, least_region: int) -> DataFrame:
+    """The full document: thresholds, roles, and the entries with their counts, the most frequent first. One row; an allow-list is small."""
+    r = roles.agg(F.map_from_entries(F.collect_list(F.struct("key", "role"))).alias("roles"))
+    e = allowlist.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "tag_id", "key", "value", "count", "count_jp"))).alias("e"))
+    e = e.select(F.transform("e", lambda x: x.dropFields("o")).alias("entries"), F.size("e").alias("pairs"))
+    return as_document(r.join(e).select(F.lit(least).alias("min_count"), F.lit(least_region).alias("min_count_region"), "pairs", "roles", "entries"))
+
+
+ROWS = "tag_id string, primitive string, num double, dist array<double>, model string, at timestamp, schema_version int, lens string"
+
+
 class EvalCache:
     """Evaluations as a Parquet table by schema version and lens. A new version starts empty."""
 
     def __init__(self, spark: SparkSession, path: str, version: int = SCHEMA_VERSION):
         self.spark, self.path, self.version = spark, path, version
 
-    def put(self, rows: DataFrame) -> None:
-        """Appends ``lens, tag_id, primitive, num, dist, model, at``; the latest row of a key counts."""
-        rows.withColumn("schema_version", F.lit(self.version)).write.mode("append").partitionBy("schema_version", "lens").parquet(self.path)
+    def put(self, rows: DataFrame) -> bool:
+        """Appends ``lens, tag_id, primitive, num, dist, model, at``; the latest row of a key counts. Whether it could be written: a cache that fails costs a question, not the answer."""
+        try:
+            rows.withColumn("schema_version", F.lit(self.version)).write.mode("append").partitionBy("schema_version", "lens").parquet(self.path)
+        except (PySparkException, Py4JJavaError):
+            return False
+        return True
+
+    def _rows(self) -> DataFrame:
+        """What is stored; nothing if the path isn't there yet."""
+        try:
+            return self.spark.read.schema(ROWS).parquet(self.path)
+        except AnalysisException:
+            return self.spark.createDataFrame([], ROWS)
 
     def load(self, lens: str | None = None) -> DataFrame:
-        df = self.spark.read.schema("tag_id string, primitive string, num double, dist array<double>, model string, at timestamp, schema_version int, lens string").parquet(self.path)
-        df = df.where(F.col("schema_version") == self.version)
+        df = self._rows().where(F.col("schema_version") == self.version)
         return latest(df if lens is None else df.where(F.col("lens") == lens)).drop("schema_version")
 
     def count(self, lens: str | None = None) -> int:
         return self.load(lens).count()
 
     def clear(self) -> None:
-        self.spark.createDataFrame([], "tag_id string, primitive string, num double, dist array<double>, model string, at timestamp, schema_version int, lens string").write.mode("overwrite").partitionBy("schema_version", "lens").parquet(self.path)
+        self.spark.createDataFrame([], ROWS).write.mode("overwrite").partitionBy("schema_version", "lens").parquet(self.path)
+
+    def compact(self, into: str) -> EvalCache:
+        """The latest rows, a file for each lens, at another path, which readers then use."""
+        self.load().withColumn("schema_version", F.lit(self.version)).repartition("lens").write.mode("overwrite").partitionBy("schema_version", "lens").parquet(into)
+        return EvalCache(self.spark, into, self.version)
 
 
 def latest(df: DataFrame, *keys: str) -> DataFrame:
-    """The latest row (``at``) of each key."""
-    w = Window.partitionBy(*(keys or ("lens", "tag_id", "primitive"))).orderBy(F.desc("at"))
+    """The latest row (``at``) of each key; ties go to the greatest by the other columns."""
+    w = Window.partitionBy(*(keys or ("lens", "tag_id", "primitive"))).orderBy(F.desc("at"), *[F.desc(c) for c in sorted(df.columns)])
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -59,7 +59,7 @@ def test_style_values(spark):
         assert one(*[3.0 * (i == k) for k in range(5)]) == c.lower()
     assert one(0, 0, 0, 0, 0) == one(-1, 0, 0, 0, -2) == "#333333" and one(1, 1, 0, 0, 0) == one(2, 2, -1, 0, 0)
     top = spark.range(1).select(style.top_choice(F.array(F.lit(0.2), F.lit(0.4), F.lit(0.4), F.lit(0.0), F.lit(0.0))).alias("t")).first().t
-    assert (top.name, top.percent) == ("support", 40)
+    assert (top.name, top.percent) == ("脇役", 40)
 
 
 def test_tag_ids(spark):
@@ -101,7 +101,7 @@ def test_lens_text():
 def test_batches(spark):
     t = spark.createDataFrame([(i, f"amenity=t{i:03d}") for i in range(500)], "ord long, tag_id string")
     got = evaluate.plan_batches(t, "kids", budget=10**9).orderBy("batch").collect()
-    assert [(b.primitive, b.first, len(b.tags)) for b in got[:3]] == [("confidence", 0, 190), ("score", 0, 190), ("choice", 0, 190)]
+    assert [(b.primitive, b.first, len(b.tags)) for b in got[:3]] == [("noul", 0, 190), ("score", 0, 190), ("choice", 0, 190)]
     assert [b.first for b in got] == sorted(b.first for b in got) and got[-1].batch == 8 and got[-1].request == 1
     frame = evaluate.request_chars({"model": "", "state": evaluate.state("kids"), "questions": {}})
     one = evaluate.request_chars({"amenity=t000": evaluate.question("amenity=t000", "score")})
@@ -111,19 +111,24 @@ def test_batches(spark):
 
 
 def test_retry():
-    waits, replies = [], iter([(503, {}, {}), (429, {"Retry-After": "2"}, {}), (200, {}, {"a": {"score": 1}})])
-    status, answers, tries = evaluate.call_with_retry(lambda r: next(replies), {}, waits.append, lambda: 0.5)
-    assert (status, answers, tries) == (200, {"a": {"score": 1}}, [(1, 503), (2, 429), (3, 200)]) and waits == [0.3, 2.0]
-    assert evaluate.call_with_retry(lambda r: (400, {}, {}), {})[2] == [(1, 400)]
-    assert len(evaluate.call_with_retry(lambda r: (0, {}, {}), {}, waits.append)[2]) == 6
+    waits, replies = [], iter([(503, {}, {}), (429, {"Retry-After": "2"}, {}), (200, {}, {"answers": {"a": {"score": 1}}, "model": "m"})])
+    kind, reply, log = evaluate.call_with_retry(lambda r: next(replies), {}, waits.append, lambda: 0.5)
+    assert (kind, reply["answers"], reply["model"]) == ("ok", {"a": {"score": 1}}, "m") and waits == [0.3, 2.0]
+    assert [(x["attempt"], x["status"], x["kind"]) for x in log] == [(1, 503, "server"), (2, 429, "rate_limit"), (3, 200, "ok")]
+    told = []
+    evaluate.call_with_retry(lambda r: (529, {"retry-after": "1"}, {}), {}, told.append, lambda: 1.0)
+    assert told == pytest.approx([1.3] * 5)  # a told wait has jitter too
+    for status, kind, tries in ((400, "invalid", 1), (408, "invalid", 1), (401, "auth", 1), (200, "invalid", 1), (evaluate.NETWORK, "network", 6), (evaluate.TIMEOUT, "timeout", 6), (529, "overloaded", 6)):
+        got = evaluate.call_with_retry(lambda r: (status, {}, {"body": "x" * 400}), {}, waits.append)  # noqa: B023
+        assert (got[0], len(got[2]), len(got[2][0]["body"])) == (kind, tries, 301) and got[1] == {}
     now = datetime(2026, 1, 1, tzinfo=timezone.utc)
     assert evaluate.retry_after_ms("Thu, 01 Jan 2026 00:00:05 GMT", now) == 5000 and evaluate.retry_after_ms("-3") == 0
     assert evaluate.retry_after_ms("Wed, 31 Dec 2025 23:00:00 GMT", now) == 0 and evaluate.retry_after_ms("soon") is None is evaluate.retry_after_ms(None)
 
 
 def test_parse_answer():
-    assert evaluate.parse_answer("confidence", {"probability": 1}) == (1.0, None) and evaluate.parse_answer("score", {"score": "3"}) is None
-    assert evaluate.parse_answer("choice", {"probabilities": {"main": 0.5, "unrelated": math.nan}}) == (None, [0.5, 0, 0, 0, 0])
+    assert evaluate.parse_answer("noul", {"probability": 1}) == (1.0, None) and evaluate.parse_answer("score", {"score": "3"}) is None
+    assert evaluate.parse_answer("choice", {"probabilities": {"主役": 0.5, "無関係": math.nan}}) == (None, [0.5, 0, 0, 0, 0])
     assert evaluate.parse_answer("choice", {}) is evaluate.parse_answer("score", None) is evaluate.parse_answer("score", {"score": True}) is None
 
 
@@ -145,7 +150,42 @@ def test_session_and_cache(spark, tmp_path):
 def test_failed_evaluator(spark):
     t = spark.createDataFrame([(1, "a=b"), (2, "c=d")], "ord long, tag_id string")
     got = evaluate.evaluate(evaluate.plan_batches(t, "kids"), "kids", lambda r: (503, {}, {}), sleep=lambda s: None).collect()
-    assert len(got) == 6 and all(r.status == 503 and r.attempts == 6 and r.num is None for r in got)
+    assert len(got) == 6 and all(r.kind == "server" and r.attempts == 6 and r.num is None for r in got)
+    log = evaluate.attempt_log(spark.createDataFrame(got, evaluate.EVENTS)).collect()
+    assert len(log) == 18 and {r.status for r in log} == {503} and {r.questions for r in log} == {2}
+
+
+def test_only_what_is_missing_is_asked(spark):
+    """Cached pairs and failed ones are no question; batches of the same tags run together."""
+    t = spark.createDataFrame([("a=b", 5), ("c=d", 9), ("e=f", 1)], "tag_id string, count long")
+    cache = spark.createDataFrame([("a=b", "noul"), ("c=d", "score")], "tag_id string, primitive string")
+    failed = spark.createDataFrame([("e=f", "choice")], "tag_id string, primitive string")
+    got = [(r.batch, r.primitive, r.tags) for r in evaluate.planned(t, "kids", cache, failed).orderBy("batch").collect()]
+    assert got == [(0, "noul", ["c=d", "e=f"]), (1, "score", ["a=b", "e=f"]), (2, "choice", ["c=d", "a=b"])]
+    assert evaluate.planned(t, "kids", cache, failed, ["noul"]).count() == 1
+
+
+def test_session_keeps_failures_apart(spark, tmp_path):
+    cache = sinks.EvalCache(spark, str(tmp_path / "cache"))
+    assert cache.count() == 0  # the path isn't there yet
+    t = spark.createDataFrame([("amenity=cafe", 5), ("brand=A", 3)], "tag_id string, count long")
+    session = evaluate.LensSession(cache, lambda r: (503, {"retry-after": "0"}, {}))
+    session.set_lens("kids")
+    assert session.ensure(t) == 0 and session.progress["tally"] == {"server": 3} and session.progress["retryable"] == 6 == session.count_retryable(t)
+    session.client = evaluate.stub_client
+    assert session.ensure(t) == 0 and cache.count() == 0  # failed ones are not asked again by themselves
+    token = session.set_lens(" kids。")
+    assert token == session.token and session.count_retryable(t) == 6  # the same lens
+    n = session.retry(t)
+    assert n == cache.count("kids") > 0 and session.count_retryable(t) == 6 - n and not session.progress["running"]
+    assert cache.load("kids").where("model = 'stub'").count() == n
+    session.set_lens("quiet")
+    assert session.evals().count() == 0 and session.count_retryable(t) == 0
+    small = cache.compact(str(tmp_path / "compact"))
+    assert small.count("kids") == n
+    session.clear()
+    assert cache.count() == 0
+    assert not sinks.EvalCache(spark, "nosuch://x/y").put(cache.spark.createDataFrame([("k", "a=b", "score", 1.0, None, "m", None)], "lens string, tag_id string, primitive string, num double, dist array<double>, model string, at timestamp"))
 
 
 def test_stream_replay(spark, tmp_path):
@@ -210,6 +250,11 @@ def test_scan_is_pruned(spark, tmp_path):
 def test_documents(spark, tmp_path):
     fs = [json.loads(r.feature) for r in plans.QUERIES["geojson_features"](spark, plans_dir()).collect()]
     assert all(f["type"] == "Feature" and isinstance(json.loads(f["properties"]["tags"]), dict) for f in fs)
+    whole = json.loads(sinks.feature_collection(tags.with_tag_ids(plans.pois(spark, plans_dir()).where("id < 0"))).first().document)
+    assert whole["type"] == "FeatureCollection" and {f["properties"]["name"] for f in whole["features"]} >= {"one", "two", ""}
+    full = json.loads(sinks.full_allowlist(spark.createDataFrame(list(model.ROLES.items()), "key string, role string"), plans.allow(spark, plans_dir()), 100, 20).first().document)
+    counts = [e["count"] for e in full["entries"]]
+    assert full["pairs"] == len(counts) and counts == sorted(counts, reverse=True) and full["min_count"] == 100
     big = sinks.features(tags.with_tag_ids(plans.pois(spark, plans_dir()).where("id > 9007199254740991"))).first()
     assert json.loads(big.feature)["id"] == "9007199254740993"
     doc = plans.QUERIES["allowlist_slim"](spark, plans_dir()).first().document
