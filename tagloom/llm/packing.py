@@ -74,7 +74,7 @@ def plan_bins(hist: dict[int, int], capacities=CAPACITIES, cost=bin_cost) -> tup
                 left[n] = c
                 size = min((s for s in caps if s >= n), key=lambda s: (cost(s) / carried(s, n), s))
                 room, k = size, size // n
-                first, many = bins, -(-c // k)
+                first, many = bins, max(1, c // k)  # what is left of a bin chooses again
                 bins += many
             used = min(many, c // k)
             if used:

@@ -62,19 +62,39 @@ def test_packing_places_every_token_once_and_shrinks_bins(docs):
 
 
 def test_plan_is_best_fit():
-    """Run by run, the plan equals best fit done piece by piece with the capacities it opened."""
+    """Piece by piece: each goes to the fullest open bin that takes it; a bin is opened only if none does, of the size that costs least for what it will carry."""
     rng = random.Random(1)
-    hist = Counter(rng.randrange(1, 65) for _ in range(500))
-    seg, runs = packing.plan_bins(hist, (16, 32, 64))
-    bins = defaultdict(int)
-    for n, rank, k, first, offset in sorted(seg.tolist(), key=lambda s: (-s[0], s[1])):
-        nxt = min([s[1] for s in seg.tolist() if s[0] == n and s[1] > rank], default=hist[n])
-        for p in range(nxt - rank):
-            assert bins[first + p // k] == offset + p % k * n
-            bins[first + p // k] += n
-    assert sum(bins.values()) == sum(n * c for n, c in hist.items())
-    for (a, used, cap), b in zip(runs.tolist(), [*runs[1:, 0].tolist(), len(bins)]):
-        assert all(bins[x] == used for x in range(a, b)) and used <= cap
+    caps = (16, 32, 64)
+    for hist in (Counter(rng.randrange(1, 65) for _ in range(500)), Counter(rng.choice((5, 7, 31, 33, 64)) for _ in range(300)), Counter({3: 1}), Counter({40: 7, 24: 3, 1: 100})):
+        seg, runs = packing.plan_bins(hist, caps)
+        seg = seg.tolist()
+        used, size, left = {}, {}, dict(hist)
+
+        def carried(cap, n):
+            todo, full = [x for x in sorted(left, reverse=True) if x <= n for _ in range(left[x])], 0
+            for x in todo:  # the largest that still fits, again and again
+                if full + x <= cap:
+                    full += x
+            return full
+
+        for n, rank, k, first, offset in sorted(seg, key=lambda s: (-s[0], s[1])):
+            nxt = min([s[1] for s in seg if s[0] == n and s[1] > rank], default=hist[n])
+            for p in range(nxt - rank):
+                at = first + p // k
+                fits = [size[b] - used[b] for b in used if size[b] - used[b] >= n]
+                if at not in used:
+                    assert not fits and offset + p % k * n == 0
+                    if p == 0:
+                        best = min((c for c in caps if c >= n), key=lambda c: (packing.bin_cost(c) / carried(c, n), c))
+                    used[at], size[at] = 0, best
+                else:
+                    assert size[at] - used[at] == min(fits)
+                assert used[at] == offset + p % k * n
+                used[at] += n
+                left[n] -= 1
+        assert sum(used.values()) == sum(n * c for n, c in hist.items()) and not any(left.values())
+        for (a, tokens, cap), b in zip(runs.tolist(), [*runs[1:, 0].tolist(), len(used)]):
+            assert all(used[x] == tokens and cap == min(c for c in caps if c >= tokens) for x in range(a, b))
 
 
 def test_urls_against_plain_python(spark):
@@ -146,6 +166,34 @@ def test_fingerprints_against_plain_python(docs):
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(e.encode()).hexdigest())
         assert r.fingerprint == str(fingerprints.Fingerprint.of(t)) and r.edited_fingerprint == str(fingerprints.Fingerprint.of(e))
         assert 0 <= r.near_next <= 1 and (r.near_edited == 1) == (r.fingerprint == r.edited_fingerprint)
+        assert r.near_edited == pytest.approx(plain_likeness(t, e)) and r.near_next == pytest.approx(plain_likeness(t, nxt))
+
+
+def plain_likeness(a, b):
+    """Cosine of the sums of signed hashes of the word triples of each line."""
+    if Counter(a.encode().split(b"\n")) == Counter(b.encode().split(b"\n")):
+        return 1.0
+    mul = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD]
+    sums = []
+    for text in (a, b):
+        lanes = [0] * 128
+        for line in text.encode().split(b"\n"):
+            h = [0, 0, *(zlib.crc32(w) for w in line.split())]
+            for x, y, z in zip(h, h[1:], h[2:]):
+                v = (x * mul[0] + y * mul[1] + z * mul[2]) % 2**64
+                v = (v ^ v >> 29) * mul[3] % 2**64
+                lanes[v >> 57] += 1 if v >> 56 & 1 else -1
+        sums.append(lanes)
+    x, y = sums
+    norm = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return min(1.0, max(0.0, sum(v * w for v, w in zip(x, y)) / norm)) if norm else 0.0
+
+
+def test_fingerprints_with_text_ids_and_clashing_columns(spark):
+    rows = [(f"id{i:05d}", f"some text {i} " * 3, "x", 1) for i in range(2500)]
+    df = spark.createDataFrame([*rows, (None, None, None, 2)], "doc_id string, text string, next string, range int")
+    out = {r.doc_id: r for r in fingerprints.fingerprint_edits(df.repartition(3)).collect()}
+    assert len(out) == 2501 and out["id00007"].near_next == pytest.approx(plain_likeness(rows[7][1], rows[6][1]))
 
 
 def test_fingerprint_ranges(docs):
@@ -544,6 +592,76 @@ def test_language_text_and_evidence(spark, docs):
     assert [got[i] for i in (500, 501, 502, 503, 504)] == ["de", "en", "de", "en", "de"]
 
 
+def plain_posteriors(rows, sample, languages, models, text_weight=300.0, prior_weight=10.0):
+    """lang and confidence of (id, text, declared, host, suffix), by the definitions, with dictionaries."""
+    c = language.CLASSES
+    n3 = {x: Counter() for x in languages}
+    for text, lang in sample:
+        n3[lang].update(language.trigrams(text).tolist())
+    n2 = {x: Counter() for x in languages}
+    n1, all2, all3 = ({x: Counter() for x in languages} for _ in range(3))
+    for x in languages:
+        for g, n in n3[x].items():
+            n1[x][g % c] += n
+            n2[x][g % c**2] += n
+            all2[x][g // c % c] += n
+            all3[x][g // c] += n
+    total = {x: sum(n1[x].values()) for x in languages}
+    pooled = {k: sum(n1[x][k] for x in languages) + 0.5 * len(languages) for k in range(c)}
+    everything = sum(pooled.values())
+
+    def p(x, g):
+        p1 = (n1[x][g % c] + 0.5) / (total[x] + 0.5 * c)
+        p2 = (n2[x][g % c**2] + 10 * p1) / (all2[x][g // c % c] + 10)
+        return (n3[x][g] + 10 * p2) / (all3[x][g // c] + 10)
+
+    lls = []
+    for _, text, *_ in rows:
+        gs = language.trigrams(text or "").tolist()
+        ll = {x: sum(math.log(p(x, g)) for g in gs) for x in languages}
+        ll["und"] = sum(math.log(pooled[g % c] / everything) for g in gs) + models.margin * len(gs) - models.slack
+        lls.append((len(gs), ll))
+    names = [*languages, "und"]
+    says = [max(names, key=lambda x: ll[x]) if n else "und" for n, ll in lls]  # noqa: B023
+    whole = Counter(says)
+    whole = {x: (whole[x] + 0.5) / (len(rows) + 0.5 * len(names)) for x in names}
+    out = []
+    for (i, _, declared, host, suffix), (n, ll), own in zip(rows, lls, says):
+        prior = whole
+        for at, value in ((4, suffix), (3, host)):
+            if value is not None:
+                of = Counter(s for r, s in zip(rows, says) if r[at] == value)
+                of[own] -= 1
+                prior = {x: (of[x] + prior_weight * prior[x]) / (sum(of.values()) + prior_weight) for x in names}
+        post = {x: ll[x] * text_weight / (n + text_weight) / 2 + math.log(prior[x]) for x in names}
+        if declared:
+            of = Counter((r[2], s) for r, s in zip(rows, says) if r[2])
+            for x in names:
+                post[x] += math.log(of[declared, x] + 0.5) - math.log(sum(v for (_, s), v in of.items() if s == x) + 0.5 * len(names))
+        top = max(post.values())
+        out.append((i, max(names, key=lambda x: post[x]) if n else "und", 1 / sum(math.exp(v - top) for v in post.values())))  # noqa: B023
+    return out
+
+
+def test_language_against_plain_posteriors(spark):
+    rng = random.Random(9)
+    rows, pages = [], []
+    for i in range(90):
+        lang = ("en", "de", "fr")[i % 3]
+        text = " ".join(rng.choice(TEXTS[lang if rng.random() < 0.9 else "en"].split()) for _ in range(rng.randrange(1, 12)))
+        rows.append((i, text, lang if i % 4 else None, f"h{i % 3 if i % 5 else 9}.{lang}" if i % 7 else None))
+    rows += [(100, None, None, "h0.en"), (101, "", "de", None), (102, "zzz qqq", None, "h1.de"), (103, "in", None, "h0.en"), (104, "ξψω " * 50, "en", None), (5, rows[5][1], "fr", "h9.fr")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, url string, n int, host string").withColumn("url", F.concat(F.lit("http://"), "url", F.lit("/a")))
+    ev = language.evidence(df, "doc_id", "text", "lang", None, "url")
+    languages, models = language.train(ev)
+    sample = {(t or "", x) for _, t, x, _ in rows if x}
+    want = plain_posteriors([(i, t, x, h, h and h.split(".")[-1]) for i, t, x, h in rows], sample, languages, models)
+    got = language.identify(df, "doc_id", "text", "lang", None, "url").select("doc_id", "lang", "confidence").collect()
+    key = lambda r: (r[0], r[1], r[2])
+    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
+
+
 def test_language_has_no_cut_of_classes(spark, docs):
     """A rare language beside 40 others, and one with under 0.1 % of the rows."""
     rng = random.Random(5)
