@@ -679,3 +679,23 @@ def test_likeness_of_a_triple_repeated_often():
     text = "word " * 70_000
     own, half = fingerprints.Fingerprint.of(text), fingerprints.Fingerprint.of(text[: len(text) // 2])
     assert own.likeness(half) > 0.99
+
+
+CLASH = "id row node fp root least key size n sent part hash bucket rank piece start next range lent toxic score x y lines t gone h1 word host ll says near origin _k1 _k2 comp block cell w0 at shard q1 term page_id_ held_out".split()
+
+
+def test_clashing_columns_and_odd_rows(spark, docs):
+    """Extra columns change nothing; empty tables give nothing; a very long text passes everywhere."""
+    rows = [(r[0], r[1], "en", "s", 1) for r in corpus(n=40)] + [(*r, None, None, None) for r in ODD] + [(950, "long text of words " * 60_000, "en", "s", 1)]
+    plain = docs(rows)
+    more = plain.select("*", *[F.lit(f"clash {c}").alias(c) for c in CLASH])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    every = {
+        "pack": packing.pack, "fingerprint_edits": fingerprints.fingerprint_edits, "score_toxicity": lambda d: toxicity.score_toxicity(d, lab), "queue": mixing.queue,
+        "near_duplicates": simhash.near_duplicates, "similar_documents": simhash.similar_documents, "count_tokens": tokens.count_tokens, "identify": language.identify,
+        "top_k": lambda d: search.top_k(d, d.where("doc_id % 50 = 0")), "dedup_lines": lambda d: lines.dedup_lines(d).select("row.doc_id", "row.text", "kept_text", "n_lines", "n_dropped"),
+    }
+    for name, f in every.items():
+        a, b = (Counter(map(str, f(d).collect())) for d in (plain, more))
+        assert a == b and a, name
+        assert f(more.limit(0)).count() == 0, name
