@@ -107,6 +107,15 @@ def usage(attempts: DataFrame) -> DataFrame:
     return attempts.where("status = 200").groupBy("condition").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.percentile("ms", F.lit(0.5)).cast("int").alias("median_ms"))
 
 
+def usage_by(attempts: DataFrame, *by: str) -> DataFrame:
+    """Requests, input and output tokens of successful attempts, in all and for each request."""
+    ok = attempts.where("status = 200").groupBy(*by)
+    return ok.agg(
+        F.count("*").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.round(F.avg("input_tokens"), 4).alias("mean_input"), F.round(F.avg("output_tokens"), 4).alias("mean_output"),
+    )
+
+
 def success_rates(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("condition").agg(F.count("*").alias("n"), F.round(F.avg((F.col("status") == 200).cast("int")), 6).alias("success"), *[F.count_if(F.col("status") == s).alias(f"s{s}") for s in (200, 429, 503)])
 
@@ -138,6 +147,13 @@ def pair_mix(a: Column, b: Column, ca: Column, cb: Column) -> Column:
     return F.when(top > 0, (ca * a + cb * b) / (ca + cb)).otherwise((a + b) / 2)
 
 
+def token_reduction_by(attempts: DataFrame, base: str, new: str, by: str) -> DataFrame:
+    """``token_reduction`` for each value of ``by``."""
+    one = lambda x: F.avg(F.when(F.col("condition") == x, F.col("input_tokens")))
+    a = attempts.where("status = 200").groupBy(by).agg(one(base).alias("base"), one(new).alias("new"))
+    return a.select(by, F.round("base", 6).alias("base_tokens"), F.round("new", 6).alias("new_tokens"), F.round(1 - F.col("new") / F.col("base"), 6).alias("reduction"))
+
+
 def random_pairs(w: DataFrame, draws: int = 4000) -> DataFrame:
     """``i, tag_a, tag_b, mixed`` of seeded random pairs of tags with score and confidence, met by row number."""
     spark = w.sparkSession

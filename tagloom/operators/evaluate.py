@@ -24,13 +24,24 @@ QUESTIONS = {
 }
 
 
+#: What the full form of a question adds to the slim one; configuration like the texts themselves.
+CRITERIA = {
+    "noul": {"true": "the tag alone is enough", "false": "it depends on what else the place is"},
+    "score": {str(i): text for i, text in enumerate(("runs against the lens", "rather against it", "no matter", "rather along with it", "what the lens looks for"))},
+    "choice": dict.fromkeys(CHOICES, "as the name says"),
+}
+
+
 def state(lens: str) -> dict:
     return {"lens": lens, "task": "judge tags of places"}
 
 
-def question(tag: str, primitive: str) -> dict:
+def question(tag: str, primitive: str, form: str = "slim") -> dict:
+    """A tag's question; the ``full`` form also spells out the criteria of each answer."""
     q = {"type": primitive, "text": QUESTIONS[primitive].format(tag=tag)}
-    return q | ({"options": list(CHOICES)} if primitive == "choice" else {})
+    if primitive == "choice":
+        q["options"] = list(CHOICES)
+    return q | {"criteria": CRITERIA[primitive]} if form == "full" else q
 
 
 def request_chars(value) -> int:
@@ -50,6 +61,17 @@ def validate(lens: str, primitives, tags=None) -> str:
     return lens
 
 
+def validate_batches(lens: str, batches: list[dict]) -> str:
+    """The normalised lens of a request in batches; raises ValueError unless there are 1 to ``MAX_BATCHES``, each of one known primitive and of tags."""
+    if not isinstance(batches, list) or not 0 < len(batches) <= MAX_BATCHES:
+        raise ValueError(f"a request has 1 to {MAX_BATCHES} batches")
+    for b in batches:
+        if not isinstance(b, dict) or not isinstance(b.get("tags"), list) or not b["tags"]:
+            raise ValueError("a batch has a primitive and tags")
+        lens = validate(lens, [b.get("primitive")], b["tags"])
+    return lens
+
+
 def missing(tags: DataFrame, cache: DataFrame, failed: DataFrame | None = None, primitives=PRIMITIVES) -> DataFrame:
     """``tag_id, primitive`` without a value in ``cache``; those in ``failed`` are left out until they are retried."""
     want = tags.select("tag_id").distinct().select("tag_id", F.explode(F.array(*map(F.lit, primitives))).alias("primitive"))
@@ -250,6 +272,18 @@ def _parse(ddl: str):
     return StructType.fromDDL(ddl)
 
 
+def question_sizes(tags: DataFrame, forms=("slim", "full")) -> DataFrame:
+    """``form, primitive, tags, mean_chars``: how long the questions of ``tag_id`` are in each form."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(f, p, request_chars({t: question(t, p, f)})) for t in b["tag_id"] for f in forms for p in PRIMITIVES]
+            yield pd.DataFrame(rows, columns=["form", "primitive", "chars"])
+
+    sized = tags.select("tag_id").mapInPandas(run, "form string, primitive string, chars long")
+    return sized.groupBy("form", "primitive").agg(F.count("*").alias("tags"), F.round(F.avg("chars"), 4).alias("mean_chars"))
+
+
 def attempt_log(evaluated: DataFrame) -> DataFrame:
     """``batch, primitive`` and each attempt of each batch."""
     return evaluated.where("log is not null").select("batch", "primitive", F.explode("log").alias("l")).select("batch", "primitive", "l.*")

@@ -83,6 +83,15 @@ def step_totals(pois: DataFrame, steps: DataFrame) -> DataFrame:
     return steps.select("view_id").join(every, "view_id", "left").select("view_id", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("new_rows", F.lit(0)).alias("new_rows"))
 
 
+def step_bytes(pois: DataFrame, steps: DataFrame, size: str) -> DataFrame:
+    """``view_id, bytes, new_bytes``: what each step of a session reads, and what no step before it has read. ``size`` is a column of bytes."""
+    seen = cut_views(pois, steps).join(pois.select("id", F.col(size).alias("size")), "id")
+    first = seen.groupBy("id").agg(F.min("view_id").alias("view_id"), F.first("size").alias("size")).groupBy("view_id").agg(F.sum("size").alias("new_bytes"))
+    every = seen.groupBy("view_id").agg(F.sum("size").alias("bytes")).join(first, "view_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return steps.select("view_id").join(every, "view_id", "left").select("view_id", none("bytes"), none("new_bytes"))
+
+
 def level_bounds(pois: DataFrame) -> DataFrame:
     """``lod_level, rows, row_end``: running sums over the few levels."""
     n = pois.groupBy("lod_level").agg(F.count("*").alias("rows"))

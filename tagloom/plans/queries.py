@@ -104,7 +104,8 @@ def answers_wide(spark, d):
     t = t.withColumn("g", F.explode(grid)).select("tag", "g.lens", "g.variant", (F.length("tag") * 3 + F.ascii(F.expr("right(tag, 1)")) + F.col("g.add")).alias("l"))
     n = F.col("l")
     ch = F.array(*[(n * k % 7 + 1) / F.lit(10.0) for k in (3, 4, 5, 6, 8)])
-    return t.select("lens", "variant", "tag", F.when(n % 13 != 0, n * 13 % 11 / F.lit(10.0)).alias("confidence"), F.when(n % 7 != 0, n * 17 % 41 / F.lit(10.0)).alias("score"), F.when(n % 9 != 0, ch).alias("choice"))
+    return t.select("lens", "variant", "tag", F.when(n % 13 != 0, n * 13 % 11 / F.lit(10.0)).alias("confidence"), F.when(n % 7 != 0, n * 17 % 41 / F.lit(10.0)).alias("score"),
+        F.when(n % 9 != 0, ch).alias("choice"))
 
 
 def answers(spark, d):
@@ -123,8 +124,10 @@ def attempts(spark, d):
 
 
 # --- viewport reads -----------------------------------------------------------------------------
-query("viewport_scan", with_sql(then=f"SELECT id, lod_level, lon, lat FROM poi WHERE {BOX} ORDER BY lod_level, id LIMIT {VIEWPORT_CAP}"))(lambda s, d: viewport.read_viewport(pois(s, d), VIEW).select("id", "lod_level", "lon", "lat"))
-query("viewport_scan_capped", with_sql(then=f"SELECT id, lod_level FROM poi WHERE {BOX} ORDER BY lod_level, id LIMIT 300"))(lambda s, d: viewport.read_viewport(pois(s, d), VIEW, cap=300).select("id", "lod_level"))
+query("viewport_scan", with_sql(then=f"SELECT id, lod_level, lon, lat FROM poi WHERE {BOX} ORDER BY lod_level, id LIMIT {VIEWPORT_CAP}"))(lambda s, d: viewport.read_viewport(pois(s,
+    d), VIEW).select("id", "lod_level", "lon", "lat"))
+query("viewport_scan_capped", with_sql(then=f"SELECT id, lod_level FROM poi WHERE {BOX} ORDER BY lod_level, id LIMIT 300"))(lambda s, d: viewport.read_viewport(pois(s, d), VIEW,
+    cap=300).select("id", "lod_level"))
 query("viewport_count", with_sql(then=f"SELECT count(*)::BIGINT AS total, count(*) >= 2000000 AS capped FROM poi WHERE {BOX}"))(lambda s, d: viewport.count_viewport(pois(s, d), VIEW))
 query("viewport_features", with_sql(then=f"SELECT id, CASE WHEN abs(id) > 9007199254740991 THEN id::VARCHAR END AS id_text, lon, lat FROM poi WHERE lon IS NOT NULL AND {BOX}"))(
     lambda s, d: viewport.inside(pois(s, d), VIEW).where("lon is not null").select("id", F.when(F.abs("id") > 9007199254740991, text.json_safe_id(F.col("id"))).alias("id_text"), "lon", "lat")
@@ -135,9 +138,12 @@ FEATURE = (
 )
 IDS = "o2 AS (SELECT id, list(tag_id ORDER BY k, p) AS ids FROM ({}) GROUP BY id)".format(
     "SELECT id, tag_id, k, p FROM (SELECT id, k, e.key AS key, unnest(CASE WHEN e.key IN ({0}) THEN [trim(e.value)] ELSE list_transform(string_split(lower(e.value), ';'), lambda x: trim(x)) END) AS v, "
-    "generate_subscripts(CASE WHEN e.key IN ({0}) THEN [e.value] ELSE string_split(e.value, ';') END, 1) AS p, e.key || '=' || v AS tag_id FROM (SELECT id, unnest(map_entries(tags)) AS e, generate_subscripts(map_entries(tags), 1) AS k FROM poi)) WHERE v <> '' AND key IN ({1})".format(quoted(BRAND_KEYS), quoted(ROLES))
+    "generate_subscripts(CASE WHEN e.key IN ({0}) THEN [e.value] ELSE string_split(e.value, ';') END, 1) AS p, e.key || '=' || v AS tag_id FROM (SELECT id, unnest(map_entries(tags)) AS e, generate_subscripts(map_entries(tags), 1) AS k FROM poi)) WHERE v <> '' AND key IN ({1})".format(quoted(BRAND_KEYS),
+        quoted(ROLES))
 )
-query("geojson_features", with_sql(IDS, f"g AS (SELECT poi.*, ids, CASE WHEN abs(id) > 9007199254740991 THEN to_json(id::VARCHAR) ELSE id::VARCHAR END AS i FROM poi LEFT JOIN o2 USING (id) WHERE lon IS NOT NULL AND {BOX})", then=f"SELECT id, {FEATURE} AS feature FROM g"))(lambda s, d: sinks.features(tags.with_tag_ids(viewport.inside(pois(s, d), VIEW))))
+query("geojson_features", with_sql(IDS, f"g AS (SELECT poi.*, ids, CASE WHEN abs(id) > 9007199254740991 THEN to_json(id::VARCHAR) ELSE id::VARCHAR END AS i "
+    f"FROM poi LEFT JOIN o2 USING (id) WHERE lon IS NOT NULL AND {BOX})", then=f"SELECT id, {FEATURE} AS feature "
+    f"FROM g"))(lambda s, d: sinks.features(tags.with_tag_ids(viewport.inside(pois(s, d), VIEW))))
 LEVELS = [(i, geo.level_resolution(i)) for i in range(17)]
 TARGETS = [geo.degrees_per_pixel(z) * 0.999 for z in (0, 1, 5.5, 9, 14, 17.2, 25)]
 
@@ -154,7 +160,9 @@ def resolve_levels(s, d):
 VIEWS = [(1, -10.5, 35.0, 20.0, 60.0, 16), (2, 120.0, 20.0, 150.0, 46.0, 8), (3, -180.0, -90.0, -170.0, -80.0, 16)]
 
 
-@query("many_viewports", with_sql(f"v(view_id, x0, y0, x1, y1, m) AS (VALUES {', '.join(str(v) for v in VIEWS)})", then="SELECT view_id::INTEGER AS view_id, id FROM poi JOIN v ON lon BETWEEN x0::DOUBLE AND x1::DOUBLE AND lat BETWEEN y0::DOUBLE AND y1::DOUBLE AND lod_level <= m"))
+@query("many_viewports", with_sql(f"v(view_id, x0, y0, x1, y1, m) AS (VALUES {', '.join(str(v) for v in VIEWS)})", then="SELECT view_id::INTEGER AS view_id, id "
+    "FROM poi JOIN v ON lon BETWEEN x0::DOUBLE AND x1::DOUBLE AND lat BETWEEN y0::DOUBLE AND y1::DOUBLE "
+    "AND lod_level <= m"))
 def many_viewports(s, d):
     return viewport.cut_views(pois(s, d), s.createDataFrame(VIEWS, "view_id int, x0 double, y0 double, x1 double, y1 double, max_level int"))
 
@@ -162,34 +170,50 @@ def many_viewports(s, d):
 GROUPS = "rg AS (SELECT lod_level AS row_group, count(*) AS rows, min(lon) AS x0, max(lon) AS x1, min(lat) AS y0, max(lat) AS y1, sum(length(tags['brand'])) AS b FROM poi WHERE lon IS NOT NULL GROUP BY lod_level)"
 
 
-@query("row_group_bytes", with_sql(GROUPS, "hit AS (SELECT * FROM rg WHERE x1 >= 0 AND x0 <= 179.5 AND y1 >= 89 AND y0 <= 90)", "by_col AS (SELECT unnest(['bbox.xmin', 'bbox.xmax', 'bbox.ymin', 'bbox.ymax', 'tags']) AS \"column\", unnest([8 * rows, 8 * rows, 8 * rows, 8 * rows, b]) AS n FROM hit)", then='SELECT "column", sum(n)::BIGINT AS bytes, round(sum(n)::DOUBLE / (SELECT sum(n) FROM by_col), 6) AS share FROM by_col GROUP BY "column"'))
+@query("row_group_bytes", with_sql(GROUPS, "hit AS (SELECT * FROM rg WHERE x1 >= 0 AND x0 <= 179.5 AND y1 >= 89 "
+    "AND y0 <= 90)", "by_col AS (SELECT unnest(['bbox.xmin', 'bbox.xmax', 'bbox.ymin', 'bbox.ymax', 'tags']) AS \"column\", unnest([8 * rows, 8 * rows, 8 * rows, 8 * rows, b]) AS n "
+    "FROM hit)", then='SELECT "column", sum(n)::BIGINT AS bytes, round(sum(n)::DOUBLE / (SELECT sum(n) '
+    'FROM by_col), 6) AS share FROM by_col GROUP BY "column"'))
 def row_group_bytes(s, d):
-    g = pois(s, d).where("lon is not null").groupBy(F.col("lod_level").alias("row_group")).agg(F.count("*").alias("rows"), *[f(c).alias(n) for n, f, c in (("x0", F.min, "lon"), ("x1", F.max, "lon"), ("y0", F.min, "lat"), ("y1", F.max, "lat"))], F.sum(F.length(F.col("tags")["brand"])).alias("b"))
+    g = pois(s, d).where("lon is not null").groupBy(F.col("lod_level").alias("row_group")).agg(F.count("*").alias("rows"), *[f(c).alias(n) for n, f, c in (("x0", F.min, "lon"),
+        ("x1", F.max, "lon"), ("y0", F.min, "lat"), ("y1", F.max, "lat"))], F.sum(F.length(F.col("tags")["brand"])).alias("b"))
     row = lambda c, n, lo, hi: F.struct(F.lit(c).alias("column"), n.alias("bytes"), lo.alias("min"), hi.alias("max"))
     none = F.lit(None).cast("double")
-    cols = F.array(row("bbox.xmin", F.col("rows") * 8, F.col("x0"), F.col("x1")), row("bbox.xmax", F.col("rows") * 8, F.col("x0"), F.col("x1")), row("bbox.ymin", F.col("rows") * 8, F.col("y0"), F.col("y1")), row("bbox.ymax", F.col("rows") * 8, F.col("y0"), F.col("y1")), row("tags", F.col("b"), none, none))
+    cols = F.array(row("bbox.xmin", F.col("rows") * 8, F.col("x0"), F.col("x1")), row("bbox.xmax", F.col("rows") * 8, F.col("x0"), F.col("x1")), row("bbox.ymin", F.col("rows") * 8,
+        F.col("y0"), F.col("y1")), row("bbox.ymax", F.col("rows") * 8, F.col("y0"), F.col("y1")), row("tags", F.col("b"), none, none))
     return viewport.row_group_bytes(g.select("row_group", "rows", F.explode(cols).alias("c")).select("row_group", "rows", "c.*"), (0.0, 89.0, 179.5, 90.0))
 
 
 # --- corpus profile -----------------------------------------------------------------------------
 Q = lambda p: f"round(quantile_cont(ntags, {p}), 6) AS p{int(p * 100)}"
 ROWS = "rws AS (SELECT id, cardinality(tags)::INTEGER AS ntags, lod_level, lon, lat, tags['name'] IS NOT NULL AS has_name FROM poi)"
-query("row_stats", with_sql(ROWS, then=f"SELECT count(*)::BIGINT AS rows, count(*) FILTER (has_name)::BIGINT AS rows_with_name, count(*) FILTER (ntags = 0)::BIGINT AS rows_empty_tags, count(*) FILTER ({REG})::BIGINT AS rows_in_region, min(ntags) AS min, {', '.join(map(Q, (0.25, 0.5, 0.75, 0.95, 0.99)))}, max(ntags) AS max, round(avg(ntags), 6) AS mean, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM rws"))(lambda s, d: profile.row_stats(pois(s, d)))
+query("row_stats", with_sql(ROWS, then=f"SELECT count(*)::BIGINT AS rows, count(*) FILTER (has_name)::BIGINT AS rows_with_name, "
+    f"count(*) FILTER (ntags = 0)::BIGINT AS rows_empty_tags, count(*) FILTER ({REG})::BIGINT AS rows_in_region, "
+    f"min(ntags) AS min, {', '.join(map(Q, (0.25, 0.5, 0.75, 0.95, 0.99)))}, max(ntags) AS max, round(avg(ntags), 6) AS mean, "
+    f"min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM rws"))(lambda s, d: profile.row_stats(pois(s, d)))
 query("tags_per_row_hist", with_sql(ROWS, then="SELECT ntags, count(*)::BIGINT AS rows FROM rws GROUP BY 1"))(lambda s, d: profile.tags_per_row(pois(s, d)))
-query("geo_grid10", with_sql(then="SELECT (floor(lon / 10) * 10)::DOUBLE AS lon10, (floor(lat / 10) * 10)::DOUBLE AS lat10, count(*)::BIGINT AS rows FROM poi GROUP BY 1, 2"))(lambda s, d: profile.geo_grid(pois(s, d)))
-query("lod_levels", with_sql(ROWS, then="SELECT lod_level, count(*)::BIGINT AS rows, round(avg(ntags), 6) AS mean_tags, round(avg(has_name::INTEGER), 6) AS name_ratio FROM rws GROUP BY 1"))(lambda s, d: profile.levels(pois(s, d)))
+query("geo_grid10", with_sql(then="SELECT (floor(lon / 10) * 10)::DOUBLE AS lon10, (floor(lat / 10) * 10)::DOUBLE AS lat10, "
+    "count(*)::BIGINT AS rows FROM poi GROUP BY 1, 2"))(lambda s, d: profile.geo_grid(pois(s, d)))
+query("lod_levels", with_sql(ROWS, then="SELECT lod_level, count(*)::BIGINT AS rows, round(avg(ntags), 6) AS mean_tags, "
+    "round(avg(has_name::INTEGER), 6) AS name_ratio FROM rws GROUP BY 1"))(lambda s, d: profile.levels(pois(s, d)))
 _M = {
     "numeric_like": "regexp_matches(value, '^[-+]?[0-9]+([.,][0-9]+)?$')", "url_like": "regexp_matches(value, '^https?://')", "phone_like": "regexp_matches(value, '^\\+?[0-9][0-9 ()\\-./]{5,}$')", "wikidata_qid": "regexp_matches(value, '^Q[0-9]+$')",
     "lang_prefixed": "regexp_matches(value, '^[a-z]{2,3}:')", "non_ascii": "regexp_matches(value, '[^\\x00-\\x7F]')", "token_like": "regexp_matches(value, '^[a-z0-9_]+(;[a-z0-9_]+)*$')", "multi_semicolon": "contains(value, ';')", "yes_no": "value IN ('yes', 'no')", "yes_only": "value = 'yes'", "has_upper": "value <> lower(value)", "len_gt40": "length(value) > 40",
 }
-PROFILE = "prof AS (SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd, round(avg(length(value)), 6) AS avg_len, quantile_cont(length(value), 0.5) AS med_len, max(length(value))::INTEGER AS max_len, " + ", ".join(f"count(*) FILTER ({c})::BIGINT AS {n}" for n, c in _M.items()) + ", min(lod_level) AS min_level, quantile_cont(lod_level, 0.5) AS med_level FROM pairs GROUP BY key)"
+PROFILE = "prof AS (SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd, round(avg(length(value)), 6) AS avg_len, quantile_cont(length(value), 0.5) AS med_len, max(length(value))::INTEGER AS max_len, " + ", ".join(f"count(*) FILTER ({c})::BIGINT AS {n}" for n,
+    c in _M.items()) + ", min(lod_level) AS min_level, quantile_cont(lod_level, 0.5) AS med_level FROM pairs GROUP BY key)"
 query("key_profile", with_sql(PAIRS, PROFILE, then="SELECT * FROM prof"))(lambda s, d: profile.key_profile(pois(s, d)))
-_R = {"multi_semicolon": "multi", "yes_no": "yes_no", "numeric_like": "numeric", "url_like": "url", "phone_like": "phone", "wikidata_qid": "wikidata_qid", "has_upper": "has_upper", "non_ascii": "non_ascii", "len_gt40": "len_gt40", "token_like": "token"}
-query("key_ratios", with_sql(PAIRS, PROFILE, then="SELECT key, n, round(n / (SELECT count(*) FROM poi)::DOUBLE, 5) AS row_ratio, nd, round(1 - nd / n::DOUBLE, 4) AS dup_ratio, " + ", ".join(f"round({a} / n::DOUBLE, 4) AS {b}_ratio" for a, b in _R.items()) + ", min_level, med_level FROM prof"))(
+_R = {"multi_semicolon": "multi", "yes_no": "yes_no", "numeric_like": "numeric", "url_like": "url", "phone_like": "phone", "wikidata_qid": "wikidata_qid", "has_upper": "has_upper",
+    "non_ascii": "non_ascii", "len_gt40": "len_gt40", "token_like": "token"}
+query("key_ratios", with_sql(PAIRS, PROFILE, then="SELECT key, n, round(n / (SELECT count(*) FROM poi)::DOUBLE, 5) AS row_ratio, nd, "
+    "round(1 - nd / n::DOUBLE, 4) AS dup_ratio, " + ", ".join(f"round({a} / n::DOUBLE, 4) AS {b}_ratio" for a, b in _R.items()) + ", min_level, med_level "
+    "FROM prof"))(
     lambda s, d: profile.key_ratios(profile.key_profile(pois(s, d)), pois(s, d).agg(F.count("*").alias("rows")))
 )
 query("approx_key_profile")(lambda s, d: profile.key_profile(pois(s, d), exact=False))
-query("key_groups", with_sql(PAIRS, then="SELECT CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) || ':*' ELSE key END AS key_group, count(DISTINCT key)::BIGINT AS distinct_keys, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM pairs)::DOUBLE, 4) AS pair_share FROM pairs GROUP BY 1"))(lambda s, d: profile.key_groups(pois(s, d)))
+query("key_groups", with_sql(PAIRS, then="SELECT CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) || ':*' ELSE key END AS key_group, "
+    "count(DISTINCT key)::BIGINT AS distinct_keys, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) "
+    "FROM pairs)::DOUBLE, 4) AS pair_share FROM pairs GROUP BY 1"))(lambda s, d: profile.key_groups(pois(s, d)))
 
 
 def counts(s, d):
@@ -197,26 +221,56 @@ def counts(s, d):
 
 
 query("pair_counts", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n, n_levels::BIGINT AS n_levels, min_level FROM pc"))(counts)
-query("expansion_totals", with_sql(PAIRS, COUNTS, then="SELECT count(DISTINCT key)::BIGINT AS expanded_keys, count(*)::BIGINT AS pairs_distinct, sum(n)::BIGINT AS pairs_total FROM pc"))(lambda s, d: counts(s, d).agg(F.countDistinct("key").alias("expanded_keys"), F.count("*").alias("pairs_distinct"), F.sum("n").alias("pairs_total")))
+query("expansion_totals", with_sql(PAIRS, COUNTS, then="SELECT count(DISTINCT key)::BIGINT AS expanded_keys, "
+    "count(*)::BIGINT AS pairs_distinct, sum(n)::BIGINT AS pairs_total FROM pc"))(lambda s, d: counts(s, d).agg(F.countDistinct("key").alias("expanded_keys"), F.count("*").alias("pairs_distinct"),
+    F.sum("n").alias("pairs_total")))
 query("exact_distinct", with_sql(PAIRS, COUNTS, then="SELECT key, count(*)::BIGINT AS nd_exact FROM pc GROUP BY key"))(lambda s, d: counts(s, d).groupBy("key").agg(F.count("*").alias("nd_exact")))
-query("top_values_per_key", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n, round(n / (SELECT count(*) FROM poi)::DOUBLE, 6) AS row_ratio, n_levels::BIGINT AS n_levels, min_level FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS rk FROM pc) WHERE rk <= 50"))(
-    lambda s, d: profile.top_values(counts(s, d)).join(pois(s, d).agg(F.count("*").alias("rows"))).select("key", "value", "n", F.round(F.col("n") / F.col("rows"), 6).alias("row_ratio"), "n_levels", "min_level")
+query("top_values_per_key", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n, round(n / (SELECT count(*) "
+    "FROM poi)::DOUBLE, 6) AS row_ratio, n_levels::BIGINT AS n_levels, min_level FROM (SELECT *, row_number() OVER (PARTITION BY key "
+    "ORDER BY n DESC, value) AS rk FROM pc) WHERE rk <= 50"))(
+    lambda s, d: profile.top_values(counts(s, d)).join(pois(s, d).agg(F.count("*").alias("rows"))).select("key", "value", "n", F.round(F.col("n") / F.col("rows"), 6).alias("row_ratio"),
+        "n_levels", "min_level")
 )
-query("top_pairs", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n FROM pc ORDER BY n DESC, key, value LIMIT 2000"))(lambda s, d: profile.top_pairs(counts(s, d)).select("key", "value", "n"))
-query("reuse_buckets", with_sql(PAIRS, COUNTS, then="SELECT CASE WHEN n = 1 THEN '1' WHEN n < 10 THEN '2-9' WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' WHEN n < 10000 THEN '1k-9.9k' WHEN n < 100000 THEN '10k-99k' WHEN n < 1000000 THEN '100k-999k' ELSE '1M+' END AS bucket, count(*)::BIGINT AS pairs, sum(n)::BIGINT AS occurrences, min(n)::BIGINT AS min_n FROM pc GROUP BY 1"))(lambda s, d: profile.reuse_buckets(counts(s, d)))
-query("coverage_curve", with_sql(PAIRS, COUNTS, f"r AS (SELECT row_number() OVER (ORDER BY n DESC, key, value) AS rk, sum(n) OVER (ORDER BY n DESC, key, value ROWS UNBOUNDED PRECEDING) AS cum FROM pc)", then=f"SELECT rk::BIGINT AS top_n_pairs, round(cum / (SELECT sum(n) FROM pc)::DOUBLE, 4) AS coverage FROM r WHERE rk IN {profile.COVERAGE_POINTS}"))(lambda s, d: profile.coverage_curve(counts(s, d)))
-query("case_variants", with_sql(PAIRS, COUNTS, then="SELECT key, count(*)::BIGINT AS raw_variants, count(DISTINCT lower(trim(value)))::BIGINT AS normalized_variants, (count(*) - count(DISTINCT lower(trim(value))))::BIGINT AS collapsed FROM pc GROUP BY key HAVING count(*) > count(DISTINCT lower(trim(value)))"))(lambda s, d: profile.case_variants(counts(s, d)))
-query("multi_value_keys", with_sql(PAIRS, COUNTS, then="SELECT key, count(*)::BIGINT AS multi_pairs, sum(n)::BIGINT AS occurrences, round(avg(length(value) - length(replace(value, ';', '')) + 1), 2) AS avg_parts FROM pc WHERE contains(value, ';') GROUP BY key"))(lambda s, d: profile.multi_value_keys(counts(s, d)))
-query("primary_key_count", with_sql(PAIRS, then=f"SELECT coalesce(k, 0)::INTEGER AS n_primary, count(*)::BIGINT AS rows FROM poi LEFT JOIN (SELECT id, count(*) AS k FROM pairs WHERE key IN ({quoted(PRIMARY_KEYS)}) GROUP BY id) USING (id) GROUP BY 1"))(lambda s, d: profile.primary_key_count(pois(s, d)))
-query("cooccurrence", with_sql(PAIRS, then=f"SELECT a.key AS key_a, b.key AS key_b, count(*)::BIGINT AS rows FROM pairs a JOIN pairs b ON a.id = b.id AND a.key < b.key WHERE a.key IN ({quoted(PRIMARY_KEYS)}) AND b.key IN ({quoted(PRIMARY_KEYS)}) GROUP BY 1, 2 ORDER BY rows DESC, key_a, key_b LIMIT 100"))(lambda s, d: profile.cooccurrence(pois(s, d)))
-query("lod_top_keys", with_sql(PAIRS, then="SELECT lod_level, key, n::BIGINT AS n, round(n / lv_rows::DOUBLE, 4) AS row_ratio FROM (SELECT lod_level, key, count(*) AS n, row_number() OVER (PARTITION BY lod_level ORDER BY count(*) DESC, key) AS rk FROM pairs GROUP BY 1, 2) JOIN (SELECT lod_level, count(*) AS lv_rows FROM poi GROUP BY 1) USING (lod_level) WHERE rk <= 15"))(lambda s, d: profile.level_top_keys(pois(s, d)))
-query("keys_region", with_sql(PAIRS, f"inside AS (SELECT id FROM poi WHERE {REG})", then="SELECT key, count(*)::BIGINT AS n, round(count(*) / greatest((SELECT count(*) FROM inside), 1)::DOUBLE, 4) AS row_ratio_jp FROM pairs JOIN inside USING (id) GROUP BY key ORDER BY n DESC, key LIMIT 300"))(lambda s, d: profile.region_keys(pois(s, d)))
+query("top_pairs", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n FROM pc ORDER BY n DESC, key, value LIMIT 2000"))(lambda s, d: profile.top_pairs(counts(s,
+    d)).select("key", "value", "n"))
+query("reuse_buckets", with_sql(PAIRS, COUNTS, then="SELECT CASE WHEN n = 1 THEN '1' WHEN n < 10 THEN '2-9' "
+    "WHEN n < 100 THEN '10-99' WHEN n < 1000 THEN '100-999' WHEN n < 10000 THEN '1k-9.9k' WHEN n < 100000 THEN '10k-99k' "
+    "WHEN n < 1000000 THEN '100k-999k' ELSE '1M+' END AS bucket, count(*)::BIGINT AS pairs, sum(n)::BIGINT AS occurrences, "
+    "min(n)::BIGINT AS min_n FROM pc GROUP BY 1"))(lambda s, d: profile.reuse_buckets(counts(s, d)))
+query("coverage_curve", with_sql(PAIRS, COUNTS, f"r AS (SELECT row_number() OVER (ORDER BY n DESC, key, value) AS rk, "
+    f"sum(n) OVER (ORDER BY n DESC, key, value ROWS UNBOUNDED PRECEDING) AS cum FROM pc)", then=f"SELECT rk::BIGINT AS top_n_pairs, "
+    f"round(cum / (SELECT sum(n) FROM pc)::DOUBLE, 4) AS coverage FROM r WHERE rk IN {profile.COVERAGE_POINTS}"))(lambda s, d: profile.coverage_curve(counts(s, d)))
+query("case_variants", with_sql(PAIRS, COUNTS, then="SELECT key, count(*)::BIGINT AS raw_variants, count(DISTINCT lower(trim(value)))::BIGINT AS normalized_variants, (count(*) - count(DISTINCT lower(trim(value))))::BIGINT AS collapsed "
+    "FROM pc GROUP BY key HAVING count(*) > count(DISTINCT lower(trim(value)))"))(lambda s, d: profile.case_variants(counts(s, d)))
+query("multi_value_keys", with_sql(PAIRS, COUNTS, then="SELECT key, count(*)::BIGINT AS multi_pairs, sum(n)::BIGINT AS occurrences, "
+    "round(avg(length(value) - length(replace(value, ';', '')) + 1), 2) AS avg_parts FROM pc WHERE contains(value, ';') "
+    "GROUP BY key"))(lambda s, d: profile.multi_value_keys(counts(s, d)))
+query("primary_key_count", with_sql(PAIRS, then=f"SELECT coalesce(k, 0)::INTEGER AS n_primary, count(*)::BIGINT AS rows "
+    f"FROM poi LEFT JOIN (SELECT id, count(*) AS k FROM pairs WHERE key IN ({quoted(PRIMARY_KEYS)}) GROUP BY id) USING (id) "
+    f"GROUP BY 1"))(lambda s, d: profile.primary_key_count(pois(s, d)))
+query("cooccurrence", with_sql(PAIRS, then=f"SELECT a.key AS key_a, b.key AS key_b, count(*)::BIGINT AS rows "
+    f"FROM pairs a JOIN pairs b ON a.id = b.id AND a.key < b.key WHERE a.key IN ({quoted(PRIMARY_KEYS)}) "
+    f"AND b.key IN ({quoted(PRIMARY_KEYS)}) GROUP BY 1, 2 ORDER BY rows DESC, key_a, key_b LIMIT 100"))(lambda s, d: profile.cooccurrence(pois(s, d)))
+query("lod_top_keys", with_sql(PAIRS, then="SELECT lod_level, key, n::BIGINT AS n, round(n / lv_rows::DOUBLE, 4) AS row_ratio "
+    "FROM (SELECT lod_level, key, count(*) AS n, row_number() OVER (PARTITION BY lod_level ORDER BY count(*) DESC, key) AS rk "
+    "FROM pairs GROUP BY 1, 2) JOIN (SELECT lod_level, count(*) AS lv_rows FROM poi GROUP BY 1) USING (lod_level) "
+    "WHERE rk <= 15"))(lambda s, d: profile.level_top_keys(pois(s, d)))
+query("keys_region", with_sql(PAIRS, f"inside AS (SELECT id FROM poi WHERE {REG})", then="SELECT key, count(*)::BIGINT AS n, "
+    "round(count(*) / greatest((SELECT count(*) FROM inside), 1)::DOUBLE, 4) AS row_ratio_jp FROM pairs "
+    "JOIN inside USING (id) GROUP BY key ORDER BY n DESC, key LIMIT 300"))(lambda s, d: profile.region_keys(pois(s, d)))
 query("sampled_values")(lambda s, d: profile.value_samples(pois(s, d), over=3))
-query("extra_top_values", with_sql(PAIRS, then="SELECT key, value, n::BIGINT AS n FROM (SELECT key, value, count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, value) AS rk FROM pairs WHERE key IN ('brand', 'capacity') GROUP BY 1, 2) WHERE rk <= 40"))(lambda s, d: profile.extra_top_values(pois(s, d), ["brand", "capacity"]).select("key", "value", "n"))
-query("split_summary", with_sql(PAIRS, then=f"SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd_raw, count(DISTINCT lower(trim(value)))::BIGINT AS nd_lower, count(*) FILTER (contains(value, ';'))::BIGINT AS n_multi FROM pairs WHERE key IN ({quoted(SPLIT)}) GROUP BY key"))(lambda s, d: profile.split_summary(pois(s, d), SPLIT))
+query("extra_top_values", with_sql(PAIRS, then="SELECT key, value, n::BIGINT AS n FROM (SELECT key, value, "
+    "count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, value) AS rk FROM pairs "
+    "WHERE key IN ('brand', 'capacity') GROUP BY 1, 2) WHERE rk <= 40"))(lambda s, d: profile.extra_top_values(pois(s, d), ["brand", "capacity"]).select("key", "value", "n"))
+query("split_summary", with_sql(PAIRS, then=f"SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd_raw, "
+    f"count(DISTINCT lower(trim(value)))::BIGINT AS nd_lower, count(*) FILTER (contains(value, ';'))::BIGINT AS n_multi "
+    f"FROM pairs WHERE key IN ({quoted(SPLIT)}) GROUP BY key"))(lambda s, d: profile.split_summary(pois(s, d), SPLIT))
 PARTS = f"parts AS (SELECT key, part, count(*) AS n FROM (SELECT key, lower(trim(unnest(string_split(value, ';')))) AS part FROM pairs WHERE key IN ({quoted(SPLIT)})) WHERE part <> '' GROUP BY 1, 2)"
-query("split_top_parts", with_sql(PAIRS, PARTS, then="SELECT key, part, n::BIGINT AS n, nd::BIGINT AS nd_after_split FROM (SELECT *, count(*) OVER (PARTITION BY key) AS nd, row_number() OVER (PARTITION BY key ORDER BY n DESC, part) AS rk FROM parts) WHERE rk <= 40"))(lambda s, d: profile.split_top_parts(profile.split_parts(pois(s, d), SPLIT)))
-query("split_distinct", with_sql(PAIRS, PARTS, then="SELECT key, count(*)::BIGINT AS nd_after_split, sum(n)::BIGINT AS parts_total FROM parts GROUP BY key"))(lambda s, d: profile.split_distinct(profile.split_parts(pois(s, d), SPLIT)))
+query("split_top_parts", with_sql(PAIRS, PARTS, then="SELECT key, part, n::BIGINT AS n, nd::BIGINT AS nd_after_split "
+    "FROM (SELECT *, count(*) OVER (PARTITION BY key) AS nd, row_number() OVER (PARTITION BY key ORDER BY n DESC, part) AS rk "
+    "FROM parts) WHERE rk <= 40"))(lambda s, d: profile.split_top_parts(profile.split_parts(pois(s, d), SPLIT)))
+query("split_distinct", with_sql(PAIRS, PARTS, then="SELECT key, count(*)::BIGINT AS nd_after_split, sum(n)::BIGINT AS parts_total "
+    "FROM parts GROUP BY key"))(lambda s, d: profile.split_distinct(profile.split_parts(pois(s, d), SPLIT)))
 
 # --- tags and the allow-list ---------------------------------------------------------------------
 query("poi_tags", with_sql(PAIRS, OCC, then="SELECT id, tag_id FROM tagocc"))(lambda s, d: occ(s, d).select("id", "tag_id"))
@@ -226,7 +280,10 @@ query(
     "allowlist_slim",
     with_sql(PAIRS, OCC, ALLOW, then=f"SELECT '{{\"roles\":' || to_json({SLIM_ROLES}) || ',\"entries\":' || to_json((SELECT list(tag_id ORDER BY tag_id) FROM allow)) || '}}' AS document"),
 )(lambda s, d: sinks.slim_allowlist(s.createDataFrame(list(ROLES.items()), "key string, role string"), allow(s, d)))
-query("allowlist_coverage", with_sql(PAIRS, OCC, ALLOW, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT key, role, coalesce(p, 0)::BIGINT AS pairs, coalesce(t, 0)::BIGINT AS occurrences_total, round(CASE WHEN t > 0 THEN least(1.0::DOUBLE, coalesce(c, 0) / t::DOUBLE) ELSE 0 END, 6) AS coverage FROM pol LEFT JOIN (SELECT key, count(*) AS t FROM raw GROUP BY key) USING (key) LEFT JOIN (SELECT key, count(*) AS p, sum(count) AS c FROM allow GROUP BY key) USING (key)"))(lambda s, d: tags.allowlist_coverage(pois(s, d), allow(s, d)))
+query("allowlist_coverage", with_sql(PAIRS, OCC, ALLOW, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT key, role, coalesce(p, 0)::BIGINT AS pairs, coalesce(t, 0)::BIGINT AS occurrences_total, "
+    "round(CASE WHEN t > 0 THEN least(1.0::DOUBLE, coalesce(c, 0) / t::DOUBLE) ELSE 0 END, 6) AS coverage "
+    "FROM pol LEFT JOIN (SELECT key, count(*) AS t FROM raw GROUP BY key) USING (key) LEFT JOIN (SELECT key, "
+    "count(*) AS p, sum(count) AS c FROM allow GROUP BY key) USING (key)"))(lambda s, d: tags.allowlist_coverage(pois(s, d), allow(s, d)))
 
 
 def view_pois(s, d):
@@ -234,11 +291,23 @@ def view_pois(s, d):
 
 
 VOCC = f"vp AS (SELECT * FROM poi WHERE {BOX} ORDER BY lod_level, id LIMIT {VIEWPORT_CAP}), vocc AS (SELECT t.* FROM tagocc t SEMI JOIN vp ON t.id = vp.id)"
-query("viewport_tag_counts", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT tag_id, count(*)::BIGINT AS count, count(DISTINCT id)::BIGINT AS pois FROM vocc SEMI JOIN allow USING (tag_id) GROUP BY tag_id"))(lambda s, d: tags.tag_counts(tags.allowed(tags.occurrences(view_pois(s, d)), allow(s, d))))
-query("viewport_summary", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT (SELECT count(*) FROM vp)::BIGINT AS pois, count(DISTINCT id) FILTER (a.tag_id IS NOT NULL)::BIGINT AS pois_with_tags, count(DISTINCT v.tag_id) FILTER (a.tag_id IS NOT NULL)::BIGINT AS unique_tags, count(DISTINCT v.tag_id) FILTER (a.tag_id IS NULL)::BIGINT AS dropped_by_allowlist FROM vocc v LEFT JOIN allow a ON v.tag_id = a.tag_id"))(lambda s, d: tags.viewport_summary(view_pois(s, d), tags.occurrences(view_pois(s, d)), allow(s, d)))
-query("dropped_kinds", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT tag_id, count(*)::BIGINT AS n FROM vocc ANTI JOIN allow USING (tag_id) GROUP BY tag_id ORDER BY n DESC, tag_id LIMIT 40"))(lambda s, d: tags.dropped(tags.occurrences(view_pois(s, d)), allow(s, d)).orderBy(F.desc("n"), "tag_id").limit(40))
-query("tag_sample_names", with_sql(PAIRS, OCC, "named AS (SELECT id, lod_level, coalesce(tags['name:ja'], tags['name']) AS name FROM poi)", "f AS (SELECT tag_id, name, min(lod_level::HUGEINT * 1000000000000000000::HUGEINT + id) AS place FROM tagocc JOIN named USING (id) WHERE name IS NOT NULL GROUP BY 1, 2)", then="SELECT tag_id, string_agg(name, '|' ORDER BY place, name) AS names FROM (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY place, name) AS rn FROM f) WHERE rn <= 3 GROUP BY tag_id"))(lambda s, d: tags.sample_names(pois(s, d), occ(s, d)).select("tag_id", F.array_join("names", "|").alias("names")))
-query("tag_roles", with_sql(PAIRS, OCC, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT role, count(DISTINCT tag_id)::BIGINT AS tags FROM tagocc JOIN pol USING (key) GROUP BY role"))(lambda s, d: occ(s, d).select("tag_id").distinct().groupBy(tags.role_of(F.col("tag_id")).alias("role")).agg(F.count("*").alias("tags")))
+query("viewport_tag_counts", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT tag_id, count(*)::BIGINT AS count, "
+    "count(DISTINCT id)::BIGINT AS pois FROM vocc SEMI JOIN allow USING (tag_id) GROUP BY tag_id"))(lambda s, d: tags.tag_counts(tags.allowed(tags.occurrences(view_pois(s,
+    d)), allow(s, d))))
+query("viewport_summary", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT (SELECT count(*) FROM vp)::BIGINT AS pois, "
+    "count(DISTINCT id) FILTER (a.tag_id IS NOT NULL)::BIGINT AS pois_with_tags, count(DISTINCT v.tag_id) FILTER (a.tag_id IS NOT NULL)::BIGINT AS unique_tags, "
+    "count(DISTINCT v.tag_id) FILTER (a.tag_id IS NULL)::BIGINT AS dropped_by_allowlist FROM vocc v LEFT "
+    "JOIN allow a ON v.tag_id = a.tag_id"))(lambda s, d: tags.viewport_summary(view_pois(s, d), tags.occurrences(view_pois(s, d)), allow(s, d)))
+query("dropped_kinds", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT tag_id, count(*)::BIGINT AS n FROM vocc ANTI "
+    "JOIN allow USING (tag_id) GROUP BY tag_id ORDER BY n DESC, tag_id LIMIT 40"))(lambda s, d: tags.dropped(tags.occurrences(view_pois(s, d)), allow(s, d)).orderBy(F.desc("n"),
+    "tag_id").limit(40))
+query("tag_sample_names", with_sql(PAIRS, OCC, "named AS (SELECT id, lod_level, coalesce(tags['name:ja'], tags['name']) AS name "
+    "FROM poi)", "f AS (SELECT tag_id, name, min(lod_level::HUGEINT * 1000000000000000000::HUGEINT + id) AS place "
+    "FROM tagocc JOIN named USING (id) WHERE name IS NOT NULL GROUP BY 1, 2)", then="SELECT tag_id, string_agg(name, '|' "
+    "ORDER BY place, name) AS names FROM (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY place, name) AS rn "
+    "FROM f) WHERE rn <= 3 GROUP BY tag_id"))(lambda s, d: tags.sample_names(pois(s, d), occ(s, d)).select("tag_id", F.array_join("names", "|").alias("names")))
+query("tag_roles", with_sql(PAIRS, OCC, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT role, "
+    "count(DISTINCT tag_id)::BIGINT AS tags FROM tagocc JOIN pol USING (key) GROUP BY role"))(lambda s, d: occ(s, d).select("tag_id").distinct().groupBy(tags.role_of(F.col("tag_id")).alias("role")).agg(F.count("*").alias("tags")))
 
 # --- evaluation ----------------------------------------------------------------------------------
 LONG = "long AS (SELECT tag_id, 'noul' AS primitive FROM evals WHERE confidence IS NOT NULL UNION ALL SELECT tag_id, 'score' FROM evals WHERE score IS NOT NULL UNION ALL SELECT tag_id, 'choice' FROM evals WHERE choice IS NOT NULL), wanted AS (SELECT tag_id, primitive FROM tagset, (VALUES ('noul'), ('score'), ('choice')) AS p(primitive))"
@@ -249,12 +318,22 @@ def long_evals(s, d):
     return evals(s, d).select("tag_id", F.explode(has).alias("primitive"))
 
 
-query("missing_evals", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d)))
-query("missing_unfailed", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI JOIN long USING (tag_id, primitive) WHERE primitive <> 'score'"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d), evaluate.missing(occ(s, d), long_evals(s, d)).where("primitive = 'score'")))
-query("failed_left", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT primitive, tag_id FROM wanted ANTI JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.unanswered(evaluate.missing(occ(s, d), long_evals(s, d).limit(0)), long_evals(s, d)))
-query("retryable_count", with_sql(PAIRS, OCC, EVALS, LONG, VOCC, then="SELECT primitive, count(*)::BIGINT AS n FROM wanted ANTI JOIN long USING (tag_id, primitive) WHERE tag_id IN (SELECT tag_id FROM vocc) GROUP BY primitive"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d)).join(tags.occurrences(view_pois(s, d)).select("tag_id").distinct(), "tag_id", "left_semi").groupBy("primitive").agg(F.count("*").alias("n")))
-query("hydrate_merge", with_sql(PAIRS, OCC, EVALS, "mem AS (SELECT tag_id, confidence + 1 AS confidence, NULL::DOUBLE AS score FROM evals WHERE length(tag_id) % 2 = 0)", "sto AS (SELECT tag_id, confidence, score FROM evals WHERE length(tag_id) % 7 <> 0)", then="SELECT coalesce(m.tag_id, s.tag_id) AS tag_id, round(coalesce(m.confidence, s.confidence), 6) AS confidence, round(coalesce(m.score, s.score), 6) AS score FROM mem m FULL JOIN sto s ON m.tag_id = s.tag_id"))(
-    lambda s, d: evaluate.hydrate(evals(s, d).where("length(tag_id) % 2 = 0").select("tag_id", (F.col("confidence") + 1).alias("confidence"), F.lit(None).cast("double").alias("score"), "choice"), evals(s, d).where("length(tag_id) % 7 <> 0")).select("tag_id", F.round("confidence", 6).alias("confidence"), F.round("score", 6).alias("score"))
+query("missing_evals", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI "
+    "JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d)))
+query("missing_unfailed", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI "
+    "JOIN long USING (tag_id, primitive) WHERE primitive <> 'score'"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d), evaluate.missing(occ(s, d), long_evals(s,
+    d)).where("primitive = 'score'")))
+query("failed_left", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT primitive, tag_id FROM wanted ANTI "
+    "JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.unanswered(evaluate.missing(occ(s, d), long_evals(s, d).limit(0)), long_evals(s, d)))
+query("retryable_count", with_sql(PAIRS, OCC, EVALS, LONG, VOCC, then="SELECT primitive, count(*)::BIGINT AS n "
+    "FROM wanted ANTI JOIN long USING (tag_id, primitive) WHERE tag_id IN (SELECT tag_id FROM vocc) GROUP BY primitive"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s,
+    d)).join(tags.occurrences(view_pois(s, d)).select("tag_id").distinct(), "tag_id", "left_semi").groupBy("primitive").agg(F.count("*").alias("n")))
+query("hydrate_merge", with_sql(PAIRS, OCC, EVALS, "mem AS (SELECT tag_id, confidence + 1 AS confidence, NULL::DOUBLE AS score "
+    "FROM evals WHERE length(tag_id) % 2 = 0)", "sto AS (SELECT tag_id, confidence, score FROM evals "
+    "WHERE length(tag_id) % 7 <> 0)", then="SELECT coalesce(m.tag_id, s.tag_id) AS tag_id, round(coalesce(m.confidence, s.confidence), 6) AS confidence, "
+    "round(coalesce(m.score, s.score), 6) AS score FROM mem m FULL JOIN sto s ON m.tag_id = s.tag_id"))(
+    lambda s, d: evaluate.hydrate(evals(s, d).where("length(tag_id) % 2 = 0").select("tag_id", (F.col("confidence") + 1).alias("confidence"), F.lit(None).cast("double").alias("score"),
+        "choice"), evals(s, d).where("length(tag_id) % 7 <> 0")).select("tag_id", F.round("confidence", 6).alias("confidence"), F.round("score", 6).alias("score"))
 )
 
 
@@ -265,12 +344,16 @@ def ranked_tags(s, d):
 
 
 query("batch_plan")(lambda s, d: evaluate.plan_batches(ranked_tags(s, d), "places to sit", budget=8 * 1024))
-query("evaluated_tags", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, array_to_string(choice, ',') AS choice FROM evals WHERE confidence IS NOT NULL OR score IS NOT NULL OR choice IS NOT NULL"))(
-    lambda s, d: evaluate.wide(evaluate.evaluate_tags(occ(s, d).groupBy("tag_id").agg(F.count("*").alias("count")), "places to sit").where("num is not null or dist is not null")).select("tag_id", "confidence", "score", F.array_join(F.transform("choice", lambda x: x.cast("string")), ",").alias("choice"))
+query("evaluated_tags", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, array_to_string(choice, ',') AS choice "
+    "FROM evals WHERE confidence IS NOT NULL OR score IS NOT NULL OR choice IS NOT NULL"))(
+    lambda s, d: evaluate.wide(evaluate.evaluate_tags(occ(s, d).groupBy("tag_id").agg(F.count("*").alias("count")), "places to sit").where("num is not null or dist is not null")).select("tag_id",
+        "confidence", "score", F.array_join(F.transform("choice", lambda x: x.cast("string")), ",").alias("choice"))
 )
 FAIL = "CASE WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server' ELSE 'ok' END"
 query("failure_tally", f"WITH {ATTEMPTS} SELECT {FAIL} AS kind, count(*)::BIGINT AS n FROM attempts GROUP BY 1")(lambda s, d: attempts(s, d).groupBy(evaluate.failure_kind(F.col("status")).alias("kind")).agg(F.count("*").alias("n")))
-query("resume_jobs", f"WITH {ATTEMPTS} SELECT DISTINCT round, condition FROM attempts a WHERE NOT EXISTS (SELECT 1 FROM attempts b WHERE b.round = a.round AND b.condition = a.condition AND b.status = 200 AND b.ms < 200)")(lambda s, d: poi.remaining(attempts(s, d).select("round", "condition").distinct(), attempts(s, d).where("ms < 200"), ["round", "condition"]))
+query("resume_jobs", f"WITH {ATTEMPTS} SELECT DISTINCT round, condition FROM attempts a WHERE NOT EXISTS (SELECT 1 "
+    f"FROM attempts b WHERE b.round = a.round AND b.condition = a.condition AND b.status = 200 AND b.ms < 200)")(lambda s, d: poi.remaining(attempts(s, d).select("round", "condition").distinct(),
+    attempts(s, d).where("ms < 200"), ["round", "condition"]))
 
 
 
@@ -288,7 +371,9 @@ STATUS = "(CASE length(tag_id) % 7 WHEN 0 THEN 400 WHEN 1 THEN 503 WHEN 2 THEN 5
 KIND = "(CASE length(tag_id) % 7 WHEN 0 THEN 'invalid' WHEN 1 THEN 'server' WHEN 2 THEN 'overloaded' WHEN 3 THEN 'timeout' WHEN 4 THEN 'invalid' ELSE 'ok' END)"
 
 
-@query("attempt_log", with_sql(PAIRS, OCC, f"k AS (SELECT DISTINCT tag_id, {STATUS} AS status, {KIND} AS kind FROM tagocc)", then="SELECT tag_id, primitive, attempt::INTEGER AS attempt, status::INTEGER AS status, kind, 1::INTEGER AS questions FROM k, (VALUES ('noul'), ('score')) AS p(primitive), range(1, 7) AS r(attempt) WHERE attempt = 1 OR kind IN ('server', 'overloaded', 'timeout')"))
+@query("attempt_log", with_sql(PAIRS, OCC, f"k AS (SELECT DISTINCT tag_id, {STATUS} AS status, {KIND} AS kind "
+    f"FROM tagocc)", then="SELECT tag_id, primitive, attempt::INTEGER AS attempt, status::INTEGER AS status, kind, 1::INTEGER AS questions "
+    "FROM k, (VALUES ('noul'), ('score')) AS p(primitive), range(1, 7) AS r(attempt) WHERE attempt = 1 OR kind IN ('server', 'overloaded', 'timeout')"))
 def attempt_log(s, d):
     """Each attempt of each request, one tag a request."""
     plan = evaluate.plan_batches(ranked_tags(s, d), "places to sit", ("noul", "score"), most=1)
@@ -305,7 +390,8 @@ query("planned_missing", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id,
 )
 
 
-@query("retry_plan", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive, CASE WHEN primitive = 'score' THEN 'retry' ELSE 'now' END AS asked FROM wanted ANTI JOIN long USING (tag_id, primitive)"))
+@query("retry_plan", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive, CASE WHEN primitive = 'score' THEN 'retry' ELSE 'now' END AS asked "
+    "FROM wanted ANTI JOIN long USING (tag_id, primitive)"))
 def retry_plan(s, d):
     """What is asked now, and what only a retry asks, when all missing scores have failed."""
     failed = evaluate.missing(tag_set(s, d), long_evals(s, d)).where("primitive = 'score'")
@@ -318,14 +404,18 @@ def retry_plan(s, d):
 SCREEN = (VIEW.bbox, [r for _, r in LEVELS], 0.1, 1)
 
 
-@query("viewport_result", with_sql(PAIRS, OCC, ALLOW, f"vp AS (SELECT * FROM poi WHERE {BOX.rsplit(' AND ', 1)[0]} AND lod_level <= {viewport.view_for(*SCREEN).max_level} ORDER BY lod_level, id LIMIT 2000)", then=f"SELECT {viewport.view_for(*SCREEN).max_level}::INTEGER AS level, (SELECT count(lon) FROM vp)::BIGINT AS count, (SELECT count(*) >= 2000 FROM vp) AS truncated, (SELECT count(DISTINCT tag_id) FROM tagocc SEMI JOIN vp USING (id) ANTI JOIN allow USING (tag_id))::BIGINT AS dropped_tag_kinds"))
+@query("viewport_result", with_sql(PAIRS, OCC, ALLOW, f"vp AS (SELECT * FROM poi WHERE {BOX.rsplit(' AND ', 1)[0]} "
+    f"AND lod_level <= {viewport.view_for(*SCREEN).max_level} ORDER BY lod_level, id LIMIT 2000)", then=f"SELECT {viewport.view_for(*SCREEN).max_level}::INTEGER AS level, (SELECT count(lon) "
+    f"FROM vp)::BIGINT AS count, (SELECT count(*) >= 2000 FROM vp) AS truncated, (SELECT count(DISTINCT tag_id) "
+    f"FROM tagocc SEMI JOIN vp USING (id) ANTI JOIN allow USING (tag_id))::BIGINT AS dropped_tag_kinds"))
 def viewport_result(s, d):
     return viewport.view_result(pois(s, d), viewport.view_for(*SCREEN), tags.occurrences, allow(s, d), 2000)
 
 
 query("allowlist_document", with_sql(PAIRS, OCC, ALLOW, then="SELECT count(*)::BIGINT AS pairs, sum(count)::BIGINT AS total FROM allow"))(
     lambda s, d: sinks.full_allowlist(s.createDataFrame(list(ROLES.items()), "key string, role string"), allow(s, d), ALLOW_MIN, ALLOW_MIN_REGION)
-    .select(F.from_json("document", "pairs long, entries array<struct<count:long>>").alias("d")).select("d.pairs", F.aggregate("d.entries", F.lit(0).cast("long"), lambda a, e: a + e["count"]).alias("total"))
+    .select(F.from_json("document", "pairs long, entries array<struct<count:long>>").alias("d")).select("d.pairs", F.aggregate("d.entries", F.lit(0).cast("long"), lambda a,
+        e: a + e["count"]).alias("total"))
 )
 
 # --- lens ----------------------------------------------------------------------------------------
@@ -345,9 +435,13 @@ def styled(s, d):
     return lens.style_pois(tags.with_tag_ids(pois(s, d)), evals(s, d))
 
 
-query("poi_lens_score", with_sql(*LENS_CTES, then="SELECT id, total::BIGINT AS total, evaluated::BIGINT AS evaluated, state, round(score, 6) AS score FROM styled"))(lambda s, d: styled(s, d).select("id", "total", "evaluated", "state", F.round("score", 6).alias("score")))
-query("poi_choice_mix", with_sql(*LENS_CTES, then="SELECT id, " + ", ".join(f"round(c{i}, 6) AS c{i}" for i in range(5)) + " FROM styled"))(lambda s, d: styled(s, d).select("id", *[F.round(F.element_at("choice", i + 1), 6).alias(f"c{i}") for i in range(5)]))
-query("poi_style", with_sql(*LENS_CTES, then="SELECT id, round(CASE WHEN score IS NULL THEN 3.0 WHEN score >= 2 THEN 3 + (score - 2) / 2 * 3 ELSE 1.5 + score / 2 * 1.5 END, 6)::DOUBLE AS radius, round(CASE WHEN score IS NULL THEN 0.75 WHEN score >= 2 THEN 0.9 ELSE 0.3 + score / 2 * 0.45 END, 6)::DOUBLE AS opacity FROM styled"))(lambda s, d: styled(s, d).select("id", F.round("radius", 6).alias("radius"), F.round("opacity", 6).alias("opacity")))
+query("poi_lens_score", with_sql(*LENS_CTES, then="SELECT id, total::BIGINT AS total, evaluated::BIGINT AS evaluated, state, "
+    "round(score, 6) AS score FROM styled"))(lambda s, d: styled(s, d).select("id", "total", "evaluated", "state", F.round("score", 6).alias("score")))
+query("poi_choice_mix", with_sql(*LENS_CTES, then="SELECT id, " + ", ".join(f"round(c{i}, 6) AS c{i}" for i in range(5)) + " "
+    "FROM styled"))(lambda s, d: styled(s, d).select("id", *[F.round(F.element_at("choice", i + 1), 6).alias(f"c{i}") for i in range(5)]))
+query("poi_style", with_sql(*LENS_CTES, then="SELECT id, round(CASE WHEN score IS NULL THEN 3.0 WHEN score >= 2 THEN 3 + (score - 2) / 2 * 3 ELSE 1.5 + score / 2 * 1.5 END, 6)::DOUBLE AS radius, "
+    "round(CASE WHEN score IS NULL THEN 0.75 WHEN score >= 2 THEN 0.9 ELSE 0.3 + score / 2 * 0.45 END, 6)::DOUBLE AS opacity "
+    "FROM styled"))(lambda s, d: styled(s, d).select("id", F.round("radius", 6).alias("radius"), F.round("opacity", 6).alias("opacity")))
 
 
 def _colour_sql() -> str:
@@ -358,16 +452,26 @@ def _colour_sql() -> str:
     rgb = ", ".join(f"{' + '.join(f'({m!r}::DOUBLE) * q{k}' for k, m in enumerate(row))} AS r{i}" for i, row in enumerate(style.TO_RGB))
     gam = [f"floor(least(greatest(CASE WHEN r{i} <= 0.0031308::DOUBLE THEN r{i} * 12.92::DOUBLE ELSE 1.055::DOUBLE * pow(greatest(r{i}, 0::DOUBLE), (1.0::DOUBLE / 2.4::DOUBLE)) - 0.055::DOUBLE END, 0::DOUBLE), 1::DOUBLE) * 255 + 0.5::DOUBLE)::INTEGER" for i in range(3)]
     hexa = " || ".join(f"printf('%02x', {g})" for g in gam)
-    return with_sql(*LENS_CTES, f"k AS (SELECT id, {', '.join(f'({m}) / {tot} AS k{i}' for i, m in enumerate(mix))} FROM styled)", f"q AS (SELECT id, {cone} FROM k)", f"r AS (SELECT id, {rgb} FROM q)", then=f"SELECT id, CASE WHEN r0 IS NULL THEN '#333333' ELSE '#' || {hexa} END AS color FROM r")
+    return with_sql(*LENS_CTES, f"k AS (SELECT id, {', '.join(f'({m}) / {tot} AS k{i}' for i, m in enumerate(mix))} "
+        f"FROM styled)", f"q AS (SELECT id, {cone} FROM k)", f"r AS (SELECT id, {rgb} FROM q)", then=f"SELECT id, "
+        f"CASE WHEN r0 IS NULL THEN '#333333' ELSE '#' || {hexa} END AS color FROM r")
 
 
 query("poi_color", _colour_sql())(lambda s, d: styled(s, d).select("id", "color"))
-query("lens_tallies", with_sql(*LENS_CTES, then="SELECT count(*) FILTER (state <> 'none')::BIGINT AS applied, count(*) FILTER (state = 'partial')::BIGINT AS partial, count(*) FILTER (state <> 'none' AND c0 IS NULL)::BIGINT AS colourless, count(*) FILTER (state = 'none')::BIGINT AS unevaluated FROM styled"))(lambda s, d: lens.tallies(styled(s, d)))
+query("lens_tallies", with_sql(*LENS_CTES, then="SELECT count(*) FILTER (state <> 'none')::BIGINT AS applied, "
+    "count(*) FILTER (state = 'partial')::BIGINT AS partial, count(*) FILTER (state <> 'none' AND c0 IS NULL)::BIGINT AS colourless, "
+    "count(*) FILTER (state = 'none')::BIGINT AS unevaluated FROM styled"))(lambda s, d: lens.tallies(styled(s, d)))
 query("lens_gate", with_sql(then="SELECT 'none' AS state, count(*)::BIGINT AS n FROM poi"))(lambda s, d: lens.style_pois(tags.with_tag_ids(pois(s, d)), evals(s, d), zoom=12).groupBy("state").agg(F.count("*").alias("n")))
-query("explain_poi", with_sql(PAIRS, OCC, EVALS, then="SELECT o.id, o.tag_id, confidence, score FROM tagocc o LEFT JOIN evals e ON o.tag_id = e.tag_id WHERE id = -5"))(lambda s, d: lens.explain_poi(tags.with_tag_ids(pois(s, d)), evals(s, d), -5).select("id", "tag_id", "confidence", "score"))
-query("screen_radius", with_sql(*LENS_CTES, then="SELECT id, round((CASE WHEN score IS NULL THEN 3.0 WHEN score >= 2 THEN 3 + (score - 2) / 2 * 3 ELSE 1.5 + score / 2 * 1.5 END)::DOUBLE * 1.3335::DOUBLE, 8) AS radius FROM styled"))(lambda s, d: styled(s, d).select("id", F.round(geo.screen_radius(F.col("radius"), 16), 8).alias("radius")))
-query("top_bottom", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, score, 'top' AS side FROM (SELECT * FROM evals WHERE score IS NOT NULL ORDER BY score DESC, tag_id LIMIT 15) UNION ALL SELECT tag_id, score, 'bottom' FROM (SELECT * FROM evals WHERE score IS NOT NULL ORDER BY score, tag_id LIMIT 15)"))(
-    lambda s, d: evals(s, d).where("score is not null").orderBy(F.desc("score"), "tag_id").limit(15).select("tag_id", "score", F.lit("top").alias("side")).unionByName(evals(s, d).where("score is not null").orderBy("score", "tag_id").limit(15).select("tag_id", "score", F.lit("bottom").alias("side")))
+query("explain_poi", with_sql(PAIRS, OCC, EVALS, then="SELECT o.id, o.tag_id, confidence, score FROM tagocc o "
+    "LEFT JOIN evals e ON o.tag_id = e.tag_id WHERE id = -5"))(lambda s, d: lens.explain_poi(tags.with_tag_ids(pois(s, d)), evals(s, d), -5).select("id", "tag_id", "confidence",
+    "score"))
+query("screen_radius", with_sql(*LENS_CTES, then="SELECT id, round((CASE WHEN score IS NULL THEN 3.0 WHEN score >= 2 THEN 3 + (score - 2) / 2 * 3 ELSE 1.5 + score / 2 * 1.5 END)::DOUBLE * 1.3335::DOUBLE, 8) AS radius "
+    "FROM styled"))(lambda s, d: styled(s, d).select("id", F.round(geo.screen_radius(F.col("radius"), 16), 8).alias("radius")))
+query("top_bottom", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, score, 'top' AS side FROM (SELECT * "
+    "FROM evals WHERE score IS NOT NULL ORDER BY score DESC, tag_id LIMIT 15) UNION ALL SELECT tag_id, score, 'bottom' "
+    "FROM (SELECT * FROM evals WHERE score IS NOT NULL ORDER BY score, tag_id LIMIT 15)"))(
+    lambda s, d: evals(s, d).where("score is not null").orderBy(F.desc("score"), "tag_id").limit(15).select("tag_id", "score", F.lit("top").alias("side")).unionByName(evals(s,
+        d).where("score is not null").orderBy("score", "tag_id").limit(15).select("tag_id", "score", F.lit("bottom").alias("side")))
 )
 
 # --- analytics -----------------------------------------------------------------------------------
@@ -376,41 +480,78 @@ NUMS = "nums AS (SELECT lens, variant, 'noul' AS primitive, confidence AS num, 0
 BIN = "least(9, greatest(0, floor((num - 0) / 4.0::DOUBLE * 10)))"
 TOP = "list_position({0}, list_max({0}))"
 PAIR = "pr AS (SELECT a.lens, a.tag, a.score AS a, b.score AS b, a.choice AS da, b.choice AS db, a.confidence AS ca, b.confidence AS cb FROM answers a JOIN answers b ON a.lens = b.lens AND a.tag = b.tag AND a.variant = 'full' AND b.variant = 'slim')"
-query("score_histogram", with_sql(*ANS, NUMS, then=f"SELECT lens, variant, primitive, count(*)::BIGINT AS n, round(avg(num), 6) AS mean, round(stddev_pop(num), 6) AS sd, " + ", ".join(f"count(*) FILTER ({BIN} = {i})::BIGINT AS b{i}" for i in range(10)) + " FROM nums WHERE num IS NOT NULL GROUP BY 1, 2, 3"))(lambda s, d: analytics.histogram(answers(s, d), 0.0, 4.0))
-query("choice_counts", with_sql(*ANS, then="SELECT lens, variant, " + ", ".join(f"count(*) FILTER ({TOP.format('choice')} = {i + 1})::BIGINT AS {c}" for i, c in enumerate(CHOICES)) + ", round(avg(list_max(choice)), 6) AS mean_top FROM answers WHERE choice IS NOT NULL GROUP BY 1, 2"))(lambda s, d: analytics.choice_counts(answers(s, d)))
-query("confidence_score", with_sql(*ANS, then="SELECT lens, variant, count(*)::BIGINT AS n, round(corr(confidence, abs(score - 2)), 6) AS r_far, round(corr(confidence, score), 6) AS r_score, round(avg(abs(score - 2)) FILTER (confidence < 0.4::DOUBLE), 6) AS far_low, round(avg(abs(score - 2)) FILTER (confidence >= 0.7::DOUBLE), 6) AS far_high, round(avg((confidence >= 0.8::DOUBLE)::INTEGER), 6) AS share_high, round(avg((confidence <= 0.2::DOUBLE)::INTEGER), 6) AS share_low FROM answers WHERE confidence IS NOT NULL AND score IS NOT NULL GROUP BY 1, 2"))(lambda s, d: analytics.confidence_score(answers(s, d)))
-query("score_deltas", with_sql(*ANS, PAIR, then="SELECT lens, count(*)::BIGINT AS n, round(avg(abs(b - a)), 6) AS mean_abs, round(avg((abs(b - a) >= 0.5::DOUBLE)::INTEGER), 6) AS share_half FROM pr WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY lens"))(lambda s, d: analytics.score_deltas(answers(s, d), "full", "slim"))
-query("top_movers", with_sql(*ANS, PAIR, then="SELECT lens, tag, delta, rk::INTEGER AS rk FROM (SELECT lens, tag, round(b - a, 6) AS delta, row_number() OVER (PARTITION BY lens ORDER BY abs(round(b - a, 6)) DESC, tag) AS rk FROM pr WHERE a IS NOT NULL AND b IS NOT NULL) WHERE rk <= 4"))(lambda s, d: analytics.top_movers(answers(s, d), "full", "slim"))
-query("variant_crosstab", with_sql(*ANS, PAIR, then=f"SELECT lens, [{quoted(CHOICES)}][{TOP.format('da')}] AS base, " + ", ".join(f"count(*) FILTER ({TOP.format('db')} = {i + 1})::BIGINT AS {c}" for i, c in enumerate(CHOICES)) + " FROM pr WHERE da IS NOT NULL AND db IS NOT NULL GROUP BY 1, 2"))(lambda s, d: analytics.crosstab(answers(s, d), "full", "slim"))
-query("category_means", with_sql(*ANS, then=f"SELECT lens, variant, [{quoted(CHOICES)}][{TOP.format('choice')}] AS category, count(*)::BIGINT AS n, round(avg(score), 6) AS mean_score, round(avg((score < 1.5::DOUBLE)::INTEGER), 6) AS share_low FROM answers WHERE score IS NOT NULL AND choice IS NOT NULL GROUP BY 1, 2, 3"))(lambda s, d: analytics.category_means(answers(s, d)))
+query("score_histogram", with_sql(*ANS, NUMS, then=f"SELECT lens, variant, primitive, count(*)::BIGINT AS n, "
+    f"round(avg(num), 6) AS mean, round(stddev_pop(num), 6) AS sd, " + ", ".join(f"count(*) FILTER ({BIN} = {i})::BIGINT AS b{i}" for i in range(10)) + " "
+    "FROM nums WHERE num IS NOT NULL GROUP BY 1, 2, 3"))(lambda s, d: analytics.histogram(answers(s, d), 0.0, 4.0))
+query("choice_counts", with_sql(*ANS, then="SELECT lens, variant, " + ", ".join(f"count(*) FILTER ({TOP.format('choice')} = {i + 1})::BIGINT AS {c}" for i, c in enumerate(CHOICES)) + ", "
+    "round(avg(list_max(choice)), 6) AS mean_top FROM answers WHERE choice IS NOT NULL GROUP BY 1, 2"))(lambda s, d: analytics.choice_counts(answers(s, d)))
+query("confidence_score", with_sql(*ANS, then="SELECT lens, variant, count(*)::BIGINT AS n, round(corr(confidence, abs(score - 2)), 6) AS r_far, "
+    "round(corr(confidence, score), 6) AS r_score, round(avg(abs(score - 2)) FILTER (confidence < 0.4::DOUBLE), 6) AS far_low, "
+    "round(avg(abs(score - 2)) FILTER (confidence >= 0.7::DOUBLE), 6) AS far_high, round(avg((confidence >= 0.8::DOUBLE)::INTEGER), 6) AS share_high, "
+    "round(avg((confidence <= 0.2::DOUBLE)::INTEGER), 6) AS share_low FROM answers WHERE confidence IS NOT NULL "
+    "AND score IS NOT NULL GROUP BY 1, 2"))(lambda s, d: analytics.confidence_score(answers(s, d)))
+query("score_deltas", with_sql(*ANS, PAIR, then="SELECT lens, count(*)::BIGINT AS n, round(avg(abs(b - a)), 6) AS mean_abs, "
+    "round(avg((abs(b - a) >= 0.5::DOUBLE)::INTEGER), 6) AS share_half FROM pr WHERE a IS NOT NULL AND b IS NOT NULL "
+    "GROUP BY lens"))(lambda s, d: analytics.score_deltas(answers(s, d), "full", "slim"))
+query("top_movers", with_sql(*ANS, PAIR, then="SELECT lens, tag, delta, rk::INTEGER AS rk FROM (SELECT lens, tag, "
+    "round(b - a, 6) AS delta, row_number() OVER (PARTITION BY lens ORDER BY abs(round(b - a, 6)) DESC, tag) AS rk "
+    "FROM pr WHERE a IS NOT NULL AND b IS NOT NULL) WHERE rk <= 4"))(lambda s, d: analytics.top_movers(answers(s, d), "full", "slim"))
+query("variant_crosstab", with_sql(*ANS, PAIR, then=f"SELECT lens, [{quoted(CHOICES)}][{TOP.format('da')}] AS base, " + ", ".join(f"count(*) FILTER ({TOP.format('db')} = {i + 1})::BIGINT AS {c}" for i,
+    c in enumerate(CHOICES)) + " FROM pr WHERE da IS NOT NULL AND db IS NOT NULL GROUP BY 1, 2"))(lambda s, d: analytics.crosstab(answers(s, d), "full", "slim"))
+query("category_means", with_sql(*ANS, then=f"SELECT lens, variant, [{quoted(CHOICES)}][{TOP.format('choice')}] AS category, "
+    f"count(*)::BIGINT AS n, round(avg(score), 6) AS mean_score, round(avg((score < 1.5::DOUBLE)::INTEGER), 6) AS share_low "
+    f"FROM answers WHERE score IS NOT NULL AND choice IS NOT NULL GROUP BY 1, 2, 3"))(lambda s, d: analytics.category_means(answers(s, d)))
 B3 = "CASE WHEN {0} > 2.1::DOUBLE THEN 1 WHEN {0} < 1.9::DOUBLE THEN -1 ELSE 0 END"
-query("paired_diff", with_sql(*ANS, PAIR, then=f"SELECT lens, count(*)::BIGINT AS n, round(avg(b - a), 6) AS mean_diff, round(avg(abs(b - a)), 6) AS mean_abs, round(corr(a, b), 6) AS r, round(avg(({B3.format('a')} = {B3.format('b')})::INTEGER), 6) AS agreement FROM pr WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY lens"))(lambda s, d: analytics.paired_diff(answers(s, d), "full", "slim"))
-query("choice_l1", with_sql(*ANS, PAIR, then="SELECT lens, count(*)::BIGINT AS n, round(avg(" + " + ".join(f"abs(da[{i}] - db[{i}])" for i in range(1, 6)) + f"), 6) AS l1, round(avg(({TOP.format('da')} = {TOP.format('db')})::INTEGER), 6) AS same_top FROM pr WHERE da IS NOT NULL AND db IS NOT NULL GROUP BY lens"))(lambda s, d: analytics.choice_distance(answers(s, d), "full", "slim"))
-query("index_quantiles", f"WITH {ATTEMPTS}, r AS (SELECT condition, ms, row_number() OVER (PARTITION BY condition ORDER BY ms) - 1 AS rk, count(*) OVER (PARTITION BY condition) AS n FROM attempts) SELECT condition, max(n)::BIGINT AS n, max(ms) FILTER (rk = floor(n * 0.5::DOUBLE)) AS q50, max(ms) FILTER (rk = floor(n * 0.9::DOUBLE)) AS q90 FROM r GROUP BY condition")(lambda s, d: analytics.index_quantiles(attempts(s, d), "condition", "ms"))
-query("usage_summary", f"WITH {ATTEMPTS} SELECT condition, count(*)::BIGINT AS requests, sum(tokens)::BIGINT AS tokens, trunc(quantile_cont(ms, 0.5))::INTEGER AS median_ms FROM attempts WHERE status = 200 GROUP BY condition")(lambda s, d: analytics.usage(attempts(s, d)))
-query("success_rates", f"WITH {ATTEMPTS} SELECT condition, count(*)::BIGINT AS n, round(avg((status = 200)::INTEGER), 6) AS success, count(*) FILTER (status = 200)::BIGINT AS s200, count(*) FILTER (status = 429)::BIGINT AS s429, count(*) FILTER (status = 503)::BIGINT AS s503 FROM attempts GROUP BY condition")(lambda s, d: analytics.success_rates(attempts(s, d)))
-query("healthy_rounds", f"WITH {ATTEMPTS}, h AS (SELECT * FROM attempts SEMI JOIN (SELECT DISTINCT round FROM attempts WHERE condition = 'control' AND status = 200 AND event_id % 40 < 4) USING (round)) SELECT condition, count(*)::BIGINT AS n, round(avg((status = 200)::INTEGER), 6) AS success, count(*) FILTER (status = 200)::BIGINT AS s200, count(*) FILTER (status = 429)::BIGINT AS s429, count(*) FILTER (status = 503)::BIGINT AS s503 FROM h GROUP BY condition")(
-    lambda s, d: analytics.success_rates(analytics.healthy(attempts(s, d).withColumn("condition", F.when((F.col("condition") != "control") | (F.col("event_id") % 40 < 4), F.col("condition")).otherwise("late")), "control").withColumn("condition", F.when(F.col("condition") == "late", "control").otherwise(F.col("condition"))))
+query("paired_diff", with_sql(*ANS, PAIR, then=f"SELECT lens, count(*)::BIGINT AS n, round(avg(b - a), 6) AS mean_diff, "
+    f"round(avg(abs(b - a)), 6) AS mean_abs, round(corr(a, b), 6) AS r, round(avg(({B3.format('a')} = {B3.format('b')})::INTEGER), 6) AS agreement "
+    f"FROM pr WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY lens"))(lambda s, d: analytics.paired_diff(answers(s, d), "full", "slim"))
+query("choice_l1", with_sql(*ANS, PAIR, then="SELECT lens, count(*)::BIGINT AS n, round(avg(" + " + ".join(f"abs(da[{i}] - db[{i}])" for i in range(1, 6)) + f"), 6) AS l1, "
+    f"round(avg(({TOP.format('da')} = {TOP.format('db')})::INTEGER), 6) AS same_top FROM pr WHERE da IS NOT NULL "
+    f"AND db IS NOT NULL GROUP BY lens"))(lambda s, d: analytics.choice_distance(answers(s, d), "full", "slim"))
+query("index_quantiles", f"WITH {ATTEMPTS}, r AS (SELECT condition, ms, row_number() OVER (PARTITION BY condition "
+    f"ORDER BY ms) - 1 AS rk, count(*) OVER (PARTITION BY condition) AS n FROM attempts) SELECT condition, "
+    f"max(n)::BIGINT AS n, max(ms) FILTER (rk = floor(n * 0.5::DOUBLE)) AS q50, max(ms) FILTER (rk = floor(n * 0.9::DOUBLE)) AS q90 "
+    f"FROM r GROUP BY condition")(lambda s, d: analytics.index_quantiles(attempts(s, d), "condition", "ms"))
+query("usage_summary", f"WITH {ATTEMPTS} SELECT condition, count(*)::BIGINT AS requests, sum(tokens)::BIGINT AS tokens, trunc(quantile_cont(ms, 0.5))::INTEGER AS median_ms "
+    f"FROM attempts WHERE status = 200 GROUP BY condition")(lambda s, d: analytics.usage(attempts(s, d)))
+query("success_rates", f"WITH {ATTEMPTS} SELECT condition, count(*)::BIGINT AS n, round(avg((status = 200)::INTEGER), 6) AS success, "
+    f"count(*) FILTER (status = 200)::BIGINT AS s200, count(*) FILTER (status = 429)::BIGINT AS s429, count(*) FILTER (status = 503)::BIGINT AS s503 "
+    f"FROM attempts GROUP BY condition")(lambda s, d: analytics.success_rates(attempts(s, d)))
+query("healthy_rounds", f"WITH {ATTEMPTS}, h AS (SELECT * FROM attempts SEMI JOIN (SELECT DISTINCT round "
+    f"FROM attempts WHERE condition = 'control' AND status = 200 AND event_id % 40 < 4) USING (round)) "
+    f"SELECT condition, count(*)::BIGINT AS n, round(avg((status = 200)::INTEGER), 6) AS success, count(*) FILTER (status = 200)::BIGINT AS s200, "
+    f"count(*) FILTER (status = 429)::BIGINT AS s429, count(*) FILTER (status = 503)::BIGINT AS s503 FROM h "
+    f"GROUP BY condition")(
+    lambda s, d: analytics.success_rates(analytics.healthy(attempts(s, d).withColumn("condition", F.when((F.col("condition") != "control") | (F.col("event_id") % 40 < 4), F.col("condition")).otherwise("late")),
+        "control").withColumn("condition", F.when(F.col("condition") == "late", "control").otherwise(F.col("condition"))))
 )
-query("token_reduction", f"WITH {ATTEMPTS} SELECT round(avg(tokens) FILTER (condition = 'large'), 6) AS base_tokens, round(avg(tokens) FILTER (condition = 'small'), 6) AS new_tokens, round(1 - avg(tokens) FILTER (condition = 'small') / avg(tokens) FILTER (condition = 'large'), 6) AS reduction FROM attempts WHERE status = 200")(lambda s, d: analytics.token_reduction(attempts(s, d), "large", "small"))
-query("random_pairs")(lambda s, d: analytics.random_pairs(answers_wide(s, d).where("lens = 'kids' and variant = 'full'")))
+query("token_reduction", f"WITH {ATTEMPTS} SELECT round(avg(tokens) FILTER (condition = 'large'), 6) AS base_tokens, "
+    f"round(avg(tokens) FILTER (condition = 'small'), 6) AS new_tokens, round(1 - avg(tokens) FILTER (condition = 'small') / avg(tokens) FILTER (condition = 'large'), 6) AS reduction "
+    f"FROM attempts WHERE status = 200")(lambda s, d: analytics.token_reduction(attempts(s, d), "large", "small"))
 query("windowed_events", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(streams.windowed_batch)
-query("level_bounds", with_sql(then="SELECT lod_level, count(*)::BIGINT AS rows, (sum(count(*)) OVER (ORDER BY lod_level))::BIGINT AS row_end FROM poi GROUP BY lod_level"))(lambda s, d: viewport.level_bounds(pois(s, d)))
+query("level_bounds", with_sql(then="SELECT lod_level, count(*)::BIGINT AS rows, (sum(count(*)) OVER (ORDER BY lod_level))::BIGINT AS row_end "
+    "FROM poi GROUP BY lod_level"))(lambda s, d: viewport.level_bounds(pois(s, d)))
 STEPS = [(i, -20.0 + 5 * i, 30.0, 10.0 + 5 * i, 60.0, 16) for i in range(8)]
 
 
-@query("pan_totals", with_sql(f"v(view_id, x0, y0, x1, y1, m) AS (VALUES {', '.join(str(v) for v in STEPS)})", "seen AS (SELECT view_id, id FROM poi JOIN v ON lon BETWEEN x0::DOUBLE AND x1::DOUBLE AND lat BETWEEN y0::DOUBLE AND y1::DOUBLE AND lod_level <= m)", then="SELECT v.view_id::INTEGER AS view_id, count(seen.id)::BIGINT AS rows, (count(*) FILTER (seen.view_id = (SELECT min(x.view_id) FROM seen x WHERE x.id = seen.id)))::BIGINT AS new_rows FROM v LEFT JOIN seen USING (view_id) GROUP BY v.view_id"))
+@query("pan_totals", with_sql(f"v(view_id, x0, y0, x1, y1, m) AS (VALUES {', '.join(str(v) for v in STEPS)})", "seen AS (SELECT view_id, id "
+    "FROM poi JOIN v ON lon BETWEEN x0::DOUBLE AND x1::DOUBLE AND lat BETWEEN y0::DOUBLE AND y1::DOUBLE "
+    "AND lod_level <= m)", then="SELECT v.view_id::INTEGER AS view_id, count(seen.id)::BIGINT AS rows, (count(*) FILTER (seen.view_id = (SELECT min(x.view_id) "
+    "FROM seen x WHERE x.id = seen.id)))::BIGINT AS new_rows FROM v LEFT JOIN seen USING (view_id) GROUP BY v.view_id"))
 def pan_totals(s, d):
     return viewport.step_totals(pois(s, d), s.createDataFrame(STEPS, "view_id int, x0 double, y0 double, x1 double, y1 double, max_level int"))
 
 
 DESCRIPTIONS = [("amenity=cafe", "喫茶店", "coffee shop"), ("amenity=bar", None, "bar"), ("shop=bakery", None, None)]
-query("described_tags", with_sql(PAIRS, OCC, "de(tag_id, ja, en) AS (VALUES ('amenity=cafe', '喫茶店', 'coffee shop'), ('amenity=bar', NULL, 'bar'), ('shop=bakery', NULL, NULL))", then="SELECT tag_id, coalesce(ja, en, tag_id) AS description FROM (SELECT DISTINCT tag_id FROM tagocc) LEFT JOIN de USING (tag_id)"))(
+query("described_tags", with_sql(PAIRS, OCC, "de(tag_id, ja, en) AS (VALUES ('amenity=cafe', '喫茶店', 'coffee shop'), ('amenity=bar', NULL, 'bar'), ('shop=bakery', NULL, NULL))",
+    then="SELECT tag_id, coalesce(ja, en, tag_id) AS description FROM (SELECT DISTINCT tag_id FROM tagocc) "
+    "LEFT JOIN de USING (tag_id)"))(
     lambda s, d: tags.described(occ(s, d).select("tag_id").distinct(), s.createDataFrame(DESCRIPTIONS, "tag_id string, ja string, en string"))
 )
 
 
-@query("answer_values", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, CASE WHEN choice IS NOT NULL THEN '主役' END AS choice, CASE WHEN score > 2 THEN 'score-high' ELSE 'score' END AS label FROM evals"))
+@query("answer_values", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, CASE WHEN choice IS NOT NULL THEN '主役' END AS choice, "
+    "CASE WHEN score > 2 THEN 'score-high' ELSE 'score' END AS label FROM evals"))
 def answer_values(s, d):
     """Values read back from JSON answers."""
     e = evals(s, d)
@@ -418,12 +559,14 @@ def answer_values(s, d):
     read = lambda p, name, c, i: text.answer_value(js(name, c), F.lit(p))[i]
     pick = F.when(F.col("choice").isNotNull(), CHOICES[0])
     label = text.variant_label(F.lit("score"), F.when(F.col("score") > 2, "high"))
-    return e.select("tag_id", read("noul", "probability", F.col("confidence"), 0).alias("confidence"), read("score", "score", F.col("score"), 0).alias("score"), read("choice", "choice", pick, 1).alias("choice"), label.alias("label"))
+    return e.select("tag_id", read("noul", "probability", F.col("confidence"), 0).alias("confidence"), read("score", "score", F.col("score"), 0).alias("score"), read("choice",
+        "choice", pick, 1).alias("choice"), label.alias("label"))
 
 
-query("parsed_tags", with_sql(then="SELECT id, cardinality(tags)::INTEGER AS n, tags['amenity'] AS amenity FROM poi"))(lambda s, d: pois(s, d).select("id", text.parse_tags(F.to_json("tags")).alias("t")).select("id", F.size("t").alias("n"), F.col("t")["amenity"].alias("amenity")))
-query("summary_document")(lambda s, d: sinks.as_document(profile.row_stats(pois(s, d))))
-query("display_order", with_sql(PAIRS, OCC, then="SELECT tag_id, count(*)::BIGINT AS count, count(DISTINCT id)::BIGINT AS pois FROM tagocc GROUP BY tag_id"))(lambda s, d: tags.display_order(tags.tag_counts(occ(s, d))))
+query("parsed_tags", with_sql(then="SELECT id, cardinality(tags)::INTEGER AS n, tags['amenity'] AS amenity "
+    "FROM poi"))(lambda s, d: pois(s, d).select("id", text.parse_tags(F.to_json("tags")).alias("t")).select("id", F.size("t").alias("n"), F.col("t")["amenity"].alias("amenity")))
+query("display_order", with_sql(PAIRS, OCC, then="SELECT tag_id, count(*)::BIGINT AS count, count(DISTINCT id)::BIGINT AS pois "
+    "FROM tagocc GROUP BY tag_id"))(lambda s, d: tags.display_order(tags.tag_counts(occ(s, d))))
 
 
 @query("viewport_document")
@@ -432,3 +575,61 @@ def viewport_document(s, d):
     o = tags.occurrences(p)
     top = tags.dropped(o, a).orderBy(F.desc("n"), "tag_id").limit(40)
     return tags.viewport_document(tags.viewport_summary(p, o, a), tags.tag_counts(tags.allowed(o, a)), tags.sample_names(p, o), top, VIEW.bbox, VIEW.max_level)
+
+
+# --- usage and transfer ----------------------------------------------------------------------------
+SPLIT_TOKENS = f"{ATTEMPTS}, split AS (SELECT *, ['noul', 'score', 'choice'][(event_id % 3 + 1)::BIGINT] AS primitive, tokens AS input_tokens, tokens // 10 AS output_tokens FROM attempts)"
+
+
+def split_attempts(s, d):
+    """Attempts with a primitive and with input and output tokens apart."""
+    primitive = F.element_at(F.array(*map(F.lit, PRIMITIVES)), (F.col("event_id") % 3 + 1).cast("int"))
+    return attempts(s, d).select("*", primitive.alias("primitive"), F.col("tokens").alias("input_tokens"), F.floor(F.col("tokens") / 10).alias("output_tokens"))
+
+
+query(
+    "usage_by_primitive",
+    f"WITH {SPLIT_TOKENS} SELECT condition, primitive, count(*)::BIGINT AS requests, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, "
+    "round(avg(input_tokens), 4) AS mean_input, round(avg(output_tokens), 4) AS mean_output FROM split WHERE status = 200 GROUP BY 1, 2",
+)(lambda s, d: analytics.usage_by(split_attempts(s, d), "condition", "primitive"))
+_ONE = "avg(input_tokens) FILTER (condition = '{}')"
+query(
+    "token_reduction_by_primitive",
+    f"WITH {SPLIT_TOKENS} SELECT primitive, round({_ONE.format('large')}, 6) AS base_tokens, round({_ONE.format('small')}, 6) AS new_tokens, "
+    f"round(1 - {_ONE.format('small')} / {_ONE.format('large')}, 6) AS reduction FROM split WHERE status = 200 GROUP BY 1",
+)(lambda s, d: analytics.token_reduction_by(split_attempts(s, d), "large", "small", "primitive"))
+
+
+@query(
+    "pan_bytes",
+    with_sql(
+        f"v(view_id, x0, y0, x1, y1, m) AS (VALUES {', '.join(str(v) for v in STEPS)})",
+        "seen AS (SELECT view_id, id, 32 + coalesce(length(tags['brand']), 0) AS size FROM poi JOIN v ON lon BETWEEN x0::DOUBLE AND x1::DOUBLE AND lat BETWEEN y0::DOUBLE AND y1::DOUBLE AND lod_level <= m)",
+        "f AS (SELECT *, min(view_id) OVER (PARTITION BY id) AS first FROM seen)",
+        then="SELECT v.view_id::INTEGER AS view_id, coalesce(sum(size), 0)::BIGINT AS bytes, coalesce(sum(size) FILTER (f.view_id = f.first), 0)::BIGINT AS new_bytes FROM v LEFT JOIN f USING (view_id) GROUP BY 1",
+    ),
+)
+def pan_bytes(s, d):
+    p = pois(s, d).withColumn("size", F.lit(32) + F.coalesce(F.length(F.col("tags")["brand"]), F.lit(0)))
+    return viewport.step_bytes(p, s.createDataFrame(STEPS, "view_id int, x0 double, y0 double, x1 double, y1 double, max_level int"), "size")
+
+
+_SIZES = ", ".join(f"('{f}', '{p}', {evaluate.request_chars({'': evaluate.question('', p, f)})})" for f in ("slim", "full") for p in PRIMITIVES)
+query(
+    "question_sizes",  # a tag stands twice in its question
+    with_sql(PAIRS, OCC, f"sz(form, primitive, chars) AS (VALUES {_SIZES})", then="SELECT form, primitive, count(*)::BIGINT AS tags, round(avg(chars + 2 * length(tag_id)), 4) AS mean_chars FROM (SELECT DISTINCT tag_id FROM tagocc), sz GROUP BY 1, 2"),
+)(lambda s, d: evaluate.question_sizes(tag_set(s, d)))
+query("summary_document", with_sql(ROWS, then="SELECT count(*)::BIGINT AS rows, max(ntags) AS max, round(avg(ntags), 6) AS mean, min(lon) AS xmin FROM rws"))(
+    lambda s, d: sinks.as_document(profile.row_stats(pois(s, d))).select(F.from_json("document", "rows long, max int, mean double, xmin double").alias("d")).select("d.*")
+)
+PAIR_ROWS = "pk AS (SELECT tag, score, confidence, row_number() OVER (ORDER BY tag) - 1 AS at FROM answers WHERE lens = 'kids' AND variant = 'full' AND score IS NOT NULL AND confidence IS NOT NULL)"
+_DRAWN = analytics.lcg(8000)
+query(
+    "random_pairs",
+    with_sql(
+        *ANS, PAIR_ROWS, f"dr AS (SELECT unnest(range(4000)) AS i, unnest({_DRAWN[::2]}) AS xa, unnest({_DRAWN[1::2]}) AS xb)",
+        then="SELECT i::BIGINT AS i, a.tag AS tag_a, b.tag AS tag_b, "
+        "round(CASE WHEN a.confidence + b.confidence > 0 THEN (a.score * a.confidence + b.score * b.confidence) / (a.confidence + b.confidence) ELSE (a.score + b.score) / 2 END, 6) AS mixed "
+        "FROM dr JOIN pk a ON a.at = xa % (SELECT count(*) FROM pk) JOIN pk b ON b.at = xb % (SELECT count(*) FROM pk)",
+    ),
+)(lambda s, d: analytics.random_pairs(answers_wide(s, d).where("lens = 'kids' and variant = 'full'")))

@@ -20,6 +20,11 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def stream_json(df: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends a stream as JSON lines, each row once."""
+    return df.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def as_document(df: DataFrame, column: str = "document") -> DataFrame:
     """Each row as a JSON document."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(column))

@@ -18,16 +18,19 @@ def read_events(spark: SparkSession, folder: str, files: int = MAX_BATCHES) -> D
 
 
 def current(events: DataFrame) -> DataFrame:
-    """Without results of requests that a later request of the lens has replaced."""
+    """Without results of requests that a later request of the lens has replaced. For a batch, or each batch of a stream."""
     last = events.groupBy("lens").agg(F.max("request_id").alias("last"))
     return events.join(last, "lens").where("request_id = last").drop("last")
 
 
 def replay_into_cache(events: DataFrame, cache: EvalCache, checkpoint: str):
-    """Starts a query that upserts result events. Loads take the latest row, so a replayed batch changes nothing."""
+    """Starts a query that upserts result events. Loads take the latest row, so a replayed batch changes nothing.
+
+    Results that a later request in the same batch has replaced are left out; those of an earlier batch are overwritten.
+    """
 
     def put(batch: DataFrame, _: int) -> None:
-        rows = batch.where("type = 'result' and (num is not null or dist is not null)")
+        rows = current(batch).where("type = 'result' and (num is not null or dist is not null)")
         cache.put(rows.select("lens", "tag_id", "primitive", "num", "dist", "model", "at"))
 
     return events.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

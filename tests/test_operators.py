@@ -98,6 +98,14 @@ def test_lens_text():
             evaluate.validate(*bad)
 
 
+def test_request_in_batches():
+    assert evaluate.validate_batches(" kids. ", [{"primitive": "noul", "tags": ["a=b"]}]) == "kids"
+    for bad in ([], [{"primitive": "noul", "tags": []}], [{"primitive": "x", "tags": ["a"]}], [{"primitive": "score", "tags": [1]}], [{"primitive": "score", "tags": ["a"]}] * 9, ["x"]):
+        with pytest.raises(ValueError):
+            evaluate.validate_batches("kids", bad)
+    assert set(evaluate.question("a=b", "score", "full")) - set(evaluate.question("a=b", "score")) == {"criteria"}
+
+
 def test_batches(spark):
     t = spark.createDataFrame([(i, f"amenity=t{i:03d}") for i in range(500)], "ord long, tag_id string")
     got = evaluate.plan_batches(t, "kids", budget=10**9).orderBy("batch").collect()
@@ -202,6 +210,8 @@ def test_stream_replay(spark, tmp_path):
     cache = sinks.EvalCache(spark, str(tmp_path / "cache"))
     streams.replay_into_cache(streams.read_events(spark, str(tmp_path / "in"), 1), cache, str(tmp_path / "cp")).awaitTermination(120)
     assert {(r.tag_id, r.num) for r in cache.load("kids").collect()} == {("a=b", 3.0), ("c=d", None)}
+    sinks.stream_json(streams.read_events(spark, str(tmp_path / "in"), 1), str(tmp_path / "log"), str(tmp_path / "cp2")).awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "log")).count() == 5
     batch = spark.read.schema(streams.EVENT_SCHEMA).json(str(tmp_path / "in")).where("type is not null")
     assert streams.current(batch).where("type = 'result'").count() == 2
     assert [tuple(r) for r in streams.failure_tally(batch).collect()] == [("timeout", 1)]
