@@ -138,7 +138,7 @@ def evidence(docs: DataFrame, id_col="doc_id", text_col: str | None = "text", de
     if url_col:
         host = F.coalesce(F.nullif(F.lower(F.regexp_extract(F.coalesce(col(url_col), F.lit("")), r"://([^/?#:]*)", 1)), F.lit("")), host)
         suffix = F.nullif(F.substring_index(host, ".", -1), F.lit(""))
-    key = text if not html_col else F.concat(text, html)
+    key = F.coalesce(col(text_col), F.lit("")) if not html_col else F.concat(F.coalesce(col(text_col), F.lit("")), html)  # of what is there, not of what is made of it
     return docs.select(F.lit(origin).alias("origin"), col(id_col).alias("id"), *row_key(col(id_col), key), text.alias("text"), declared.alias("declared"), host.alias("host"), suffix.alias("suffix"))
 
 
