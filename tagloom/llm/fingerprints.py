@@ -84,24 +84,25 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     some = sorted(r[0] for r in some.select("id").collect()) if k > 1 else []
     bounds = sorted({some[len(some) * i // k] for i in range(1, k)}) if some else []
     at = F.lit(0)
-    if bounds:
+    if bounds:  # the number of bounds below the id, by halving steps
         steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-        listed = F.lit(bounds)
-        at = F.aggregate(F.lit(steps), F.lit(0), lambda pos, step: F.when((pos + step <= len(bounds)) & (F.element_at(listed, F.least(pos + step, F.lit(len(bounds)))) < F.col("id")), pos + step).otherwise(pos))
+        bound = lambda i: F.element_at(F.lit(bounds), F.least(i, F.lit(len(bounds))))
+        passed = lambda i: (i <= len(bounds)) & (bound(i) < F.col("id"))
+        at = F.aggregate(F.lit(steps), F.lit(0), lambda pos, step: F.when(passed(pos + step), pos + step).otherwise(pos))
     t = t.withColumn("range", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at))
     firsts = sorted(((r["range"], r["first"]) for r in t.groupBy("range").agg(F.max("id").alias("first")).collect()), key=lambda r: r[0])
     # the range with the next higher ids takes this range's first document; the lowest takes the highest one's
     to = {r: firsts[(i + 1) % len(firsts)][0] for i, (r, _) in enumerate(firsts)}
+    goes = lambda r, lent: F.struct(r.alias("r"), F.lit(lent).alias("lent"))
+    own = goes(F.col("range"), 0)
     if firsts:
-        heads = F.lit([f for _, f in firsts if f is not None]) if any(f is not None for _, f in firsts) else None
-        is_head = F.col("range") == -1
-        if heads is not None:
-            is_head = is_head | F.col("id").isin([f for _, f in firsts if f is not None])
-        target = F.element_at(F.create_map(*[F.lit(x) for pair in to.items() for x in pair]), F.col("range")) if len(to) <= 64 else F.element_at(F.lit([to.get(r, -1) for r in range(-1, max(to) + 1)]), F.col("range") + 2)
-        t = t.withColumn("to", F.explode(F.when(is_head, F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("lent")), F.struct(target.alias("r"), F.lit(1).alias("lent")))).otherwise(F.array(F.struct(F.col("range").alias("r"), F.lit(0).alias("lent"))))))
-        t = t.select("id", "text", "to.r", "to.lent")
+        known = [f for _, f in firsts if f is not None]
+        is_head = (F.col("range") == -1) | F.col("id").isin(known) if known else F.col("range") == -1
+        target = F.element_at(F.lit([to.get(r, -1) for r in range(-1, max(to) + 1)]), F.col("range") + 2)
+        t = t.withColumn("to", F.explode(F.when(is_head, F.array(own, goes(target, 1))).otherwise(F.array(own))))
     else:
-        t = t.select("id", "text", F.col("range").alias("r"), F.lit(0).alias("lent"))
+        t = t.withColumn("to", own)
+    t = t.select("id", "text", "to.r", "to.lent")
     w = Window.partitionBy("r").orderBy("lent", F.col("id").desc_nulls_last(), "text")
     return t.select("id", "text", "lent", F.lead("text").over(w).alias("next")).where("lent = 0").select("id", "text", F.coalesce("next", F.lit("")).alias("next"))
 
