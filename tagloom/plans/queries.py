@@ -211,9 +211,13 @@ query("key_ratios", with_sql(PAIRS, PROFILE, then="SELECT key, n, round(n / (SEL
     lambda s, d: profile.key_ratios(profile.key_profile(pois(s, d)), pois(s, d).agg(F.count("*").alias("rows")))
 )
 query("approx_key_profile")(lambda s, d: profile.key_profile(pois(s, d), exact=False))
-query("key_groups", with_sql(PAIRS, then="SELECT CASE WHEN contains(key, ':') THEN split_part(key, ':', 1) || ':*' ELSE key END AS key_group, "
-    "count(DISTINCT key)::BIGINT AS distinct_keys, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) "
-    "FROM pairs)::DOUBLE, 4) AS pair_share FROM pairs GROUP BY 1"))(lambda s, d: profile.key_groups(pois(s, d)))
+query(
+    "key_groups",
+    with_sql(
+        PAIRS, "per_key AS (SELECT key, count(*) AS n FROM pairs GROUP BY key)", "grouped AS (SELECT regexp_replace(key, ':.*$', ':*', 's') AS key_group, n FROM per_key)",
+        then="SELECT key_group, count(*)::BIGINT AS distinct_keys, sum(n)::BIGINT AS n, round(sum(n)::DOUBLE / (SELECT sum(n) FROM per_key), 4) AS pair_share FROM grouped GROUP BY key_group",
+    ),
+)(lambda s, d: profile.key_groups(pois(s, d)))
 
 
 def counts(s, d):
@@ -225,9 +229,13 @@ query("expansion_totals", with_sql(PAIRS, COUNTS, then="SELECT count(DISTINCT ke
     "count(*)::BIGINT AS pairs_distinct, sum(n)::BIGINT AS pairs_total FROM pc"))(lambda s, d: counts(s, d).agg(F.countDistinct("key").alias("expanded_keys"), F.count("*").alias("pairs_distinct"),
     F.sum("n").alias("pairs_total")))
 query("exact_distinct", with_sql(PAIRS, COUNTS, then="SELECT key, count(*)::BIGINT AS nd_exact FROM pc GROUP BY key"))(lambda s, d: counts(s, d).groupBy("key").agg(F.count("*").alias("nd_exact")))
-query("top_values_per_key", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n, round(n / (SELECT count(*) "
-    "FROM poi)::DOUBLE, 6) AS row_ratio, n_levels::BIGINT AS n_levels, min_level FROM (SELECT *, row_number() OVER (PARTITION BY key "
-    "ORDER BY n DESC, value) AS rk FROM pc) WHERE rk <= 50"))(
+query(
+    "top_values_per_key",
+    with_sql(
+        PAIRS, COUNTS, "best AS (SELECT key, unnest(list_slice(list_sort(list({'o': -n, 'value': value, 'levels': n_levels, 'least': min_level})), 1, 50)) AS b FROM pc GROUP BY key)",
+        then="SELECT key, b.value AS value, (-b.o)::BIGINT AS n, round(-b.o / (SELECT count(*) FROM poi)::DOUBLE, 6) AS row_ratio, b.levels::BIGINT AS n_levels, b.least AS min_level FROM best",
+    ),
+)(
     lambda s, d: profile.top_values(counts(s, d)).join(pois(s, d).agg(F.count("*").alias("rows"))).select("key", "value", "n", F.round(F.col("n") / F.col("rows"), 6).alias("row_ratio"),
         "n_levels", "min_level")
 )

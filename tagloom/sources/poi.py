@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,16 @@ def read_allowlist(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return doc.select(F.explode("roles").alias("key", "role")), doc.select(F.explode("entries").alias("tag_id"))
 
 
+def open_sources(spark: SparkSession, pois: str, allowlist: str) -> tuple[DataFrame, DataFrame, DataFrame, list[dict]]:
+    """Points, tag roles, allow-list and the levels of a tiered file, opened together; an allow-list that isn't there is empty, and no tag is then allowed."""
+    geo, _ = footer(pois)
+    try:
+        roles, allowed = read_allowlist(spark, allowlist)
+    except AnalysisException:
+        roles, allowed = spark.createDataFrame([], "key string, role string"), spark.createDataFrame([], "tag_id string")
+    return read_tiered(spark, pois), roles, allowed, geo.get("lod", {}).get("levels", [])
+
+
 def read_successes(spark: SparkSession, path: str, schema: str, answers: bool = True) -> DataFrame:
     """JSON lines whose status is 200 (and that have answers)."""
     df = spark.read.schema(schema).json(path).where("status = 200")

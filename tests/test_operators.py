@@ -242,6 +242,10 @@ def test_tiered_file(spark, tmp_path):
     assert poi.level_ends(geo_meta, groups) == [10, 40, 100]
     got = poi.read_tiered(spark, path).groupBy("lod_level").count().collect()
     assert sorted(map(tuple, got)) == [(0, 10), (1, 30), (2, 60)]
+    (tmp_path / "slim.json").write_text('{"roles": {"amenity": "category"}, "entries": ["amenity=cafe"]}')
+    p, roles, ids, levels = poi.open_sources(spark, path, str(tmp_path / "slim.json"))
+    assert p.count() == n and roles.count() == ids.count() == 1 and [x["row_group_end"] for x in levels] == [0, 3, 9]
+    assert poi.open_sources(spark, path, str(tmp_path / "none.json"))[2].count() == 0
     poi.ingest_tiered(spark, path, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == n and back.where("lod_level <= 1").count() == 40
