@@ -169,6 +169,17 @@ def test_fingerprints_against_plain_python(docs):
         assert r.near_edited == pytest.approx(plain_likeness(t, e)) and r.near_next == pytest.approx(plain_likeness(t, nxt))
 
 
+def test_url_threshold_separates_held_out_rules(spark):
+    """On the tables' pages: of the held-out URLs that rules decide, how many the models alone would judge alike."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
+    out = urls.judge_urls(pages).join(pages, "page_id").collect()
+    free = [r for r in out if r.rule is None]
+    least = min(r.score for r in free if r.verdict == "allow")
+    held = {r.url: r for r in out if r.rule and hashlib.md5(r.url.encode()).hexdigest()[0] >= "c"}.values()
+    kept, gone = ([r.score >= least for r in held if r.verdict == v] for v in ("allow", "block"))
+    assert len(kept) > 150 and np.mean(kept) > 0.95 and len(gone) > 60 and np.mean(gone) < 0.25
+
+
 def plain_likeness(a, b):
     """Cosine of the sums of signed hashes of the word triples of each line."""
     if Counter(a.encode().split(b"\n")) == Counter(b.encode().split(b"\n")):
