@@ -641,3 +641,10 @@ query(
         "FROM dr JOIN pk a ON a.at = xa % (SELECT count(*) FROM pk) JOIN pk b ON b.at = xb % (SELECT count(*) FROM pk)",
     ),
 )(lambda s, d: analytics.random_pairs(answers_wide(s, d).where("lens = 'kids' and variant = 'full'")))
+
+
+@query("viewport_document_tags", with_sql(PAIRS, OCC, ALLOW, VOCC, then="SELECT tag_id, count(*)::BIGINT AS count FROM vocc SEMI JOIN allow USING (tag_id) GROUP BY tag_id"))
+def viewport_document_tags(s, d):
+    """The tags and counts as read back from the document."""
+    doc = viewport_document(s, d).select(F.from_json("document", "tags array<struct<tag_id:string,count:bigint>>").alias("d"))
+    return doc.select(F.explode("d.tags").alias("t")).select("t.tag_id", "t.count")
