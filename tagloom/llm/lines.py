@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, cut, row_key
-
-#: A key with more than one of so many of the common lines is hot; there are fewer hot keys than this.
-HOT = 1000
+from .common import HOT, SPACES, ascii_lower, cut, row_key
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

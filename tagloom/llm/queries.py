@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language, lines, mixing, packing, search, simhash, tokens, toxicity, urls
+from . import audit, codes, fingerprints, language, lines, mixing, packing, search, simhash, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -59,6 +59,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(of("documents").alias("doc_id"), of("pages").alias("page_id"), "lang", "confidence", "text_lang", "declared", "accepted")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = codes.compress_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergence(_read(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -98,6 +107,45 @@ SELECT query_id, doc_id, rank::INTEGER AS rank, score FROM r WHERE rank <= 10
 """
 
 
+def _op12_sql() -> str:
+    """Each assignment ranks all entries for each part of each vector; each round takes floors of means."""
+    ctes = []
+    for k in range(codes.ROUNDS + 1):
+        ctes.append(f"d{k} AS (SELECT vec_id, part, entry, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN b{k} USING (part, pos) GROUP BY 1, 2, 3)")
+        ctes.append(f"a{k} AS (SELECT vec_id, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY 1, 2)")
+        if k < codes.ROUNDS:
+            ctes.append(f"m{k} AS (SELECT part, entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS c FROM a{k} JOIN x USING (vec_id, part) GROUP BY 1, 2, 3)")
+            ctes.append(f"b{k + 1} AS (SELECT part, entry, pos, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry, pos))")
+    last = codes.ROUNDS
+    return f"""
+WITH v AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+i AS (SELECT vec_id, r, e, unnest(range(len(e))) AS i, len(e) // {codes.PARTS} AS w FROM v),
+x AS (SELECT vec_id, r, i // w AS part, i % w AS pos, floor({codes.SCALE} * e[i + 1]::DOUBLE)::BIGINT AS x FROM i),
+b0 AS (SELECT part, r - 1 AS entry, pos, x AS c FROM x WHERE r <= {codes.ENTRIES}),
+{", ".join(ctes)},
+s AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{last}),
+o AS (SELECT vec_id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM o JOIN v USING (vec_id), s
+"""
+
+
+OP13_SQL = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+t AS (SELECT lang, source, r, {_LOW.format("t")} AS t FROM (SELECT lang, source, r, unnest(w) AS t FROM d)),
+k AS (SELECT lang, t, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= {audit.MIN_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+c AS (SELECT lang, source, t, count(*) AS c FROM t JOIN k USING (lang, t) GROUP BY 1, 2, 3),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY 1, 2),
+a AS (SELECT g.lang, g.source, t, coalesce(c, 0) AS c, (1 + 1000000000::HUGEINT * (coalesce(c, 0) + 5) // (coalesce(n.n, 0) + 5 * v.v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (k.n + 5) // (v.n + 5 * v.v))::BIGINT AS q FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, t)),
+x AS (SELECT lang, a.source, b.source AS item, sum(abs(a.p - b.p))::BIGINT AS value FROM a JOIN a AS b USING (lang, t) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+y AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+z AS (SELECT lang, source, 'pair' AS part, item, value FROM y UNION ALL SELECT lang, source, 'term', t, p - q FROM a WHERE c > 0 AND p > q),
+r AS (SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM z)
+SELECT * FROM r WHERE part = 'pair' OR rank <= {audit.TERMS}
+"""
+
+
 def _op2_sql() -> str:
     """Rules, models of all orders, threshold and verdicts, as in ``urls``."""
     rule, verdict = "NULL", "NULL"
@@ -134,8 +182,8 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN threshold IS NULL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_fingerprints, op4_toxicity, op5_mixing, op6_bm25_top_k, op7_simhash, op8_line_dedup, op9_token_counts, op10_language_id)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_fingerprints, op4_toxicity, op5_mixing, op6_bm25_top_k, op7_simhash, op8_line_dedup, op9_token_counts, op10_language_id, op12_vector_codes, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op5_mixing": OP5_SQL, "op6_bm25_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_url_filter": _op2_sql(), "op5_mixing": OP5_SQL, "op6_bm25_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op12_vector_codes": _op12_sql(), "op13_source_audit": OP13_SQL}
