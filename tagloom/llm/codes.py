@@ -65,9 +65,9 @@ class Codebooks:
         """Larger components are set to this, so that an error fits in 63 bits."""
         return math.isqrt((1 << 62) // max(1, self.dims)) // 2
 
-    def whole(self, values: np.ndarray) -> np.ndarray:
-        """Vectors of floats as rows of integers."""
-        return np.clip(np.floor(values.reshape(-1, self.dims) * self.scale), -self.limit, self.limit).astype(np.int64)
+    def whole(self, values: np.ndarray, n: int) -> np.ndarray:
+        """``n`` vectors of floats as rows of integers."""
+        return np.clip(np.floor(values.reshape(n, self.dims) * self.scale), -self.limit, self.limit).astype(np.int64)
 
     def assign(self, x: np.ndarray):
         """For each part its number, the rows' entries and squared distances."""
@@ -91,7 +91,7 @@ def _matrix(batch: pa.RecordBatch, books: Codebooks):
         c = batch.slice(i, ROWS)
         fits = pc.equal(pc.list_value_length(c.column("v")), books.dims)
         part = c.filter(fits)
-        yield c.filter(pc.invert(fits)), part, books.whole(part.column("v").flatten().to_numpy(zero_copy_only=False) if books.dims else np.zeros((len(part), 0)))
+        yield c.filter(pc.invert(fits)), part, books.whole(part.column("v").flatten().to_numpy(zero_copy_only=False), len(part))
 
 
 def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> Codebooks:
@@ -110,7 +110,7 @@ def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
     edges = [round(i * dims / parts) for i in range(parts + 1)]
     books = Codebooks(dims, edges, [], scale)
     first = kept.where(F.size("v") == dims).orderBy(F.col("id").asc_nulls_last(), "v").select("v").limit(entries).collect()
-    x = books.whole(np.array([r["v"] for r in first], np.float64))
+    x = books.whole(np.array([r["v"] for r in first], np.float64), len(first))
     books.books = [x[:, a:b].copy() for a, b in zip(edges, edges[1:], strict=False)]
     if not first:
         return books

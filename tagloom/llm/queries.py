@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, codes, fingerprints, language, lines, mixing, packing, search, simhash, tokens, toxicity, urls
+from . import audit, codes, fingerprints, language, lines, mixing, packing, repeats, search, simhash, tokens, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(of("documents").alias("doc_id"), of("pages").alias("page_id"), "lang", "confidence", "text_lang", "declared", "accepted")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.repeats(_read(spark, sf_dir, "documents", "doc_id", "text"), keep="sha256")
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = codes.compress_vectors(_read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
     return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
@@ -107,6 +112,18 @@ SELECT query_id, doc_id, rank::INTEGER AS rank, score FROM r WHERE rank <= 10
 """
 
 
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT r, w, unnest(range(1, len(w) - {repeats.WINDOW - 2})) AS i FROM d),
+p AS (SELECT r, i, array_to_string(w[i:i + {repeats.WINDOW - 1}], ' ') AS s FROM i),
+h AS (SELECT r, i FROM p JOIN (SELECT s FROM p GROUP BY s HAVING count(*) > 1) USING (s)),
+g AS (SELECT DISTINCT r, unnest(range(i, i + {repeats.WINDOW})) AS i FROM h),
+x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT r, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY x.i) FILTER (g.i IS NULL) AS kept FROM x LEFT JOIN g USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+
 def _op12_sql() -> str:
     """Each assignment ranks all entries for each part of each vector; each round takes floors of means."""
     ctes = []
@@ -182,8 +199,8 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN threshold IS NULL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_fingerprints, op4_toxicity, op5_mixing, op6_bm25_top_k, op7_simhash, op8_line_dedup, op9_token_counts, op10_language_id, op12_vector_codes, op13_source_audit)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filter, op3_fingerprints, op4_toxicity, op5_mixing, op6_bm25_top_k, op7_simhash, op8_line_dedup, op9_token_counts, op10_language_id, op11_substring_dedup, op12_vector_codes, op13_source_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _op2_sql(), "op5_mixing": OP5_SQL, "op6_bm25_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op12_vector_codes": _op12_sql(), "op13_source_audit": OP13_SQL}
+    return {"op2_url_filter": _op2_sql(), "op5_mixing": OP5_SQL, "op6_bm25_top_k": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_substring_dedup": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_source_audit": OP13_SQL}
