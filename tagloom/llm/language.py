@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, join_hot, row_key
 
 CLASSES = 64
 UNKNOWN = "und"
@@ -247,15 +247,17 @@ def fuse(ev: DataFrame, allowed: tuple[str, ...] | None = None, least: float = 0
         column[r["says"]] += r["count"]
     told = ev.sparkSession.sparkContext.broadcast((at, whole, said, np.log(column)))
 
-    def counted(df: DataFrame, *by: str) -> DataFrame:
+    def counted(each: DataFrame, by: str, *more) -> DataFrame:
         """A map of how often texts say each language; only languages that occur."""
-        each = df.groupBy(*by, "says").agg(F.count("*").cast("double").alias("c"))
-        return each.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("says", "c"))).alias("of"))
+        return each.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("says", "c"))).alias(f"of_{by}"), *more)
 
     lost = F.lit(None).cast("map<int,double>")
     by = ("origin", "id", "_k1", "_k2", "declared", "says", "near", "ll", "n")
-    hosts = counted(seen.where("host is not null"), "host", "suffix").withColumnRenamed("of", "of_host")
-    hosts = cut(hosts.join(counted(seen.where("suffix is not null"), "suffix").withColumnRenamed("of", "of_suffix"), "suffix", "left").drop("suffix"))
+    # one row a host, whichever tables name it: its suffix is the first by name that any of them has, and counts all of the host's rows
+    each = seen.where("host is not null").groupBy("host", "says").agg(F.count("*").cast("double").alias("c"), F.min("suffix").alias("suffix"))
+    hosts = cut(counted(each, "host", F.min("suffix").alias("suffix")))
+    whole_suffix = hosts.where("suffix is not null").select("suffix", F.explode("of_host").alias("says", "c")).groupBy("suffix", "says").agg(F.sum("c").alias("c"))
+    hosts = cut(join_hot(hosts, counted(whole_suffix, "suffix"), "suffix", how="left").drop("suffix"))
     # hosts of over a thousandth of all rows, of which there are less than a thousand, are broadcast; the rows of the others meet theirs in a shuffle
     rows = F.aggregate(F.map_values("of_host"), F.lit(0.0), lambda a, x: a + x)
     hot = hosts.where(rows * 1000 > seen.count())
@@ -267,7 +269,7 @@ def fuse(ev: DataFrame, allowed: tuple[str, ...] | None = None, least: float = 0
     def shares(of, says: int, keep: np.ndarray, parent: np.ndarray) -> np.ndarray:
         """Counts without the document's own over a parent's shares, for the languages in ``keep``."""
         own = dict(of)
-        own[says] -= 1
+        own[says] = max(0.0, own.get(says, 0.0) - 1)
         return (np.array([own.get(i, 0.0) for i in keep.tolist()]) + parent * prior_weight) / (sum(own.values()) + prior_weight)
 
     def judge(batches):

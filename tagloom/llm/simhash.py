@@ -7,10 +7,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick, row_key
+from .common import HOT, cut, join_hot, pick, row_key
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _EVEN = 0x5555555555555555
@@ -184,12 +184,29 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Different shingles' hashes are mixed with these for 256 bits.
 _WIDE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-#: Each of the ``GRIDS`` cells of a wide SimHash keeps ``KEPT`` of its 256 bits.
-GRIDS, KEPT = 64, 16
+#: Cells of a text: ``BANDS`` hashes, each of ``PER_BAND`` minima over its shingles.
+BANDS, PER_BAND = 20, 6
+_MINIMA = np.random.default_rng(7).integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Of 256 bits a similarity of 0.8 flips 39 on average with a deviation of 5.7; random texts differ in 128 (deviation 8).
 FLIPS = 62
 #: Documents of a block of a large component, which is compared block by block.
 BLOCK = 400
+#: Texts of a large component that all of it is compared with first.
+PIVOTS = 16
+#: Texts of a part of a hot cell.
+CELL = 4096
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """The cells of a set of different hashes: two sets of similarity j share each with a probability of ``j ** PER_BAND``, unlike sets with none to speak of."""
+    low = np.full(BANDS * PER_BAND, ~np.uint64(0))
+    for i in range(0, len(s), 512):
+        low = np.minimum(low, (s[i : i + 512, None] * _MINIMA).min(axis=0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for m in low.reshape(BANDS, PER_BAND).T:
+        key = (key ^ m) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def wide_simhash(s: np.ndarray) -> np.ndarray:
@@ -318,13 +335,16 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """Each document with ``doc_id, component_id, root`` and the keys ``_k1, _k2`` of its row.
 
     Texts link if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, computed
-    from the texts. Candidates are joined by a SimHash of 256 bits over different shingles: those that agree
-    in one of ``GRIDS`` cells and differ in ``FLIPS`` bits at most. At a similarity of 0.8 a pair agrees in a
-    cell with a probability of about 0.96 (0.99 from 0.82, measured on pairs of 300 words). Cells keep
-    whole bits, not the two-bit counts of ``near_duplicates``, which are less selective at this distance.
-    Cells pass on spanning forests only. All texts that candidates join are then compared with one another
-    where they are together: at once, or block by block of ``BLOCK`` if they are more, which again gives
-    spanning forests, now of links that hold. So no list of pairs is ever made, and none is lost or capped.
+    from the texts. Candidates share one of ``BANDS`` cells and differ in ``FLIPS`` bits at most in a SimHash of 256 bits over different
+    shingles. Cells are hashes of minima over the shingles and not bits of the SimHash: at this distance bits that keep recall
+    also join a fixed share of all pairs, while unlike texts share no minima, however many there are. A pair of similarity 0.8 shares a cell
+    with a probability of 0.998. Cells pass on spanning forests only; those that hold over a thousandth of all places
+    are dealt to parts of about ``CELL`` texts, and one text of each tree of a part meets those of the other parts.
+
+    All texts that candidates join are then compared with one another where they are together. More than ``BLOCK`` meet ``PIVOTS`` of
+    them first; whatever these join is one group. Then blocks of ``BLOCK`` texts are compared with each other, but for blocks of one
+    group, which are known to be joined. So a template with many variants isn't copied again and again, no list
+    of pairs is made, and no link among texts that candidates join is lost or capped.
     Texts of equal shingles are one node. ``component_id`` and ``root`` as in ``near_duplicates``.
 
     Texts without words link with each other. Repeated rows give repeated results, an empty table gives
@@ -339,68 +359,127 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             sets = [_shingles(x, shingle) for x in b.column("text").to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             w = np.array([wide_simhash(s) for s in sets], np.uint64).reshape(-1, 4).view(np.int64)
-            cols = [b.column("id"), b.column("_k1"), b.column("_k2"), pa.array(node), *(pa.array(w[:, i].copy()) for i in range(4))]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "_k1", "_k2", "node", *words])
+            cells = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            cols = [b.column("id"), b.column("_k1"), b.column("_k2"), pa.array(node), *(pa.array(w[:, i].copy()) for i in range(4)), cells]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "_k1", "_k2", "node", *words, "cells"])
 
     kind = dict(t.dtypes)["id"]
-    fps = cut(t.mapInArrow(sketch, f"id {kind}, _k1 long, _k2 long, node long, " + ", ".join(f"{w} long" for w in words)))
-    nodes = cut(fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(w).alias(w) for w in words]))
-    rng = np.random.default_rng(7)
-    kept = np.array([rng.permutation(256)[:KEPT] for _ in range(GRIDS)])
-
-    def keys(batches):
-        at, weight = kept.ravel(), (1 << np.arange(KEPT)).astype(np.int32)
-        for b in batches:
-            for i in range(0, len(b), 1000):
-                c = b.slice(i, 1000)
-                w = np.stack([c.column(x).to_numpy() for x in words], axis=1)
-                bits = np.unpackbits(w.view(np.uint8).reshape(-1, 32), axis=1)[:, at].reshape(-1, GRIDS, KEPT)
-                cell = (bits @ weight + (np.arange(GRIDS, dtype=np.int32) << KEPT)).astype(np.int32)
-                rep = [np.repeat(x, GRIDS) for x in (c.column("node").to_numpy(), *w.T)]
-                yield pa.RecordBatch.from_arrays([pa.array(cell.ravel()), *map(pa.array, rep)], names=["cell", "node", *words])
-
-    dealt = nodes.select("node", *words).mapInArrow(keys, "cell int, node long, " + ", ".join(f"{w} long" for w in words))
-    dealt = dealt.repartition("cell").sortWithinPartitions("cell", "node")
-
-    def pairs(cell, node, fp):
-        for a, b in forest(cell, node, fp):
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    def compare(batches):
-        cell, node, fp = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
-        for b in batches:
-            new = np.stack([b.column(i).to_numpy() for i in range(2, 6)], axis=1).view(np.uint64)  # signed ones count the bits of their absolute value
-            cell, node, fp = np.concatenate((cell, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy())), np.concatenate((fp, new))
-            if not len(cell):
-                continue
-            keep = np.searchsorted(cell, cell[-1])  # the last cell may go on
-            yield from pairs(cell[:keep], node[:keep], fp[:keep])
-            cell, node, fp = cell[keep:], node[keep:], fp[keep:]
-        yield from pairs(cell, node, fp)
-
-    groups = cut(components(dealt.mapInArrow(compare, "a long, b long").distinct()).select("node", F.col("root").alias("comp")))
+    fps = cut(t.mapInArrow(sketch, f"id {kind}, _k1 long, _k2 long, node long, " + ", ".join(f"{w} long" for w in words) + ", cells array<long>"))
+    nodes = cut(fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(w).alias(w) for w in words], F.first("cells").alias("cells")))
+    dealt = nodes.select(F.explode("cells").alias("cell"), "node", *words)
+    hot = dealt.groupBy("cell").agg(F.count("*").alias("n")).where((F.col("n") * HOT > nodes.count() * BANDS) & (F.col("n") > CELL))
+    hot = F.broadcast(cut(hot.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))))
+    dealt = dealt.join(hot, "cell", "left").select("cell", F.coalesce(F.pmod(F.xxhash64("cell", "node"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"), "node", *words)
+    trees = cut(_cell_forests(dealt))
+    tops = trees.where("b is null").select("cell", F.lit(-1).alias("part"), F.col("a").alias("node"))
+    tops = _cell_forests(tops.join(nodes.select("node", *words).hint("merge"), "node").select("cell", "part", "node", *words))
+    edges = trees.where("b is not null").select("a", "b").unionByName(tops.where("b is not null").select("a", "b"))
+
+    groups = cut(components(edges.distinct()).select("node", F.col("root").alias("comp")))
     members = groups.unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct())  # roots are members too
-    sizes = cut(members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    members = members.join(sizes.hint("merge"), "comp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    owners = cut(nodes.join(members.hint("merge"), "node").select("k._k1", "k._k2", "node", "comp", "blocks", "block"))
+    sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
+    members = cut(join_hot(cut(members), cut(sizes), "comp"))
+    owners = cut(nodes.join(members.hint("merge"), "node").select("k._k1", "k._k2", "node", "comp", "n"))
 
     def hashed(batches):
         for b in batches:
             sets = pa.array([_shingles(x, shingle).tobytes() for x in b.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "comp", "blocks", "block")), sets], names=["node", "comp", "blocks", "block", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "comp", "n")), sets], names=["node", "comp", "n", "hashes"])
 
-    # one text for each node, and its shingles to each pair of blocks that its own is in
+    # one text for each node
     texts = t.select("_k1", "_k2", "text").join(owners.hint("merge"), ["_k1", "_k2"]).dropDuplicates(["node"])
-    sets = texts.select("node", "comp", "blocks", "block", "text").mapInArrow(hashed, "node long, comp long, blocks int, block int, hashes binary")
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sets = sets.select("comp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "hashes")
-    sets = sets.repartition("comp", "first", "second").sortWithinPartitions("comp", "first", "second")
-    roots = components(sets.mapInArrow(lambda batches: verify_blocks(batches, similarity), "a long, b long"))
-    owned = cut(nodes.join(roots.withColumnRenamed("node", "n").hint("merge"), F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    sets = cut(texts.select("node", "comp", "n", "text").mapInArrow(hashed, "node long, comp long, n long, hashes binary"))
+    together = sets.where(F.col("n") <= BLOCK).select("comp", F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(0).alias("block"), "node", "hashes")
+    found = _verified(together, similarity)
+    large = sets.where(F.col("n") > BLOCK).drop("n")
+    if not large.isEmpty():
+        found = found.unionByName(_large_components(large, similarity))
+    roots = components(found)
+    owned = cut(nodes.join(roots.withColumnRenamed("node", "m").hint("merge"), F.col("node") == F.col("m"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
     ids = cut(owned.groupBy("root").agg(F.min("least").alias("component_id")))  # a row from each task for a root, and only then the join
-    named = owned.join(ids.hint("merge"), "root").select("node", "component_id", "root")
-    return fps.join(named.hint("merge"), "node").select(F.col("id").alias("doc_id"), "component_id", "root", "_k1", "_k2")
+    named = cut(owned.join(ids.hint("merge"), "root").select("node", "component_id", "root"))
+    return join_hot(fps.select("id", "node", "_k1", "_k2"), named, "node").select(F.col("id").alias("doc_id"), "component_id", "root", "_k1", "_k2")
+
+
+def _cell_forests(dealt: DataFrame) -> DataFrame:
+    """``a, b, cell``: links of a spanning forest of each part of a cell (``cell, part, node, w0`` to ``w3``). A part of a hot cell (``part`` from 0) also
+    gives the smallest node of each tree, as ``a`` without ``b``."""
+
+    def run(batches):
+        key, rest = np.zeros((0, 2), np.int64), np.zeros((0, 5), np.int64)
+        for b in batches:
+            key = np.concatenate((key, np.stack([b.column(i).to_numpy().astype(np.int64) for i in (0, 1)], axis=1)))
+            rest = np.concatenate((rest, np.stack([b.column(i).to_numpy() for i in range(2, 7)], axis=1)))
+            if len(key):  # the last part may go on
+                ends = np.flatnonzero((key != key[-1]).any(axis=1))
+                done = int(ends[-1]) + 1 if len(ends) else 0
+                yield from trees(key[:done], rest[:done])
+                key, rest = key[done:], rest[done:]
+        yield from trees(key, rest)
+
+    def trees(key, rest):
+        if not len(key):
+            return
+        number = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).any(axis=1).astype(np.int64))))
+        node, at = rest[:, 0], np.arange(len(key))
+        found = list(forest(number, at, rest[:, 1:].copy().view(np.uint64)))  # signed words would count the bits of their absolute value
+        x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+        out = [(np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), key[x, 0], np.zeros(len(x), bool))]
+        label = at.copy()
+        while len(x):  # nodes are sorted within a part, so the smallest place is the smallest node
+            before, low = label.copy(), np.minimum(label[x], label[y])
+            np.minimum.at(label, x, low)
+            np.minimum.at(label, y, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        top = np.flatnonzero((key[:, 1] >= 0) & (label == at))
+        out.append((node[top], node[top], key[top, 0], np.ones(len(top), bool)))
+        a, b, cell, alone = (np.concatenate([o[i] for o in out]) for i in range(4))
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=alone), pa.array(cell)], names=["a", "b", "cell"])
+
+    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "node").mapInArrow(run, "a long, b long, cell long")
+
+
+def _verified(blocks: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links of each ``comp, first, second`` (``block, node, hashes``), as ``verify_blocks`` gives them."""
+    sets = blocks.repartition("comp", "first", "second").sortWithinPartitions("comp", "first", "second")
+    return sets.mapInArrow(lambda batches: verify_blocks(batches, similarity), "a long, b long")
+
+
+def _large_components(large: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links enough to join all that links join among the texts (``comp, node, hashes``) of each large candidate component."""
+    rank = F.row_number().over(Window.partitionBy("comp").orderBy("node"))
+    pivots = cut(large.select("comp", "node").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("node"))
+    parts = cut(large.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    cols = ("comp", "first", "second", "block", "node", "hashes")
+    spread = join_hot(large, parts, "comp")
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    members = spread.select("comp", mine.alias("first"), F.lit(-1).alias("second"), mine.alias("block"), "node", "hashes")
+    everywhere = spread.join(pivots.hint("merge"), "node", "left_semi").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    everywhere = everywhere.select("comp", "first", F.lit(-1).alias("second"), F.lit(-1).alias("block"), "node", "hashes")
+    links = cut(_verified(members.select(*cols).unionByName(everywhere.select(*cols)), similarity))
+    roots = components(links)
+
+    # groups that pivots join have blocks of their own; what they leave is mixed
+    label = large.select("comp", "node").join(roots.hint("merge"), "node", "left").select("comp", "node", F.coalesce("root", "node").alias("label"))
+    label = cut(label)
+    sizes = cut(label.groupBy("comp", "label").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK // 4))
+    label = join_hot(label, sizes, "comp", "label", how="left").select("comp", "node", F.when(F.col("n").isNotNull(), F.col("label")).alias("label"))
+    label = cut(label)
+    blocks = label.groupBy("comp", "label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    blocks = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("label", "i"))).alias("all"), F.count_distinct("label").alias("labels"), F.max(F.col("label").isNull()).alias("mixed"))
+    blocks = cut(blocks.where("labels > 1 or mixed").select("comp", "all"))  # one group only: nothing is left to compare
+    of = join_hot(label, blocks, "comp")
+    count = F.size(F.filter("all", lambda x: x.label.eqNullSafe(F.col("label"))))
+    own = F.struct(F.col("label").alias("label"), F.pmod(F.xxhash64("node"), count).cast("int").alias("i"))
+    of = of.withColumn("block", F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda j: F.get("all", j).label.eqNullSafe(own.label) & (F.get("all", j).i == own.i))[0])
+    others = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda j: F.col("label").isNull() | ~F.get("all", j).label.eqNullSafe(F.col("label")))
+    of = cut(of.select("node", "block", others.alias("others")))
+    rest = large.join(of.hint("merge"), "node").withColumn("other", F.explode("others"))
+    rest = rest.select("comp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "hashes")
+    return links.unionByName(_verified(rest, similarity))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -420,5 +499,5 @@ def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle
     roots = components(links(distinct.select("fp"), distance, blocks))
     owned = cut(distinct.join(roots.hint("merge"), distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = cut(owned.groupBy("root").agg(F.min("least").alias("component_id")))  # a row from each task for a root, and only then the join
-    named = owned.join(ids.hint("merge"), "root").select("fp", "component_id", "root")
-    return fps.join(named.hint("merge"), "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "_k1", "_k2")
+    named = cut(owned.join(ids.hint("merge"), "root").select("fp", "component_id", "root"))
+    return join_hot(fps, named, "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root", "_k1", "_k2")

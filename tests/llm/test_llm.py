@@ -673,6 +673,23 @@ def test_language_against_plain_posteriors(spark):
         assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=1e-6)
 
 
+def test_documents_and_pages_share_hosts(spark):
+    """A host that one table names with a suffix and the other without is one host; so is one without any suffix."""
+    rng = random.Random(4)
+    text = lambda lang: " ".join(rng.choice(TEXTS[lang].split()) for _ in range(8))
+    docs = [(i, text(("en", "de")[i % 2]), ("en", "de", None)[i % 3], ("news.example.org", "b.example.org", None, "bare")[i % 4]) for i in range(40)]
+    pages = [(100 + i, f"<html lang='{x}'><p>{text(x)}</p>", f"http://{h}/p") for i in range(10) for x in [("en", "de")[i // 5]] for h in [("news.example.org", "only.example.net")[i % 2]]]
+    d = language.evidence(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), "doc_id", "text", "lang", "source", origin="documents")
+    p = language.evidence(spark.createDataFrame(pages, "page_id long, html string, url string"), "page_id", None, None, None, "url", "html", origin="pages")
+    ev = d.unionByName(p)
+    got = language.fuse(ev).select("id", "lang", "confidence").collect()
+    assert len(got) == 50
+    languages, models = language.train(ev)
+    rows = [(r.id, r.text, r.declared, r.host, {"news.example.org": "org", "only.example.net": "net"}.get(r.host)) for r in ev.collect()]
+    want = {r[0]: r[1:] for r in plain_posteriors(rows, {(r[1], r[2]) for r in rows if r[2]}, languages, models)}
+    assert all(r.lang == want[r.id][0] and r.confidence == pytest.approx(want[r.id][1], abs=1e-6) for r in got)
+
+
 def test_language_has_no_cut_of_classes(spark, docs):
     """A rare language beside 40 others, and one with under 0.1 % of the rows."""
     rng = random.Random(5)
