@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.style import three_way
 from ..model import CHOICES
+from .distribute import cut, global_rank
 
 
 def argmax(dist: Column) -> Column:
@@ -92,14 +93,52 @@ def choice_distance(values: DataFrame, base: str, new: str) -> DataFrame:
     return p.groupBy("lens").agg(F.count("*").alias("n"), F.round(F.avg(l1), 6).alias("l1"), F.round(F.avg((argmax(F.col("da")) == argmax(F.col("db"))).cast("int")), 6).alias("same_top"))
 
 
-def index_quantiles(df: DataFrame, by: str, value: str, quantiles=(0.5, 0.9)) -> DataFrame:
-    """``sorted[floor(q n)]``, not interpolated. Values are counted first, so the ordered window sees each different value once and no list of values is built."""
-    g = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(by)))
-    at = lambda q: F.least(F.floor(F.col("n") * q), F.col("n") - 1)
-    here = lambda q: (at(q) < F.col("upto")) & (at(q) >= F.col("upto") - F.col("c"))
-    return g.groupBy(by).agg(F.max("n").alias("n"), *[F.max(F.when(here(q), F.col(value))).alias(f"q{int(q * 100)}") for q in quantiles])
+def index_quantiles(df: DataFrame, by: str, value: str, quantiles=(0.5, 0.9), bins: int = 1024, few: int = 10_000) -> DataFrame:
+    """``by, n`` and ``sorted[floor(q n)]`` of each group for each quantile, not interpolated. NaN is the largest value; nulls are no values.
+
+    Ranks are found by selection. Each round counts the values of a group's range in ``bins`` equal parts, with the least and largest value of
+    each, and keeps the part that holds the rank, until it holds ``few`` values at most, or one value however often. Only
+    these are sorted. Counts are all that is shuffled, so a group that has most of the rows is no burden. ``by`` may be null.
+    """
+    rows = df.select(F.col(by).alias("by"), F.col(value).cast("double").alias("v")).where("v is not null")
+    # NaN and infinities are kept apart as codes, so that ranges are finite
+    code = F.when(F.isnan("v"), 2).when(F.col("v") == float("inf"), 1).when(F.col("v") == float("-inf"), -1).otherwise(0)
+    rows = rows.select("by", code.alias("code"), "v")
+    sizes = cut(rows.groupBy("by").agg(F.count("*").alias("n"), *[F.count_if(F.col("code") == c).alias(f"c{i}") for i, c in enumerate((-1, 0, 1))], *[f(F.when(F.col("code") == 0, F.col("v"))).alias(k) for k, f in (("lo", F.min), ("hi", F.max))]))
+    each = sizes.select("*", F.posexplode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("at", "q"))
+    each = each.withColumn("rank", F.least(F.floor(F.col("n") * F.col("q")), F.col("n") - 1))
+    c0, c1, c2 = F.col("c0"), F.col("c0") + F.col("c1"), F.col("c0") + F.col("c1") + F.col("c2")
+    special = F.when(F.col("rank") < c0, float("-inf")).when((F.col("rank") >= c1) & (F.col("rank") < c2), float("inf")).when(F.col("rank") >= c2, float("nan"))
+    each = cut(each.select("by", "at", "n", "lo", "hi", special.alias("found"), (F.col("rank") - c0).alias("rank"), F.col("c1").alias("left")))
+    done = each.where("found is not null").select("by", "at", "found")
+    todo = each.where("found is null")
+    finite = rows.where("code = 0").select("by", "v")
+    while True:
+        done = done.unionByName(todo.where("lo = hi").select("by", "at", F.col("lo").alias("found")))
+        todo = cut(todo.where("lo < hi").select("by", "at", "lo", "hi", "rank", "left"))
+        wide = todo.where(F.col("left") > few)
+        if wide.isEmpty():
+            break
+        near = todo.where(F.col("left") <= few)
+        inside = _within(finite, wide)
+        half = lambda c: F.col(c) / 2 - F.col("lo") / 2  # noqa: E731  halves, as a range may be wider than the largest number
+        part = F.when(half("hi") > 0, F.least(F.lit(bins - 1), F.floor(half("v") / F.when(half("hi") > 0, half("hi")) * bins))).otherwise((F.col("v") > F.col("lo")).cast("long"))
+        counts = inside.groupBy("by", "at", "rank", part.alias("part")).agg(F.count("*").alias("left"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        w = Window.partitionBy("by", "at").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows
+        counts = counts.withColumn("before", F.coalesce(F.sum("left").over(w), F.lit(0))).where("rank >= before and rank < before + left")
+        todo = cut(near.unionByName(counts.select("by", "at", "lo", "hi", (F.col("rank") - F.col("before")).alias("rank"), "left")))
+    w = Window.partitionBy("by", "at").orderBy("v")  # at most ``few`` values
+    last = _within(finite, todo).withColumn("r", F.row_number().over(w) - 1).where("r = rank").select("by", "at", F.col("v").alias("found"))
+    found = done.unionByName(last).groupBy("by").agg(*[F.max(F.when(F.col("at") == i, F.col("found"))).alias(f"q{int(q * 100)}") for i, q in enumerate(quantiles)])
+    out = sizes.select("by", "n").withColumnRenamed("by", "_by")
+    return out.join(found, F.col("_by").eqNullSafe(F.col("by"))).select(F.col("_by").alias(by), "n", *[f"q{int(q * 100)}" for q in quantiles])
+
+
+def _within(values: DataFrame, ranges: DataFrame, most: int = 100_000) -> DataFrame:
+    """Values (``by, v``) of each range (``by, lo, hi`` and more) of their group. Up to ``most`` ranges are broadcast, more are shuffled."""
+    r = ranges.withColumnRenamed("by", "_by")
+    r = F.broadcast(r) if ranges.count() <= most else r.hint("shuffle_hash")
+    return values.join(r, F.col("by").eqNullSafe(F.col("_by")) & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).drop("_by")
 
 
 def usage(attempts: DataFrame) -> DataFrame:
@@ -157,7 +196,7 @@ def token_reduction_by(attempts: DataFrame, base: str, new: str, by: str) -> Dat
 def random_pairs(w: DataFrame, draws: int = 4000) -> DataFrame:
     """``i, tag_a, tag_b, mixed`` of seeded random pairs of tags with score and confidence, met by row number."""
     spark = w.sparkSession
-    rows = w.where("score is not null and confidence is not null").select("tag", "score", "confidence", (F.row_number().over(Window.orderBy("tag")) - 1).alias("at"))
+    rows = global_rank(w.where("score is not null and confidence is not null").select("tag", "score", "confidence"), F.col("tag"), name="at")
     n = rows.count()
     x = lcg(2 * draws)
     pairs = spark.createDataFrame([(i, x[2 * i] % max(n, 1), x[2 * i + 1] % max(n, 1)) for i in range(draws)], "i long, pa long, pb long")

@@ -9,12 +9,14 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_lens, utf16_units
 from ..model import BACKOFF_MS, BUDGET_CHARS, CHOICES, MAX_ATTEMPTS, MAX_BATCHES, MAX_QUESTIONS, PRIMITIVES, RETRYABLE
+from .distribute import cut, global_rank
 
 # The text of requests is configuration.
 QUESTIONS = {
@@ -91,6 +93,22 @@ def hydrate(memory: DataFrame, stored: DataFrame) -> DataFrame:
     return m.join(s, F.col("m.tag_id") == F.col("s.tag_id"), "full_outer").select(*map(pick, ("tag_id", "confidence", "score", "choice")))
 
 
+def tag_chars(tag: Column) -> Column:
+    """UTF-16 units of a tag inside JSON text, without its quotes."""
+    beyond = F.regexp_count(tag, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+    return F.length(F.to_json(F.struct(tag.alias("t")))) - len('{"t":""}') + beyond
+
+
+def question_chars(tag: Column, primitive: Column, form: str = "slim", primitives=PRIMITIVES) -> Column:
+    """UTF-16 units of ``{tag: question}`` in compact JSON, where the tag stands twice."""
+    bare = F.create_map(*[x for p in primitives for x in (F.lit(p), F.lit(request_chars({"": question("", p, form)})))])
+    return F.element_at(bare, primitive) + 2 * tag_chars(tag)
+
+
+#: Tags of a block of the plan; at least as many as a request has questions.
+PLAN_BLOCK = 4096
+
+
 def plan_batches(tags: DataFrame, lens: str, primitives=PRIMITIVES, budget: int = BUDGET_CHARS, most: int = MAX_QUESTIONS) -> DataFrame:
     """``batch, request, primitive, first, tags``: tags (``ord, tag_id``) cut into requests by size.
 
@@ -98,34 +116,72 @@ def plan_batches(tags: DataFrame, lens: str, primitives=PRIMITIVES, budget: int
     ``primitives``. A request starts at the size of its frame and closes when the next question
     would pass the budget or the number of questions; a question larger than the budget goes alone.
     Primitives that ask for the same tags run together, in the order of their batches' first tags,
-    so that frequent tags are complete first; ``MAX_BATCHES`` batches share a request group. The cut
-    depends on all tags before it, so a primitive's tags are one group: their number is bounded by
-    the allow-list, not by the points.
+    so that frequent tags are complete first; ``MAX_BATCHES`` batches share a request group.
+
+    Where a request ends depends on where it starts, so on all tags before it. Tags are ranked globally and dealt to
+    blocks of ``PLAN_BLOCK``, each with the first ``most`` tags of the next. In a block sums of sizes give every tag the end of a request that would start there,
+    and so, for each tag at which the first request of the block may start, the tag of the next block at which its first one starts.
+    These maps of ``most`` numbers are composed over the blocks, in rounds over blocks twice as far apart each time; then each block
+    knows its first request and cuts the others.
     """
     frame = request_chars({"model": "", "state": state(lens), "questions": {}})
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        primitive = pdf["primitive"].iloc[0]
-        asked = pdf.sort_values("ord")["tag_id"].tolist()
-        same = "\n".join(asked)
-        out, size, first = [], frame, 0
-        held: list[str] = []
-        for i, tag in enumerate(asked):
-            chars = request_chars({tag: question(tag, primitive)})
-            if held and (size + chars > budget or len(held) >= most):
-                out.append((primitive, first, held, same))
-                held, size, first = [], frame, i
-            held.append(tag)
-            size += chars
-        out.append((primitive, first, held, same))
-        return pd.DataFrame(out, columns=["primitive", "first", "tags", "same"])
-
+    size = max(PLAN_BLOCK, most)
     each = tags.select("ord", "tag_id", "primitive" if "primitive" in tags.columns else F.explode(F.array(*map(F.lit, primitives))).alias("primitive"))
-    parts = each.groupBy("primitive").applyInPandas(cut, "primitive string, first long, tags array<string>, same string")
-    place = F.array_position(F.array(*map(F.lit, primitives)), F.col("primitive"))
-    parts = parts.withColumn("group", F.min(place).over(Window.partitionBy("same")))
-    parts = parts.withColumn("batch", F.row_number().over(Window.orderBy("group", "first", place)) - 1)
-    return parts.select("batch", F.floor(F.col("batch") / MAX_BATCHES).cast("int").alias("request"), "primitive", "first", "tags")
+    place = (F.array_position(F.array(*map(F.lit, primitives)), F.col("primitive")) - 1).cast("int")
+    each = each.select(place.alias("place"), "ord", "tag_id", question_chars(F.col("tag_id"), F.col("primitive"), primitives=primitives).cast("long").alias("chars"))
+    ranked = cut(global_rank(each, F.col("place"), F.col("ord"), F.col("tag_id")))
+    starts = {r["place"]: r["start"] for r in ranked.groupBy("place").agg(F.min("rank").alias("start")).collect()}  # a row for each primitive
+    pos = F.col("rank") - F.element_at(F.create_map(*[F.lit(x) for kv in (starts or {0: 0}).items() for x in kv]), F.col("place"))
+    ranked = ranked.select("place", pos.alias("pos"), "tag_id", "chars")
+    digest = [F.sum(F.xxhash64(F.lit(seed), "pos", "tag_id").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    lists = {r["place"]: (r["n"], r["h1"], r["h2"]) for r in ranked.groupBy("place").agg(F.count("*").alias("n"), *digest).collect()}
+    group = {p: min(q for q in lists if lists[q] == lists[p]) for p in lists}
+
+    block = F.floor(F.col("pos") / size)
+    before = F.when((F.col("pos") % size < most) & (block > 0), block - 1)
+    rows = ranked.select("place", F.explode(F.array_compact(F.array(block.cast("long"), before.cast("long")))).alias("block"), "pos", "tag_id", "chars")
+
+    def ends(f: pd.DataFrame):
+        """Sorted rows, how many are the block's own, and where a request that starts at each of them ends."""
+        f = f.sort_values("pos")
+        own = int((f["pos"] // size == f["block"].iloc[0]).sum())
+        upto = f["chars"].cumsum().to_numpy()
+        i = np.arange(own)
+        end = np.searchsorted(upto, upto[:own] - f["chars"].to_numpy()[:own] + budget - frame, side="right")
+        return f, own, np.maximum(i + 1, np.minimum(end, i + most))
+
+    def exits(f: pd.DataFrame) -> pd.DataFrame:
+        f, own, end = ends(f)
+        out = [0] * own
+        for i in reversed(range(own)):
+            out[i] = int(end[i]) - own if end[i] >= own else out[end[i]]
+        return pd.DataFrame({"place": f["place"].iloc[:1], "block": f["block"].iloc[:1], "to": [(out + [0] * most)[:most]]})
+
+    def batches(f: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(f):  # the last block's exit leads nowhere
+            f, own, end = ends(f)
+            ids, first = f["tag_id"].tolist(), int(f["pos"].iloc[0])
+            at = int(entry["entry"].iloc[0]) if len(entry) else 0
+            while at < own:
+                out.append((int(f["place"].iloc[0]), first + at, ids[at : end[at]]))
+                at = int(end[at])
+        return pd.DataFrame(out, columns=["place", "first", "tags"]).astype({"place": "int32", "first": "int64", "tags": object})
+
+    maps = cut(rows.groupBy("place", "block").applyInPandas(exits, "place int, block long, to array<int>"))
+    last, step = max((n - 1 for n, *_ in lists.values()), default=0) // size, 1
+    while step <= last:  # after this round a map goes back over twice as many blocks
+        prior = maps.select("place", (F.col("block") + step).alias("block"), F.col("to").alias("prior"))
+        both = maps.join(prior, ["place", "block"], "left")
+        maps = cut(both.select("place", "block", F.when(F.col("prior").isNull(), F.col("to")).otherwise(F.transform("prior", lambda x: F.get("to", x))).alias("to")))
+        step *= 2
+    entries = maps.select("place", (F.col("block") + 1).alias("block"), F.get("to", F.lit(0)).alias("entry"))
+    keys = ("place", "block")
+    parts = rows.groupBy(*keys).cogroup(entries.groupBy(*keys)).applyInPandas(batches, "place int, first long, tags array<string>")
+    parts = parts.withColumn("group", F.element_at(F.create_map(*[F.lit(x) for kv in (group or {0: 0}).items() for x in kv]), F.col("place")))
+    parts = global_rank(parts, F.col("group"), F.col("first"), F.col("place"), name="batch")
+    primitive = F.element_at(F.array(*map(F.lit, primitives)), F.col("place") + 1)
+    return parts.select("batch", F.floor(F.col("batch") / MAX_BATCHES).cast("int").alias("request"), primitive.alias("primitive"), "first", "tags")
 
 
 #: Statuses of calls without an answer from the other side.
@@ -273,15 +329,11 @@ def _parse(ddl: str):
 
 
 def question_sizes(tags: DataFrame, forms=("slim", "full")) -> DataFrame:
-    """``form, primitive, tags, mean_chars``: how long the questions of ``tag_id`` are in each form."""
-
-    def run(batches):
-        for b in batches:
-            rows = [(f, p, request_chars({t: question(t, p, f)})) for t in b["tag_id"] for f in forms for p in PRIMITIVES]
-            yield pd.DataFrame(rows, columns=["form", "primitive", "chars"])
-
-    sized = tags.select("tag_id").mapInPandas(run, "form string, primitive string, chars long")
-    return sized.groupBy("form", "primitive").agg(F.count("*").alias("tags"), F.round(F.avg("chars"), 4).alias("mean_chars"))
+    """``form, primitive, tags, mean_chars``: how long the questions of ``tag_id`` are in each form. Tags are measured once; what a form and primitive add doesn't depend on them."""
+    n = tags.agg(F.count("*").alias("tags"), F.avg(tag_chars(F.col("tag_id"))).alias("mean"))
+    bare = [F.struct(F.lit(f).alias("form"), F.lit(p).alias("primitive"), F.lit(request_chars({"": question("", p, f)})).alias("chars")) for f in forms for p in PRIMITIVES]
+    each = n.where("tags > 0").withColumn("q", F.explode(F.array(*bare)))
+    return each.select("q.form", "q.primitive", "tags", F.round(F.col("q.chars") + 2 * F.col("mean"), 4).alias("mean_chars"))
 
 
 def attempt_log(evaluated: DataFrame) -> DataFrame:
@@ -299,7 +351,8 @@ def planned(tags: DataFrame, lens: str, cache: DataFrame | None = None, failed:
     """The batches of what is missing of ``tags`` (``tag_id, count``), the most frequent first: no pair that the cache has or that has failed is asked."""
     empty = tags.sparkSession.createDataFrame([], "tag_id string, primitive string")
     todo = missing(tags, empty if cache is None else cache, failed, primitives)
-    order = tags.groupBy("tag_id").agg(F.sum("count").alias("count")).select("tag_id", F.row_number().over(Window.orderBy(F.desc("count"), "tag_id")).alias("ord"))
+    totals = tags.groupBy("tag_id").agg(F.sum("count").alias("count"))
+    order = global_rank(totals, F.desc("count"), F.col("tag_id"), name="ord").drop("count")
     return plan_batches(todo.join(order, "tag_id").select("ord", "tag_id", "primitive"), lens, primitives)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, style, text
 from ..model import ALLOW_MIN, ALLOW_MIN_REGION, BRAND_KEYS, CHOICES, PRIMARY_KEYS, PRIMITIVES, REGION, ROLES, VIEWPORT_CAP
-from ..operators import analytics, evaluate, lens, profile, tags, viewport
+from ..operators import analytics, distribute, evaluate, lens, profile, tags, viewport
 from ..sources import poi, sinks, tables
 from ..streaming import events as streams
 
@@ -346,12 +346,22 @@ query("hydrate_merge", with_sql(PAIRS, OCC, EVALS, "mem AS (SELECT tag_id, confi
 
 
 def ranked_tags(s, d):
-    from pyspark.sql import Window
+    return distribute.global_rank(tag_totals(s, d), F.desc("count"), F.col("tag_id"), name="ord").select("ord", "tag_id")
 
-    return occ(s, d).groupBy("tag_id").agg(F.count("*").alias("count")).select(F.row_number().over(Window.orderBy(F.desc("count"), "tag_id")).alias("ord"), "tag_id")
 
-
-query("batch_plan")(lambda s, d: evaluate.plan_batches(ranked_tags(s, d), "places to sit", budget=8 * 1024))
+PLAN_BUDGET = 8 * 1024
+PLAN = (
+    f"kinds(place, primitive, bare) AS (VALUES {', '.join(str((i, p, evaluate.request_chars({'': evaluate.question('', p)}))) for i, p in enumerate(PRIMITIVES))})",
+    "tg AS (SELECT tag_id, row_number() OVER (ORDER BY count(*) DESC, tag_id) - 1 AS ord FROM tagocc GROUP BY tag_id)",
+    "qs AS (SELECT place, primitive, ord, tag_id, sum(bare + 2 * (length(to_json(tag_id)) - 2)) OVER (PARTITION BY place ORDER BY ord) AS upto, bare + 2 * (length(to_json(tag_id)) - 2) AS chars FROM tg, kinds)",
+    "st(place, first) AS (SELECT place, 0::BIGINT FROM kinds UNION ALL SELECT f.place, min(x.ord) FROM st JOIN qs f ON f.place = st.place AND f.ord = st.first JOIN qs x ON x.place = f.place AND x.ord > f.ord "
+    f"AND (x.upto - f.upto + f.chars + {evaluate.request_chars({'model': '', 'state': evaluate.state('places to sit'), 'questions': {}})} > {PLAN_BUDGET} OR x.ord - f.ord >= {evaluate.MAX_QUESTIONS}) GROUP BY f.place)",
+    "sp AS (SELECT place, first, lead(first) OVER (PARTITION BY place ORDER BY first) AS next, row_number() OVER (ORDER BY first, place) - 1 AS batch FROM st)",
+)
+query("batch_plan", with_sql(PAIRS, OCC, *PLAN, then=f"SELECT batch::BIGINT AS batch, (batch // {evaluate.MAX_BATCHES})::INTEGER AS request, primitive, first, string_agg(tag_id, '|' ORDER BY ord) AS tags "
+    "FROM sp JOIN qs ON qs.place = sp.place AND ord >= first AND (next IS NULL OR ord < next) GROUP BY ALL").replace("WITH ", "WITH RECURSIVE ", 1))(
+    lambda s, d: evaluate.plan_batches(ranked_tags(s, d), "places to sit", budget=PLAN_BUDGET).withColumn("tags", F.array_join("tags", "|"))
+)
 query("evaluated_tags", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, confidence, score, array_to_string(choice, ',') AS choice "
     "FROM evals WHERE confidence IS NOT NULL OR score IS NOT NULL OR choice IS NOT NULL"))(
     lambda s, d: evaluate.wide(evaluate.evaluate_tags(occ(s, d).groupBy("tag_id").agg(F.count("*").alias("count")), "places to sit").where("num is not null or dist is not null")).select("tag_id",
@@ -631,15 +641,15 @@ query("summary_document", with_sql(ROWS, then="SELECT count(*)::BIGINT AS rows,
     lambda s, d: sinks.as_document(profile.row_stats(pois(s, d))).select(F.from_json("document", "rows long, max int, mean double, xmin double").alias("d")).select("d.*")
 )
 PAIR_ROWS = "pk AS (SELECT tag, score, confidence, row_number() OVER (ORDER BY tag) - 1 AS at FROM answers WHERE lens = 'kids' AND variant = 'full' AND score IS NOT NULL AND confidence IS NOT NULL)"
-_DRAWN = analytics.lcg(8000)
 query(
     "random_pairs",
     with_sql(
-        *ANS, PAIR_ROWS, f"dr AS (SELECT unnest(range(4000)) AS i, unnest({_DRAWN[::2]}) AS xa, unnest({_DRAWN[1::2]}) AS xb)",
+        *ANS, PAIR_ROWS, "lc(k, x) AS (SELECT 0, 42.0::DOUBLE UNION ALL SELECT k + 1, (1103515245.0::DOUBLE * x + 12345.0::DOUBLE) % 2147483648.0::DOUBLE FROM lc WHERE k < 8000)",
+        "dr AS (SELECT (k - 1) // 2 AS i, max(x::BIGINT) FILTER (k % 2 = 1) AS xa, max(x::BIGINT) FILTER (k % 2 = 0) AS xb FROM lc WHERE k > 0 GROUP BY 1)",
         then="SELECT i::BIGINT AS i, a.tag AS tag_a, b.tag AS tag_b, "
         "round(CASE WHEN a.confidence + b.confidence > 0 THEN (a.score * a.confidence + b.score * b.confidence) / (a.confidence + b.confidence) ELSE (a.score + b.score) / 2 END, 6) AS mixed "
         "FROM dr JOIN pk a ON a.at = xa % (SELECT count(*) FROM pk) JOIN pk b ON b.at = xb % (SELECT count(*) FROM pk)",
-    ),
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
 )(lambda s, d: analytics.random_pairs(answers_wide(s, d).where("lens = 'kids' and variant = 'full'")))
 
 
