@@ -5,13 +5,15 @@ from __future__ import annotations
 import json
 import random
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_lens, utf16_units
@@ -299,8 +301,8 @@ LOG = "array<struct<attempt:int,status:int,kind:string,questions:int,request_cha
 EVENTS = f"batch long, request int, primitive string, tag_id string, kind string, attempts int, num double, dist array<double>, model string, input_tokens long, log {LOG}"
 
 
-def evaluate(batches: DataFrame, lens: str, client: Client = stub_client, concurrency: int = 2, sleep=time.sleep) -> DataFrame:
-    """A row for each asked tag: its answer, or nulls. ``concurrency`` tasks call the evaluator at a time.
+def evaluate(batches: DataFrame, lens: str, client: Client = stub_client, concurrency: int | None = 2, sleep=time.sleep) -> DataFrame:
+    """A row for each asked tag: its answer, or nulls. ``concurrency`` tasks call the evaluator at a time; None leaves the batches in the tasks they are in.
 
     The first row of a batch also has its input tokens and its log.
     """
@@ -319,7 +321,33 @@ def evaluate(batches: DataFrame, lens: str, client: Client = stub_client, concur
                     out.append((b.batch, b.request, b.primitive, t, kind, len(log), *value, reply.get("model"), None if i else usage.get("inputTokens"), None if i else log))
             yield pd.DataFrame(out, columns=columns).astype({"input_tokens": "Int64", "num": "float64"})
 
-    return batches.repartition(concurrency).mapInPandas(run, EVENTS)
+    return (batches.repartition(concurrency) if concurrency else batches).mapInPandas(run, EVENTS)
+
+
+def answered(spark: SparkSession, path: str) -> DataFrame:
+    """What has been answered so far; empty before the first answer."""
+    try:
+        return spark.read.schema(EVENTS).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], EVENTS)
+
+
+def ask_once(batches: DataFrame, lens: str, client: Client, path: str, concurrency: int = 2, sleep=time.sleep) -> None:
+    """Asks what ``path`` has no answer for, ``concurrency`` requests at a time, and appends the answers as they come.
+
+    Each request is a task, and a task's answers count when it ends, whatever becomes of the others (the committer of version 2). So after a
+    failure only requests that were under way are asked again. Failed requests have rows too, without values, with their kind and log.
+    """
+    spark = batches.sparkSession
+    span = batches.agg(F.min("batch"), F.max("batch")).first()
+    if span[0] is None:
+        return
+    have = answered(spark, path).where(F.col("batch").between(*span)).select("batch").distinct()
+    todo = sorted(r[0] for r in batches.join(have, "batch", "left_anti").select("batch").collect())  # a request group's numbers
+    for i in range(0, len(todo), concurrency):
+        some = batches.where(F.col("batch").isin(todo[i : i + concurrency])).repartitionByRange(concurrency, "batch")
+        rows = evaluate(some, lens, client, None, sleep)
+        rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
 
 
 def _parse(ddl: str):
@@ -371,7 +399,6 @@ class LensSession:
 
     def __init__(self, cache, client: Client = stub_client):
         self.cache, self.client, self.lens, self.token = cache, client, "", 0
-        self.failures: dict[str, set[tuple[str, str]]] = {}  # by lens; bounded by the tags asked, as those are by the allow-list
         self.progress = self._idle()
 
     def _idle(self) -> dict:
@@ -393,55 +420,52 @@ class LensSession:
         """Forgets all answers and failures."""
         self.abort()
         self.cache.clear()
-        self.failures.clear()
         self.progress = self._idle()
 
-    def _failed(self) -> DataFrame:
-        return self.cache.spark.createDataFrame(sorted(self.failures.get(self.lens, ())), "tag_id string, primitive string")
-
     def ensure(self, tags: DataFrame) -> int:
         """Evaluates and stores what is missing and hasn't failed; the number of new answers."""
         if not self.lens:
             return 0
         lens, token, new = self.lens, self.token, 0
-        plan = planned(tags, lens, self.cache.load(lens), self._failed()).persist()
-        requests = [r[0] for r in plan.select("request").distinct().orderBy("request").collect()]
+        plan = planned(tags, lens, self.cache.load(lens), self.cache.failed(lens))
+        plan = cut(plan)
+        requests = {r["request"]: (r["low"], r["high"]) for r in plan.groupBy("request").agg(F.min("batch").alias("low"), F.max("batch").alias("high")).orderBy("request").collect()}
         self.progress = self._idle() | {"running": True, "batches": plan.count()}
-        for request in requests:
+        folder = f"{self.cache.path}_asked/{uuid.uuid4().hex}"
+        for request, span in requests.items():
             if token != self.token:
                 break
-            new += self._request(evaluate(plan.where(F.col("request") == request), lens, self.client), lens, token)
-        plan.unpersist()
+            ask_once(plan.where(F.col("request") == request), lens, self.client, folder)
+            new += self._store(answered(self.cache.spark, folder).where(F.col("batch").between(*span)), lens, token)
         if token == self.token:
             self.progress |= {"running": False, "retryable": self.count_retryable(tags)}
         return new
 
-    def _request(self, asked: DataFrame, lens: str, token: int) -> int:
-        asked = asked.persist()
-        answered = F.col("num").isNotNull() | F.col("dist").isNotNull()
+    def _store(self, asked: DataFrame, lens: str, token: int) -> int:
+        """Answers go to the cache, what has none to its failures; both are read from where they were written as they came."""
+        if token != self.token:
+            return 0
+        has = F.col("num").isNotNull() | F.col("dist").isNotNull()
         kinds = {r["kind"]: r["n"] for r in asked.where("log is not null").groupBy("kind").agg(F.count("*").alias("n")).collect()}
-        lost = [(r["tag_id"], r["primitive"]) for r in asked.where(~answered).select("tag_id", "primitive").collect()]
-        n = 0
-        if token == self.token:
-            rows = asked.where(answered).select(F.lit(lens).alias("lens"), "tag_id", "primitive", "num", "dist", F.coalesce("model", F.lit("")).alias("model"), F.current_timestamp().alias("at"))
-            n = rows.count()
-            stored = not n or self.cache.put(rows)
-            self.failures.setdefault(lens, set()).update(lost)
-            self.progress["ok"] += kinds.pop("ok", 0)
-            self.progress["failed"] += sum(kinds.values())
-            self.progress["tally"] = {k: self.progress["tally"].get(k, 0) + kinds.get(k, 0) for k in {*self.progress["tally"], *kinds}}
-            self.progress["stored"] = self.progress["stored"] and stored
-        asked.unpersist()
+        rows = asked.where(has).select(F.lit(lens).alias("lens"), "tag_id", "primitive", "num", "dist", F.coalesce("model", F.lit("")).alias("model"), F.current_timestamp().alias("at"))
+        n = rows.count()
+        stored = not n or self.cache.put(rows)
+        lost = asked.where(~has).select(F.lit(lens).alias("lens"), "tag_id", "primitive", "kind")
+        stored = (lost.isEmpty() or self.cache.put_failed(lost)) and stored
+        self.progress["ok"] += kinds.pop("ok", 0)
+        self.progress["failed"] += sum(kinds.values())
+        self.progress["tally"] = {k: self.progress["tally"].get(k, 0) + kinds.get(k, 0) for k in {*self.progress["tally"], *kinds}}
+        self.progress["stored"] = self.progress["stored"] and stored
         return n
 
     def retry(self, tags: DataFrame) -> int:
         """Asks again for what has failed."""
-        self.failures.pop(self.lens, None)
+        self.cache.clear_failed(self.lens)
         return self.ensure(tags)
 
     def count_retryable(self, tags: DataFrame) -> int:
         """Failed pairs among these tags."""
-        return self._failed().join(tags.select("tag_id").distinct(), "tag_id", "left_semi").count()
+        return self.cache.failed(self.lens).join(tags.select("tag_id").distinct(), "tag_id", "left_semi").count()
 
     def evals(self) -> DataFrame:
         return wide(self.cache.load(self.lens))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from ..model import ALLOW_MIN, ALLOW_MIN_REGION, BRAND_KEYS, CHOICES, PRIMARY_KE
 from ..operators import analytics, distribute, evaluate, lens, profile, tags, viewport
 from ..sources import poi, sinks, tables
 from ..streaming import events as streams
+from ..streaming import requests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -658,3 +660,46 @@ def viewport_document_tags(s, d):
     """The tags and counts as read back from the document."""
     doc = viewport_document(s, d).select(F.from_json("document", "tags array<struct<tag_id:string,count:bigint>>").alias("d"))
     return doc.select(F.explode("d.tags").alias("t")).select("t.tag_id", "t.count")
+
+
+# --- streams -----------------------------------------------------------------------------------------
+LOG_FILES = 4
+LOG = (
+    f"lg AS (SELECT event_id, event_id % {LOG_FILES} AS file, 'lens ' || (user_id % 20) AS lens, event_id % 9 = 0 AS starts, "
+    f"(event_id % {LOG_FILES}) * 10 + CASE WHEN event_id % 9 = 0 THEN event_id // 9 % 3 ELSE event_id % 7 - 5 END AS request_id FROM events)"
+)
+
+
+def event_log(s, d):
+    """A log of lens requests out of the events: starts, results, and results of requests that files before have replaced."""
+    i, file = F.col("event_id"), F.col("event_id") % LOG_FILES
+    starts = i % 9 == 0
+    request = file * 10 + F.when(starts, F.floor(i / 9) % 3).otherwise(i % 7 - 5)
+    return s.read.parquet(f"{d}/events.parquet").select(
+        F.when(starts, "start").otherwise("result").alias("type"), request.cast("long").alias("request_id"), F.concat(F.lit("lens "), F.col("user_id") % 20).alias("lens"), i.cast("string").alias("tag_id"),
+        F.lit("score").alias("primitive"), F.col("value").alias("num"), F.lit(None).cast("array<double>").alias("dist"), F.lit("m").alias("model"), F.col("ts").cast("timestamp").alias("at"),
+        F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("batch"), file.alias("file"),
+    )
+
+
+@query("current_results", f"WITH {LOG}, m AS (SELECT *, max(request_id) FILTER (starts) OVER (PARTITION BY lens ORDER BY file) AS newest FROM lg) "
+    "SELECT event_id::VARCHAR AS tag_id, lens, request_id::BIGINT AS request_id FROM m WHERE NOT starts AND (newest IS NULL OR request_id >= newest)")
+def current_results(s, d):
+    """The log read file by file as a stream, its state kept in between; late results of replaced requests are dropped whichever file holds them."""
+    folder = f"{tables.shared_folder(s)}/streams/{uuid.uuid4().hex}"
+    for i in range(LOG_FILES):  # one after another, so that they are read in this order
+        event_log(s, d).where(F.col("file") == i).drop("file").coalesce(1).write.mode("append").json(f"{folder}/in")
+    rows = requests.newest_results(streams.read_events(s, f"{folder}/in", 1), late="3650 days")
+    start = lambda: rows.select("tag_id", "lens", "request_id").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
+    requests.with_state_store(s, start).awaitTermination()
+    return s.read.schema("tag_id string, lens string, request_id long").parquet(f"{folder}/out")
+
+
+@query("streamed_answers", SQL["evaluated_tags"])
+def streamed_answers(s, d):
+    """The plan as a stream of requests, answered group by group."""
+    folder = f"{tables.shared_folder(s)}/streams/{uuid.uuid4().hex}"
+    requests.write_plan(evaluate.planned(tag_totals(s, d), "places to sit"), f"{folder}/plan")
+    requests.evaluate_stream(s, f"{folder}/plan", "places to sit", evaluate.stub_client, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    w = evaluate.wide(evaluate.answered(s, f"{folder}/out").where("num is not null or dist is not null"))
+    return w.select("tag_id", "confidence", "score", F.array_join(F.transform("choice", lambda x: x.cast("string")), ",").alias("choice"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import time
+
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import json_safe_id
@@ -60,6 +62,8 @@ def full_allowlist(roles: DataFrame, allowlist: DataFrame, least: int, least_reg
     return as_document(r.join(e).select(F.lit(least).alias("min_count"), F.lit(least_region).alias("min_count_region"), "pairs", "roles", "entries"))
 
 
+#: Failed pairs: ``cleared`` rows, without a pair, end what failed before them.
+FAILED = "tag_id string, primitive string, kind string, cleared boolean, seq long, lens string"
 ROWS = "tag_id string, primitive string, num double, dist array<double>, model string, at timestamp, schema_version int, lens string"
 
 
@@ -88,11 +92,40 @@ class EvalCache:
         df = self._rows().where(F.col("schema_version") == self.version)
         return latest(df if lens is None else df.where(F.col("lens") == lens)).drop("schema_version")
 
+    def _failed_rows(self, lens: str) -> DataFrame:
+        try:
+            rows = self.spark.read.schema(FAILED).parquet(f"{self.path}_failed")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], FAILED)
+        return rows.where(F.col("lens") == lens)
+
+    def failed(self, lens: str) -> DataFrame:
+        """``tag_id, primitive, kind`` that failed since the lens's failures were last cleared."""
+        rows = self._failed_rows(lens)
+        cleared = rows.where("cleared").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("cleared_at"))
+        return rows.where("not cleared").join(F.broadcast(cleared), F.col("seq") > F.col("cleared_at")).groupBy("tag_id", "primitive").agg(F.max_by("kind", "seq").alias("kind"))
+
+    def put_failed(self, rows: DataFrame) -> bool:
+        """Appends ``lens, tag_id, primitive, kind``, in one step of the lens's history."""
+        return self._step(rows.select("lens", "tag_id", "primitive", "kind", F.lit(False).alias("cleared")))
+
+    def clear_failed(self, lens: str) -> bool:
+        """What failed for a lens may be asked again."""
+        return self._step(self.spark.createDataFrame([(lens, None, None, None, True)], "lens string, tag_id string, primitive string, kind string, cleared boolean"))
+
+    def _step(self, rows: DataFrame) -> bool:
+        try:
+            rows.withColumn("seq", F.lit(time.time_ns())).write.mode("append").partitionBy("lens").parquet(f"{self.path}_failed")
+        except (PySparkException, Py4JJavaError):
+            return False
+        return True
+
     def count(self, lens: str | None = None) -> int:
         return self.load(lens).count()
 
     def clear(self) -> None:
         self.spark.createDataFrame([], ROWS).write.mode("overwrite").partitionBy("schema_version", "lens").parquet(self.path)
+        self.spark.createDataFrame([], FAILED).write.mode("overwrite").partitionBy("lens").parquet(f"{self.path}_failed")
 
     def compact(self, into: str) -> EvalCache:
         """The latest rows, a file for each lens, at another path, which readers then use."""
@@ -101,6 +134,8 @@ class EvalCache:
 
 
 def latest(df: DataFrame, *keys: str) -> DataFrame:
-    """The latest row (``at``) of each key; ties go to the greatest by the other columns."""
-    w = Window.partitionBy(*(keys or ("lens", "tag_id", "primitive"))).orderBy(F.desc("at"), *[F.desc(c) for c in sorted(df.columns)])
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The latest row (``at``) of each key; ties go to the greatest by the other columns. One aggregate, which tasks begin before the shuffle."""
+    by = keys or ("lens", "tag_id", "primitive")
+    rest = sorted(c for c in df.columns if c not in by and c != "at")
+    top = df.groupBy(*by).agg(F.max(F.struct("at", *rest)).alias("_top"))
+    return top.select(*[F.col(c) if c in by else F.col(f"_top.{c}").alias(c) for c in df.columns])
