@@ -59,12 +59,13 @@ HOT = 1000
 def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
     """``rows`` joined (``inner`` or ``left``) with ``table``, which has one row for each key; nulls are keys like any other.
 
-    Keys that hold over a ``HOT``-th of the rows, of which there are less than ``HOT``, are broadcast, so that none of
-    them meets in one task; the rows of the others are shuffled. ``rows`` is read three times, so it should be written.
+    Keys that hold over a ``HOT``-th of the rows, of which there are less than ``HOT``, are broadcast with what the table has for them, so that none of
+    them meets in one task; the rows of the others are shuffled. Both sides are read more than once, so they should be written.
     """
     total = rows.count()
-    h = [f"_h{i}" for i in range(len(keys))]
-    hot = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(*[F.col(k).alias(x) for k, x in zip(keys, h, strict=True)]))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(*keys)
+    h, t = [f"_h{i}" for i in range(len(keys))], [f"_t{i}" for i in range(len(keys))]
+    hot = F.broadcast(rows.sparkSession.createDataFrame(counted.collect(), counted.schema).toDF(*h))  # less than HOT keys
 
     def same(df: DataFrame, names) -> Column:
         out = F.lit(True)
@@ -72,12 +73,11 @@ def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner")
             out = out & df[k].eqNullSafe(F.col(x))
         return out
 
-    t = [f"_t{i}" for i in range(len(keys))]
-    named = table.select(*[F.col(k).alias(x) for k, x in zip(keys, t, strict=True)], *[c for c in table.columns if c not in keys])
-    few = F.broadcast(cut(table.join(F.broadcast(hot), same(table, h), "left_semi")).select(*[F.col(k).alias(x) for k, x in zip(keys, t, strict=True)], *[c for c in table.columns if c not in keys]))
-    many = rows.join(F.broadcast(hot), same(rows, h), "left_anti")
-    hots = rows.join(F.broadcast(hot), same(rows, h), "left_semi")
-    return many.join(named.hint("merge"), same(many, t), how).drop(*t).unionByName(hots.join(few, same(hots, t), how).drop(*t))
+    named = lambda df: df.select(*[F.col(k).alias(x) for k, x in zip(keys, t, strict=True)], *[c for c in df.columns if c not in keys])
+    many = rows.join(hot, same(rows, h), "left_anti")
+    hots = rows.join(hot, same(rows, h), "left_semi")
+    few = F.broadcast(named(table.join(hot, same(table, h), "left_semi")))
+    return many.join(named(table).hint("merge"), same(many, t), how).drop(*t).unionByName(hots.join(few, same(hots, t), how).drop(*t))
 
 
 def global_rank(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:

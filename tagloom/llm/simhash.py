@@ -367,18 +367,22 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     fps = cut(t.mapInArrow(sketch, f"id {kind}, _k1 long, _k2 long, node long, " + ", ".join(f"{w} long" for w in words) + ", cells array<long>"))
     nodes = cut(fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(w).alias(w) for w in words], F.first("cells").alias("cells")))
     dealt = nodes.select(F.explode("cells").alias("cell"), "node", *words)
-    hot = dealt.groupBy("cell").agg(F.count("*").alias("n")).where((F.col("n") * HOT > nodes.count() * BANDS) & (F.col("n") > CELL))
-    hot = F.broadcast(cut(hot.select("cell", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))))
-    dealt = dealt.join(hot, "cell", "left").select("cell", F.coalesce(F.pmod(F.xxhash64("cell", "node"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"), "node", *words)
-    trees = cut(_cell_forests(dealt))
-    tops = trees.where("b is null").select("cell", F.lit(-1).alias("part"), F.col("a").alias("node"))
-    tops = _cell_forests(tops.join(nodes.select("node", *words).hint("merge"), "node").select("cell", "part", "node", *words))
-    edges = trees.where("b is not null").select("a", "b").unionByName(tops.where("b is not null").select("a", "b"))
-
-    groups = cut(components(edges.distinct()).select("node", F.col("root").alias("comp")))
+    hot = dealt.groupBy("cell").agg(F.count("*").alias("n")).where((F.col("n") * HOT > nodes.count() * BANDS) & (F.col("n") > CELL)).collect()  # less than HOT cells
+    parts = F.lit(None).cast("int")
+    if hot:
+        of = F.broadcast(nodes.sparkSession.createDataFrame([(r["cell"], -(-r["n"] // CELL)) for r in hot], "cell long, parts int"))
+        dealt, parts = dealt.join(of, "cell", "left"), F.col("parts")
+    dealt = dealt.select("cell", F.coalesce(F.pmod(F.xxhash64("cell", "node"), parts).cast("int"), F.lit(-1)).alias("part"), "node", *words)
+    edges = _cell_forests(dealt)
+    if hot:
+        trees = cut(edges)
+        tops = trees.where("b is null").select("cell", F.lit(-1).alias("part"), F.col("a").alias("node"))
+        edges = trees.unionByName(_cell_forests(tops.join(nodes.select("node", *words).hint("merge"), "node").select("cell", "part", "node", *words)))
+
+    groups = cut(components(edges.where("b is not null").select("a", "b")).select("node", F.col("root").alias("comp")))
     members = groups.unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct())  # roots are members too
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
-    members = cut(join_hot(cut(members), cut(sizes), "comp"))
+    members = members.join(sizes.hint("merge"), "comp")
     owners = cut(nodes.join(members.hint("merge"), "node").select("k._k1", "k._k2", "node", "comp", "n"))
 
     def hashed(batches):
@@ -451,35 +455,59 @@ def _verified(blocks: DataFrame, similarity: float) -> DataFrame:
 def _large_components(large: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links enough to join all that links join among the texts (``comp, node, hashes``) of each large candidate component."""
     rank = F.row_number().over(Window.partitionBy("comp").orderBy("node"))
-    pivots = cut(large.select("comp", "node").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("node"))
-    parts = cut(large.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    cols = ("comp", "first", "second", "block", "node", "hashes")
-    spread = join_hot(large, parts, "comp")
-    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    members = spread.select("comp", mine.alias("first"), F.lit(-1).alias("second"), mine.alias("block"), "node", "hashes")
-    everywhere = spread.join(pivots.hint("merge"), "node", "left_semi").withColumn("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    everywhere = everywhere.select("comp", "first", F.lit(-1).alias("second"), F.lit(-1).alias("block"), "node", "hashes")
-    links = cut(_verified(members.select(*cols).unionByName(everywhere.select(*cols)), similarity))
-    roots = components(links)
-
-    # groups that pivots join have blocks of their own; what they leave is mixed
-    label = large.select("comp", "node").join(roots.hint("merge"), "node", "left").select("comp", "node", F.coalesce("root", "node").alias("label"))
-    label = cut(label)
-    sizes = cut(label.groupBy("comp", "label").agg(F.count("*").alias("n")).where(F.col("n") >= BLOCK // 4))
-    label = join_hot(label, sizes, "comp", "label", how="left").select("comp", "node", F.when(F.col("n").isNotNull(), F.col("label")).alias("label"))
-    label = cut(label)
-    blocks = label.groupBy("comp", "label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    blocks = blocks.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("label", "i"))).alias("all"), F.count_distinct("label").alias("labels"), F.max(F.col("label").isNull()).alias("mixed"))
-    blocks = cut(blocks.where("labels > 1 or mixed").select("comp", "all"))  # one group only: nothing is left to compare
-    of = join_hot(label, blocks, "comp")
-    count = F.size(F.filter("all", lambda x: x.label.eqNullSafe(F.col("label"))))
-    own = F.struct(F.col("label").alias("label"), F.pmod(F.xxhash64("node"), count).cast("int").alias("i"))
-    of = of.withColumn("block", F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda j: F.get("all", j).label.eqNullSafe(own.label) & (F.get("all", j).i == own.i))[0])
-    others = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda j: F.col("label").isNull() | ~F.get("all", j).label.eqNullSafe(F.col("label")))
-    of = cut(of.select("node", "block", others.alias("others")))
-    rest = large.join(of.hint("merge"), "node").withColumn("other", F.explode("others"))
+    first = large.select("comp", "node").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("node", (F.col("r") - 1).alias("pivot"))
+    parts = large.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    pivots = large.join(first.hint("merge"), "node").join(parts.hint("merge"), "comp")
+    pivots = pivots.select("comp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "pivot", "node", "hashes")
+    # parts of a component by their tasks' own numbers: each has all of the component's pivots
+    members = large.join(parts.hint("merge"), "comp").select("comp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(-1).alias("pivot"), "node", "hashes")
+
+    def link(table: pa.Table) -> pa.Table:
+        """The pivots that each member links to, as bits."""
+        table = table.sort_by("pivot")
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        pivot = table.column("pivot").to_numpy()
+        n = int((pivot < 0).sum())
+        bits = similar(sets[:n], sets[n:], similarity).astype(np.int64) @ (1 << pivot[n:].astype(np.int64)) if n else np.zeros(0, np.int64)
+        return pa.table({"comp": table.column("comp")[:n], "node": table.column("node")[:n], "bits": pa.array(bits, pa.int64())})
+
+    linked = cut(members.unionByName(pivots).groupBy("comp", "part").applyInArrow(link, "comp long, node long, bits long"))
+
+    def join(table: pa.Table) -> pa.Table:
+        """Groups of pivots that members join: each different set of bits once."""
+        merged: list[int] = []
+        for b in table.column("bits").to_pylist():
+            for m in [m for m in merged if m & b]:
+                merged.remove(m)
+                b |= m
+            merged.append(b)
+        comp = table.column("comp")[0].as_py()
+        return pa.table({"comp": pa.array([comp] * len(merged), pa.int64()), "group": pa.array(merged, pa.int64())})
+
+    # at most 2 ** PIVOTS different sets of bits, and PIVOTS groups, for a component
+    joined = linked.where("bits > 0").select("comp", "bits").distinct().groupBy("comp").applyInArrow(join, "comp long, group long")
+    joined = joined.groupBy("comp").agg(F.collect_list("group").alias("groups"))
+    label = linked.join(joined.hint("merge"), "comp", "left").select("comp", "node", F.get(F.filter("groups", lambda g: g.bitwiseAND(F.col("bits")) > 0), F.lit(0)).alias("label"))
+    label = cut(label.select("comp", "node", F.coalesce("label", F.lit(0)).alias("label")))  # 0: no pivot
+
+    # groups have blocks of their own, whose texts are joined already; what pivots leave is mixed, and small groups with it
+    sizes = label.groupBy("comp", "label").agg(F.count("*").alias("n"), F.min("node").alias("root"))
+    sizes = sizes.withColumn("own", F.when((F.col("label") > 0) & (F.col("n") >= BLOCK // 4), F.col("label")).otherwise(0))
+    blocks = sizes.groupBy("comp", "own").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("k"), F.collect_list(F.struct("label", "root")).alias("labels"))
+    blocks = blocks.groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("own", "k", "labels"))).alias("all"))
+    of = label.join(blocks.hint("merge"), "comp")
+    mine = F.filter("all", lambda x: F.exists(x.labels, lambda y: y.label == F.col("label")))[0]
+    of = of.select("comp", "node", "label", "all", mine.alias("mine"))
+    # blocks are numbered in the order of ``all``
+    before = F.aggregate(F.filter("all", lambda x: x.own < F.col("mine.own")), F.lit(0), lambda a, x: a + x.k)
+    every = F.aggregate("all", F.lit(0), lambda a, x: a + x.k)
+    of = of.select("comp", "node", "label", F.col("mine.own").alias("own"), F.col("mine.k").alias("k"), F.filter("mine.labels", lambda y: y.label == F.col("label"))[0].root.alias("root"), before.alias("before"), every.alias("every"))
+    others = F.filter(F.sequence(F.lit(0), F.col("every") - 1), lambda j: (F.col("own") == 0) | (j < F.col("before")) | (j >= F.col("before") + F.col("k")))
+    of = cut(of.select("node", "label", "root", (F.col("before") + F.pmod(F.xxhash64("node"), F.col("k"))).cast("int").alias("block"), others.alias("others")))
+    rest = large.join(of.select("node", "block", "others").hint("merge"), "node").withColumn("other", F.explode("others"))
     rest = rest.select("comp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "node", "hashes")
-    return links.unionByName(_verified(rest, similarity))
+    stars = of.where((F.col("label") > 0) & (F.col("node") != F.col("root"))).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return stars.unionByName(_verified(rest, similarity))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, blocks: int = 8, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

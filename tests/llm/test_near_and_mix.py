@@ -82,7 +82,7 @@ def test_a_tight_template_is_not_copied(spark, monkeypatch):
     real = simhash._verified
     monkeypatch.setattr(simhash, "_verified", lambda df, s: seen.append(df) or real(df, s))
     simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
-    assert [df.count() for df in seen[1:]] == [120 + 16 * 12, 0]
+    assert [df.count() for df in seen[1:]] == [0]
 
 
 def test_recall_of_cells_by_length():
