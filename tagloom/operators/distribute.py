@@ -62,3 +62,27 @@ def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner",
     known = rows.join(hot, list(keys), "left_semi").join(few, list(keys), how)
     return known.unionByName(rows.join(hot, list(keys), "left_anti").join(table.hint("merge"), list(keys), how))
 
+
+
+def smallest(df: DataFrame, n: int, key: str, *ties: Column, bits: int = 60, step: int = 12, few: int = 100_000) -> DataFrame:
+    """Exactly the ``n`` rows (or all) with the smallest ``key``, a number of ``bits`` bits; ties go by ``ties``.
+
+    Each round counts the values of the next ``step`` bits below the prefix that holds the ``n``-th row, until ``few`` rows share it. Only those are
+    sorted; all before them are taken as they are. ``df`` is read for each round and should be written.
+    """
+    if df.count() <= n:
+        return df
+    shift, prefix, left = bits, 0, n
+    while shift > 0:
+        here = df.where(F.shiftright(key, shift) == prefix) if shift < bits else df
+        shift -= step
+        digit = F.shiftright(key, shift).bitwiseAND((1 << step) - 1)
+        counts = sorted((r["digit"], r["count"]) for r in here.groupBy(digit.alias("digit")).count().collect())  # 2 ** step numbers at most
+        for d, c in counts:
+            if left <= c:
+                prefix = prefix << step | d
+                break
+            left -= c
+        if c <= few:
+            break
+    return df.where(F.shiftright(key, shift) < prefix).unionByName(df.where(F.shiftright(key, shift) == prefix).orderBy(key, *ties).limit(left))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import point_inside
 from ..functions.text import VALUE_CLASSES, key_group, trim_all
 from ..model import EXPAND_MAX_DISTINCT, PRIMARY_KEYS, REGION, TOP_VALUES
+from .distribute import cut, smallest
 
 COVERAGE_POINTS = (10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000)
 
@@ -59,6 +60,21 @@ def key_profile(pois: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+def key_sketches(pois: DataFrame, lg: int = 14) -> DataFrame:
+    """``key, lod_level, n, sketch``: counts and HyperLogLog sketches of each key's values by level, which can be stored and merged."""
+    return pairs(pois).groupBy("key", "lod_level").agg(F.count("*").alias("n"), F.hll_sketch_agg("value", F.lit(lg)).alias("sketch"))
+
+
+def append_sketches(pois: DataFrame, path: str) -> None:
+    """Adds a part of the corpus to the stored sketches. Only the part is read."""
+    key_sketches(pois).write.mode("append").parquet(path)
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """``n`` and ``nd_approx`` of each key (or ``by``) over all parts; the values themselves aren't read again."""
+    return sketches.groupBy(*(by or ("key",))).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("nd_approx"))
+
+
 def key_ratios(profile: DataFrame, n_rows: DataFrame) -> DataFrame:
     """Ratios of a key's profile; ``n_rows`` is one row with ``rows``."""
     r = lambda c: F.round(F.col(c) / F.col("n"), 4).alias(c.replace("_like", "").replace("_semicolon", "") + "_ratio")
@@ -157,15 +173,21 @@ def region_keys(pois: DataFrame, most: int = 300) -> DataFrame:
     return n.join(total).select("key", "n", F.round(F.col("n") / F.col("total"), 4).alias("row_ratio_jp"))
 
 
-def value_samples(pois: DataFrame, over: int = EXPAND_MAX_DISTINCT, rows_sampled: int = 2_000_000, seed: int = 1) -> DataFrame:
-    """Up to eight values of each key with more than ``over`` different ones, from a sample (a sampling operator; not reproducible across engines)."""
-    p = pairs(pois)
-    many = p.groupBy("key").agg(F.count("*").alias("n"), F.approx_count_distinct("value").alias("nd_approx")).where(F.col("nd_approx") > over)
-    total = many.agg(F.sum("n")).first()[0] or 0
-    chosen = p.join(many, "key").sample(min(1.0, rows_sampled / max(1, total)), seed)
-    w = Window.partitionBy("key").orderBy(F.xxhash64("id"), "value")
-    top = chosen.withColumn("rn", F.row_number().over(w)).where("rn <= 8")
-    return top.groupBy("key", "n", "nd_approx").agg(F.collect_list("value").alias("samples"))
+def value_samples(pois: DataFrame, over: int = EXPAND_MAX_DISTINCT, rows_sampled: int = 2_000_000, seed: int = 1, most: int = 8, exact: bool = False) -> DataFrame:
+    """``key, n, nd_approx, samples``: up to ``most`` values of each key with more than ``over`` different ones, from a sample of exactly ``rows_sampled`` of these keys' pairs (or all).
+
+    Pairs are ordered by 60 bits of an md5 of the seed, id, key and value, so the sample is the same on every engine. ``exact`` counts different values exactly.
+    """
+    p = pairs(pois).where("value is not null")
+    nd = F.countDistinct("value") if exact else F.approx_count_distinct("value")
+    many = cut(p.groupBy("key").agg(F.count("*").alias("n"), nd.alias("nd_approx")).where(F.col("nd_approx") > over))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), "key", "value")
+    place = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+    chosen = cut(p.join(many.select("key"), "key", "left_semi").select("key", "value", "id", place.alias("place")))
+    w = Window.partitionBy("key").orderBy("place", "id", "value")
+    top = smallest(chosen, rows_sampled, "place", F.col("key"), F.col("id"), F.col("value")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"])
+    return top.groupBy("key").agg(samples.alias("samples")).join(many, "key").select("key", "n", "nd_approx", "samples")
 
 
 def key_values(pois: DataFrame, keys) -> DataFrame:

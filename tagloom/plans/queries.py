@@ -72,7 +72,10 @@ def query(name: str, sql: str | None = None):
 
 
 # --- the same on the Spark side ----------------------------------------------------------------
-pois = poi.events_as_pois
+def pois(spark, d):
+    """The points of an input, laid out by level once and read from then on, so that a viewport reads its levels only."""
+    make = lambda: poi.by_level(poi.events_as_pois(spark, d))
+    return tables.built_once(spark, d, "points", make, ("lod_level",), poi.POINTS)
 
 
 def occ(spark, d):
@@ -212,6 +215,16 @@ query("key_ratios", with_sql(PAIRS, PROFILE, then="SELECT key, n, round(n / (SEL
     "FROM prof"))(
     lambda s, d: profile.key_ratios(profile.key_profile(pois(s, d)), pois(s, d).agg(F.count("*").alias("rows")))
 )
+@query("sketched_keys", with_sql(PAIRS, then="SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd, true AS within FROM pairs GROUP BY key"))
+def sketched_keys(s, d):
+    """Stored sketches of two parts of the corpus, merged, and whether their counts of different values are within 5 % of the exact ones."""
+    path = f"{tables.shared_folder(s)}/sketches/{uuid.uuid4().hex}"
+    for part in (F.col("lod_level") < 8, F.col("lod_level") >= 8):
+        profile.append_sketches(pois(s, d).where(part), path)
+    exact = profile.pairs(pois(s, d)).groupBy("key").agg(F.countDistinct("value").alias("nd"))
+    return profile.merged_sketches(s.read.parquet(path)).join(exact, "key").select("key", "n", "nd", (F.abs(F.col("nd_approx") - F.col("nd")) <= 0.05 * F.col("nd")).alias("within"))
+
+
 query("approx_key_profile")(lambda s, d: profile.key_profile(pois(s, d), exact=False))
 query(
     "key_groups",
@@ -268,7 +281,13 @@ query("lod_top_keys", with_sql(PAIRS, then="SELECT lod_level, key, n::BIGINT AS
 query("keys_region", with_sql(PAIRS, f"inside AS (SELECT id FROM poi WHERE {REG})", then="SELECT key, count(*)::BIGINT AS n, "
     "round(count(*) / greatest((SELECT count(*) FROM inside), 1)::DOUBLE, 4) AS row_ratio_jp FROM pairs "
     "JOIN inside USING (id) GROUP BY key ORDER BY n DESC, key LIMIT 300"))(lambda s, d: profile.region_keys(pois(s, d)))
-query("sampled_values")(lambda s, d: profile.value_samples(pois(s, d), over=3))
+SAMPLED = 1500  # rows of the sampling operator
+query("sampled_values", with_sql(PAIRS, "mk AS (SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd_approx FROM pairs GROUP BY key HAVING count(DISTINCT value) > 3)",
+    f"dr AS (SELECT key, value, id, substr(md5('1|' || id || '|' || key || '|' || value), 1, 15) AS place FROM pairs SEMI JOIN mk USING (key) ORDER BY place, key, id, value LIMIT {SAMPLED})",
+    "sm AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, id, value) AS rn FROM dr)",
+    then="SELECT key, n, nd_approx, string_agg(value, '|' ORDER BY rn) AS samples FROM sm JOIN mk USING (key) WHERE rn <= 8 GROUP BY ALL"))(
+    lambda s, d: profile.value_samples(pois(s, d), over=3, rows_sampled=SAMPLED, exact=True).withColumn("samples", F.array_join("samples", "|"))
+)
 query("extra_top_values", with_sql(PAIRS, then="SELECT key, value, n::BIGINT AS n FROM (SELECT key, value, "
     "count(*) AS n, row_number() OVER (PARTITION BY key ORDER BY count(*) DESC, value) AS rk FROM pairs "
     "WHERE key IN ('brand', 'capacity') GROUP BY 1, 2) WHERE rk <= 40"))(lambda s, d: profile.extra_top_values(pois(s, d), ["brand", "capacity"]).select("key", "value", "n"))
@@ -329,12 +348,12 @@ def long_evals(s, d):
 
 
 query("missing_evals", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI "
-    "JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d)))
+    "JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.missing(tag_set(s, d), long_evals(s, d)))
 query("missing_unfailed", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT tag_id, primitive FROM wanted ANTI "
-    "JOIN long USING (tag_id, primitive) WHERE primitive <> 'score'"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s, d), evaluate.missing(occ(s, d), long_evals(s,
+    "JOIN long USING (tag_id, primitive) WHERE primitive <> 'score'"))(lambda s, d: evaluate.missing(tag_set(s, d), long_evals(s, d), evaluate.missing(tag_set(s, d), long_evals(s,
     d)).where("primitive = 'score'")))
 query("failed_left", with_sql(PAIRS, OCC, EVALS, LONG, then="SELECT primitive, tag_id FROM wanted ANTI "
-    "JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.unanswered(evaluate.missing(occ(s, d), long_evals(s, d).limit(0)), long_evals(s, d)))
+    "JOIN long USING (tag_id, primitive)"))(lambda s, d: evaluate.unanswered(evaluate.missing(tag_set(s, d), long_evals(s, d).limit(0)), long_evals(s, d)))
 query("retryable_count", with_sql(PAIRS, OCC, EVALS, LONG, VOCC, then="SELECT primitive, count(*)::BIGINT AS n "
     "FROM wanted ANTI JOIN long USING (tag_id, primitive) WHERE tag_id IN (SELECT tag_id FROM vocc) GROUP BY primitive"))(lambda s, d: evaluate.missing(occ(s, d), long_evals(s,
     d)).join(tags.occurrences(view_pois(s, d)).select("tag_id").distinct(), "tag_id", "left_semi").groupBy("primitive").agg(F.count("*").alias("n")))

@@ -40,6 +40,16 @@ def events_as_pois(spark: SparkSession, sf_dir: str, edges: bool = True) -> Data
     return out.select("id", "tags", "lod_level", "lon", "lat", box.alias("bbox"))
 
 
+#: Points as they are laid out by level.
+POINTS = "id bigint, tags map<string,string>, lon double, lat double, bbox struct<xmin:double,ymin:double,xmax:double,ymax:double>, lod_level int"
+
+
+def by_level(pois: DataFrame, degrees: float = 10.0) -> DataFrame:
+    """Points in the order of level and of cells of a map grid, so that a file holds few levels and a row group few cells; to be written by level."""
+    cell = [F.floor(F.col(c) / degrees) for c in ("lat", "lon")]
+    return pois.repartitionByRange("lod_level", *cell).sortWithinPartitions("lod_level", *cell, "id")
+
+
 def edge_sql() -> str:
     """The same rows as DuckDB SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"

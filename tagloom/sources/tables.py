@@ -20,12 +20,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="tagloom-")
 
 
-def built_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """``make()`` as a Parquet table in the shared folder, written at the first use in an application for a ``source`` (the input's path)."""
+def stamp(spark: SparkSession, source: str) -> str:
+    """A digest of the names, sizes and times of an input's files, through Spark's file systems."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join([source, *sorted(found)]).encode()).hexdigest()
+
+
+def built_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
+    """``make()`` as a Parquet table in the shared folder, written at the first use in an application for a ``source`` (the input's path) as it is then; after its files change it is written anew."""
     app = spark.sparkContext.applicationId
-    key = (app, source, name)
+    key = (app, stamp(spark, source), name)
     if key not in _BUILT:
-        path = f"{shared_folder(spark)}/tables/{app}/{hashlib.md5(source.encode()).hexdigest()}/{name}"
-        make().write.mode("overwrite").parquet(path)
+        path = f"{shared_folder(spark)}/tables/{app}/{key[1]}/{name}"
+        make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
         _BUILT[key] = path
-    return spark.read.parquet(_BUILT[key])
+    return (spark.read.schema(schema) if schema else spark.read).parquet(_BUILT[key])
