@@ -56,14 +56,13 @@ def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner",
     The rows of other keys are shuffled. ``rows`` is read more than once.
     """
     counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = rows.count()
-    hot = F.broadcast(cut(counted.where(F.col("_n") * hot_share > total).select(*keys)))
-    few = F.broadcast(cut(table.join(hot, list(keys), "left_semi")))
+    found = counted.where(F.col("_n") * hot_share > rows.count()).select(*keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found.collect(), found.schema))  # fewer than ``hot_share``
+    few = F.broadcast(table.join(hot, list(keys), "left_semi"))
     known = rows.join(hot, list(keys), "left_semi").join(few, list(keys), how)
     return known.unionByName(rows.join(hot, list(keys), "left_anti").join(table.hint("merge"), list(keys), how))
 
 
-
 def smallest(df: DataFrame, n: int, key: str, *ties: Column, bits: int = 60, step: int = 12, few: int = 100_000) -> DataFrame:
     """Exactly the ``n`` rows (or all) with the smallest ``key``, a number of ``bits`` bits; ties go by ``ties``.
 

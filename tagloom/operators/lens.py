@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.style import mix_colour, opacity_for, radius_for, top_choice
 from ..model import CHOICES, LENS_MIN_ZOOM, OPACITY_BASE, RADIUS_BASE, UNEVALUATED
+from .distribute import HOT, cut, join_hot
 
 
 def keyed(df: DataFrame) -> DataFrame:
@@ -22,11 +23,12 @@ def fold(tag_lists: DataFrame, evals: DataFrame) -> DataFrame:
     confidence is above 0, tags weigh alike. Scores and choices are averaged apart, each over the
     tags that have one. A weighted mean doesn't change with the unit of its weights, so weights
     need no normalising by the list's maximum, and all of it is one aggregate of plain sums. Lists
-    are told apart by 128 bits, ``_k1, _k2``, which are what is shuffled and joined by.
+    are told apart by 128 bits, ``_k1, _k2``, which are what is shuffled and joined by; ``tag_lists`` with these keys
+    has each list once. Tags that many lists have meet their evaluations in a broadcast.
     """
-    lists = keyed(tag_lists.select("tag_ids")).dropDuplicates(["_k1", "_k2"])
+    lists = tag_lists if "_k1" in tag_lists.columns else keyed(tag_lists.select("tag_ids")).dropDuplicates(["_k1", "_k2"])
     item = lists.select("_k1", "_k2", F.explode_outer("tag_ids").alias("tag_id"))
-    j = item.join(evals.select("tag_id", "confidence", "score", "choice", F.lit(1).alias("known")), "tag_id", "left")
+    j = join_hot(item, evals.select("tag_id", "confidence", "score", "choice"), "tag_id", how="left")
     c, s = F.col("confidence"), F.col("score")
     n = len(CHOICES)
     ch = [F.coalesce(F.element_at("choice", i + 1), F.lit(0.0)) for i in range(n)]
@@ -65,6 +67,11 @@ def style(folded: DataFrame) -> DataFrame:
     )
 
 
+def list_counts(pois: DataFrame) -> DataFrame:
+    """``_k1, _k2, tag_ids, n``: each different tag list and how many points have it."""
+    return keyed(pois.select("tag_ids")).groupBy("_k1", "_k2").agg(F.first("tag_ids").alias("tag_ids"), F.count("*").alias("n"))
+
+
 def style_pois(pois: DataFrame, evals: DataFrame, lens: str = "any", zoom: float = 14) -> DataFrame:
     """Points (``id, tag_ids``) with their styles; each different tag list is folded once.
 
@@ -72,7 +79,76 @@ def style_pois(pois: DataFrame, evals: DataFrame, lens: str = "any", zoom: float
     """
     if not lens.strip() or zoom < LENS_MIN_ZOOM:
         evals = evals.limit(0)
-    return keyed(pois.select("id", "tag_ids")).join(style(fold(pois, evals)), ["_k1", "_k2"]).drop("_k1", "_k2")
+    lists = cut(list_counts(pois))
+    return paint(pois, lists, cut(style(fold(lists, evals))))
+
+
+def paint(pois: DataFrame, lists: DataFrame, styles: DataFrame) -> DataFrame:
+    """Points with the styles of their lists (``list_counts``).
+
+    Lists of over a ``HOT``-th of the points, less than ``HOT`` of them, are broadcast with their styles, so that
+    their points aren't shuffled; those of others meet theirs in a shuffle.
+    """
+    points = keyed(pois.select("id", "tag_ids"))
+    hot = lists.where(F.col("n") * HOT > (lists.agg(F.sum("n")).first()[0] or 0)).select("_k1", "_k2")
+    few = F.broadcast(styles.join(F.broadcast(hot), ["_k1", "_k2"], "left_semi"))
+    many = points.join(F.broadcast(hot), ["_k1", "_k2"], "left_anti").join(styles.hint("merge"), ["_k1", "_k2"])
+    return points.join(few, ["_k1", "_k2"]).unionByName(many).drop("_k1", "_k2")
+
+
+#: Folders of the index from tags to lists.
+INDEX_PARTS = 64
+
+
+class Repaint:
+    """Styles of tag lists that are kept up to date: an answer folds only the lists that have its tag.
+
+    ``folder`` holds the lists, dealt by their keys, an index from tags to the keys of their lists, dealt by tag, and a generation of styles for
+    each delta. A delta reads the parts of the index that its tags are in, the parts of the lists that these name, and their lists' items;
+    the points are not read.
+    """
+
+    def __init__(self, pois: DataFrame, folder: str):
+        self.spark, self.folder, self.generation = pois.sparkSession, folder, 0
+        part = F.pmod(F.col("_k1"), F.lit(INDEX_PARTS)).cast("int").alias("part")
+        list_counts(pois).select("*", part).write.partitionBy("part").parquet(f"{folder}/lists")
+        index = self.spark.read.parquet(f"{folder}/lists").select("_k1", "_k2", F.explode(F.array_distinct("tag_ids")).alias("tag_id"))
+        index.select("*", self._part("tag_id")).repartition("part").write.partitionBy("part").parquet(f"{folder}/index")
+        self.lists = self.spark.read.parquet(f"{folder}/lists")
+        nothing = self.spark.createDataFrame([], "tag_id string, confidence double, score double, choice array<double>")
+        self._write(style(fold(self.lists.drop("part"), nothing)))
+
+    @staticmethod
+    def _part(tag: str):
+        return F.pmod(F.xxhash64(tag), F.lit(INDEX_PARTS)).cast("int").alias("part")
+
+    def _write(self, styles: DataFrame) -> None:
+        styles.withColumn("generation", F.lit(self.generation)).write.mode("append").parquet(f"{self.folder}/styles/{self.generation}")
+
+    def affected(self, changed: DataFrame) -> DataFrame:
+        """``_k1, _k2`` of the lists that have one of the changed tags (``tag_id``)."""
+        tags = cut(changed.select("tag_id").distinct())
+        parts = [r[0] for r in tags.select(self._part("tag_id")).distinct().collect()]  # INDEX_PARTS at most
+        index = self.spark.read.parquet(f"{self.folder}/index").where(F.col("part").isin(parts or [-1]))
+        return index.join(tags, "tag_id", "left_semi").select("_k1", "_k2").distinct()
+
+    def update(self, changed: DataFrame, evals: DataFrame) -> int:
+        """Folds the lists of the changed tags again, with all evaluations as they are now; how many lists these were."""
+        keys = cut(self.affected(changed))
+        parts = [r[0] for r in keys.select(F.pmod(F.col("_k1"), F.lit(INDEX_PARTS)).cast("int")).distinct().collect()]
+        some = cut(self.lists.where(F.col("part").isin(parts or [-1])).drop("part").join(keys, ["_k1", "_k2"], "left_semi"))
+        self.generation += 1
+        self._write(style(fold(some, evals)))
+        return some.count()
+
+    def styles(self) -> DataFrame:
+        """The latest style of each list."""
+        all_ = self.spark.read.parquet(*[f"{self.folder}/styles/{g}" for g in range(self.generation + 1)])
+        rest = [c for c in all_.columns if c not in ("_k1", "_k2", "generation")]
+        return all_.groupBy("_k1", "_k2").agg(F.max_by(F.struct(*rest), "generation").alias("s")).select("_k1", "_k2", "s.*")
+
+    def paint(self, pois: DataFrame) -> DataFrame:
+        return paint(pois, self.lists.drop("part"), cut(self.styles()))
 
 
 def tallies(styled: DataFrame) -> DataFrame:

@@ -38,13 +38,13 @@ def role_of(tag_id):
     return F.element_at(F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv]), key)
 
 
-def sample_names(pois: DataFrame, occ: DataFrame, most: int = 3) -> DataFrame:
+def sample_names(pois: DataFrame, roles=ROLES, most: int = 3) -> DataFrame:
     """Up to ``most`` different names for each tag, the first by level and id; a Japanese name wins over the plain one.
 
-    Each name keeps its first place only, and ranks are cut within the group, so no list of all names is ever built.
+    A name is exploded with the tags of its own row. Each name keeps its first place only, and ranks are cut within the group, so no list of all names is ever built.
     """
-    named = pois.select("id", "lod_level", F.coalesce(F.col("tags")["name:ja"], F.col("tags")["name"]).alias("name")).where("name is not null")
-    first = occ.join(named, "id").groupBy("tag_id", "name").agg(F.min(F.struct("lod_level", "id")).alias("place"))
+    named = with_tag_ids(pois, roles).select("id", "lod_level", F.coalesce(F.col("tags")["name:ja"], F.col("tags")["name"]).alias("name"), "tag_ids").where("name is not null")
+    first = named.select("id", "lod_level", "name", F.explode("tag_ids").alias("tag_id")).groupBy("tag_id", "name").agg(F.min(F.struct("lod_level", "id")).alias("place"))
     w = Window.partitionBy("tag_id").orderBy("place", "name")
     top = first.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
     return top.groupBy("tag_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]).alias("names"))

@@ -334,7 +334,7 @@ query("tag_sample_names", with_sql(PAIRS, OCC, "named AS (SELECT id, lod_level,
     "FROM poi)", "f AS (SELECT tag_id, name, min(lod_level::HUGEINT * 1000000000000000000::HUGEINT + id) AS place "
     "FROM tagocc JOIN named USING (id) WHERE name IS NOT NULL GROUP BY 1, 2)", then="SELECT tag_id, string_agg(name, '|' "
     "ORDER BY place, name) AS names FROM (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY place, name) AS rn "
-    "FROM f) WHERE rn <= 3 GROUP BY tag_id"))(lambda s, d: tags.sample_names(pois(s, d), occ(s, d)).select("tag_id", F.array_join("names", "|").alias("names")))
+    "FROM f) WHERE rn <= 3 GROUP BY tag_id"))(lambda s, d: tags.sample_names(pois(s, d)).select("tag_id", F.array_join("names", "|").alias("names")))
 query("tag_roles", with_sql(PAIRS, OCC, f"pol(key, role) AS (VALUES {', '.join(str(kv) for kv in ROLES.items())})", then="SELECT role, "
     "count(DISTINCT tag_id)::BIGINT AS tags FROM tagocc JOIN pol USING (key) GROUP BY role"))(lambda s, d: occ(s, d).select("tag_id").distinct().groupBy(tags.role_of(F.col("tag_id")).alias("role")).agg(F.count("*").alias("tags")))
 
@@ -476,6 +476,19 @@ def styled(s, d):
 
 query("poi_lens_score", with_sql(*LENS_CTES, then="SELECT id, total::BIGINT AS total, evaluated::BIGINT AS evaluated, state, "
     "round(score, 6) AS score FROM styled"))(lambda s, d: styled(s, d).select("id", "total", "evaluated", "state", F.round("score", 6).alias("score")))
+
+
+@query("repainted", SQL["poi_lens_score"])
+def repainted(s, d):
+    """Styles after three deltas of answers, each of which folds the lists of its own tags only."""
+    points = tags.with_tag_ids(pois(s, d))
+    view = lens.Repaint(points, f"{tables.shared_folder(s)}/repaint/{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64("tag_id"), F.lit(3))
+    for i in range(3):
+        view.update(evals(s, d).where(part == i), evals(s, d).where(part <= i))
+    return view.paint(points).select("id", "total", "evaluated", "state", F.round("score", 6).alias("score"))
+
+
 query("poi_choice_mix", with_sql(*LENS_CTES, then="SELECT id, " + ", ".join(f"round(c{i}, 6) AS c{i}" for i in range(5)) + " "
     "FROM styled"))(lambda s, d: styled(s, d).select("id", *[F.round(F.element_at("choice", i + 1), 6).alias(f"c{i}") for i in range(5)]))
 query("poi_style", with_sql(*LENS_CTES, then="SELECT id, round(CASE WHEN score IS NULL THEN 3.0 WHEN score >= 2 THEN 3 + (score - 2) / 2 * 3 ELSE 1.5 + score / 2 * 1.5 END, 6)::DOUBLE AS radius, "
@@ -504,6 +517,8 @@ query("lens_gate", with_sql(then="SELECT 'none' AS state, count(*)::BIGINT AS n
 query("explain_poi", with_sql(PAIRS, OCC, EVALS, then="SELECT o.id, o.tag_id, confidence, score FROM tagocc o "
     "LEFT JOIN evals e ON o.tag_id = e.tag_id WHERE id = -5"))(lambda s, d: lens.explain_poi(tags.with_tag_ids(pois(s, d)), evals(s, d), -5).select("id", "tag_id", "confidence",
     "score"))
+query("explain_top", with_sql(PAIRS, OCC, EVALS, then=f"SELECT o.id, o.tag_id, [{quoted(CHOICES)}][list_position(choice, list_max(choice))] AS name, floor(list_max(choice) * 100 + 0.5)::INTEGER AS percent "
+    "FROM tagocc o LEFT JOIN evals e ON o.tag_id = e.tag_id WHERE id = -5"))(lambda s, d: lens.explain_poi(tags.with_tag_ids(pois(s, d)), evals(s, d), -5).select("id", "tag_id", "top.name", "top.percent"))
 query("screen_radius", with_sql(*LENS_CTES, then="SELECT id, round((CASE WHEN score IS NULL THEN 3.0 WHEN score >= 2 THEN 3 + (score - 2) / 2 * 3 ELSE 1.5 + score / 2 * 1.5 END)::DOUBLE * 1.3335::DOUBLE, 8) AS radius "
     "FROM styled"))(lambda s, d: styled(s, d).select("id", F.round(geo.screen_radius(F.col("radius"), 16), 8).alias("radius")))
 query("top_bottom", with_sql(PAIRS, OCC, EVALS, then="SELECT tag_id, score, 'top' AS side FROM (SELECT * "
@@ -610,10 +625,10 @@ query("display_order", with_sql(PAIRS, OCC, then="SELECT tag_id, count(*)::BIGIN
 
 @query("viewport_document")
 def viewport_document(s, d):
-    p, a = view_pois(s, d), allow(s, d)
+    p, a = distribute.cut(view_pois(s, d)), allow(s, d)  # at most VIEWPORT_CAP rows, read four times
     o = tags.occurrences(p)
     top = tags.dropped(o, a).orderBy(F.desc("n"), "tag_id").limit(40)
-    return tags.viewport_document(tags.viewport_summary(p, o, a), tags.tag_counts(tags.allowed(o, a)), tags.sample_names(p, o), top, VIEW.bbox, VIEW.max_level)
+    return tags.viewport_document(tags.viewport_summary(p, o, a), tags.tag_counts(tags.allowed(o, a)), tags.sample_names(p), top, VIEW.bbox, VIEW.max_level)
 
 
 # --- usage and transfer ----------------------------------------------------------------------------
