@@ -68,40 +68,51 @@ class Fingerprint:
         return min(1.0, max(0.0, float(a @ b) / norm)) if norm else 0.0
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = 1000, max_ranges: int = 65_536) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_a_range: int = 1000, max_ranges: int = 65_536, prefix: int = 64) -> DataFrame:
     """``id, text, next``: each document's text and that of the next one by descending id; after the last comes the first.
 
-    Ids, of any type that has an order, are cut into ranges of about equal row counts, by a sample of
-    some 20 ids a range. The first document of each range also goes to the range before it, so no task
-    sees more than a range and the text moves once. The driver holds a bound and a first id for each
+    Rows, in the order of ids of any type that has one and then of texts, are cut into ranges of about equal row counts, by a sample of
+    some 20 rows a range. Rows of one id, or without one, are cut by the first ``prefix`` characters of their texts. The first document of each range also goes to
+    the range before it, so no task sees more than a range and the text moves once. The driver holds a bound and a first row's id and prefix for each
     range, so there are ``max_ranges`` at most; beyond ``max_ranges * rows_a_range`` rows they get
     longer, which changes no result (a range is sorted by Spark, which spills).
     """
     t = pick(docs, id=id_col, text=text_col).select("id", F.coalesce("text", F.lit("")).alias("text"))
     n = t.count()
     k = max(1, min(max_ranges, n // rows_a_range))
-    some = t.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(max(1, n // (20 * k)))) == 0))
-    some = sorted(r[0] for r in some.select("id").collect()) if k > 1 else []
-    bounds = sorted({some[len(some) * i // k] for i in range(1, k)}) if some else []
+    head = F.substring("text", 1, prefix)
+    some = t.where(F.pmod(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("null")), "text"), F.lit(max(1, n // (20 * k)))) == 0)
+    some = [tuple(r) for r in some.select("id", head).collect()] if k > 1 else []
+    # the order of results: ids descend, null ones last, and texts ascend by their bytes
+    some.sort(key=lambda r: r[1].encode())
+    some = [*sorted((r for r in some if r[0] is not None), key=lambda r: r[0], reverse=True), *(r for r in some if r[0] is None)]
+    bounds = list(dict.fromkeys(some[len(some) * i // k] for i in range(1, k))) if some else []
     at = F.lit(0)
-    if bounds:  # the number of bounds below the id, by halving steps
+    if bounds:  # the number of bounds up to the row, by halving steps
         steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-        bound = lambda i: F.element_at(F.lit(bounds), F.least(i, F.lit(len(bounds))))
-        passed = lambda i: (i <= len(bounds)) & (bound(i) < F.col("id"))
+        of = lambda i, part: F.element_at(F.lit([b[part] for b in bounds]) if part else F.lit([b[0] for b in bounds]).cast(f"array<{dict(t.dtypes)['id']}>"), F.least(i, F.lit(len(bounds))))
+
+        def passed(i):
+            bid, text = of(i, 0), of(i, 1)
+            alike = text <= head
+            here = F.when(F.col("id").isNull(), bid.isNotNull() | alike).otherwise(bid.isNotNull() & ((bid > F.col("id")) | ((bid == F.col("id")) & alike)))
+            return (i <= len(bounds)) & here
+
         at = F.aggregate(F.lit(steps), F.lit(0), lambda pos, step: F.when(passed(pos + step), pos + step).otherwise(pos))
-    t = t.withColumn("range", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(at))
-    firsts = sorted(((r["range"], r["first"]) for r in t.groupBy("range").agg(F.max("id").alias("first")).collect()), key=lambda r: r[0])
-    # the range with the next higher ids takes this range's first document; the lowest takes the highest one's
-    to = {r: firsts[(i + 1) % len(firsts)][0] for i, (r, _) in enumerate(firsts)}
+    t = t.withColumn("range", at)
+    firsts = {r["range"]: r["first"] for r in t.groupBy("range").agg(F.max("id").alias("first")).collect()}
+    if not firsts:
+        return t.select("id", "text", F.lit("").alias("next"))
+    kind = dict(t.dtypes)["id"]
+    by_range = lambda values, cast: F.element_at(F.lit([values.get(r) for r in range(max(firsts) + 1)]).cast(f"array<{cast}>"), F.col("range") + 1)
+    leads = F.col("id").eqNullSafe(by_range(firsts, kind))
+    texts = {r["range"]: r["text"] for r in t.where(leads).groupBy("range").agg(F.min(head).alias("text")).collect()}
+    present = sorted(firsts)
+    before = {r: present[i - 1] for i, r in enumerate(present)}  # the last range takes the first one's head
     goes = lambda r, lent: F.struct(r.alias("r"), F.lit(lent).alias("lent"))
     own = goes(F.col("range"), 0)
-    if firsts:
-        known = [f for _, f in firsts if f is not None]
-        is_head = (F.col("range") == -1) | F.col("id").isin(known) if known else F.col("range") == -1
-        target = F.element_at(F.lit([to.get(r, -1) for r in range(-1, max(to) + 1)]), F.col("range") + 2)
-        t = t.withColumn("to", F.explode(F.when(is_head, F.array(own, goes(target, 1))).otherwise(F.array(own))))
-    else:
-        t = t.withColumn("to", own)
+    is_head = leads & (head == by_range(texts, "string"))
+    t = t.withColumn("to", F.explode(F.when(is_head, F.array(own, goes(by_range(before, "int"), 1))).otherwise(F.array(own))))
     t = t.select("id", "text", "to.r", "to.lent")
     w = Window.partitionBy("r").orderBy("lent", F.col("id").desc_nulls_last(), "text")
     return t.select("id", "text", "lent", F.lead("text").over(w).alias("next")).where("lent = 0").select("id", "text", F.coalesce("next", F.lit("")).alias("next"))
