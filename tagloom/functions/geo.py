@@ -14,14 +14,20 @@ from ..model import RESOLUTION_MARGIN
 
 def viewport_bbox(lon: float, lat: float, zoom: float, width: int, height: int) -> tuple[float, float, float, float]:
     """Corners (lon, lat, lon, lat) of a screen of ``width`` by ``height`` pixels centred on a place."""
-    world = 512 * 2**zoom
-    x = (lon + 180) / 360 * world
-    y = (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2 * world
-
-    def lat_of(py: float) -> float:
-        return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * py / world))))
-
-    return ((x - width / 2) / world * 360 - 180, lat_of(y + height / 2), (x + width / 2) / world * 360 - 180, lat_of(y - height / 2))
+    step = math.tau / (512 * 2**zoom)  # radians of a pixel on the projected globe
+    north = math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+    south, top = (math.degrees(2 * math.atan(math.exp(north + side * step * height / 2)) - math.pi / 2) for side in (-1, 1))
+    aside = math.degrees(step * width / 2)
+    return lon - aside, south, lon + aside, top
+
+
+def screen_boxes(screens: DataFrame) -> DataFrame:
+    """``screens`` (``lon, lat, zoom, width, height``) with the corners ``x0, y0, x1, y1`` of each, and ``degrees_a_pixel``."""
+    pixel = F.lit(360.0) / (F.lit(512.0) * F.pow(F.lit(2.0), F.col("zoom")))
+    aside = F.col("width") / 2 * pixel
+    north = F.ln(F.tan(F.radians(F.col("lat")) / 2 + math.pi / 4))
+    edge = lambda side: F.degrees(F.atan(F.exp(north + side * F.radians(F.col("height") / 2 * pixel))) * 2 - math.pi / 2)
+    return screens.select("*", (F.col("lon") - aside).alias("x0"), edge(-1).alias("y0"), (F.col("lon") + aside).alias("x1"), edge(1).alias("y1"), pixel.alias("degrees_a_pixel"))
 
 
 def degrees_per_pixel(zoom: float) -> float:

@@ -30,19 +30,19 @@ UNEVALUATED = "#333333"
 
 # The roles of tag keys.
 CATEGORY_KEYS = (
-    "amenity shop tourism leisure historic healthcare office craft man_made natural "
-    "public_transport railway aeroway emergency attraction club place highway building landuse"
-).split()
+    "amenity", "shop", "tourism", "leisure", "historic", "healthcare", "office", "craft", "man_made", "natural", "public_transport", "railway",
+    "aeroway", "emergency", "attraction", "club", "place", "highway", "building", "landuse",
+)
 REFINE_KEYS = (
-    "cuisine religion denomination information vending sport artwork_type memorial archaeological_site "
-    "historic:civilization board_type shelter_type parking bicycle_parking recycling_type social_facility "
-    "social_facility:for healthcare:speciality waste clothes swimming_pool"
-).split()
+    "cuisine", "religion", "denomination", "information", "vending", "sport", "artwork_type", "memorial", "archaeological_site",
+    "historic:civilization", "board_type", "shelter_type", "parking", "bicycle_parking", "recycling_type", "social_facility", "social_facility:for",
+    "healthcare:speciality", "waste", "clothes", "swimming_pool",
+)
 BRAND_KEYS = ["brand"]
 UNKNOWN_VALUES = ["yes", "no"]
 ROLES = {k: role for role, keys in (("category", CATEGORY_KEYS), ("refine", REFINE_KEYS), ("brand", BRAND_KEYS)) for k in keys}
 # The keys counted as primary features of a row.
 PRIMARY_KEYS = (
-    "amenity shop tourism leisure historic office craft healthcare emergency public_transport railway "
-    "aeroway man_made natural building highway landuse place sport attraction club"
-).split()
+    "amenity", "shop", "tourism", "leisure", "historic", "office", "craft", "healthcare", "emergency", "public_transport", "railway", "aeroway",
+    "man_made", "natural", "building", "highway", "landuse", "place", "sport", "attraction", "club",
+)

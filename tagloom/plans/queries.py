@@ -737,3 +737,51 @@ def streamed_answers(s, d):
     requests.evaluate_stream(s, f"{folder}/plan", "places to sit", evaluate.stub_client, f"{folder}/out", f"{folder}/cp").awaitTermination()
     w = evaluate.wide(evaluate.answered(s, f"{folder}/out").where("num is not null or dist is not null"))
     return w.select("tag_id", "confidence", "score", F.array_join(F.transform("choice", lambda x: x.cast("string")), ",").alias("choice"))
+
+
+# --- screens and extents -------------------------------------------------------------------------------
+SCREENS = "sc AS (SELECT event_id, event_id * 7919 % 36000 / 100.0e0 - 180 AS lon, event_id * 6151 % 16000 / 100.0e0 - 80 AS lat, event_id % 19 + 0.37e0 AS zoom FROM events)"
+
+
+def screens(s, d):
+    i = F.col("event_id")
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", (i * 7919 % 36000 / F.lit(100.0) - 180).alias("lon"), (i * 6151 % 16000 / F.lit(100.0) - 80).alias("lat"), (i % 19 + F.lit(0.37)).alias("zoom"), F.lit(1280).alias("width"), F.lit(800).alias("height"))
+
+
+_Y = "degrees(atan(sinh(pi() * (1 - 2 * ((0.5e0 - asinh(tan(radians(lat))) / pi() / 2) * w {} 400) / w))))"
+query(
+    "screen_boxes",
+    f"WITH {SCREENS}, px AS (SELECT *, 512 * pow(2.0::DOUBLE, zoom) AS w FROM sc) SELECT event_id, round(lon - 640 * 360 / w, 6) AS x0, round({_Y.format('+')}, 6) AS y0, "
+    f"round(lon + 640 * 360 / w, 6) AS x1, round({_Y.format('-')}, 6) AS y1, round(360 / w, 9) AS degrees_a_pixel FROM px",
+)(lambda s, d: geo.screen_boxes(screens(s, d)).select("event_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")], F.round("degrees_a_pixel", 9).alias("degrees_a_pixel")))
+query(
+    "screen_levels",
+    f"WITH lv(level, resolution) AS (VALUES {', '.join(f'({i}, {r!r}::DOUBLE)' for i, r in LEVELS)}), {SCREENS}, t AS (SELECT 360 / (512 * pow(2.0::DOUBLE, zoom)) * 0.999 AS target, count(*) AS n FROM sc GROUP BY 1) "
+    "SELECT greatest(coalesce((SELECT min(level) FROM lv WHERE resolution < target) - 1, 16), 0)::INTEGER AS level, sum(n)::BIGINT AS screens FROM t GROUP BY 1",
+)(lambda s, d: geo.levels_for(geo.screen_boxes(screens(s, d)).select((F.col("degrees_a_pixel") * 0.999).alias("target")), s.createDataFrame(LEVELS, "level int, resolution double")).groupBy("level").agg(F.count("*").alias("screens")))
+
+EXTENTS = (
+    "ex AS (SELECT event_id AS id, (event_id % 17)::INTEGER AS lod_level, (event_id * 7919) % 36000 / 100.0e0 - 180 AS x0, (event_id * 6151) % 18000 / 100.0e0 - 90 AS y0, "
+    "CASE WHEN event_id % 500 = 0 THEN 70.5e0 ELSE event_id % 7 * 0.3e0 END AS w, CASE WHEN event_id % 300 = 0 THEN 30.25e0 ELSE event_id % 5 * 0.2e0 END AS h FROM events)"
+)
+BOXES = (
+    "bx AS (SELECT s_suppkey AS view_id, (s_suppkey % 17)::INTEGER AS max_level, CASE WHEN s_suppkey = 1 THEN -180.0e0 WHEN s_suppkey % 9 = 0 THEN 175.0e0 ELSE s_suppkey * 37 % 340 - 180.0e0 END AS x0, "
+    "CASE WHEN s_suppkey = 1 THEN 180.0e0 WHEN s_suppkey % 9 = 0 THEN -170.0e0 ELSE s_suppkey * 37 % 340 - 180.0e0 + s_suppkey % 20 END AS x1, CASE WHEN s_suppkey = 1 THEN -90.0e0 ELSE s_suppkey * 53 % 160 - 85.0e0 END AS y0, "
+    "CASE WHEN s_suppkey = 1 THEN 90.0e0 ELSE s_suppkey * 53 % 160 - 85.0e0 + s_suppkey % 13 END AS y1 FROM supplier)"
+)
+
+
+@query("extents_in_views", f"WITH {EXTENTS}, {BOXES} SELECT view_id, count(*)::BIGINT AS n, sum(id)::BIGINT AS ids FROM ex JOIN bx ON lod_level <= max_level AND ex.y0 <= bx.y1 AND ex.y0 + h >= bx.y0 "
+    "AND CASE WHEN bx.x0 <= bx.x1 THEN ex.x0 <= bx.x1 AND ex.x0 + w >= bx.x0 ELSE (ex.x0 <= 180 AND ex.x0 + w >= bx.x0) OR (ex.x0 <= bx.x1 AND ex.x0 + w >= -180) END GROUP BY view_id")
+def extents_in_views(s, d):
+    """Rectangles, some of them large, against a view for each supplier, one of them the world and some across the date line."""
+    i, k = F.col("event_id"), F.col("s_suppkey")
+    x0, y0 = i * 7919 % 36000 / F.lit(100.0) - 180, i * 6151 % 18000 / F.lit(100.0) - 90
+    w, h = F.when(i % 500 == 0, 70.5).otherwise(i % 7 * 0.3), F.when(i % 300 == 0, 30.25).otherwise(i % 5 * 0.2)
+    rects = s.read.parquet(f"{d}/events.parquet").select(i.alias("id"), (i % 17).cast("int").alias("lod_level"), x0.alias("x0"), y0.alias("y0"), (x0 + w).alias("x1"), (y0 + h).alias("y1"))
+    world, across, left, low = k == 1, k % 9 == 0, k * 37 % 340 - F.lit(180.0), k * 53 % 160 - F.lit(85.0)
+    views = s.read.parquet(f"{d}/supplier.parquet").select(
+        k.alias("view_id"), (k % 17).cast("int").alias("max_level"), F.when(world, -180.0).when(across, 175.0).otherwise(left).alias("x0"), F.when(world, 180.0).when(across, -170.0).otherwise(left + k % 20).alias("x1"),
+        F.when(world, -90.0).otherwise(low).alias("y0"), F.when(world, 90.0).otherwise(low + k % 13).alias("y1"),
+    )
+    return viewport.meet_boxes(rects, views).groupBy("view_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
