@@ -46,18 +46,26 @@ def levels(pois: DataFrame) -> DataFrame:
     return rows(pois).groupBy("lod_level").agg(F.count("*").alias("rows"), F.round(F.avg("ntags"), 6).alias("mean_tags"), F.round(F.avg(F.col("has_name").cast("int")), 6).alias("name_ratio"))
 
 
-def key_profile(pois: DataFrame, exact: bool = True) -> DataFrame:
-    """All measures of each key in one aggregate; ``exact`` counts different values exactly, else by HyperLogLog."""
-    v = F.col("value")
-    n = F.length(v)
-    return pairs(pois).groupBy("key").agg(
-        F.count("*").alias("n"), (F.countDistinct(v) if exact else F.approx_count_distinct(v)).alias("nd"),
-        F.round(F.avg(n), 6).alias("avg_len"), F.percentile(n, F.lit(0.5)).alias("med_len"), F.max(n).alias("max_len"),
-        F.count_if(v.contains(";")).alias("multi_semicolon"), F.count_if(v.isin("yes", "no")).alias("yes_no"), F.count_if(v == "yes").alias("yes_only"),
-        *[F.count_if(v.rlike(p)).alias(name) for name, p in VALUE_CLASSES.items()],
-        F.count_if(v != F.lower(v)).alias("has_upper"), F.count_if(n > 40).alias("len_gt40"),
-        F.min("lod_level").alias("min_level"), F.percentile("lod_level", F.lit(0.5)).alias("med_level"),
+def pair_levels(pois: DataFrame) -> DataFrame:
+    """``key, value, lod_level, n``: each different pair by level. What the profile of keys and pairs needs of the corpus, and far fewer rows."""
+    return pairs(pois).groupBy("key", "value", "lod_level").agg(F.count("*").alias("n"))
+
+
+def key_profile(levels: DataFrame, exact: bool = True) -> DataFrame:
+    """All measures of each key from ``pair_levels``; ``exact`` counts different values exactly, else by HyperLogLog. Patterns are tried once on each different value, not on each occurrence."""
+    v, c = F.col("value"), F.col("c")
+    size = F.length(v)
+    has = lambda test: F.coalesce(F.sum(F.when(test, c)), F.lit(0))
+    values = levels.groupBy("key", "value").agg(F.sum("n").alias("c"))
+    by_value = values.groupBy("key").agg(
+        F.sum("c").alias("n"), (F.count(v) if exact else F.approx_count_distinct(v)).alias("nd"),
+        F.round(F.sum(size * c) / F.sum(F.when(v.isNotNull(), c)), 6).alias("avg_len"), F.percentile(size, F.lit(0.5), c).alias("med_len"), F.max(size).alias("max_len"),
+        has(v.contains(";")).alias("multi_semicolon"), has(v.isin("yes", "no")).alias("yes_no"), has(v == "yes").alias("yes_only"),
+        *[has(v.rlike(p)).alias(name) for name, p in VALUE_CLASSES.items()],
+        has(v != F.lower(v)).alias("has_upper"), has(size > 40).alias("len_gt40"),
     )
+    by_level = levels.groupBy("key", "lod_level").agg(F.sum("n").alias("c")).groupBy("key").agg(F.min("lod_level").alias("min_level"), F.percentile("lod_level", F.lit(0.5), F.col("c")).alias("med_level"))
+    return by_value.join(by_level, "key")
 
 
 def key_sketches(pois: DataFrame, lg: int = 14) -> DataFrame:
@@ -81,18 +89,18 @@ def key_ratios(profile: DataFrame, n_rows: DataFrame) -> DataFrame:
     return profile.join(n_rows).select("key", "n", F.round(F.col("n") / F.col("rows"), 5).alias("row_ratio"), "nd", F.round(1 - F.col("nd") / F.col("n"), 4).alias("dup_ratio"), *map(r, ("multi_semicolon", "yes_no", "numeric_like", "url_like", "phone_like", "wikidata_qid", "has_upper", "non_ascii", "len_gt40", "token_like")), "min_level", "med_level")
 
 
-def key_groups(pois: DataFrame) -> DataFrame:
-    n = pairs(pois).groupBy("key").agg(F.count("*").alias("n"))
+def key_groups(levels: DataFrame) -> DataFrame:
+    n = levels.groupBy("key").agg(F.sum("n").alias("n"))
     g = n.groupBy(key_group(F.col("key")).alias("key_group")).agg(F.count("*").alias("distinct_keys"), F.sum("n").alias("n"))
     return g.join(g.agg(F.sum("n").alias("total"))).select("key_group", "distinct_keys", "n", F.round(F.col("n") / F.col("total"), 4).alias("pair_share"))
 
 
-def pair_counts(pois: DataFrame, most: int = EXPAND_MAX_DISTINCT) -> DataFrame:
-    """``key, value, n, n_levels, min_level`` of keys with at most ``most`` different values.
+def pair_counts(levels: DataFrame, most: int = EXPAND_MAX_DISTINCT) -> DataFrame:
+    """``key, value, n, n_levels, min_level`` of keys with at most ``most`` different values, from ``pair_levels``.
 
-    The number of different values of a key is the number of its groups, so one pass over the pairs is enough.
+    A pair has a row for each level, so its levels are counted and not told apart, and the number of different values of a key is the number of its pairs.
     """
-    n = pairs(pois).groupBy("key", "value").agg(F.count("*").alias("n"), F.countDistinct("lod_level").alias("n_levels"), F.min("lod_level").alias("min_level"))
+    n = levels.groupBy("key", "value").agg(F.sum("n").alias("n"), F.count("*").alias("n_levels"), F.min("lod_level").alias("min_level"))
     few = n.groupBy("key").agg(F.count("*").alias("nd")).where(F.col("nd") <= most).select("key")
     return n.join(few, "key", "left_semi")
 

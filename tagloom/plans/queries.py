@@ -87,6 +87,11 @@ def allow(spark, d):
     return tables.built_once(spark, d, "allowlist", lambda: tags.build_allowlist(pois(spark, d)))
 
 
+def pair_levels(spark, d):
+    """The different pairs of the corpus by level, built once for an input and bucketed by pair."""
+    return tables.built_once(spark, d, "pair_levels", lambda: profile.pair_levels(pois(spark, d)), bucket_by=("key", "value"))
+
+
 def tag_set(spark, d):
     """The different tags of the corpus, built once for an input."""
     return tables.built_once(spark, d, "tag_set", lambda: occ(spark, d).select("tag_id").distinct())
@@ -207,13 +212,13 @@ _M = {
 }
 PROFILE = "prof AS (SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd, round(avg(length(value)), 6) AS avg_len, quantile_cont(length(value), 0.5) AS med_len, max(length(value))::INTEGER AS max_len, " + ", ".join(f"count(*) FILTER ({c})::BIGINT AS {n}" for n,
     c in _M.items()) + ", min(lod_level) AS min_level, quantile_cont(lod_level, 0.5) AS med_level FROM pairs GROUP BY key)"
-query("key_profile", with_sql(PAIRS, PROFILE, then="SELECT * FROM prof"))(lambda s, d: profile.key_profile(pois(s, d)))
+query("key_profile", with_sql(PAIRS, PROFILE, then="SELECT * FROM prof"))(lambda s, d: profile.key_profile(pair_levels(s, d)))
 _R = {"multi_semicolon": "multi", "yes_no": "yes_no", "numeric_like": "numeric", "url_like": "url", "phone_like": "phone", "wikidata_qid": "wikidata_qid", "has_upper": "has_upper",
     "non_ascii": "non_ascii", "len_gt40": "len_gt40", "token_like": "token"}
 query("key_ratios", with_sql(PAIRS, PROFILE, then="SELECT key, n, round(n / (SELECT count(*) FROM poi)::DOUBLE, 5) AS row_ratio, nd, "
     "round(1 - nd / n::DOUBLE, 4) AS dup_ratio, " + ", ".join(f"round({a} / n::DOUBLE, 4) AS {b}_ratio" for a, b in _R.items()) + ", min_level, med_level "
     "FROM prof"))(
-    lambda s, d: profile.key_ratios(profile.key_profile(pois(s, d)), pois(s, d).agg(F.count("*").alias("rows")))
+    lambda s, d: profile.key_ratios(profile.key_profile(pair_levels(s, d)), pois(s, d).agg(F.count("*").alias("rows")))
 )
 @query("sketched_keys", with_sql(PAIRS, then="SELECT key, count(*)::BIGINT AS n, count(DISTINCT value)::BIGINT AS nd, true AS within FROM pairs GROUP BY key"))
 def sketched_keys(s, d):
@@ -225,18 +230,18 @@ def sketched_keys(s, d):
     return profile.merged_sketches(s.read.parquet(path)).join(exact, "key").select("key", "n", "nd", (F.abs(F.col("nd_approx") - F.col("nd")) <= 0.05 * F.col("nd")).alias("within"))
 
 
-query("approx_key_profile")(lambda s, d: profile.key_profile(pois(s, d), exact=False))
+query("approx_key_profile")(lambda s, d: profile.key_profile(pair_levels(s, d), exact=False))
 query(
     "key_groups",
     with_sql(
         PAIRS, "per_key AS (SELECT key, count(*) AS n FROM pairs GROUP BY key)", "grouped AS (SELECT regexp_replace(key, ':.*$', ':*', 's') AS key_group, n FROM per_key)",
         then="SELECT key_group, count(*)::BIGINT AS distinct_keys, sum(n)::BIGINT AS n, round(sum(n)::DOUBLE / (SELECT sum(n) FROM per_key), 4) AS pair_share FROM grouped GROUP BY key_group",
     ),
-)(lambda s, d: profile.key_groups(pois(s, d)))
+)(lambda s, d: profile.key_groups(pair_levels(s, d)))
 
 
 def counts(s, d):
-    return profile.pair_counts(pois(s, d))
+    return profile.pair_counts(pair_levels(s, d))
 
 
 query("pair_counts", with_sql(PAIRS, COUNTS, then="SELECT key, value, n::BIGINT AS n, n_levels::BIGINT AS n_levels, min_level FROM pc"))(counts)

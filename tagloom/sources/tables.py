@@ -32,12 +32,23 @@ def stamp(spark: SparkSession, source: str) -> str:
     return hashlib.md5("\n".join([source, *sorted(found)]).encode()).hexdigest()
 
 
-def built_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = (), schema: str | None = None) -> DataFrame:
-    """``make()`` as a Parquet table in the shared folder, written at the first use in an application for a ``source`` (the input's path) as it is then; after its files change it is written anew."""
+def built_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame], partition_by: tuple[str, ...] = (), schema: str | None = None, bucket_by: tuple[str, ...] = ()) -> DataFrame:
+    """``make()`` as a Parquet table in the shared folder, written at the first use in an application for a ``source`` (the input's path) as it is then; after its files change it is written anew.
+
+    With ``bucket_by`` it is a bucketed table, a file for each bucket, and grouping or joining by these columns needs no shuffle.
+    """
     app = spark.sparkContext.applicationId
     key = (app, stamp(spark, source), name)
     if key not in _BUILT:
         path = f"{shared_folder(spark)}/tables/{app}/{key[1]}/{name}"
-        make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-        _BUILT[key] = path
+        if bucket_by:
+            n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            table = f"built_{name}_{hashlib.md5(path.encode()).hexdigest()}"
+            make().repartition(n, *bucket_by).write.mode("overwrite").bucketBy(n, *bucket_by).sortBy(*bucket_by).option("path", path).saveAsTable(table)
+            _BUILT[key] = table
+        else:
+            make().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            _BUILT[key] = path
+    if bucket_by:
+        return spark.table(_BUILT[key])
     return (spark.read.schema(schema) if schema else spark.read).parquet(_BUILT[key])

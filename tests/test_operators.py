@@ -288,7 +288,7 @@ def test_invariants(spark):
     total = lambda df, c="rows": df.agg(F.sum(c)).first()[0]
     assert total(profile.tags_per_row(p)) == total(profile.geo_grid(p)) == total(profile.levels(p)) == total(profile.primary_key_count(p)) == n
     assert profile.tags_per_row(p).agg(F.sum(F.col("ntags") * F.col("rows"))).first()[0] == profile.pairs(p).count()
-    c = profile.pair_counts(p)
+    c = profile.pair_counts(profile.pair_levels(p))
     b = profile.reuse_buckets(c)
     assert total(b, "occurrences") == total(c, "n") and total(b, "pairs") == c.count()
     cov = [r.coverage for r in profile.coverage_curve(c).orderBy("top_n_pairs").collect()]
