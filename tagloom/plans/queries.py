@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, style, text
-from ..model import ALLOW_MIN, ALLOW_MIN_REGION, BRAND_KEYS, CHOICES, PRIMARY_KEYS, PRIMITIVES, REGION, ROLES, VIEWPORT_CAP
+from ..model import ALLOW_MIN, ALLOW_MIN_REGION, BRAND_KEYS, CHOICES, COUNT_CAP, PRIMARY_KEYS, PRIMITIVES, REGION, ROLES, VIEWPORT_CAP
 from ..operators import analytics, distribute, evaluate, lens, profile, tags, viewport
-from ..sources import poi, sinks, tables
+from ..sources import poi, sinks, tables, tiered
 from ..streaming import events as streams
 from ..streaming import requests
 
@@ -790,3 +790,32 @@ def extents_in_views(s, d):
         F.when(world, -90.0).otherwise(low).alias("y0"), F.when(world, 90.0).otherwise(low + k % 13).alias("y1"),
     )
     return viewport.meet_boxes(rects, views).groupBy("view_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+# --- tiered files ------------------------------------------------------------------------------------
+FILE_ROWS, GROUP_ROWS = 5000, 500
+TIERED = (
+    f"tf AS (SELECT *, (row_number() OVER (ORDER BY floor(lat / 10) NULLS LAST, floor(lon / 10) NULLS LAST, id) - 1) // {FILE_ROWS} AS file FROM poi), "
+    "tr AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY lod_level, id) - 1 AS row_index FROM tf)"
+)
+FILE = r"CAST(regexp_extract(path, 'part-([0-9]+)[.]parquet$', 1) AS BIGINT) AS file"
+
+
+def tiered_files(s, d):
+    """The folder of the points as tiered files, written once for an input."""
+    return tables.folder_once(s, d, "tiered", lambda path: tiered.write_tiered(pois(s, d), path, FILE_ROWS, GROUP_ROWS))
+
+
+query("tiered_rows", with_sql(TIERED, then="SELECT file::BIGINT AS file, row_index::BIGINT AS row_index, id, lod_level, cardinality(tags)::INTEGER AS ntags FROM tr"))(
+    lambda s, d: tiered.read_rows(s, tiered_files(s, d)).select(F.expr(FILE), "row_index", "id", "lod_level", F.size("tags").alias("ntags"))
+)
+query("tiered_groups", with_sql(
+    TIERED, f"tg AS (SELECT *, (row_number() OVER (PARTITION BY file, lod_level ORDER BY id) - 1) // {GROUP_ROWS} AS sub FROM tr)",
+    then="SELECT file::BIGINT AS file, (row_number() OVER (PARTITION BY file ORDER BY lod_level, sub) - 1)::INTEGER AS row_group, lod_level, count(*)::BIGINT AS rows, min(row_index)::BIGINT AS first_row, "
+    "count(lon)::BIGINT AS boxes, min(lon) AS xmin, min(lat) AS ymin, max(lon) AS xmax, max(lat) AS ymax FROM tg GROUP BY file, lod_level, sub",
+))(lambda s, d: tiered.footers(s, tiered_files(s, d)).select(F.expr(FILE), "row_group", "lod_level", "rows", "first_row", "boxes", "xmin", "ymin", "xmax", "ymax"))
+query("tiered_levels", SQL["level_bounds"])(lambda s, d: tiered.levels(tiered.footers(s, tiered_files(s, d))))
+query("tiered_viewport", with_sql(then=f"SELECT id, lon, lat, cardinality(tags)::INTEGER AS ntags, lod_level FROM poi WHERE {BOX}"))(
+    lambda s, d: tiered.read_view(s, tiered_files(s, d), VIEW, "id", "lon", "lat", "tags").select("id", "lon", "lat", F.size("tags").alias("ntags"), "lod_level")
+)
+query("tiered_count", SQL["viewport_count"])(lambda s, d: tiered.count_view(s, tiered_files(s, d), VIEW, COUNT_CAP))

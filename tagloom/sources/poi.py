@@ -76,7 +76,7 @@ def footer(path: str) -> tuple[dict, list[dict]]:
     import pyarrow.fs as pafs
     import pyarrow.parquet as pq
 
-    fs, name = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
+    fs, name = pafs.FileSystem.from_uri(path) if ":/" in path else (pafs.LocalFileSystem(), path)
     meta = pq.ParquetFile(fs.open_input_file(name)).metadata
     geo = json.loads((meta.metadata or {}).get(b"geo", b"{}").decode())
     groups = []

@@ -52,3 +52,14 @@ def built_once(spark: SparkSession, source: str, name: str, make: Callable[[], D
     if bucket_by:
         return spark.table(_BUILT[key])
     return (spark.read.schema(schema) if schema else spark.read).parquet(_BUILT[key])
+
+
+def folder_once(spark: SparkSession, source: str, name: str, fill: Callable[[str], None]) -> str:
+    """A folder that ``fill(path)`` fills at the first use in an application for a ``source`` as it is then."""
+    app = spark.sparkContext.applicationId
+    key = (app, stamp(spark, source), name)
+    if key not in _BUILT:
+        path = f"{shared_folder(spark)}/tables/{app}/{key[1]}/{name}"
+        fill(path)
+        _BUILT[key] = path
+    return _BUILT[key]
