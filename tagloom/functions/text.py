@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..model import BRAND_KEYS, ROLES
 
@@ -65,6 +67,12 @@ def normalise_lens(text: str) -> str:
     return re.sub(r"[。.]+$", "", re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).strip()))
 
 
+@F.pandas_udf(StringType())
+def normalised_lens(texts: pd.Series) -> pd.Series:
+    """``normalise_lens`` of a column, in Arrow batches, as Spark has no NFKC; null stays null."""
+    return texts.map(normalise_lens, na_action="ignore")
+
+
 def utf16_units(text: str) -> int:
     """Length as JavaScript counts it, which is the unit of request budgets."""
     return len(text.encode("utf-16-le", "surrogatepass")) // 2

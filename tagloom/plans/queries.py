@@ -819,3 +819,47 @@ query("tiered_viewport", with_sql(then=f"SELECT id, lon, lat, cardinality(tags):
     lambda s, d: tiered.read_view(s, tiered_files(s, d), VIEW, "id", "lon", "lat", "tags").select("id", "lon", "lat", F.size("tags").alias("ntags"), "lod_level")
 )
 query("tiered_count", SQL["viewport_count"])(lambda s, d: tiered.count_view(s, tiered_files(s, d), VIEW, COUNT_CAP))
+
+
+# --- requests of sessions ------------------------------------------------------------------------------
+ASKED = BOXES + ", rq AS (SELECT s_nationkey AS session, s_suppkey AS request_id, bx.* FROM bx JOIN supplier ON s_suppkey = view_id)"
+ANSWERED = (
+    "SELECT {}session, request_id, max_level AS level, least(count(id), {})::BIGINT AS count, count(id) >= {} AS capped FROM {} LEFT JOIN poi ON lod_level <= max_level AND lat BETWEEN y0 AND y1 "
+    "AND CASE WHEN x0 <= x1 THEN lon BETWEEN x0 AND x1 ELSE lon >= x0 OR lon <= x1 END GROUP BY ALL"
+)
+ASKED_CAP = 400
+
+
+def view_requests(s, d):
+    """A request for each supplier, of its nation's session."""
+    k = F.col("s_suppkey")
+    world, across, left, low = k == 1, k % 9 == 0, k * 37 % 340 - F.lit(180.0), k * 53 % 160 - F.lit(85.0)
+    return s.read.parquet(f"{d}/supplier.parquet").select(
+        F.col("s_nationkey").alias("session"), k.alias("request_id"), F.when(world, -180.0).when(across, 175.0).otherwise(left).alias("x0"), F.when(world, -90.0).otherwise(low).alias("y0"),
+        F.when(world, 180.0).when(across, -170.0).otherwise(left + k % 20).alias("x1"), F.when(world, 90.0).otherwise(low + k % 13).alias("y1"), (k % 17).cast("int").alias("max_level"),
+    )
+
+
+query("answered_views", with_sql(ASKED, then=ANSWERED.format("", ASKED_CAP, ASKED_CAP, "rq")))(lambda s, d: tiered.count_views(s, tiered_files(s, d), view_requests(s, d), ASKED_CAP))
+
+
+@query("coalesced_views", with_sql(ASKED, f"la AS (SELECT request_id % {LOG_FILES} AS batch, * FROM rq QUALIFY row_number() OVER (PARTITION BY session, request_id % {LOG_FILES} ORDER BY request_id DESC) = 1)",
+    then=ANSWERED.format("batch::INTEGER AS batch, ", ASKED_CAP, ASKED_CAP, "la")))
+def coalesced_views(s, d):
+    """Requests as a stream of files: of those that wait for a micro-batch only the latest of each session is answered."""
+    folder = f"{tables.shared_folder(s)}/streams/{uuid.uuid4().hex}"
+    asked = view_requests(s, d)
+    for i in range(LOG_FILES):  # one after another, so that they are read in this order
+        asked.where(F.col("request_id") % LOG_FILES == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = s.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    requests.answer_views(stream, tiered_files(s, d), f"{folder}/out", f"{folder}/cp", ASKED_CAP).awaitTermination()
+    return s.read.parquet(f"{folder}/out").select(F.col("batch").cast("int").alias("batch"), "session", "request_id", "level", "count", "capped")
+
+
+query("settled_requests", "WITH f AS (SELECT user_id, event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS follows FROM events) "
+    "SELECT user_id AS session, event_id AS request_id, ts AS at FROM f WHERE follows IS NULL OR follows > ts + INTERVAL 4 HOURS")(
+    lambda s, d: requests.settled_log(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("session"), F.col("event_id").alias("request_id"), F.col("ts").alias("at")), "4 hours")
+)
+query("normalised_lenses", "SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '[。.]+$', '') AS lens FROM conversations")(
+    lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", text.normalised_lens("text").alias("lens"))
+)

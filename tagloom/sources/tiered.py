@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import intersects, level_resolution
 from ..operators import distribute
-from ..operators.viewport import Viewport
+from ..operators.viewport import Viewport, meet_boxes
 from .poi import level_ends
 
 #: Levels of a pyramid.
@@ -185,17 +185,21 @@ def meets(view: Viewport):
 
 
 def read_groups(groups: DataFrame, *columns: str) -> DataFrame:
-    """The rows of row groups (``path, row_group, lod_level``): these columns and the level. Only these groups' and columns' bytes are read, in tasks of a few groups each."""
+    """The rows of row groups (``path, row_group, lod_level``), with these three columns and ``columns``. Only these groups' and columns' bytes are read, in tasks of a few groups each."""
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g in batch.to_pylist():
                 fs, name = _open(g["path"])
                 with fs.open_input_file(name) as stream:
                     for rows in pq.ParquetFile(stream).iter_batches(10_000, row_groups=[g["row_group"]], columns=list(columns)):
-                        yield pa.RecordBatch.from_arrays([*[rows.column(rows.schema.get_field_index(c)) for c in columns], pa.array(np.full(rows.num_rows, g["lod_level"], np.int32))], [*columns, "lod_level"])
+                        n = rows.num_rows
+                        own = [pa.array([g["path"]] * n, pa.string()), *[pa.array(np.full(n, g[c], np.int32)) for c in ("row_group", "lod_level")]]
+                        data = [rows.column(rows.schema.get_field_index(c)) for c in columns]
+                        yield pa.RecordBatch.from_arrays([*own, *data], ["path", "row_group", "lod_level", *columns])
 
     types = ", ".join(f"{c} {ROW_TYPES[c]}" for c in columns)
-    return groups.select("path", "row_group", "lod_level").repartition("path", "row_group").mapInArrow(read, f"{types}, lod_level int")
+    return groups.select("path", "row_group", "lod_level").repartition("path", "row_group").mapInArrow(read, f"path string, row_group int, lod_level int, {types}")
 
 
 def read_view(spark: SparkSession, folder: str, view: Viewport, *columns: str) -> DataFrame:
@@ -212,3 +216,26 @@ def count_view(spark: SparkSession, folder: str, view: Viewport, cap: int) -> Da
     border = read_groups(near.where("not whole"), "bbox").where(intersects("bbox", view.bbox)).select(F.lit(1).cast("long").alias("n"))
     n = near.where("whole").select(F.col("boxes").alias("n")).unionByName(border).agg(F.least(F.coalesce(F.sum("n"), F.lit(0)), F.lit(cap)).cast("long").alias("total"))
     return n.select("total", (F.col("total") >= cap).alias("capped"))
+
+
+def count_views(spark: SparkSession, folder: str, requests: DataFrame, cap: int) -> DataFrame:
+    """``session, request_id, level, count, capped`` for each of many requests (``session, request_id, x0, y0, x1, y1, max_level``), which the answers are told apart by.
+
+    Requests meet the boxes of row groups. Groups that lie in a view whole count by their footers; those at the border of any view are read once,
+    and only their rows meet the views. A view with ``x0 > x1`` crosses the date line. A request that comes twice is answered twice;
+    one without corners or level counts 0.
+    """
+    asked = distribute.cut(requests.select("session", "request_id", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], "max_level").withColumn("view_id", F.monotonically_increasing_id()))
+    groups = distribute.cut(footers(spark, folder).where("xmin is not null").withColumn("id", F.struct("path", "row_group")))
+    rects = groups.select("id", "lod_level", *[F.col(a).alias(b) for a, b in (("xmin", "x0"), ("ymin", "y0"), ("xmax", "x1"), ("ymax", "y1"))])
+    met = meet_boxes(rects, asked.where("x0 is not null and y0 is not null and x1 is not null and y1 is not null and max_level is not null"))
+    met = met.join(groups, "id").join(asked.select("view_id", "x0", "y0", "x1", "y1"), "view_id")
+    aside = "case when x0 <= x1 then xmin >= x0 and xmax <= x1 else xmin >= x0 or xmax <= x1 end"
+    met = distribute.cut(met.withColumn("whole", F.expr(f"{aside} and ymin >= y0 and ymax <= y1 and boxes is not null")))
+    edge = met.where("not whole").select("view_id", "path", "row_group", "x0", "y0", "x1", "y1")
+    read = read_groups(met.where("not whole").select("path", "row_group", "lod_level").distinct(), "bbox")
+    inside = "case when x0 <= x1 then bbox.xmax >= x0 and bbox.xmin <= x1 else bbox.xmax >= x0 or bbox.xmin <= x1 end and bbox.ymax >= y0 and bbox.ymin <= y1"
+    border = read.join(edge, ["path", "row_group"]).where(inside).groupBy("view_id").agg(F.count("*").alias("n"))
+    n = met.where("whole").select("view_id", F.col("boxes").alias("n")).unionByName(border).groupBy("view_id").agg(F.sum("n").alias("n"))
+    count = F.least(F.coalesce("n", F.lit(0)), F.lit(cap)).cast("long")
+    return asked.join(n, "view_id", "left").select("session", "request_id", F.col("max_level").alias("level"), count.alias("count"), (count >= cap).alias("capped"))

@@ -6,11 +6,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import evaluate
+from ..sources import tiered
 from ..sources.sinks import EvalCache
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -133,3 +134,49 @@ def evaluate_stream(spark: SparkSession, plan: str, lens: str, client: evaluate.
     stream = spark.readStream.schema(PLAN).option("maxFilesPerTrigger", 1).parquet(plan)
     return stream.writeStream.foreachBatch(ask).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
+
+# --- views of sessions --------------------------------------------------------------------------------
+
+
+def latest(requests: DataFrame) -> DataFrame:
+    """The request with the highest ``request_id`` of each ``session``; those without either are left out. Partial maxima before the shuffle keep a busy session small."""
+    columns = F.struct(*requests.columns)
+    r = requests.where("session is not null and request_id is not null").groupBy("session").agg(F.max_by(columns, "request_id").alias("r"))
+    return r.select("r.*")
+
+
+def answer_views(requests: DataFrame, tiers: str, out: str, checkpoint: str, cap: int):
+    """Starts a query that answers views of a stream of requests (``session, request_id, x0, y0, x1, y1, max_level``) from tiered files.
+
+    While a micro-batch is answered the requests that arrive wait, and of those only the latest of each session is asked. Answers of a
+    micro-batch are a folder of ``out`` by its id, written anew when it comes again after a restart.
+    """
+
+    def answer(batch: DataFrame, n: int) -> None:
+        rows = tiered.count_views(batch.sparkSession, tiers, latest(batch), cap)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def settled(requests: DataFrame, quiet: str, late: str = "1 minute") -> DataFrame:
+    """Of a stream of requests (``session, request_id, at``) those that no other of the session follows within ``quiet``: ``session, request_id, at``.
+
+    The last of each burst (of two at the same time the higher id), when the stream's time is ``late`` beyond its end. Requests without session or
+    time are left out.
+    """
+    r = requests.where("session is not null and at is not null").withWatermark("at", late)
+    last = F.max(F.struct("at", "request_id")).alias("r")
+    return r.groupBy("session", F.session_window("at", quiet)).agg(last).select("session", "r.request_id", "r.at")
+
+
+def settled_log(requests: DataFrame, quiet: str, slice_: str = "1 day") -> DataFrame:
+    """``settled`` over a whole log. A session is looked at in slices of time, so that a busy one isn't one task; the last request of a slice meets the first of the session's next one, which is a row a slice."""
+    r = requests.where("session is not null and at is not null").select("session", "request_id", "at", F.window("at", slice_)["start"].alias("slice"))
+    own = Window.partitionBy("session", "slice").orderBy("at", F.col("request_id").asc_nulls_first())
+    r = r.withColumn("follows", F.lead("at").over(own))
+    firsts = r.groupBy("session", "slice").agg(F.min("at").alias("first"))
+    firsts = firsts.select("session", "slice", F.lead("first").over(Window.partitionBy("session").orderBy("slice")).alias("beyond"))
+    ends = r.where("follows is null").join(firsts, ["session", "slice"]).withColumn("follows", F.col("beyond")).drop("beyond")
+    done = r.where("follows is not null").unionByName(ends).where(f"follows is null or follows > at + interval {quiet}")
+    return done.select("session", "request_id", "at")
