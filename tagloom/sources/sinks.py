@@ -47,16 +47,23 @@ def feature_collection(pois: DataFrame) -> DataFrame:
     return f.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.transform("f", lambda x: x["feature"]), ","), F.lit("]}")).alias("document"))
 
 
+def role_map(roles: DataFrame) -> DataFrame:
+    """The roles (``key, role``) as one map, in the order of their ``place`` if they have one and of their keys otherwise, whichever task has which row."""
+    order = ("place", "key") if "place" in roles.columns else ("key",)
+    entries = F.transform(F.sort_array(F.collect_list(F.struct(*order, "role"))), lambda x: F.struct(x["key"].alias("key"), x["role"].alias("role")))
+    return roles.agg(F.map_from_entries(entries).alias("roles"))
+
+
 def slim_allowlist(roles: DataFrame, allowlist: DataFrame) -> DataFrame:
-    """The slim document: roles and sorted ids, no counts. One row by definition; an allow-list is small."""
-    r = roles.agg(F.map_from_entries(F.collect_list(F.struct("key", "role"))).alias("roles"))
+    """The slim document: roles (``role_map``) and sorted ids, no counts. One row by definition; an allow-list is small."""
+    r = role_map(roles)
     e = allowlist.agg(F.sort_array(F.collect_set("tag_id")).alias("entries"))
     return as_document(r.join(e))
 
 
 def full_allowlist(roles: DataFrame, allowlist: DataFrame, least: int, least_region: int) -> DataFrame:
-    """The full document: thresholds, roles, and the entries with their counts, the most frequent first. One row; an allow-list is small."""
-    r = roles.agg(F.map_from_entries(F.collect_list(F.struct("key", "role"))).alias("roles"))
+    """The full document: thresholds, roles (``role_map``), and the entries with their counts, the most frequent first. One row; an allow-list is small."""
+    r = role_map(roles)
     e = allowlist.agg(F.sort_array(F.collect_list(F.struct((-F.col("count")).alias("o"), "tag_id", "key", "value", "count", "count_jp"))).alias("e"))
     e = e.select(F.transform("e", lambda x: x.dropFields("o")).alias("entries"), F.size("e").alias("pairs"))
     return as_document(r.join(e).select(F.lit(least).alias("min_count"), F.lit(least_region).alias("min_count_region"), "pairs", "roles", "entries"))
