@@ -184,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 #: Different shingles' hashes are mixed with these for 256 bits.
 _WIDE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD], dtype=np.uint64)
-#: Cells of a text: ``BANDS`` hashes, each of ``PER_BAND`` minima over its shingles.
+#: Cells of a text: the segment counts of ``BANDS`` SimHashes, each of a sample of ``PER_BAND`` of its shingles.
 BANDS, PER_BAND = 20, 6
 _MINIMA = np.random.default_rng(7).integers(1, 1 << 63, BANDS * PER_BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Of 256 bits a similarity of 0.8 flips 39 on average with a deviation of 5.7; random texts differ in 128 (deviation 8).
@@ -197,16 +197,25 @@ PIVOTS = 16
 CELL = 4096
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """The cells of a set of different hashes: two sets of similarity j share each with a probability of ``j ** PER_BAND``, unlike sets with none to speak of."""
+def samples(s: np.ndarray) -> np.ndarray:
+    """``BANDS`` SimHashes of a set of different hashes, each of the ``PER_BAND`` shingles that are least in as many orders of all shingles.
+
+    The bits of a SimHash of the whole set flip everywhere when a part of the set changes; those of a sample stay as they are
+    when the sample does, which for sets of similarity j has a probability of ``j ** PER_BAND``.
+    """
     low = np.full(BANDS * PER_BAND, ~np.uint64(0))
     for i in range(0, len(s), 512):
         low = np.minimum(low, (s[i : i + 512, None] * _MINIMA).min(axis=0))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for m in low.reshape(BANDS, PER_BAND).T:
-        key = (key ^ m) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+    low = (low ^ (low >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)  # the highest bits of minima are zeros
+    low = (low ^ (low >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    ones = np.unpackbits((low ^ (low >> np.uint64(31))).view(np.uint8).reshape(BANDS, PER_BAND, 8), axis=2).sum(axis=1)
+    return np.packbits(2 * ones > PER_BAND, axis=1).view(np.uint64).ravel()
+
+
+def bands(s: np.ndarray) -> np.ndarray:
+    """The cells of a set of different hashes: the segment counts (``embed``) of each of its ``samples``, which sets share if they have them all in common."""
+    key = (np.arange(1, BANDS + 1, dtype=np.uint64) ^ embed(samples(s))) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
 
 
 def wide_simhash(s: np.ndarray) -> np.ndarray:
@@ -224,6 +233,13 @@ def wide_simhash(s: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(s)).view(np.uint64)
 
 
+def near_wide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where fingerprints of four words differ in ``FLIPS`` bits or fewer: first the Manhattan distance of their segment counts, then the exact distance of what is left."""
+    ok = np.bitwise_count(embed(a) ^ embed(b)).sum(axis=1, dtype=np.int64) <= FLIPS
+    ok[ok] = np.bitwise_count(a[ok] ^ (b[ok] if len(b) == len(ok) else b)).sum(axis=1, dtype=np.int64) <= FLIPS
+    return ok
+
+
 def forest(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, small: int = 256):
     """Links (x, y) between nodes of each run of equal ``cell`` whose ``fp`` (four words a row) differ in ``FLIPS`` bits or fewer.
 
@@ -239,7 +255,7 @@ def forest(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, small: int = 256)
         live = live[live + shift < end[live]]
         if not len(live):
             break
-        at = live[np.bitwise_count(fp[live] ^ fp[live + shift]).sum(axis=1, dtype=np.int64) <= FLIPS]
+        at = live[near_wide(fp[live], fp[live + shift])]
         found.append((at, at + shift))
     x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
     while len(x):  # the least place that links reach
@@ -258,7 +274,7 @@ def forest(cell: np.ndarray, node: np.ndarray, fp: np.ndarray, small: int = 256)
             front, rest = [rest[:1]], rest[1:]
             while front and len(rest):
                 for i in front.pop():
-                    ok = np.bitwise_count(fp[rest] ^ fp[i]).sum(axis=1, dtype=np.int64) <= FLIPS
+                    ok = near_wide(fp[rest], fp[i][None, :])
                     if ok.any():
                         yield np.full(np.count_nonzero(ok), node[i]), node[rest[ok]]
                         front.append(rest[ok])
@@ -335,10 +351,11 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """Each document with ``doc_id, component_id, root`` and the keys ``_k1, _k2`` of its row.
 
     Texts link if their sets of word shingles have a Jaccard similarity of ``similarity`` or more, computed
-    from the texts. Candidates share one of ``BANDS`` cells and differ in ``FLIPS`` bits at most in a SimHash of 256 bits over different
-    shingles. Cells are hashes of minima over the shingles and not bits of the SimHash: at this distance bits that keep recall
-    also join a fixed share of all pairs, while unlike texts share no minima, however many there are. A pair of similarity 0.8 shares a cell
-    with a probability of 0.998. Cells pass on spanning forests only; those that hold over a thousandth of all places
+    from the texts. Candidates meet by the segment counts of SimHashes, as in ``near_duplicates``, but of samples: a text has ``BANDS`` SimHashes of
+    ``PER_BAND`` shingles each, and a cell is the counts of the 32 two-bit segments of one of them. Those that meet are held against each other by the segment
+    counts of a SimHash of 256 bits over all different shingles, and then by its bits, of which ``FLIPS`` may differ. The cells aren't counts of
+    that SimHash: at this distance those that keep recall also join a fixed share of all pairs, while samples of unlike texts have
+    no counts in common, however many there are. A pair of similarity 0.8 shares a cell with a probability of 0.998. Cells pass on spanning forests only; those that hold over a thousandth of all places
     are dealt to parts of about ``CELL`` texts, and one text of each tree of a part meets those of the other parts.
 
     All texts that candidates join are then compared with one another where they are together. More than ``BLOCK`` meet ``PIVOTS`` of
