@@ -12,9 +12,10 @@ from ..sources.sinks import EvalCache
 EVENT_SCHEMA = "type string, request_id long, lens string, tag_id string, primitive string, num double, dist array<double>, model string, at timestamp, kind string, batch long"
 
 
-def read_events(spark: SparkSession, folder: str, files: int = MAX_BATCHES) -> DataFrame:
-    """Streamed JSON lines; a last line without an end is read too, broken lines are null rows and left out."""
-    return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files).json(folder).where("type is not null")
+def read_events(spark: SparkSession, folder: str, files: int | None = MAX_BATCHES) -> DataFrame:
+    """Streamed JSON lines, ``files`` at most (None: all that are there) in a micro-batch; a last line without an end is read too, broken lines are null rows and left out."""
+    stream = spark.readStream.schema(EVENT_SCHEMA)
+    return (stream.option("maxFilesPerTrigger", files) if files else stream).json(folder).where("type is not null")
 
 
 def current(events: DataFrame) -> DataFrame:
