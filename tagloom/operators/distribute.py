@@ -49,14 +49,15 @@ def running_sum(df: DataFrame, value: Column, *order: Column, name: str = "upto"
     return done.withColumn(name, own).join(_offsets(done, {"sum": value}), "_p").withColumn(name, F.col(name) + F.col("_sum")).drop("_p", "_at", "_sum")
 
 
-def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", hot_share: int = HOT) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, *keys: str, how: str = "inner", hot_share: int = HOT, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined (``inner`` or ``left``) with ``table``, which has one row for each key at most; null keys meet nothing.
 
     Keys that hold over a ``hot_share``-th of the rows are broadcast with what the table has for them: they are fewer than ``hot_share``.
-    The rows of other keys are shuffled. ``rows`` is read more than once.
+    The rows of other keys are shuffled. ``rows`` is read more than once; ``counts`` has the number ``n`` of rows of each key, where that is known.
     """
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    found = counted.where(F.col("_n") * hot_share > rows.count()).select(*keys)
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    total = rows.count() if counts is None else counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = counted.where(F.col("n") * hot_share > total).select(*keys)
     hot = F.broadcast(rows.sparkSession.createDataFrame(found.collect(), found.schema))  # fewer than ``hot_share``
     few = F.broadcast(table.join(hot, list(keys), "left_semi"))
     known = rows.join(hot, list(keys), "left_semi").join(few, list(keys), how)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import point_inside
 from ..functions.text import VALUE_CLASSES, key_group, trim_all
 from ..model import EXPAND_MAX_DISTINCT, PRIMARY_KEYS, REGION, TOP_VALUES
-from .distribute import cut, smallest
+from .distribute import cut, join_hot, smallest
 
 COVERAGE_POINTS = (10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000, 20000, 50000, 100000)
 
@@ -185,13 +185,15 @@ def value_samples(pois: DataFrame, over: int = EXPAND_MAX_DISTINCT, rows_sampled
     """``key, n, nd_approx, samples``: up to ``most`` values of each key with more than ``over`` different ones, from a sample of exactly ``rows_sampled`` of these keys' pairs (or all).
 
     Pairs are ordered by 60 bits of an md5 of the seed, id, key and value, so the sample is the same on every engine. ``exact`` counts different values exactly.
+    Keys with many pairs are broadcast, so their pairs stay in the tasks that read them.
     """
     p = pairs(pois).where("value is not null")
     nd = F.countDistinct("value") if exact else F.approx_count_distinct("value")
-    many = cut(p.groupBy("key").agg(F.count("*").alias("n"), nd.alias("nd_approx")).where(F.col("nd_approx") > over))
+    keys = cut(p.groupBy("key").agg(F.count("*").alias("n"), nd.alias("nd_approx")))
+    many = keys.where(F.col("nd_approx") > over)
     text = F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), "key", "value")
     place = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    chosen = cut(p.join(many.select("key"), "key", "left_semi").select("key", "value", "id", place.alias("place")))
+    chosen = cut(join_hot(p.select("key", "value", "id", place.alias("place")), many.select("key"), "key", counts=keys))
     w = Window.partitionBy("key").orderBy("place", "id", "value")
     top = smallest(chosen, rows_sampled, "place", F.col("key"), F.col("id"), F.col("value")).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
     samples = F.transform(F.sort_array(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"])
