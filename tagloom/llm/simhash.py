@@ -195,6 +195,10 @@ BLOCK = 400
 PIVOTS = 16
 #: Texts of a part of a hot cell.
 CELL = 4096
+#: Segments of a set's own bits, as a part of the largest set of its class.
+SPREAD = 0.4
+#: Bits of a parity of a set.
+PARITY = 1024
 
 
 def samples(s: np.ndarray) -> np.ndarray:
@@ -218,6 +222,45 @@ def bands(s: np.ndarray) -> np.ndarray:
     return key ^ (key >> np.uint64(29))
 
 
+def differing(sizes, similarity: float):
+    """How many elements two sets of so many elements together may have that the other lacks, if their Jaccard similarity is ``similarity`` or more."""
+    return np.floor(sizes * ((1 - similarity) / (1 + similarity)) + 1e-6).astype(np.int64)
+
+
+def segments(s: np.ndarray, similarity: float) -> tuple[np.ndarray, bool]:
+    """Cells of which sets (different hashes, in order) of ``similarity`` or more have one in common, without exception; and whether the set has too few for that.
+
+    A set is a fingerprint of 2**64 bits, one for each hash, cut in segments. So few bits differ that a set agrees with a similar one in all its segments but
+    ``most``. A cell is a segment with its bits and their count. Both sets have the same order of cells, those of most bits first, so
+    the first ``most`` + 1 of each meet. The number of segments is that of the class of the larger set (up to a power of two), so a set may have cells of two classes.
+    """
+    n, found, short = len(s), [np.zeros(0, np.uint64)], False
+    largest = int(n / similarity + 1e-6)
+    bits = _mixed(s)
+    for c in range(max(n - 1, 0).bit_length(), max(largest - 1, 0).bit_length() + 1) if n else ():
+        most = int(differing(n + min(1 << c, largest), similarity))
+        if not most:  # only an equal set is similar
+            continue
+        of = ((s >> np.uint64(32)) * np.uint64(max(1, round(SPREAD * (1 << c)), min(1 << c, 64)))) >> np.uint64(32)
+        first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        count = np.diff(np.append(first, n))
+        cell = _mixed(np.add.reduceat(bits, first) + _mixed(of[first] + (np.uint64(c + 1) << np.uint64(48)))) | np.uint64(1)
+        short |= len(cell) <= most
+        found.append(cell[np.lexsort((cell, -count))[: most + 1]])
+    return np.concatenate(found), short
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def parity(s: np.ndarray) -> bytes:
+    """``PARITY`` bits, of which each is set if an odd number of a set's hashes fall on it: two sets' parities differ in no more bits than the sets in elements."""
+    return np.packbits((np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
 def wide_simhash(s: np.ndarray) -> np.ndarray:
     """256 bits, as 4 words, of which each is set if it is set in over half the different shingles."""
     if not len(s):
@@ -355,7 +398,8 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     ``PER_BAND`` shingles each, and a cell is the counts of the 32 two-bit segments of one of them. Those that meet are held against each other by the segment
     counts of a SimHash of 256 bits over all different shingles, and then by its bits, of which ``FLIPS`` may differ. The cells aren't counts of
     that SimHash: at this distance those that keep recall also join a fixed share of all pairs, while samples of unlike texts have
-    no counts in common, however many there are. A pair of similarity 0.8 shares a cell with a probability of 0.998. Cells pass on spanning forests only; those that hold over a thousandth of all places
+    no counts in common, however many there are. A pair of similarity 0.8 shares a cell with a probability of 0.998, and what is left
+    out here is found without exception by ``segments`` of all shingles (``_missed``). Cells pass on spanning forests only; those that hold over a thousandth of all places
     are dealt to parts of about ``CELL`` texts, and one text of each tree of a part meets those of the other parts.
 
     All texts that candidates join are then compared with one another where they are together. More than ``BLOCK`` meet ``PIVOTS`` of
@@ -377,12 +421,13 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             w = np.array([wide_simhash(s) for s in sets], np.uint64).reshape(-1, 4).view(np.int64)
             cells = pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            cols = [b.column("id"), b.column("_k1"), b.column("_k2"), pa.array(node), *(pa.array(w[:, i].copy()) for i in range(4)), cells]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "_k1", "_k2", "node", *words, "cells"])
+            size, odd = pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary())
+            cols = [b.column("id"), b.column("_k1"), b.column("_k2"), pa.array(node), *(pa.array(w[:, i].copy()) for i in range(4)), cells, size, odd]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "_k1", "_k2", "node", *words, "cells", "size", "odd"])
 
     kind = dict(t.dtypes)["id"]
-    fps = cut(t.mapInArrow(sketch, f"id {kind}, _k1 long, _k2 long, node long, " + ", ".join(f"{w} long" for w in words) + ", cells array<long>"))
-    nodes = cut(fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(w).alias(w) for w in words], F.first("cells").alias("cells")))
+    fps = cut(t.mapInArrow(sketch, f"id {kind}, _k1 long, _k2 long, node long, " + ", ".join(f"{w} long" for w in words) + ", cells array<long>, size long, odd binary"))
+    nodes = cut(fps.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("k"), *[F.first(c).alias(c) for c in (*words, "cells", "size", "odd")]))
     dealt = nodes.select(F.explode("cells").alias("cell"), "node", *words)
     hot = dealt.groupBy("cell").agg(F.count("*").alias("n")).where((F.col("n") * HOT > nodes.count() * BANDS) & (F.col("n") > CELL)).collect()  # less than HOT cells
     parts = F.lit(None).cast("int")
@@ -397,6 +442,9 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
         edges = trees.unionByName(_cell_forests(tops.join(nodes.select("node", *words).hint("merge"), "node").select("cell", "part", "node", *words)))
 
     groups = cut(components(edges.where("b is not null").select("a", "b")).select("node", F.col("root").alias("comp")))
+    rest = cut(_missed(t.select("text"), nodes.select("node", "size", "odd"), groups, similarity, shingle))
+    if not rest.isEmpty():
+        groups = cut(components(rest.unionByName(groups.select(F.col("node").alias("a"), F.col("comp").alias("b")))).select("node", F.col("root").alias("comp")))
     members = groups.unionByName(groups.select(F.col("comp").alias("node"), "comp").distinct())  # roots are members too
     sizes = members.groupBy("comp").agg(F.count("*").alias("n"))
     members = members.join(sizes.hint("merge"), "comp")
@@ -463,6 +511,124 @@ def _cell_forests(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", "node").mapInArrow(run, "a long, b long, cell long")
 
 
+def _company(dealt: DataFrame, by: str) -> DataFrame:
+    """The rows (``cell, node`` and maybe others) of cells that have more than one ``by``, once each, and those of cell 0."""
+    names = dealt.columns
+    place = names.index(by)
+
+    def run(batches):
+        held = np.zeros((0, len(names)), np.int64)
+        for b in batches:
+            held = np.concatenate((held, np.stack([b.column(i).to_numpy() for i in range(len(names))], axis=1)))
+            done = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0  # the last cell may go on
+            yield from kept(held[:done])
+            held = held[done:]
+        yield from kept(held)
+
+    def kept(rows):
+        rows = rows[np.concatenate(([True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))] if len(rows) else rows
+        if not len(rows):
+            return
+        first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        many = np.minimum.reduceat(rows[:, place], first) != np.maximum.reduceat(rows[:, place], first)
+        rows = rows[np.repeat(many | (rows[first, 0] == 0), np.diff(np.append(first, len(rows))))]
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(len(names))], names=names)
+
+    return dealt.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _missed(texts: DataFrame, nodes: DataFrame, groups: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """``a, b``: links of candidates (``nodes``: ``node, size, odd``) that ``groups`` (``node, comp``) have not joined, enough to join all that can be similar.
+
+    Texts meet in the cells of ``segments``, which lose no link. Those that are in one group already are compared with each other anyway, so only cells of more
+    groups are left, and there texts that ``parity`` can't tell apart are candidates. A cell of more than ``CELL`` texts is cut in parts, each two of which meet.
+    Texts with too few segments meet all others.
+    """
+
+    def deal(batches):
+        seen: set[int] = set()  # copies once for each task, or for so many texts
+        for b in batches:
+            for k in range(0, b.num_rows, 500):
+                cells, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for x in b.column("text").slice(k, 500).to_pylist():
+                    s = _shingles(x, shingle)
+                    node = np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64)
+                    if node not in seen:
+                        found, short = segments(s, similarity)
+                        cells += [found.view(np.int64), np.zeros(int(short), np.int64)]
+                        of.append(np.full(len(found) + short, node))
+                        if len(seen) >= 100_000:
+                            seen.clear()
+                        seen.add(node)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells)), pa.array(np.concatenate(of))], names=["cell", "node"])
+
+    met = cut(_company(texts.mapInArrow(deal, "cell long, node long"), "node"))
+    named = met.where("cell <> 0").join(groups.hint("merge"), "node", "left").select("cell", "node", F.coalesce("comp", "node").alias("comp"))
+    apart = cut(_company(named, "comp"))
+    parts = apart.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: (F.col("parts") == 1) | (j != F.col("part")))
+    blocks = apart.join(parts.hint("merge"), "cell").withColumn("part", mine).withColumn("other", F.explode(others))
+    blocks = blocks.select("cell", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "node", "comp").join(nodes.hint("merge"), "node")
+
+    def link(batches):
+        key, rest, odd = np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64), np.zeros((0, PARITY // 64), np.uint64)
+        for b in batches:
+            key = np.concatenate((key, np.stack([b.column(c).to_numpy() for c in ("cell", "first", "second")], axis=1)))
+            rest = np.concatenate((rest, np.stack([b.column(c).to_numpy() for c in ("node", "comp", "size")], axis=1)))
+            odd = np.concatenate((odd, np.frombuffer(b"".join(b.column("odd").to_pylist()), np.uint64).reshape(-1, PARITY // 64)))
+            if len(key):  # the last block may go on
+                ends = np.flatnonzero((key != key[-1]).any(axis=1))
+                done = int(ends[-1]) + 1 if len(ends) else 0
+                yield from linked(key[:done], rest[:done], odd[:done])
+                key, rest, odd = key[done:], rest[done:], odd[done:]
+        yield from linked(key, rest, odd)
+
+    def linked(key, rest, odd):
+        if len(key):
+            first = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1))))
+            out = [x for a, z in zip(first, np.append(first[1:], len(key)), strict=True) for x in apart_links(*rest[a:z].T, odd[a:z], similarity)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    blocks = blocks.select("cell", F.col("first").cast("long").alias("first"), F.col("second").cast("long").alias("second"), "node", "comp", "size", "odd")
+    out = blocks.repartition("cell", "first", "second").sortWithinPartitions("cell", "first", "second", "node").mapInArrow(link, "a long, b long").distinct()
+    short = met.where("cell = 0").select("node").distinct()
+    if short.isEmpty():
+        return out
+
+    def every(batches):
+        for b in batches:
+            m, o = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in ("odd", "other"))
+            ok = np.bitwise_count(m ^ o).sum(axis=1, dtype=np.int64) <= differing(b.column("size").to_numpy() + b.column("n").to_numpy(), similarity)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(ok)) for c in ("node", "b")], names=["a", "b"])
+
+    few = F.broadcast(nodes.join(short, "node").select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("odd").alias("other")))
+    near_size = (F.col("size") >= F.col("n") * similarity - 1e-6) & (F.col("n") >= F.col("size") * similarity - 1e-6)
+    return out.unionByName(nodes.join(few, near_size & (F.col("node") != F.col("b"))).mapInArrow(every, "a long, b long")).distinct()
+
+
+def apart_links(node: np.ndarray, comp: np.ndarray, size: np.ndarray, odd: np.ndarray, similarity: float):
+    """Links enough to join all nodes of one cell whose sets can have the similarity, by their sizes and parities; nodes of one ``comp`` are joined already."""
+    rest = np.arange(len(node))
+    while len(rest):
+        front, rest = [rest[:1]], rest[1:]
+        while front and len(rest):
+            for i in front.pop():
+                small, large = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+                ok = np.bitwise_count(odd[rest] ^ odd[i]).sum(axis=1, dtype=np.int64) <= differing(small + large, similarity)
+                ok &= (small >= large * similarity - 1e-6) & (comp[rest] != comp[i])
+                if ok.any():
+                    yield np.full(np.count_nonzero(ok), node[i]), node[rest[ok]]
+                ok |= comp[rest] == comp[i]
+                if ok.any():
+                    front.append(rest[ok])
+                    rest = rest[~ok]
+                if not len(rest):
+                    break
+
+
 def _verified(blocks: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: links of each ``comp, first, second`` (``block, node, hashes``), as ``verify_blocks`` gives them."""
     sets = blocks.repartition("comp", "first", "second").sortWithinPartitions("comp", "first", "second")
